@@ -10,28 +10,30 @@ blocks at least ``slack + 1`` blocks agree (pigeonhole). Documents meet on
 document that has no more than ``slack`` of them, which loses no pair: of
 ``slack + 1`` agreeing blocks one then has bits.
 
-Pairs are never expanded inside a bucket: members are compared with one centre,
-and only members that are still in different components afterwards with
-further centres, then with each other. Every link is verified on exact sets.
+Members of a bucket are compared with one centre each. Only members that are
+still in different components afterwards are paired, and of those pairs only
+the ones leave the join whose 1,024-bit sketches differ in no more bits than a
+link allows. Every link is verified on exact sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import materialize, mix64
 
 BITS = np.uint64(0xFFFF)
 BAND_GROWTH = 1.25
-#: Star rounds over buckets that still hold several components, before their cross pairs are compared.
-STAR_ROUNDS = 4
+#: Longs of the sketch that pairs are filtered with.
+WIDE = 16
+SKETCH = [f"s{i}" for i in range(WIDE)]
 
 
 class _WordCodes(dict):
@@ -104,15 +106,23 @@ def bucket_keys(codes: np.ndarray, num: int, den: int) -> np.ndarray:
 def set_id(codes: np.ndarray) -> int:
     mixed = mix64(codes + np.uint64(0x632BE59BD9B4E019))
     both = mix64(np.array([np.bitwise_xor.reduce(mixed), mixed.sum(dtype=np.uint64)], np.uint64))
-    return int((both[0] + both[1] * np.uint64(3)).view(np.int64))
+    return int((both * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
+def wide_sketch(codes: np.ndarray) -> np.ndarray:
+    """The parity sketch of WIDE * 64 bits."""
+    odd = np.bincount((codes % np.uint64(WIDE * 64)).astype(np.int64), minlength=WIDE * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     words = _WordCodes()
     for batch in batches:
         sizes, ids, keys, offsets = [], [], [], [0]
-        for text in batch.column(1):
+        wide = np.zeros((WIDE, batch.num_rows), np.int64)
+        for i, text in enumerate(batch.column(1)):
             codes = shingle_codes(text.as_py(), k, words)
+            wide[:, i] = wide_sketch(codes)
             sizes.append(len(codes))
             ids.append(set_id(codes) if len(codes) else None)
             keys.append(bucket_keys(codes, num, den) if len(codes) else np.empty(0, np.int64))
@@ -120,8 +130,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: in
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists],
-            names=["doc_id", "n_shingles", "set_id", "keys"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists, *map(pa.array, wide)],
+            names=["doc_id", "n_shingles", "set_id", "keys", *SKETCH],
         )
 
 
@@ -196,7 +206,7 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     num, den = round(threshold * 100), 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialize(
-        docs.mapInArrow(partial(_sketch_batches, k=k, num=num, den=den), "doc_id long, n_shingles long, set_id long, keys array<long>"),
+        docs.mapInArrow(partial(_sketch_batches, k=k, num=num, den=den), "doc_id long, n_shingles long, set_id long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)),
         "sketches",
     )
     nodes = sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
@@ -220,26 +230,22 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     links = tested.where("linked").select("a", "b")
     roots = connected_components(links)
 
-    for round_no in range(STAR_ROUNDS + 1):
-        labelled = members.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
-        if mixed.isEmpty():
-            break
-        members = mixed.select("key", "set_id")  # a bucket of one component stays one
-        if round_no < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("set_id", F.lit(round_no)).alias("o"), F.col("set_id").alias("id"), F.col("root").alias("of"))
-            centers = mixed.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.id", "c.of")
-            pairs = mixed.join(centers.hint("merge"), "key").where("root <> of").select(F.least("id", "set_id").alias("a"), F.greatest("id", "set_id").alias("b"))
-        else:
-            x, y = (mixed.select("key", F.col("set_id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-            pairs = x.join(y.hint("merge"), "key").where("a < b and ra <> rb").select("a", "b")
-        new = pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        new = materialize(verified(new), "tested")
-        tested = tested.unionByName(new)
-        if not new.where("linked").isEmpty():
-            links = links.unionByName(new.where("linked").select("a", "b"))
-            roots = connected_components(links)
+    labelled = members.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
+    if not mixed.isEmpty():
+        wide = sketched.where("set_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH])
+        mixed = materialize(mixed.join(wide.hint("merge"), "set_id"), "mixed-sketches")
+        x, y = mixed.alias("x"), mixed.alias("y")
+        differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
+        allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
+        close = (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+        apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))
+        pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & apart & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+        new = verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
+        new = materialize(new.where("linked").select("a", "b"), "cross-links")
+        if not new.isEmpty():
+            roots = connected_components(links.unionByName(new))
 
     roots = nodes.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
