@@ -5,7 +5,7 @@ window must occur, so its necessary prefix under an order by rarity is one
 word: its rarest in the corpus (the leftmost on a tie). Documents are joined on
 that word only; the word's place in the window bounds where the window can lie
 (positional bound) and how many words must stand around it (length bound), and
-exactly those words are compared. Windows of an item that share their rarest
+exactly those words are compared, once for all candidates of a text. Windows of an item that share their rarest
 word are one candidate: the compared words tell which of them occur.
 """
 
@@ -65,22 +65,25 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) ->
     index = materialize(anchors(docs, items, size), "anchors")
     rows, chars = index.agg(F.count("*"), F.sum(F.length("word") + F.length(F.concat_ws(" ", "lefts", "rights")))).first()
     blocks = max(1, -(-rows // BLOCK_ROWS), -(-(chars or 0) // BLOCK_BYTES))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array(F.col("text")).alias("words"))
-    placed = keyed.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "word"))
-
-    def found(block: DataFrame) -> DataFrame:
-        near = placed.join(F.broadcast(block), "word")
-        reach = F.least(F.col("pos"), F.size("lefts"))
-        before = F.reverse(F.slice("words", F.col("pos") - reach + 1, reach))
-        after = F.slice("words", F.col("pos") + 2, F.size("rights"))
-        near = near.withColumn("left", _run(F.col("lefts"), before)).withColumn("right", _run(F.col("rights"), after))
-        near = near.withColumn("s", F.greatest(F.col("low"), F.col("at") - F.col("left")))
-        near = near.withColumn("e", F.least(F.col("high"), F.col("at") + F.col("right") - F.col("length") + 1))
-        shift = F.col("pos") - F.col("at")
-        return near.where("s <= e").select("doc_id", "text_hash", "item_id", (shift + F.col("s")).alias("start"), (shift + F.col("e") + F.col("length")).alias("end"))
-
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    # the words of a text are not carried along with each of its words: a long text would be copied that often
+    placed = keyed.select("doc_id", "text_hash", F.posexplode(word_array(F.col("text"))).alias("pos", "word"))
     part = F.pmod(F.xxhash64("item_id", "word", "at"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [found(index.where(part == b) if blocks > 1 else index) for b in range(blocks)])
+    met = reduce(DataFrame.unionByName, [placed.join(F.broadcast(index.where(part == b) if blocks > 1 else index), "word") for b in range(blocks)])
+    per_text = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "item_id", "at", "low", "high", "length", "lefts", "rights")).alias("met"))
+    same = [keyed["doc_id"].eqNullSafe(per_text["doc_id"]), keyed["text_hash"] == per_text["text_hash"]]
+    both = keyed.join(per_text.hint("merge"), same).select(keyed["doc_id"], keyed["text_hash"], "met", word_array(F.col("text")).alias("words"))
+
+    def place(m: Column) -> Column:
+        pos, at = m["pos"], m["at"]
+        reach = F.least(pos, F.size(m["lefts"]))
+        left = _run(m["lefts"], F.reverse(F.slice("words", pos - reach + 1, reach)))
+        right = _run(m["rights"], F.slice("words", pos + 2, F.size(m["rights"])))
+        first, last = F.greatest(m["low"], at - left), F.least(m["high"], at + right - m["length"] + 1)
+        start, end = pos - at + first, pos - at + last + m["length"]
+        return F.when(first <= last, F.struct(m["item_id"].alias("item_id"), start.alias("start"), end.alias("end")))
+
+    return both.select("doc_id", "text_hash", F.explode(F.array_compact(F.transform("met", place))).alias("o")).select("doc_id", "text_hash", "o.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
