@@ -70,9 +70,9 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) ->
     placed = keyed.select("doc_id", "text_hash", F.posexplode(word_array(F.col("text"))).alias("pos", "word"))
     part = F.pmod(F.xxhash64("item_id", "word", "at"), F.lit(blocks))
     met = reduce(DataFrame.unionByName, [placed.join(F.broadcast(index.where(part == b) if blocks > 1 else index), "word") for b in range(blocks)])
-    per_text = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "item_id", "at", "low", "high", "length", "lefts", "rights")).alias("met"))
-    same = [keyed["doc_id"].eqNullSafe(per_text["doc_id"]), keyed["text_hash"] == per_text["text_hash"]]
-    both = keyed.join(per_text.hint("merge"), same).select(keyed["doc_id"], keyed["text_hash"], "met", word_array(F.col("text")).alias("words"))
+    per_text = met.groupBy(F.col("doc_id").alias("met_id"), F.col("text_hash").alias("met_hash")).agg(F.collect_list(F.struct("pos", "item_id", "at", "low", "high", "length", "lefts", "rights")).alias("met"))
+    same = [F.col("doc_id").eqNullSafe(F.col("met_id")), F.col("text_hash") == F.col("met_hash")]
+    both = keyed.join(per_text.hint("merge"), same).select("met_id", "met_hash", "met", word_array(F.col("text")).alias("words"))
 
     def place(m: Column) -> Column:
         pos, at = m["pos"], m["at"]
@@ -83,7 +83,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) ->
         start, end = pos - at + first, pos - at + last + m["length"]
         return F.when(first <= last, F.struct(m["item_id"].alias("item_id"), start.alias("start"), end.alias("end")))
 
-    return both.select("doc_id", "text_hash", F.explode(F.array_compact(F.transform("met", place))).alias("o")).select("doc_id", "text_hash", "o.*")
+    return both.select(F.col("met_id").alias("doc_id"), F.col("met_hash").alias("text_hash"), F.explode(F.array_compact(F.transform("met", place))).alias("o")).select("doc_id", "text_hash", "o.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -101,12 +101,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, i
     along = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(along), F.lit(0))))
     ids = F.collect_set(F.col("item_id").cast("string"))
-    hit = found.withColumn("new", new).groupBy("doc_id", "text_hash").agg(F.sum("new").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(F.array_sort(ids), ",").alias("items"))
+    hit = found.withColumn("new", new).groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.sum("new").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(F.array_sort(ids), ",").alias("items"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
-    same = [rows["doc_id"].eqNullSafe(hit["doc_id"]), rows["text_hash"] == hit["text_hash"]]
+    same = [F.col("doc_id").eqNullSafe(F.col("hit_id")), F.col("text_hash") == F.col("hit_hash")]
     n_hit = F.coalesce("n_hit", F.lit(0))
     return rows.join(hit.hint("merge"), same, "left").select(
-        rows["doc_id"], "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
@@ -115,5 +115,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORD
     """The rows of ``docs`` in whose text no window of an item occurs; rows with a null id are judged like others."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     hit = occurrences(texts, items.select("item_id", "text"), size).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = [docs["doc_id"].eqNullSafe(hit["__id"]), F.xxhash64(docs["text"]) == hit["__hash"]]
+    same = [F.col("doc_id").eqNullSafe(F.col("__id")), F.xxhash64("text") == F.col("__hash")]
     return docs.join(hit.hint("merge"), same, "left_anti")
