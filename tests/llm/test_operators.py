@@ -1,0 +1,168 @@
+"""Small tests of the other operators: brute force, round trips, and edge cases (nulls, empty texts, repeats, clashing columns)."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from runlens.llm import bpe, fingerprint, language_id, license_scan, pii, sharding, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+EDGE = [(1, "Hello World again", "en", "s", 17), (2, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (None, "null id", "en", "s", 7), (5, "word " * 3000, "en", "s", 15000), (6, "ünï ÇÀ 😀\n\nzwei", "de", "s", 15)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, SCHEMA).selectExpr("*", "1 as shard", "2 as score", "3 as pos", "4 as n_replaced")
+
+
+def test_urls(spark):
+    urls = [(1, "http://www.casino-win.example.org/en/1"), (2, "https://a.example.net/en/x"), (3, "http://X.NET/"), (4, None), (5, "no scheme casino"), (6, "http://m.example.com/de/1?x"), (7, "http://b.org/fr/1"), (8, "http://cheap-free.example.com/"), (9, "http://cheap-cheap.example.com"), (10, "http://casinos.com/sexton"), (11, "http://a.net")]
+    got = {r.page_id: tuple(r)[1:5] for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "1 as host", "2 as rest")).collect()}
+    assert got == {
+        1: ("www.casino-win.example.org", "/en/1", None, "block"), 2: ("a.example.net", "/en/x", "example.net/en/", "allow"), 3: ("x.net", "/", "net/", "block"), 4: ("", "", None, "allow"),
+        5: ("", "", None, "allow"), 6: ("m.example.com", "/de/1", "example.com/de/", "block"), 7: ("b.org", "/fr/1", "org/fr/", "allow"), 8: ("cheap-free.example.com", "/", None, "block"),
+        9: ("cheap-cheap.example.com", "", None, "allow"), 10: ("casinos.com", "/sexton", None, "allow"), 11: ("a.net", "", None, "allow"),
+    }
+
+
+def test_minimax_cut_is_the_smallest():
+    rnd = random.Random(1)
+
+    def best(sizes, k):
+        if k == 1 or not sizes:
+            return sum(sizes)
+        return min(max(sum(sizes[:i]), best(sizes[i:], k - 1)) for i in range(len(sizes) + 1))
+
+    for _ in range(40):
+        sizes = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 8))]
+        capacity, cuts = sharding.minimax_cut(np.array(sizes), 3)
+        assert capacity == best(sizes, 3)
+        assert max(int(p.sum()) if len(p) else 0 for p in np.split(np.array(sizes), cuts)) == capacity
+
+
+def test_sharding(spark, edge):
+    rows = sharding.shard_documents(edge, 4).collect()
+    assert len(rows) == len(EDGE)
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    size = {i: len((t or "").encode()) + 1 for i, t, *_ in EDGE}
+    assert all(r["size"] == size[r.doc_id] and r.law == "bytes" and r.grown_shard is None for r in rows)
+    assert {r.text_crc32 for r in rows if r.doc_id == 1} == {zlib.crc32(b"Hello World again")}
+    assert len({r.shard for r in rows if r.doc_id in (2, 3)}) == 1
+    assert sharding.shard_documents(edge.limit(0)).collect() == []
+
+
+def test_language(spark, edge):
+    rnd, vocab = random.Random(2), {"aa": "bade kola mire tusi".split(), "zz": "xqw zzyx wvx qyz".split()}
+    docs = [(i, " ".join(rnd.choice(vocab[lang]) for _ in range(20)), lang, "s", 0) for i, lang in enumerate(["aa", "zz"] * 40)]
+    docs += [(1000, None, "aa", "s", 0), (1001, "12 !?", "aa", "s", 0)]
+    rows = language_id.identify(spark.createDataFrame(docs, SCHEMA)).collect()
+    truth = {d[0]: d[2] for d in docs}
+    assert all(r.lang_pred == truth[r.doc_id] for r in rows if r.doc_id < 1000)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    assert {r.lang_pred for r in rows if r.doc_id >= 1000} == {"und"}
+    assert len(language_id.identify(edge).collect()) == len(EDGE)
+    assert language_id.identify(edge.limit(0)).collect() == []
+
+
+def test_long_texts_count_every_ngram_once(monkeypatch):
+    text = "abcdefgh" * 10
+    whole = language_id.text_counts(text)
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    assert (language_id.text_counts(text) == whole).all()
+
+
+def test_bpe_tree_equals_whole_texts(spark, edge):
+    path = str(bpe.public_tokenizers.path(bpe.VOCABULARY))
+    encode, rnd = bpe.encoding(path).encode_ordinary, random.Random(3)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "7", "_", "!", "😀", "word", " ", "　", "\r\n"]) for _ in range(rnd.randint(0, 120)))
+        ids = bpe.encode_tree(text, encode, leaf=rnd.choice([1, 2, 7, 30]))
+        assert ids == encode(text)
+        assert bpe.decode_tree(ids, bpe.token_bytes(path), leaf=3) == text.encode()
+    rows = bpe.digests(edge).collect()
+    assert len(rows) == len(EDGE)
+    for r in rows:
+        text = next(t for i, t, *_ in EDGE if i == r.doc_id) or ""
+        ids = encode(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_pseudonyms():
+    text = "Card 4539 1488 0343 6467, not 4539 1488 0343 6468; call +1 (980) 555-6268 or (743) 555-3824. IP 10.0.0.1, not 300.1.1.1. On 2024-02-29, not 2023-02-29. Mail jo.doe7@mail1.example.com now."
+    new, n = pii.pseudonymise(text)
+    assert n == 6 and pii.pseudonymise(new, back=True) == (text, 6)
+    assert re.sub(r"\w", "x", re.sub(r"IP \S+", "", new)) == re.sub(r"\w", "x", re.sub(r"IP \S+", "", text))
+    assert all(x in new for x in ("4539 1488 0343 6468", "300.1.1.1", "2023-02-29", "@mail1.example.com"))
+    card = re.search(r"Card ([\d ]+)", new)[1].replace(" ", "")
+    assert pii.luhn_digit(card[:-1]) == card[-1]
+    assert pii.pseudonymise("x 10.0.0.1")[0][2:] in new  # equal values stay linked
+    assert pii.pseudonymise("nothing 12 here, 3.5 and v1.2.3")[1] == 0
+    assert len({pii.permute(i, 1000, "k") for i in range(1000)}) == 1000
+
+
+def test_pii_documents(spark, edge):
+    out = pii.pseudonymise_documents(edge)
+    assert out.columns[-1] == "n_replaced" and sorted(out.columns) == sorted(edge.columns)
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted((str(i), t or "") for i, t, *_ in EDGE)
+
+
+def test_toxicity(spark, edge):
+    rnd, words = random.Random(4), [f"w{chr(97 + i)}{chr(97 + j)}rd" for i in range(20) for j in range(20)]
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        w = [rnd.choice(words) for _ in range(40)] + [rnd.choice(["grumfle", "snarkle", "blorty"]) for _ in range(3 * bad)]
+        docs.append((i, " ".join(rnd.sample(w, len(w))), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    docs += [(9001, None, None, None, None), (9002, "", None, None, None)]
+    rows = toxicity.score_documents(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(r.predicted == labels[r.doc_id][2] for r in rows if r.doc_id < 9000)
+    assert all(0 <= r.score < 0.5 for r in rows if r.doc_id > 9000)
+    bare = toxicity.score_documents(edge, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(bare) == len(EDGE)
+
+
+def test_fingerprints(spark, edge):
+    docs = [(i, t) for i, t, *_ in EDGE if i] + [(8, "b line\na line x"), (9, "a line x\nb line")]
+    rows = sorted(fingerprint.compare_with_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    docs.sort(key=lambda d: (d[0], d[1] or ""))
+    assert len(rows) == len(docs)
+    for k, (i, t) in enumerate(docs):
+        t, after = t or "", docs[(k + 1) % len(docs)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert (rows[k].doc_id, rows[k].n_chars, rows[k].edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
+        lines = [xxhash.xxh64(x.encode(), seed=42).intdigest() | 1 for x in t.split("\n")]
+        first = sum(xxhash.xxh64((0).to_bytes(4, "little"), seed=xxhash.xxh64(c.to_bytes(8, "little"), seed=42).intdigest()).intdigest() & 0xFFFFFFFF for c in lines) % 2**32
+        assert rows[k].fingerprint[:8] == f"{first:08x}"
+    by = {r.doc_id: r for r in rows}
+    assert by[8].fingerprint == by[9].fingerprint and by[8].near_next == 1  # the order of paragraphs does not matter
+    assert by[2].near_next == 1 and by[1].near_next == 0
+    assert fingerprint.compare_with_edits(edge.limit(0)).collect() == []
+
+
+def test_fingerprint_runs(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RUN_ROWS", 7)
+    docs = [(i * i, f"text {i}") for i in range(100)]
+    rows = fingerprint.with_next_text(spark.createDataFrame(docs, "doc_id long, text string")).where("not guard").collect()
+    after = {i * i: f"text {(i + 1) % 100}" for i in range(100)}
+    assert {r.doc_id: r.next_text for r in rows} == after and len(rows) == 100
+
+
+def test_licenses(spark, edge):
+    docs = [(1, "Licensed under the Apache License, Version 2.0."), (2, "All rights reserved. all RIGHTS reserved"), (3, "the GNU General Public License, version 3"), (4, "Licensed under CC BY-NC 4.0."), (5, "Licensed under the very Apache License Version 2.0"), (6, None), (7, "rights reserved all"), (2, "All rights reserved. all RIGHTS reserved"), (None, "cc by")]
+    rows = license_scan.scan_documents(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as words", "2 as template")).collect()
+    got = sorted({tuple(r)[:7] for r in rows}, key=str)
+    assert len(rows) == len(docs)
+    assert got == sorted({
+        (1, 8, 0, None, None, "", "apache-2.0"), (2, 6, 2, 0, 3, "reserved", "reserved"), (3, 7, 1, 2, 2, "gpl", "gpl,gpl-3.0"), (4, 7, 1, 2, 2, "cc-by", "cc-by,cc-by-nc-4.0"),
+        (5, 9, 0, None, None, "", "apache-2.0"), (6, 0, 0, None, None, "", ""), (7, 3, 0, None, None, "", ""), (None, 2, 1, 0, 0, "cc-by", "cc-by"),
+    }, key=str)
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert len(license_scan.scan_documents(edge).collect()) == len(EDGE)
