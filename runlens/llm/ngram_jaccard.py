@@ -10,7 +10,8 @@ blocks at least ``slack + 1`` blocks agree (pigeonhole). Documents meet on
 document that has no more than ``slack`` of them, which loses no pair: of
 ``slack + 1`` agreeing blocks one then has bits.
 
-Members of a bucket are compared with one centre each. Only members that are
+Members of a bucket are compared with one centre each, then, where several
+components are left, with the member that has most links. Only members that are
 still in different components afterwards are paired, and of those pairs only
 the ones leave the join whose 1,024-bit sketches differ in no more bits than a
 link allows. Every link is verified on exact sets.
@@ -230,22 +231,34 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     links = tested.where("linked").select("a", "b")
     roots = connected_components(links)
 
-    labelled = members.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
-    if not mixed.isEmpty():
-        wide = sketched.where("set_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH])
-        mixed = materialize(mixed.join(wide.hint("merge"), "set_id"), "mixed-sketches")
-        x, y = mixed.alias("x"), mixed.alias("y")
-        differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
-        allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
-        close = (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))
-        pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & apart & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-        new = verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
-        new = materialize(new.where("linked").select("a", "b"), "cross-links")
+    for last in (False, True):
+        labelled = members.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        mixed = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
+        if mixed.isEmpty():
+            break
+        members = mixed.select("key", "set_id")  # a bucket of one component stays one
+        if not last:
+            # the member with most links so far is near the middle of its family
+            links_of = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("links"))
+            order = F.struct((-F.coalesce("links", F.lit(0))).alias("few"), F.col("set_id").alias("id"), F.col("root").alias("of"))
+            centers = mixed.join(links_of.hint("merge"), "set_id", "left").groupBy("key").agg(F.min(order).alias("c")).select("key", "c.id", "c.of")
+            pairs = mixed.join(centers.hint("merge"), "key").where("root <> of").select(F.least("id", "set_id").alias("a"), F.greatest("id", "set_id").alias("b"))
+        else:
+            wide = sketched.where("set_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH])
+            mixed = materialize(mixed.join(wide.hint("merge"), "set_id"), "mixed-sketches")
+            x, y = mixed.alias("x"), mixed.alias("y")
+            differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
+            allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
+            close = (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+            apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))
+            pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & apart & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+        new = materialize(verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")), "tested")
+        tested = tested.unionByName(new)
+        new = new.where("linked").select("a", "b")
         if not new.isEmpty():
-            roots = connected_components(links.unionByName(new))
+            links = links.unionByName(new)
+            roots = connected_components(links)
 
     roots = nodes.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
