@@ -115,3 +115,13 @@ def chain_positions(items: DataFrame, by: list[str], order: list[str], item: str
     """Ordinal of an item on its chain, and the next one."""
     along = Window.partitionBy(*by).orderBy(*order)
     return items.withColumn("ordinal", F.row_number().over(along)).withColumn("next_item", F.lead(item).over(along))
+
+
+def docs_fetched(cards: DataFrame, public: DataFrame) -> DataFrame:
+    """The distinct document keys in a run's arguments that are keys of public documents."""
+    return cards.distinct().join(public.select("card").distinct(), "card", "left_semi")
+
+
+def node_rows(nodes: DataFrame, links: DataFrame, stages: DataFrame) -> DataFrame:
+    """All nodes with their information state and the stage of their loss, both null where there is none."""
+    return nodes.join(links, ["run", "node"], "left").join(stages.select("run", "node", "stage"), ["run", "node"], "left")

@@ -59,3 +59,16 @@ def check_refs(refs: DataFrame, lines: DataFrame, place: list[str], ident: str)
     """Distinct references whose place is missing or holds another id."""
     there = lines.select(*place, F.col(ident).alias("__id"))
     return refs.select(*place, ident).distinct().join(there, place, "left").where(~F.col("__id").eqNullSafe(F.col(ident))).select(*place, ident)
+
+
+def asks(sends: DataFrame, results: DataFrame, call: list[str], is_error: str) -> DataFrame:
+    """One row per send call: number of returns, and missing, explicit_is_error or no_is_error_flag."""
+    back = results.groupBy(*call).agg(F.count("*").alias("returns"), F.bool_or(is_error).alias("__bad"))
+    status = F.when(F.col("returns").isNull(), "missing").when(F.col("__bad"), "explicit_is_error").otherwise("no_is_error_flag")
+    return sends.join(back, call, "left").select(*sends.columns, F.coalesce("returns", F.lit(0)).alias("returns"), status.alias("return_status"))
+
+
+def conversation(sends: DataFrame, shown: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Sends and first-shown replies or notices of a run in one numbered order; a send comes first on a tie."""
+    both = sends.withColumn("kind", F.lit("send")).unionByName(shown.withColumn("kind", F.lit("shown")))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(at, "kind", "item")))

@@ -87,3 +87,18 @@ def reconcile(candidates: DataFrame, expected: DataFrame, by: list[str], least:
     best = Window.partitionBy(*by).orderBy(F.desc("coverage"), "priority")
     chosen = fits.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(*by, "candidate", "coverage")
     return expected.select(*by).join(chosen, by, "left").withColumn("resolved", F.col("candidate").isNotNull())
+
+
+def node_aliases(aliases: DataFrame, priority: str, alias: str, node: str) -> DataFrame:
+    """The node of each alias; ambiguous inside its own key it is dropped, and the key of lowest priority number wins."""
+    clear = aliases.groupBy(priority, alias).agg(F.min(node).alias(node), F.count_distinct(node).alias("__n")).where("__n = 1")
+    return clear.groupBy(alias).agg(F.min_by(node, priority).alias(node), F.min(priority).alias(priority))
+
+
+def reconcile_report(expected: DataFrame, rebuilt: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Do the rebuilt counts equal the expected ones; method is none without rebuilt ones; notes names what differs."""
+    got = rebuilt.select(*by, F.lit(True).alias("__got"), *[F.col(c).alias(f"rebuilt_{c}") for c in cols])
+    j = expected.select(*by, *cols).join(got, by, "left")
+    differs = [F.when(~F.col(c).eqNullSafe(F.col(f"rebuilt_{c}")), F.lit(c)) for c in cols]
+    notes = F.when(F.col("__got"), F.concat_ws(";", *differs)).otherwise("no evidence")
+    return j.select(*by, F.when(F.col("__got"), "rebuilt").otherwise("none").alias("method"), (notes == "").alias("matches"), notes.alias("notes"))

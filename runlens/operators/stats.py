@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.operators.relational import share_of_total
+from runlens.operators.relational import share_of_total, spearman
 
 
 def outcome_macro(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -122,3 +122,15 @@ def regression_check(stats: DataFrame, expected: DataFrame) -> DataFrame:
     bare = lambda c: F.translate(F.col(c), ", ", "")
     j = stats.join(expected.withColumnRenamed("value", "expected"), "name")
     return j.agg(F.count("*").alias("shared"), F.count_if(bare("value") == bare("expected")).alias("agree"))
+
+
+def collab_summary(runs: DataFrame, metrics: list[str], outcome: str) -> DataFrame:
+    """N, mean, median and rank correlation with the outcome of every metric."""
+    long = runs.unpivot([outcome], metrics, "metric", "value").where(F.col("value").isNotNull())
+    out = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    return out.join(spearman(long, "value", outcome, ["metric"]).select("metric", "rho"), "metric", "left")
+
+
+def stage_matrix(df: DataFrame, first: str, second: str) -> DataFrame:
+    """How often two judges gave each pair of labels, and whether the pair agrees."""
+    return df.groupBy(first, second).agg(F.count("*").alias("n")).withColumn("agrees", F.col(first).eqNullSafe(F.col(second)))

@@ -118,3 +118,46 @@ def file_language(path: Column) -> Column:
     for name, ends in rules.LANGUAGES.items():
         out = F.when(end.isin(*ends), name).otherwise(out)
     return out
+
+
+def note_source(runs: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
+    """the note of lowest priority number that exists; state is missing, empty (white space only) or present."""
+    first = files.where("text is not null").groupBy(*by).agg(F.min("priority").alias("priority"), F.min_by("text", "priority").alias("text"))
+    state = F.when(F.col("text").isNull(), "missing").when(F.trim("text") == "", "empty").otherwise("present")
+    return runs.select(*by).join(first, by, "left").select(*by, "priority", state.alias("state"))
+
+
+def brief_rules(results: DataFrame, by: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
+    """Per run, does any result that shows the brief fit each pattern."""
+    return results.groupBy(*by).agg(*[F.coalesce(F.bool_or(F.col(text).rlike(p)), F.lit(False)).alias(n) for n, p in patterns.items()])
+
+
+def test_rule_compliance(runs: DataFrame, files: DataFrame, by: list[str], least_note: int = 50) -> DataFrame:
+    """Existing test files with removed lines or deleted, per run; a short note counts as none.
+
+    runs: by, has_rule, migration, note_bytes. files: by, category, status, removed.
+    """
+    hit = (F.col("status") == "deleted") | ((F.col("status") == "modified") & (F.col("removed") > 0))
+    found = files.where((F.col("category") == "test") & hit).groupBy(*by).agg(F.count("*").alias("files"), F.sum("removed").alias("lines_removed"), F.count_if(F.col("status") == "deleted").alias("deleted"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    has_note = F.coalesce(F.col("note_bytes") >= least_note, F.lit(False))
+    return runs.join(found, by, "left").select(*by, (F.col("has_rule") & ~F.col("migration")).alias("under_rule"), has_note.alias("has_note"), zero("files"), zero("lines_removed"), zero("deleted"))
+
+
+def rule_stats(compliance: DataFrame) -> DataFrame:
+    """Runs under the rule, those that break it, median lines they remove, deleted files, runs with a note."""
+    broken = F.col("under_rule") & (F.col("files") > 0)
+    return compliance.agg(
+        F.count_if("under_rule").alias("rule_runs"), F.count_if(broken).alias("violating"), F.median(F.when(broken, F.col("lines_removed"))).alias("median_removed"),
+        F.sum(F.when(broken, F.col("deleted"))).alias("deleted"), F.count_if("has_note").alias("notes"),
+    )
+
+
+def deferral_stats(threads: DataFrame) -> DataFrame:
+    """Threads followed and abandoned, and their median number of follow-ups."""
+    return threads.agg(F.count_if("followed").alias("followed"), F.count_if(~F.col("followed")).alias("abandoned"), F.median("followups").alias("median_followups"))
+
+
+def timing_stats(deciles: DataFrame) -> DataFrame:
+    """Shares of questions in the first and the last fifth of their run."""
+    return deciles.agg(F.count("decile").alias("n"), F.avg((F.col("decile") < 2).cast("int")).alias("first_fifth"), F.avg((F.col("decile") >= 8).cast("int")).alias("last_fifth"))

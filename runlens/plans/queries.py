@@ -671,3 +671,129 @@ def l04(v):
     got = v.v_counts.select(F.col("run").cast("string").alias("name"), F.format_number("total", 0).alias("value"), "run", "total")
     expected = got.select("name", (F.col("total") + F.when(F.col("run") % 10 == 3, 1).otherwise(0)).cast("string").alias("value"))
     return stats.regression_check(got.select("name", "value"), expected)
+
+
+# --- further operators of several groups
+
+
+@query("c02_asks", "select a.run, a.turn, count(b.turn) as returns, case when count(b.turn) = 0 then 'missing' when bool_or(length(b.text) % 5 = 0) then 'explicit_is_error' else 'no_is_error_flag' end as return_status from v_turns a left join v_turns b on b.run = a.run and b.turn = a.turn + 1 and b.role = 'assistant' where a.role = 'user' group by a.run, a.turn")
+def c02(v):
+    back = v.v_turns.where("role = 'assistant'").select("run", (F.col("turn") - 1).alias("turn"), (F.length("text") % 5 == 0).alias("is_error"))
+    return comms.asks(v.v_turns.where("role = 'user'").select("run", "turn"), back, ["run", "turn"], "is_error")
+
+
+@query("c11_comm_coverage", "select run, count(case when role = 'user' then 1 end) as asks, case when run % 7 <> 0 then count(case when role = 'assistant' then 1 end) end as replies, case when run % 7 <> 0 then count(case when role = 'system' then 1 end) end as notices from v_turns group by run")
+def c11(v):
+    n = lambda role, name: F.count_if(F.col("role") == role).alias(name)
+    t = v.v_turns.groupBy("run").agg(n("user", "asks"), n("assistant", "replies"), n("system", "notices")).withColumn("has", F.col("run") % 7 != 0)
+    return comms.null_without(t, "has", ["replies", "notices"]).drop("has")
+
+
+@query("d05_node_aliases", "select alias, arg_min(node, priority) as node, min(priority) as priority from (select priority, alias, min(node) as node from (select 0 as priority, ord1 as alias, node from v_records where node % 17 = 0 union all select 1, ord2, node from v_records where node % 101 = 0) t group by priority, alias having count(distinct node) = 1) u group by alias")
+def d05(v):
+    of = lambda no, c, where: v.v_records.where(where).select(F.lit(no).alias("priority"), F.col(c).alias("alias"), "node")
+    return nodes.node_aliases(of(0, "ord1", "node % 17 = 0").unionByName(of(1, "ord2", "node % 101 = 0")), "priority", "alias", "node")
+
+
+_D14 = """with b as (select run, count(case when node_class = 'f2p' and status = 'passed' then 1 end) as f, count(case when node_class = 'p2p' and status = 'passed' then 1 end) as p from v_nodes where req % 5 <> 0 group by run),
+rep as (select c.run, case when b.run is null then 'none' else 'rebuilt' end as method, case when b.run is null then 'no evidence' else concat_ws(';', case when c.f2p_passed <> f then 'f2p_passed' end, case when c.p2p_passed <> p then 'p2p_passed' end) end as notes from v_counts c left join b on b.run = c.run) """
+
+
+def _report(v):
+    return nodes.reconcile_report(v.v_counts, nodes.run_snapshot(v.v_nodes.where("req % 5 <> 0"), ["run"]), ["run"], ["f2p_passed", "p2p_passed"])
+
+
+@query("d14_reconcile_report", _D14 + "select run, method, notes = '' as matches, notes from rep")
+def d14(v):
+    return _report(v)
+
+
+@query("j21_coverage_stats", _D14 + "select method, notes = '' as matches, count(*) as n from rep group by 1, 2")
+def j21(v):
+    return _report(v).groupBy("method", "matches").agg(F.count("*").alias("n"))
+
+
+@query("e08_docs_fetched", "select distinct run, card from (select run, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) as card from v_notes) n where card in (select unnest(regexp_extract_all(quote, '[A-Z][a-z]{3,}')) from v_quotes)")
+def e08(v):
+    public = collab.card_mentions(v.v_quotes, ["quote_id"], "quote", "[A-Z][a-z]{3,}")
+    return collab.docs_fetched(collab.card_mentions(v.v_notes, ["run"], "text", "[A-Z][a-z]{3,}"), public)
+
+
+@query("f11_note_source", "select r.run, min(f.priority) as priority, case when min(f.priority) is null then 'missing' when trim(arg_min(f.text, f.priority)) = '' then 'empty' else 'present' end as state from v_notes r left join (select run, 0 as priority, case when run % 5 = 0 then ' ' else text end as text from v_notes where run % 3 <> 0 union all select run, 1, text from v_notes where run % 2 = 0) f on f.run = r.run and f.text is not null group by r.run")
+def f11(v):
+    own = v.v_notes.where("run % 3 <> 0").select("run", F.lit(0).alias("priority"), F.when(F.col("run") % 5 == 0, " ").otherwise(F.col("text")).alias("text"))
+    return workplace.note_source(v.v_notes, own.unionByName(v.v_notes.where("run % 2 = 0").select("run", F.lit(1).alias("priority"), "text")), ["run"])
+
+
+_BRIEF = {"asks_note": "(?i)write|note", "keeps_tests": "(?i)test|check", "migration": "(?i)migrat|move"}
+
+
+@query("g04_brief_rules", "select run, " + ", ".join(f"coalesce(bool_or(regexp_matches(text, '{p}')), false) as {n}" for n, p in _BRIEF.items()) + " from v_turns group by run")
+def g04(v):
+    return workplace.brief_rules(v.v_turns, ["run"], "text", _BRIEF)
+
+
+_G08 = """with fs as (select run, case when node_class = 'f2p' then 'test' else 'production' end as category, case when node % 13 = 0 then 'deleted' when node % 3 = 0 then 'added' else 'modified' end as status, node % 5 as removed from v_nodes),
+hit as (select run, count(*) as files, cast(sum(removed) as bigint) as lines_removed, count(case when status = 'deleted' then 1 end) as deleted from fs where category = 'test' and (status = 'deleted' or (status = 'modified' and removed > 0)) group by run),
+cp as (select r.run, r.run % 2 = 0 and not r.flagged as under_rule, r.run % 90 >= 50 as has_note, coalesce(files, 0) as files, coalesce(lines_removed, 0) as lines_removed, coalesce(deleted, 0) as deleted from v_runs r left join hit on hit.run = r.run) """
+
+
+def _compliance(v):
+    files = v.v_nodes.select("run", F.when(F.col("node_class") == "f2p", "test").otherwise("production").alias("category"), F.expr("case when node % 13 = 0 then 'deleted' when node % 3 = 0 then 'added' else 'modified' end").alias("status"), (F.col("node") % 5).alias("removed"))
+    runs = v.v_runs.select("run", (F.col("run") % 2 == 0).alias("has_rule"), F.col("flagged").alias("migration"), (F.col("run") % 90).alias("note_bytes"))
+    return workplace.test_rule_compliance(runs, files, ["run"])
+
+
+@query("g08_test_rule_compliance", _G08 + "select * from cp")
+def g08(v):
+    return _compliance(v)
+
+
+@query("j19_rule_stats", _G08 + "select count(case when under_rule then 1 end) as rule_runs, count(case when under_rule and files > 0 then 1 end) as violating, round(median(case when under_rule and files > 0 then lines_removed end), 6) as median_removed, cast(sum(case when under_rule and files > 0 then deleted end) as bigint) as deleted, count(case when has_note then 1 end) as notes from cp")
+def j19(v):
+    return r6(workplace.rule_stats(_compliance(v)), "median_removed")
+
+
+@query("h12_stage_matrix", _E09 + "select stage, disclosure, count(*) as n, stage = disclosure as agrees from sg group by stage, disclosure")
+def h12(v):
+    return stats.stage_matrix(_stages(v), "stage", "disclosure")
+
+
+@query("j09_pass_high_conf", _E03 + "select case when r.holder = 'public' then 'public' when st.state = 'obtained' then 'colleague_obtained' else 'colleague_not_obtained' end as information_state, count(*) as n, round(avg(case when n.status = 'passed' then 1 else 0 end), 6) as rate from v_nodes n join v_reqs r on r.run = n.run and r.req = n.req left join st on st.run = n.run and st.req = n.req where n.node_class = 'f2p' and n.node % 4 <> 0 group by 1")
+def j09(v):
+    return r6(stats.pass_by_state(v.v_nodes.where("node % 4 <> 0").join(_information(v), ["run", "node"]), "information_state"), "rate")
+
+
+@query("j11_collab_summary", """with l as (select 'effort' as metric, cast(effort as double) as value, flag from v_ratings union all select 'score', cast(score as double), flag from v_ratings),
+r as (select *, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2 as x, rank() over (partition by metric order by flag) + (count(*) over (partition by metric, flag) - 1) / 2 as y from l where value is not null)
+select metric, count(*) as n, round(avg(value), 6) as mean, round(median(value), 6) as median, case when count(*) >= 3 and min(value) <> max(value) and min(flag) <> max(flag) then round(corr(x, y), 6) end as rho from r group by metric""")
+def j11(v):
+    d = v.v_ratings.select(F.col("effort").cast("double").alias("effort"), F.col("score").cast("double").alias("score"), "flag")
+    return r6(stats.collab_summary(d, ["effort", "score"], "flag"), "mean", "median", "rho")
+
+
+@query("j16_blind_check", "select dimension, flag as verdict, count(*) as n from v_ratings group by dimension, flag")
+def j16(v):
+    return v.v_ratings.groupBy("dimension", F.col("flag").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("j17_deferral_stats", "select count(case when n > 0 then 1 end) as followed, count(case when n = 0 then 1 end) as abandoned, round(median(n), 6) as median_followups from (select t.run, t.args, count(case when a.start_us > t.d then 1 end) as n from (select run, args, min(start_us) as d from v_actions where is_ask group by run, args) t left join v_actions a on a.run = t.run and a.args = t.args and a.is_ask group by t.run, t.args) u")
+def j17(v):
+    return r6(workplace.deferral_stats(g01(v)), "median_followups")
+
+
+@query("j18_timing_stats", "select count(*) as n, round(avg(case when decile < 2 then 1 else 0 end), 6) as first_fifth, round(avg(case when decile >= 8 then 1 else 0 end), 6) as last_fifth from (select least(9, cast(floor(10 * (a.start_us - s.f) / nullif(s.l - s.f, 0)) as bigint)) as decile from v_actions a join (select run, min(start_us) as f, max(start_us) as l from v_actions group by run) s using (run) where is_ask and s.l > s.f) t")
+def j18(v):
+    spans = v.v_actions.groupBy("run").agg(F.min("start_us").alias("first_at"), F.max("start_us").alias("last_at"))
+    return r6(workplace.timing_stats(workplace.question_deciles(v.v_actions.where("is_ask"), spans, ["run"], "start_us")), "first_fifth", "last_fifth")
+
+
+@query("k02_conversation", "select run, turn as item, kind, row_number() over (partition by run order by turn, kind) as place from (select run, turn, case when role = 'user' then 'send' else 'shown' end as kind from v_turns) t")
+def k02(v):
+    of = lambda where: v.v_turns.where(where).select("run", F.col("turn").alias("item"), F.col("turn").alias("at"))
+    return longs(comms.conversation(of("role = 'user'"), of("role <> 'user'"), ["run"], "at").drop("at"), "place")
+
+
+@query("k05_node_rows", _E09 + f", fl as (select run, req, node, {_D09.format(l=_LABEL)} as failure_class from v_nodes where status = 'failed'), ls as (select fl.run, fl.node, case when failure_class in ('infrastructure_or_blocked', 'timeout') then 'excluded_infrastructure' else coalesce(sg.stage, 'unmapped') end as stage from fl left join sg on sg.run = fl.run and sg.req = fl.req and fl.node % 11 <> 0) select n.run, n.req, n.node, n.node_class, n.status, case when n.node_class = 'f2p' then case when r.holder = 'public' then 'public' when r.disclosure = 'obtained' then 'colleague_obtained' else 'colleague_not_obtained' end end as information_state, ls.stage from v_nodes n join v_reqs r on r.run = n.run and r.req = n.req left join ls on ls.run = n.run and ls.node = n.node")
+def k05(v):
+    return collab.node_rows(v.v_nodes, _information(v).select("run", "node", "information_state"), e10(v))
