@@ -72,3 +72,9 @@ def conversation(sends: DataFrame, shown: DataFrame, by: list[str], at: str) ->
     """Sends and first-shown replies or notices of a run in one numbered order; a send comes first on a tie."""
     both = sends.withColumn("kind", F.lit("send")).unionByName(shown.withColumn("kind", F.lit("shown")))
     return both.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(at, "kind", "item")))
+
+
+def committed_unseen(released: DataFrame, seen: DataFrame, tokens: DataFrame, key: list[str]) -> DataFrame:
+    """C14: released items that never appeared, with the number of lines in which their id occurs literally."""
+    occurs = tokens.groupBy(*key).agg(F.count("*").alias("lines"))
+    return never_seen(released, seen, key).join(occurs, key, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
