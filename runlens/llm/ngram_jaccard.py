@@ -32,6 +32,8 @@ from runlens.llm.common import materialize, mix64
 
 BITS = np.uint64(0xFFFF)
 BAND_GROWTH = 1.25
+#: Edges (of two longs) that one task of a large-star or small-star step reads.
+ROWS_A_TASK = 250_000
 #: Longs of the sketch that pairs are filtered with.
 WIDE = 16
 SKETCH = [f"s{i}" for i in range(WIDE)]
@@ -170,23 +172,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root) for every node of a link; root is the least node of its component.
 
     Alternates large-star and small-star steps until the edges no longer
-    change; both are aggregates and joins, so no component is gathered anywhere.
+    change; both are aggregates and joins, so no component is gathered
+    anywhere. Edges are read by one task for every ROWS_A_TASK of them, so the
+    last rounds over few edges don't pay for many empty partitions.
     """
     print_of = [F.count("*").alias("n"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")).alias("h")]
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
     e = materialize(e, "links")
     before = e.agg(*print_of).first()
     while before["n"]:
-        both = e.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(e.select(F.col("root").alias("u"), F.col("node").alias("v")))
+        tasks = -(-before["n"] // ROWS_A_TASK)
+        both = e.coalesce(tasks).selectExpr("inline(array(struct(node as u, root as v), struct(root as u, node as v)))")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("node"), F.col("m").alias("root")).distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star").coalesce(tasks)
         lowest = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = (
-            large.join(lowest.hint("merge"), "node").where("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))
-            .unionByName(lowest.select("node", F.col("m").alias("root"))).distinct()
-        )
-        e = materialize(small, "small-star")
+        small = large.join(lowest.hint("merge"), "node").selectExpr("inline(array(struct(root as node, m as root), struct(node as node, m as root)))")
+        e = materialize(small.where("node <> root").distinct(), "small-star")
         after = e.agg(*print_of).first()
         if after == before:
             break
@@ -258,7 +260,8 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
         new = new.where("linked").select("a", "b")
         if not new.isEmpty():
             links = links.unionByName(new)
-            roots = connected_components(links)
+            # the components so far are stars already
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
 
     roots = nodes.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
