@@ -55,6 +55,12 @@ def classify_claim(unit: Column, heads: Column, broad: bool = False) -> Column:
     return F.when(open_section | has_open, "claimed_partial_or_open").when(done | implemented, "claimed_done").otherwise("not_mentioned")
 
 
+def claims_strict_broad(units: DataFrame, by: list[str], text: str, heads: str) -> DataFrame:
+    """each unit's claim by the strict and by the broad vocabulary of implementation headings."""
+    modes = [F.struct(F.lit(n).alias("mode"), classify_claim(F.col(text), F.col(heads), broad).alias("claim")) for n, broad in (("strict", False), ("broad", True))]
+    return units.select(*by, F.inline(F.array(*modes)))
+
+
 def resolve_claims(claims: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """open beats done beats not mentioned; evidence is the first unit of the class that won."""
     rank = F.when(F.col("claim") == "claimed_partial_or_open", 0).when(F.col("claim") == "claimed_done", 1).otherwise(2)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import rules
-from runlens.operators import collab, comms, nodes, normalize, relational, stats, telemetry, workplace
+from runlens.operators import collab, comms, nodes, normalize, relational, reviews, stats, telemetry, workplace
 from runlens.plans.bindings import Views, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +803,129 @@ def k05(v):
 def c14(v):
     asks = v.v_actions.where("is_ask").select("run", "action", "args")
     return comms.committed_unseen(asks, v.v_actions.where("is_edit"), v.v_actions.where("tool <> 'purchase'"), ["run", "args"])
+
+
+# --- result flags, usage reports, evidence labels, review and diagnosis tables
+
+
+@query("b02_error_flags", "select action, concat_ws(',', case when is_error then 'is_error' end, case when tool = 'signup' and action % 2 = 1 then 'structured_error' end, case when tool = 'error' then 'structured_failed_status' end, case when action % 7 = 0 then 'structured_false_success' end, case when action % 5 = 0 then 'structured_is_error' end, case when tool = 'click' and action % 3 <> 0 then 'terminal_nonzero_exit' end, case when action % 11 = 0 then 'transport_exception_prefix' end) as flags from v_actions")
+def b02(v):
+    payload = """array(concat('{"success": ', action % 7 <> 0, ', "exit_code": ', action % 3, ', "status": "', tool, '"}'), concat('{"isError": ', action % 5 = 0, ', "error": ', if(tool = 'signup' and action % 2 = 1, '{"code": 1}', '{}'), '}'))"""
+    results = v.v_actions.withColumn("payloads", F.expr(payload)).withColumn("text", F.expr("if(action % 11 = 0, '  RuntimeError: gone', args)"))
+    return reviews.error_flags(results, "payloads", "text", "is_error", F.col("tool") == "click").select("action", F.array_join("flags", ",").alias("flags"))
+
+
+@query("b15_result_usage", "select req, count(*) as models, req % 5 <> 0 as matches from v_records group by req")
+def b15(v):
+    reports = v.v_records.groupBy("req").agg(F.sum("ord1").alias("ord1"), (F.sum("ord2") + F.when(F.col("req") % 5 == 0, 1).otherwise(0)).alias("ord2"), F.collect_list(F.struct("ord1", "ord2")).alias("models"))
+    twice = reports.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("line"))
+    return reviews.result_usage(twice, ["req"], ["line"], ["ord1", "ord2"], "models").select("req", F.size("models").cast("bigint").alias("models"), "matches")
+
+
+@query("b17_phase_usage", "select run, 'calls' as usage_key, count(case when not is_error then 1 end) as reporting, cast(sum(case when not is_error then 1 end) as bigint) as total from v_actions group by run union all select run, 'us', count(case when tool = 'view' then 1 end), cast(sum(case when tool = 'view' then end_us - start_us end) as bigint) from v_actions group by run")
+def b17(v):
+    usage = F.create_map(F.lit("calls"), F.when(~F.col("is_error"), F.lit(1).cast("bigint")), F.lit("us"), F.when(F.col("tool") == "view", F.col("end_us") - F.col("start_us")))
+    return reviews.phase_usage(v.v_actions.unionByName(v.v_actions).withColumn("usage", usage), ["run"], ["action"], "usage")
+
+
+@query("c15_compact_index", "select run, turn, role as body_role, text as body_text, row_number() over (partition by run order by turn) as line from v_turns")
+def c15(v):
+    rows = v.v_turns.select("run", "turn", F.struct("role", "text").alias("body"))
+    return longs(reviews.compact_index(rows, ["run"], ["turn"], "body"), "line")
+
+
+@query("d03_failure_label", "select node, case when node % 4 = 0 then 'nested-kind' when node % 4 = 1 then 'class_of_' || status when node % 4 = 2 then 'reason-text' else '' end as label, case when node % 2 = 0 then 'said ' || status else '' end as message from v_nodes")
+def d03(v):
+    record = """concat('{"status": "', status, '", "category": "', if(node % 4 = 1, concat('class_of_', status), node_class), '", "error_kind": "', if(node % 4 = 2, 'reason-text', 'two words'), '", "detail": ', if(node % 2 = 0, concat('"said ', status, '"'), '7'), ', "extra": {"class": "', if(node % 4 = 0, 'nested-kind', 'error'), '"}}')"""
+    n = v.v_nodes.withColumn("record", F.expr(record))
+    return n.select("node", reviews.failure_label(F.col("record"), F.col("status")).alias("label"), reviews.failure_message(F.col("record")).alias("message"))
+
+
+@query("d10_evidence_source", "select r.run, case when flagged and count(case when req % 10 = 1 then 1 end) > 0 then 'recovery' when count(case when req % 10 = 0 then 1 end) > 0 then 'original' else 'raw' end as source from v_runs r left join v_reqs q on q.run = r.run group by r.run, flagged")
+def d10(v):
+    runs = v.v_runs.select("run", F.col("flagged").alias("accepted"), F.lit("1").alias("recovery"), F.lit("0").alias("original"))
+    return reviews.evidence_source(runs, v.v_reqs.select("run", (F.col("req") % 10).cast("string").alias("dir")), ["run"])
+
+
+@query("f06_last_goal_summary", "select run, i - 1 as place, s[i] as sentence from (select run, s, unnest(range(1, len(s) + 1)) as i from (select run, regexp_split_to_array(arg_max(text, turn), '[.!?\n]+[ \t\n\r\f]*') as s from v_turns where role = 'assistant' group by run) a) b where trim(s[i]) <> ''")
+def f06(v):
+    return longs(reviews.last_goal_summary(v.v_turns, ["run"], ["turn"], F.col("role") == "assistant", "text"), "place")
+
+
+@query("h04_review_tables", "select req, node as episode, node_class as kind, case when node_class = 'f2p' then status end as lens, concat_ws(',', cast(ord1 as varchar), cast(ord2 as varchar)) as evidence, 2 as n_evidence from v_records")
+def h04(v):
+    episode = F.struct(F.col("node").alias("episode"), F.col("node_class").alias("kind"), F.col("status").alias("lens"), F.array(F.col("ord1").cast("string"), F.col("ord2").cast("string")).alias("evidence"))
+    reports = v.v_records.groupBy("req").agg(F.collect_list(episode).alias("episodes"))
+    return reviews.review_tables(reports, ["req"], "episodes", ("f2p",))
+
+
+_H08 = "with st as (select r.run, domain as ending, case r.run % 3 when 0 then 'supported' when 1 then 'uncertain' else 'not_supported' end as premature, count(n.node) as unresolved from v_runs r left join v_nodes n on n.run = r.run and n.status = 'failed' group by all) "
+
+
+def _stops(v):
+    left = v.v_nodes.where("status = 'failed'").groupBy("run").agg(F.collect_list("node").alias("items"))
+    label = F.expr("case run % 3 when 0 then 'supported' when 1 then 'uncertain' else 'not_supported' end").alias("premature")
+    return longs(reviews.stopping_table(v.v_runs.join(left, "run", "left").select("run", F.col("domain").alias("ending"), label, "items"), ["run"]), "unresolved")
+
+
+@query("h08_stopping_table", _H08 + "select * from st")
+def h08(v):
+    return _stops(v)
+
+
+@query("j14_stopping_stats", _H08 + ", l as (select run, count(*) as lost, count(case when req % 3 = 0 then 1 end) as at_ask from v_nodes where status = 'failed' group by run), q as (select run, f2p_passed / nullif(f2p_total, 0) as rate, (total % 9) / 2 as hours_left from v_counts) select ending, premature, count(*) as n, round(median(hours_left), 6) as hours_left, cast(sum(unresolved) as bigint) as unresolved, round(median(unresolved), 6) as median_unresolved, round(avg(rate), 6) as rate, round(sum(at_ask) / sum(lost), 6) as ask_share from st left join q using (run) left join l using (run) group by ending, premature")
+def j14(v):
+    runs = v.v_counts.select("run", F.try_divide("f2p_passed", "f2p_total").alias("rate"), ((F.col("total") % 9) / 2).alias("hours_left"))
+    losses = v.v_nodes.where("status = 'failed'").select("run", F.when(F.col("req") % 3 == 0, "ask").otherwise("use").alias("stage"))
+    return r6(reviews.stopping_stats(_stops(v), runs, losses, ["run"]), "hours_left", "median_unresolved", "rate", "ask_share")
+
+
+@query("h09_diagnosis_context", "select run, count(*) as requirements, cast(to_json(list({'req': req, 'holder': holder, 'nodes': ns} order by req)) as varchar) as document from (select r.run, r.req, any_value(holder) as holder, coalesce(list({'node': node, 'status': status} order by node) filter (node is not null), []) as ns from v_reqs r left join v_nodes n on n.run = r.run and n.req = r.req group by r.run, r.req) t group by run")
+def h09(v):
+    return reviews.diagnosis_context(v.v_reqs.select("run", "req", "holder"), v.v_nodes, ["run"], "req")
+
+
+@query("h11_diagnosis_tables", "select run, req, string_agg('[' || node_class || '] ' || status, ' → ' order by node) as chain from v_nodes group by run, req")
+def h11(v):
+    step = F.array_sort(F.collect_list(F.struct("node", F.col("node_class").alias("phase"), F.col("status").alias("description"))))
+    reports = v.v_nodes.groupBy("run", "req").agg(step.alias("steps")).groupBy("run").agg(F.collect_list(F.struct("req", "steps")).alias("diagnoses"))
+    return reviews.diagnosis_tables(reports, ["run"], "diagnoses")
+
+
+@query("j13_dimension_ranking", """with d as (select dimension, count(case when score = 0 then 1 end) as n0, count(case when score = 1 then 1 end) as n1, count(case when flag = 0 then 1 end) as n2, count(case when flag = 1 then 1 end) as n3, round(avg(effort), 6) as rho from v_ratings group by dimension),
+m as (select *, (n1 + 2 * n2 + 3 * n3) / (n0 + n1 + n2 + n3) as mean, case greatest(n0, n1, n2, n3) when n0 then 0 when n1 then 1 when n2 then 2 else 3 end as modal from d)
+select 'significant' as list, row_number() over (order by rho desc, dimension) as place, dimension, rho as value, null as modal from d where n0 > 0
+union all select * from (select 'most_3', row_number() over (order by n3 desc, dimension) as p, dimension, n3, null from d) t where p <= 3
+union all select * from (select 'lowest_mean', row_number() over (order by mean, dimension) as p, dimension, round(mean, 6), modal from m) t where p = 1""")
+def j13(v):
+    count = lambda c: F.count_if(F.expr(c))
+    dims = v.v_ratings.groupBy("dimension").agg(count("score = 0").alias("n0"), count("score = 1").alias("n1"), count("flag = 0").alias("n2"), count("flag = 1").alias("n3"), F.round(F.avg("effort"), 6).alias("rho"))
+    return r6(longs(reviews.dimension_ranking(dims.withColumn("significant", F.col("n0") > 0)), "place"), "value")
+
+
+@query("j25_review_detail", "select 'episode' as of, tool as name, '' as severity, count(*) as n, count(distinct run) as runs from v_actions group by tool union all select 'phase', name, '', count(*), count(distinct run) from (select run, unnest([node_class, status]) as name from v_nodes) t group by name union all select 'issue', holder, disclosure, count(*), count(distinct run) from v_reqs group by holder, disclosure")
+def j25(v):
+    phases = v.v_nodes.select("run", F.concat_ws(",", "node_class", F.lit(""), "status").alias("tags"))
+    issues = v.v_reqs.select("run", F.col("holder").alias("category"), F.col("disclosure").alias("severity"))
+    return reviews.review_detail(v.v_actions.select("run", F.col("tool").alias("kind")), phases, issues, ["run"])
+
+
+@query("k07_run_index", "select run, total, f2p_passed || '/' || f2p_total as f2p from v_counts")
+def k07(v):
+    return reviews.run_index(v.v_counts, ["run"], ["total"])
+
+
+@query("k08_sidecar_log", "select run, row_number() over (partition by run order by start_us, action) as place, '{\"action\":' || action || case when is_error then '' else ',\"tool\":\"' || tool || '\"' end || '}' as event from v_actions")
+def k08(v):
+    events = v.v_actions.withColumn("tool", F.when(~F.col("is_error"), F.col("tool")))
+    return longs(reviews.sidecar_log(events, ["run"], ["start_us", "action"], ["action", "tool"]), "place")
+
+
+_F08 = "case when regexp_matches(h, '{o}') and not (regexp_matches(text, '{a}') and not regexp_matches(text, '{w}')) or regexp_matches(text, '{w}') then 'claimed_partial_or_open' when regexp_matches(text, '{d}') or regexp_matches(h, '{i}') then 'claimed_done' else 'not_mentioned' end"
+_HEADS = "case run % 4 when 0 then 'Implementation' when 1 then 'Open items' when 2 then 'What changed' else 'Summary' end"
+_f08 = lambda i: _F08.format(o=rules.OPEN_HEAD, a=rules.ANSWERED, w=rules.OPEN_WORDS, d=rules.DONE_WORDS, i=i)
+
+
+@query("f08_claims_strict_broad", f"select run, mode, case mode when 'strict' then {_f08(rules.IMPLEMENT_HEAD)} else {_f08(rules.IMPLEMENT_HEAD_BROAD)} end as claim from (select run, text, {_HEADS} as h, unnest(['strict', 'broad']) as mode from v_notes) t")
+def f08(v):
+    return workplace.claims_strict_broad(v.v_notes.withColumn("heads", F.expr(_HEADS)), ["run"], "text", "heads")
