@@ -181,3 +181,53 @@ def sidecar_log(events: DataFrame, by: list[str], order: list[str], fields: list
     kept = [F.when(F.col(f).cast("string") != "", F.col(f)).alias(f) for f in fields]
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return events.select(*by, place.alias("place"), F.to_json(F.struct(*kept)).alias("event"))
+
+
+def envelopes(results: DataFrame, key: list[str], content: str) -> DataFrame:
+    """The JSON objects that a result's content is, or that its text is wholly, or that its text blocks are; free text is not searched.
+
+    content: JSON text. Content that isn't JSON, or holds no object, gives no row.
+    """
+    is_a = lambda c, kind: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith(kind), F.lit(False))
+    blocks = F.filter(F.from_json(content, "array<struct<type:string,text:string>>"), lambda b: b["type"] == "text")
+    found = (
+        F.when(is_a(F.col(content), "OBJECT"), F.array(content))
+        .when(is_a(F.col(content), "STRING"), F.array(F.variant_get(F.try_parse_json(content), "$", "string")))
+        .when(is_a(F.col(content), "ARRAY"), F.transform(blocks, lambda b: b["text"]))
+    )
+    return results.select(*key, F.posexplode(F.filter(found, lambda x: is_a(x, "OBJECT"))).alias("place", "payload"))
+
+
+def visible_messages(exposures: DataFrame, actions: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
+    """Each message body that a tool returned, with the tool and the time it was seen, numbered by line, then pointer.
+
+    exposures: by, message, action, line, pointer and further columns. actions:
+    by, action, tool. events: by, line, observed. Both have at most one row for
+    each key; a tool or a time that isn't recorded is null.
+    """
+    order = Window.partitionBy(*by, "message").orderBy("line", "pointer")
+    j = exposures.join(actions.select(*by, "action", "tool"), [*by, "action"], "left").join(events.select(*by, "line", "observed"), [*by, "line"], "left")
+    return j.withColumn("exposure", F.row_number().over(order)).withColumn("first", F.col("exposure") == 1)
+
+
+def claim_stats(claims: DataFrame, nodes: DataFrame, by: list[str], req: str) -> DataFrame:
+    """One row on the claims whose delivery is known: failed ones by claim, silent shares per run, kinds of silent failure.
+
+    claims: by, req, claim, delivered. nodes: by, req, status, failure_class. A
+    failed requirement that is claimed done is silent; its kind is functional
+    if a node failed so, build_or_load if all failed to build or load, else other.
+    """
+    classes = nodes.where("status = 'failed'").groupBy(*by, req).agg(F.collect_set("failure_class").alias("classes"))  # of a short taxonomy
+    built = F.array(F.lit("solver_runtime_or_load_error"), F.lit("solver_compile_error"))
+    none = F.coalesce(F.size("classes"), F.lit(0)) == 0
+    kind = F.when(~none & F.array_contains("classes", "functional_failed"), "functional").when(~none & (F.size(F.array_except("classes", built)) == 0), "build_or_load").otherwise("other")
+    known = claims.where("delivered is not null").join(classes, [*by, req], "left")
+    done, failed = F.col("claim") == "claimed_done", ~F.col("delivered")
+    silent = done & failed
+    per_run = known.groupBy(*by).agg(
+        F.count("*").alias("scored"), F.count_if(done).alias("claimed_done"), F.count_if(failed).alias("failed"), F.count_if(silent).alias("silent"),
+        F.count_if(failed & (F.col("claim") == "claimed_partial_or_open")).alias("listed_open"), *[F.count_if(silent & (kind == k)).alias(k) for k in ("functional", "build_or_load", "other")],
+    )
+    share = F.try_divide("silent", "failed")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scored", "claimed_done", "failed", "silent", "listed_open", "functional", "build_or_load", "other")]
+    return per_run.agg(*sums, F.count_if(F.col("failed") > 0).alias("runs_with_failures"), F.median(share).alias("median_silent_share"), F.count_if(share > 0).alias("runs_silent"), F.count_if(share >= 0.5).alias("runs_half_silent"))

@@ -929,3 +929,31 @@ _f08 = lambda i: _F08.format(o=rules.OPEN_HEAD, a=rules.ANSWERED, w=rules.OPEN_W
 @query("f08_claims_strict_broad", f"select run, mode, case mode when 'strict' then {_f08(rules.IMPLEMENT_HEAD)} else {_f08(rules.IMPLEMENT_HEAD_BROAD)} end as claim from (select run, text, {_HEADS} as h, unnest(['strict', 'broad']) as mode from v_notes) t")
 def f08(v):
     return workplace.claims_strict_broad(v.v_notes.withColumn("heads", F.expr(_HEADS)), ["run"], "text", "heads")
+
+
+@query("b01_envelopes", "select action, 0 as place, args as payload from v_actions where action % 4 < 3")
+def b01(v):
+    quoted = """concat('"', replace(args, '"', '\\\\"'), '"')"""
+    content = f"""case action % 4 when 0 then args when 1 then {quoted} when 2 then concat('[{{"type": "image"}}, {{"type": "text", "text": ', {quoted}, '}}, {{"type": "text", "text": "see {{}}"}}]') else '"no object"' end"""
+    return reviews.envelopes(v.v_actions.withColumn("content", F.expr(content)), ["action"], "content")
+
+
+@query("c01_visible_messages", "select run, action, args as message, action as line, '' as pointer, case when not is_error then tool end as tool, case when action % 2 = 0 then start_us end as observed, row_number() over w as exposure, row_number() over w = 1 as first from v_actions window w as (partition by run, args order by action)")
+def c01(v):
+    exposures = v.v_actions.select("run", "action", F.col("args").alias("message"), F.col("action").alias("line"), F.lit("").alias("pointer"))
+    events = v.v_actions.where("action % 2 = 0").select("run", F.col("action").alias("line"), F.col("start_us").alias("observed"))
+    return longs(reviews.visible_messages(exposures, v.v_actions.where("not is_error"), events, ["run"]), "exposure")
+
+
+_J15 = """with n as (select *, case node % 3 when 0 then 'functional_failed' when 1 then 'solver_compile_error' else 'timeout' end as fc from v_nodes),
+g as (select run, req, count(case when status = 'failed' then 1 end) > 0 as bad, count(case when status = 'failed' and fc = 'functional_failed' then 1 end) as nf, count(case when status = 'failed' and fc = 'timeout' then 1 end) as nt, case req % 3 when 0 then 'claimed_done' when 1 then 'claimed_partial_or_open' else 'not_mentioned' end as claim from n group by run, req),
+r as (select run, count(*) as scored, count(case when claim = 'claimed_done' then 1 end) as claimed_done, count(case when bad then 1 end) as failed, count(case when bad and claim = 'claimed_done' then 1 end) as silent, count(case when bad and claim = 'claimed_partial_or_open' then 1 end) as listed_open, count(case when bad and claim = 'claimed_done' and nf > 0 then 1 end) as functional, count(case when bad and claim = 'claimed_done' and nf = 0 and nt = 0 then 1 end) as build_or_load, count(case when bad and claim = 'claimed_done' and nf = 0 and nt > 0 then 1 end) as other from g group by run)
+select cast(sum(scored) as bigint) as scored, cast(sum(claimed_done) as bigint) as claimed_done, cast(sum(failed) as bigint) as failed, cast(sum(silent) as bigint) as silent, cast(sum(listed_open) as bigint) as listed_open, cast(sum(functional) as bigint) as functional, cast(sum(build_or_load) as bigint) as build_or_load, cast(sum(other) as bigint) as other, count(case when failed > 0 then 1 end) as runs_with_failures, round(median(case when failed > 0 then silent / failed end), 6) as median_silent_share, count(case when silent > 0 then 1 end) as runs_silent, count(case when failed > 0 and silent / failed >= 0.5 then 1 end) as runs_half_silent from r"""
+
+
+@query("j15_claim_stats", _J15)
+def j15(v):
+    of = F.expr("case node % 3 when 0 then 'functional_failed' when 1 then 'solver_compile_error' else 'timeout' end")
+    claim = F.expr("case req % 3 when 0 then 'claimed_done' when 1 then 'claimed_partial_or_open' else 'not_mentioned' end")
+    claims = workplace.delivered(v.v_nodes, ["run", "req"]).withColumn("claim", claim)
+    return r6(reviews.claim_stats(claims, v.v_nodes.withColumn("failure_class", of), ["run"], "req"), "median_silent_share")
