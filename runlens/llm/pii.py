@@ -6,14 +6,20 @@ of values of the same format, so equal values get equal pseudonyms in every
 document, different values different ones, and the format stays:
 
 - payment cards: 13 to 19 digits, grouped or not, with a valid Luhn check digit. All but the
-  check digit are permuted, then the check digit is set again.
+  check digit are permuted, then the check digit is set again. Where digit groups stand side by
+  side, the usual groupings of a card are tried first, then all of them, then every part.
 - telephone numbers: a leading + and country code, or an area code in parentheses; the digits
   after the country code are permuted and all separators stay.
 - US social security numbers (3-2-4) that were issued; IBANs with a valid check: digits are permuted, and the
   IBAN's check digits are set again.
 - IPv4 addresses with four numbers up to 255: the 32 bits are permuted.
-- calendar dates (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, from 1900 to 2099): the day number is permuted.
+- calendar dates (yyyy-mm-dd, a time may follow, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where that is no
+  mm/dd/yyyy, from 1900 to 2099): the day number is permuted.
 - e-mail addresses: letters and digits before the @ are permuted, each within its class.
+
+Where a match is no valid value, its shorter and later parts are tried, then the other kinds, and the
+search goes on after its first character. Which of several overlapping digit groups are the card can
+look different once they are replaced, so restoring can miss a card that has other digit groups beside it.
 """
 
 from __future__ import annotations
@@ -40,9 +46,21 @@ _CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?|\(\d{3}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-_DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])"
+_DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:?\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]))"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
-_NUMBER = re.compile(f"(?P<date>{_DATE})|(?P<ip>{_IP})|(?P<ssn>{_SSN})|(?P<phone>{_PHONE})|(?P<card>{_CARD})|(?P<iban>{_IBAN})")
+_PATTERNS = {"date": _DATE, "ip": _IP, "ssn": _SSN, "phone": _PHONE, "card": _CARD, "iban": _IBAN}
+_NUMBER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+_EACH = {k: re.compile(p) for k, p in _PATTERNS.items()}
+_MORE = re.compile(r"(?:[ -]\d+(?!\w|\.\d)){0,19}")
+#: How cards are usually grouped.
+_CARD_FORM = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{4}([ -])\d{6}\3\d{4,5}")
+#: Letters and digits of an IBAN by country.
+_IBAN_LENGTHS = {
+    c: n for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items() for c in cs.split()
+}
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+'-]+\Z")
 #: A text without any of these has nothing to replace.
@@ -92,10 +110,22 @@ def _permuted_digits(digits: str, key: str, back: bool) -> str:
     return str(permute(int(digits), 10 ** len(digits), key, back)).zfill(len(digits)) if digits else ""
 
 
+def _luhn_ok(d: str) -> bool:
+    return luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
 def _card(s: str, key: str, back: bool) -> str:
     d = re.sub(r"\D", "", s)
-    if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not _luhn_ok(d):
         return s
+    if len(d) > 16 and s[4] in " -" and _CARD_FORM.fullmatch(s):  # 16 digits in fours are tried before these
+        if _luhn_ok(d[:16]):
+            return s
+        while True:
+            d = _permuted_digits(d[:-1], f"card{key}", back)
+            d += luhn_digit(d)
+            if _luhn_ok(d) and not _luhn_ok(d[:16]):
+                return _refill(s, d)
     new = _permuted_digits(d[:-1], f"card{key}", back)
     return _refill(s, new + luhn_digit(new)) if len(set(new)) > 1 else s
 
@@ -135,15 +165,19 @@ def _ip(s: str, key: str, back: bool) -> str:
 
 
 def _date(s: str, key: str, back: bool) -> str:
-    form = "%Y-%m-%d" if s[4] == "-" else "%d.%m.%Y" if "." in s else "%m/%d/%Y"
+    swapped = s[2] == "/" and int(s[:2]) > 12  # no month, so the day comes first
+    form = "%Y-%m-%d" if s[4] == "-" else "%d.%m.%Y" if "." in s else "%d/%m/%Y" if swapped else "%m/%d/%Y"
     try:
         day = dt.datetime.strptime(s, form).date().toordinal()
     except ValueError:
         return s
     if not FIRST_DAY <= day <= LAST_DAY:
         return s
-    new = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{key}", back) + FIRST_DAY
-    return dt.date.fromordinal(new).strftime(form)
+    while True:
+        day = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{key}", back) + FIRST_DAY
+        new = dt.date.fromordinal(day)
+        if not swapped or new.day > 12:
+            return new.strftime(form)
 
 
 def _iban_check(country: str, rest: str) -> str:
@@ -161,6 +195,23 @@ def _iban(s: str, key: str, back: bool) -> str:
     return "".join(" " if c == " " else next(it) for c in s)
 
 
+def _parts(kind: str, s: str, more: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the parts of a match, and of the digit groups ``more`` after it, that may be a value, in the order in which they are tried."""
+    if kind == "card":
+        size, s = len(s), s + more
+        groups = [m.span() for m in re.finditer(r"\d+", s)]
+        spans = [(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if 13 <= sum(c.isdigit() for c in s[a:b]) <= 19]
+        yield from (x for x in spans if _CARD_FORM.fullmatch(s, *x))
+        yield 0, size
+        yield from sorted((x for x in spans if x != (0, size) and not _CARD_FORM.fullmatch(s, *x)), key=lambda x: (x[0], -x[1]))
+    elif kind in ("iban", "phone"):
+        ends = [m.end() for m in re.finditer(r"\w(?!\w)", s)]
+        size = _IBAN_LENGTHS.get(s[:2]) if kind == "iban" else None
+        yield from ((0, e) for e in sorted(ends, key=lambda e: (len(s[:e].replace(" ", "")) != size, -e)))
+    else:
+        yield 0, len(s)
+
+
 _KINDS = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "iban": _iban}
 
 
@@ -182,17 +233,37 @@ def _email(local: str, key: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
+def _value(text: str, m: re.Match, key: str, back: bool) -> tuple[int, int, str] | None:
+    """Start, end and pseudonym of the first valid value in a match, or in one of another kind from the same character."""
+    for kind in (m.lastgroup, *(k for k in _EACH if k != m.lastgroup)):
+        whole = m if kind == m.lastgroup else _EACH[kind].match(text, m.start())
+        for a, b in _parts(kind, whole[0], _MORE.match(text, whole.end())[0]) if whole else ():
+            start, end = whole.start() + a, whole.start() + b
+            new = _KINDS[kind](text[start:end], key, back)
+            if new != text[start:end]:
+                return start, end, new
+    return None
+
+
 def pseudonymise(text: str, key: str = DEFAULT_KEY, back: bool = False) -> tuple[str, int]:
     """The text with pseudonyms and the number of values replaced. ``back`` restores the values."""
     if not _ANY.search(text):
         return text, 0
     n = 0
 
-    def number(m: re.Match) -> str:
+    def numbers(part: str) -> str:
         nonlocal n
-        new = _KINDS[m.lastgroup](m[0], key, back)
-        n += new != m[0]
-        return new
+        done, at = [], 0
+        m = _NUMBER.search(part)
+        while m:
+            found = _value(part, m, key, back)
+            if found:
+                start, end, new = found
+                done += [part[at:start], new]
+                at = end
+                n += 1
+            m = _NUMBER.search(part, max(at, m.start() + 1))
+        return "".join(done) + part[at:]
 
     out, at = [], 0
     for m in _DOMAIN.finditer(text):
@@ -200,9 +271,9 @@ def pseudonymise(text: str, key: str = DEFAULT_KEY, back: bool = False) -> tuple
         if local and any(c.isalnum() for c in local[0]):
             new = _email(local[0], key, back)
             n += new != local[0]
-            out += [_NUMBER.sub(number, text[at : local.start()]), new, m[0]]
+            out += [numbers(text[at : local.start()]), new, m[0]]
             at = m.end()
-    out.append(_NUMBER.sub(number, text[at:]))
+    out.append(numbers(text[at:]))
     return "".join(out), n
 
 

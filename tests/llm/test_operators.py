@@ -107,6 +107,23 @@ def test_pseudonyms():
     assert len({pii.permute(i, 1000, "k") for i in range(1000)}) == 1000
 
 
+def test_pseudonyms_beside_other_characters():
+    card, iban = "4111111111111111", "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{card} 123 ok", card), ("4111 1111 1111 1111 12/26", "4111 1111 1111 1111"), (f"pay {card} 4 times", card), (f"order 12 {card}", card), ("99999-4111 1111 1111 1111", "4111 1111 1111 1111")]
+    cases += [(f"{iban} BIC COBADEFF", iban), ("born 25/12/1990.", "25/12/1990"), ("at 2024-01-05T12:00:00Z", "2024-01-05")]
+    for text, value in cases:
+        new, n = pii.pseudonymise(text)
+        before, after = text.split(value)
+        assert n == 1 and value not in new and new.startswith(before) and new.endswith(after), text
+        assert pii.pseudonymise(value)[0] in new  # linked to the value that stands alone
+    for text in (t for t, _ in cases[:3] + cases[5:]):
+        assert pii.pseudonymise(pii.pseudonymise(text)[0], back=True)[0] == text
+    days = [f"{d:02d}/{m:02d}/{y}" for y in range(1900, 2100, 9) for m in range(1, 13) for d in range(13, 29)]
+    new = [pii.pseudonymise(d)[0] for d in days]
+    assert len(set(new)) == len(days) and [pii.pseudonymise(d, back=True)[0] for d in new] == days
+    assert pii.pseudonymise("13/13/1990, 2024-13-05T12:00, 4111111111111112 123, uid 12345678-1234-1234-1234-123456789012")[1] == 0
+
+
 def test_pii_documents(spark, edge):
     out = pii.pseudonymise_documents(edge)
     assert out.columns[-1] == "n_replaced" and sorted(out.columns) == sorted(edge.columns)
