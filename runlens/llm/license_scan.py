@@ -5,15 +5,20 @@ the templates' 2-grams. A match votes for the diagonal on which it lies: its
 position in the document less its position in the template. Votes are summed
 by diagonal, neighbouring diagonals of a template are merged (words inserted or
 left out), and a span counts if enough of the template's 2-grams stand in it
-and it is not much longer than the template. Base phrases count only where all
-their words stand consecutively.
+and it is not much longer than the template; where merged diagonals are longer,
+the parts of them that are not are tried. A template too short to miss a 2-gram
+by its coverage may have one edit: up to two words inserted at one place, or
+its first or last word missing or changed, unless the rest also stands in a
+template of another label. The words put in must not make another license (nc,
+lesser, numbers). Base phrases count only where all their words stand
+consecutively.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +47,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 MIN_COVERAGE = 0.85
 MERGE_GAP = 2
+#: Words that make another license of a short notice, as numbers do.
+CHANGING = ("affero", "lesser", "library", "nc", "nd", "non", "noncommercial", "not", "sa", "sharealike")
 
 _GAP = re.compile(WORD_GAP)
 
@@ -50,22 +57,41 @@ def template_words(text: str) -> list[str]:
     return [w for w in _GAP.split(text.lower()) if w]
 
 
+def _one_edit() -> Column:
+    """Whether ``around``, the words from MERGE_GAP before the template's start on the diagonal to MERGE_GAP after its end, is ``short`` with one edit."""
+    changing = ", ".join(f"'{w}'" for w in CHANGING)
+    plain = lambda x: f"not coalesce({x} in ({changing}) or {x} rlike '^[0-9]+$', false)"
+    n, gap = "size(short)", MERGE_GAP
+    # words 1 to i, then k others, then words i + 1 to n; the first word alone has no 2-gram, so there the rest lies on the diagonal
+    at = f"(case when i = 1 then {gap} - k else {gap} end)"
+    put_in = f"slice(around, {at} + 1, i) = slice(short, 1, i) and slice(around, {at} + i + k + 1, {n} - i) = slice(short, i + 1, {n} - i) and forall(slice(around, {at} + i + 1, k), x -> {plain('x')})"
+    inserted = f"exists(sequence(1, {n} - 1), i -> exists(sequence(1, {gap}), k -> {put_in}))"
+    first = f"free_first and slice(around, {gap + 2}, {n} - 1) = slice(short, 2, {n} - 1) and {plain(f'around[{gap}]')}"
+    last = f"free_last and slice(around, {gap + 1}, {n} - 1) = slice(short, 1, {n} - 1) and {plain(f'around[{gap} + {n} - 1]')}"
+    return F.expr(f"short is not null and ({inserted} or {first} or {last})")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[tuple[str, str], ...] = BASE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): documents has key columns doc_id, text_hash and n_words for every row of ``docs``.
 
     spans has doc_id, text_hash, label, is_base, start, end (words from 0, end
-    excluded), coverage of every candidate, verified or not. A phrase or
-    template has 2 to 64 words.
+    excluded), coverage of every candidate, verified or not; merged diagonals
+    that are too long are one candidate, by their best part. A phrase or template
+    has 2 to 64 words.
     """
     spark = docs.sparkSession
     rows, sizes = [], []
+    known = [(f" {' '.join(template_words(t))} ", label) for t, label in templates]
     for no, (text, label) in enumerate((*base, *templates)):
         words = template_words(text)
         if not 2 <= len(words) <= 64:
             raise ValueError(f"2 to 64 words are needed: {text}")
         sizes.append((no, label, no < len(base), len(words) - 1))
-        rows += [(no, at, *pair) for at, pair in enumerate(zip(words, words[1:]))]
-    grams = spark.createDataFrame(rows, "template int, at int, w1 string, w2 string").withColumn("gram", F.xxhash64(F.xxhash64("w1"), F.xxhash64("w2")))
+        # one missing 2-gram of these is too much for MIN_COVERAGE
+        short = no >= len(base) and len(words) > 3 and len(words) - 2 < MIN_COVERAGE * (len(words) - 1)
+        free = [not any(f" {' '.join(part)} " in t for t, other in known if other != label) for part in (words[1:], words[:-1])]
+        rows += [(no, at, *pair, words if short else None, *free) for at, pair in enumerate(zip(words, words[1:]))]
+    grams = spark.createDataFrame(rows, "template int, at int, w1 string, w2 string, short array<string>, free_first boolean, free_last boolean").withColumn("gram", F.xxhash64(F.xxhash64("w1"), F.xxhash64("w2")))
     about = spark.createDataFrame(sizes, "template int, label string, is_base boolean, grams int")
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -75,18 +101,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     placed = keyed.select("doc_id", "text_hash", "words", F.posexplode(rolling).alias("pos", "gram"))
     # the templates are a parameter of at most some thousand 2-grams
     votes = placed.join(F.broadcast(grams), "gram").where("words[pos] = w1 and get(words, pos + 1) = w2")
+    around = F.expr(f"transform(sequence(pos - at - {MERGE_GAP}, pos - at + size(short) - 1 + {MERGE_GAP}), p -> get(words, p))")
+    votes = votes.withColumn("around", F.when(F.col("short").isNotNull(), around)).withColumn("edited", _one_edit())
     lines = votes.groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"), F.min("pos").alias("start"), (F.max("pos") + 2).alias("end")
+        F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"), F.min("pos").alias("start"), (F.max("pos") + 2).alias("end"), F.max("edited").alias("edited")
     )
     lines = lines.join(F.broadcast(about), "template")
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     apart = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MERGE_GAP, F.lit(True))
     merged = lines.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("doc_id", "text_hash", "template", "label", "is_base", "grams", "run").agg(F.bit_or("seen").alias("seen"), F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.withColumn("coverage", F.bit_count("seen") / F.col("grams"))
-    enough = F.col("coverage") >= F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.lit(MIN_COVERAGE))
-    spans = spans.withColumn("verified", enough & (F.col("end") - F.col("start") <= F.col("grams") + 1 + 2 * MERGE_GAP))
-    return keyed.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")), spans.drop("run", "seen", "template", "grams")
+    # the diagonals from one on that make no longer span than is allowed
+    near = Window.partitionBy("doc_id", "text_hash", "template", "run").orderBy("diagonal").rangeBetween(0, 2 * MERGE_GAP)
+    part = F.struct(F.bit_count(F.bit_or("seen").over(near)).alias("n"), (-F.min("start").over(near)).alias("start"), F.max("end").over(near).alias("end"))
+    spans = merged.withColumn("part", part).groupBy("doc_id", "text_hash", "template", "label", "is_base", "grams", "run").agg(
+        F.bit_or("seen").alias("seen"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("edited").alias("edited"), F.max("part").alias("part")
+    )
+    least = F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.lit(MIN_COVERAGE))
+    whole = F.col("end") - F.col("start") <= F.col("grams") + 1 + 2 * MERGE_GAP
+    spans = spans.withColumn("cut", ~whole & (F.col("part.n") / F.col("grams") >= least))
+    spans = spans.withColumns({"start": F.when(F.col("cut"), -F.col("part.start")).otherwise(F.col("start")), "end": F.when(F.col("cut"), F.col("part.end")).otherwise(F.col("end")), "coverage": F.when(F.col("cut"), F.col("part.n")).otherwise(F.bit_count("seen")) / F.col("grams")})
+    spans = spans.withColumn("verified", (F.col("coverage") >= least) & (whole | F.col("cut")) | F.col("edited"))
+    return keyed.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")), spans.drop("run", "seen", "template", "grams", "edited", "part", "cut")
 
 
 def scan_documents(docs: DataFrame, **kwargs) -> DataFrame:

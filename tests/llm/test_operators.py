@@ -183,3 +183,22 @@ def test_licenses(spark, edge):
     }, key=str)
     assert all(0 <= r.score <= 1 for r in rows)
     assert len(license_scan.scan_documents(edge).collect()) == len(EDGE)
+
+
+def test_licenses_with_one_edit(spark):
+    cases = [
+        ("licensed under the new MIT license", "mit"), ("distributed under the MIT license", "mit"), ("licensed under the MIT licence", "mit"), ("Licensed under CC BY version 4.0", "cc-by,cc-by-4.0"),
+        ("GNU General Public License (GPL) version 3", "gpl,gpl-3.0"), ("GNU General Public License version no 2", "gpl,gpl-2.0"), ("GNU General Public License version 4", "gpl"), ("GNU General Public License version", "gpl"),
+        ("GNU Lesser General Public License version 3", "gpl"), ("Licensed under CC BY-ND 4.0", "cc-by"), ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("Licensed under CC really BY-NC 4.0", "cc-by-nc-4.0"),
+        ("licensed under the BSD license", ""), ("under the sun", ""), ("released under the very long MIT license", "mit"), ("licensed under a very new and shiny MIT license", ""),
+    ]
+    rows = license_scan.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {cases[r.doc_id][0]: r.labels for r in rows} == dict(cases)
+
+
+def test_licenses_in_long_runs(spark):
+    # an exact notice and, on neighbouring diagonals, its last words again and again
+    words = "aa bb cc bb cc dd"
+    for text in (f"{words} bb cc dd bb cc dd bb cc dd", f"aa bb cc bb cc bb cc bb cc bb cc {words}"):
+        rows = license_scan.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), base=(), templates=((words, "x"),)).collect()
+        assert [(r.labels, r.score) for r in rows] == [("x", 1.0)], text
