@@ -76,6 +76,28 @@ def check_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     return j.select(*quotes.columns, F.coalesce(F.contains(fold(F.col("text")), fold(F.col("quote"))), F.lit(False)).alias("found"))
 
 
+def find_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
+    """In how many of all texts each quote stands, white space folded.
+
+    quotes: place, quote. lines: text. A text that holds a quote holds each of
+    its inner words between blanks, so texts and quotes meet by the quote's
+    rarest inner word; quotes of one or two words are compared with every text.
+    The quotes are sent to every executor, so that no text is shuffled.
+    """
+    fold = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    q = quotes.where("quote is not null").select("place", fold(F.col("quote")).alias("__quote")).withColumn("__inner", F.expr("array_distinct(slice(split(__quote, ' '), 2, greatest(size(split(__quote, ' ')) - 2, 0)))"))
+    texts = lines.where("text is not null").select(fold(F.col("text")).alias("__text"))
+    of_text = F.explode(F.array_distinct(F.split("__text", " "))).alias("__word")
+    of_quote = q.select("place", "__quote", F.explode("__inner").alias("__word"))
+    seen = texts.select(of_text).join(F.broadcast(of_quote.select("__word").distinct()), "__word").groupBy("__word").agg(F.count("*").alias("__n"))
+    rarest = of_quote.join(seen, "__word", "left").groupBy("place", "__quote").agg(F.min_by("__word", F.struct(F.coalesce("__n", F.lit(0)), "__word")).alias("__word"))
+    held = F.contains(F.col("__text"), F.col("__quote"))
+    hits = texts.select("__text", of_text).join(F.broadcast(rarest), "__word").where(held).select("place")
+    hits = hits.unionByName(texts.join(F.broadcast(q.where("size(__inner) = 0")), held).select("place"))
+    n = hits.groupBy("place").agg(F.count("*").alias("texts"))
+    return quotes.join(n, "place", "left").select(*quotes.columns, F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
 def violations(df: DataFrame, key: list[str], checks: dict[str, str]) -> DataFrame:
     """One row per row and rule that it breaks; checks are SQL conditions that hold for good rows."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in checks.items()]))

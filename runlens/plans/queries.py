@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -503,6 +504,11 @@ def h02(v):
     return stats.check_quotes(v.v_quotes.withColumnRenamed("quote_id", "place"), v.v_notes.select(F.col("run").alias("place"), "text")).select("place", "found")
 
 
+@query("h02_find_quotes", r"select q.quote_id as place, count(n.text) as texts from v_quotes q left join v_notes n on contains(trim(regexp_replace(n.text, '\s+', ' ', 'g')), trim(regexp_replace(q.quote, '\s+', ' ', 'g'))) group by q.quote_id")
+def h02_find(v):
+    return stats.find_quotes(v.v_quotes.withColumnRenamed("quote_id", "place"), v.v_notes.select("text")).select("place", "texts")
+
+
 @query("h03_gate_reviews", "select case when effort < 500 then 'invalidated' else 'accepted' end as state, count(*) as n from v_ratings group by 1")
 def h03(v):
     return stats.gate(v.v_ratings, stats.violations(v.v_ratings, ["run"], {"short": "effort >= 500"}), ["run"])
@@ -643,6 +649,11 @@ def k09(v):
     return stats.trace_window(v.v_notes, "run between 10 and 400", 100, 200).select("run", "part", "more")
 
 
+@query("k09_trace_window_turns", "select run, turn, substr(text, 101, 200) as part, length(text) > 300 as more from v_turns where turn between 1 and 4")
+def k09_turns(v):
+    return stats.trace_window(v.v_turns, "turn between 1 and 4", 100, 200).select("run", "turn", "part", "more")
+
+
 _L = "with m as (select model, 'chars' as metric, avg(length(text)) as value from v_notes group by model union all select model, 'notes', cast(count(*) as double) from v_notes group by model) "
 
 
@@ -695,6 +706,13 @@ def d05(v):
     return nodes.node_aliases(of(0, "ord1", "node % 17 = 0").unionByName(of(1, "ord2", "node % 101 = 0")), "priority", "alias", "node")
 
 
+@query("d05_node_aliases_all", "select alias, arg_min(node, priority) as node, min(priority) as priority from (select priority, alias, min(node) as node from (select 0 as priority, cast(round(ord3 * 100) as bigint) as alias, node from v_records union all select 1, ord1, node from v_records union all select 2, ord2, node from v_records union all select 3, node, node from v_records) t group by priority, alias having count(distinct node) = 1) u group by alias")
+def d05_all(v):
+    of = lambda no, c: v.v_records.select(F.lit(no).alias("priority"), c.cast("bigint").alias("alias"), "node")
+    keys = [F.round(F.col("ord3") * 100), F.col("ord1"), F.col("ord2"), F.col("node")]
+    return nodes.node_aliases(reduce(DataFrame.unionByName, [of(no, c) for no, c in enumerate(keys)]), "priority", "alias", "node")
+
+
 _D14 = """with b as (select run, count(case when node_class = 'f2p' and status = 'passed' then 1 end) as f, count(case when node_class = 'p2p' and status = 'passed' then 1 end) as p from v_nodes where req % 5 <> 0 group by run),
 rep as (select c.run, case when b.run is null then 'none' else 'rebuilt' end as method, case when b.run is null then 'no evidence' else concat_ws(';', case when c.f2p_passed <> f then 'f2p_passed' end, case when c.p2p_passed <> p then 'p2p_passed' end) end as notes from v_counts c left join b on b.run = c.run) """
 
