@@ -119,11 +119,13 @@ def run_summary(runs: DataFrame, tables: list[DataFrame], by: list[str], zeros:
     return out.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in zeros else F.col(c) for c in out.columns])
 
 
-def timeline(events: DataFrame, by: list[str], at: str, clip: int) -> DataFrame:
-    """Offset h:mm:ss from the run's start, and the text clipped to its head (2/3) and tail (1/3)."""
+def timeline(events: DataFrame, by: list[str], at: str, clip: int | None = None) -> DataFrame:
+    """Offset h:mm:ss from the run's start, and the text, with a clip only its head (2/3) and tail (1/3)."""
     start = F.min(at).over(Window.partitionBy(*by))
     secs = F.floor((F.col(at) - start) / 1_000_000)
     offset = F.format_string("%d:%02d:%02d", F.floor(secs / 3600), F.floor(secs % 3600 / 60), secs % 60)
+    if not clip:
+        return events.select(*events.columns, offset.alias("offset"), F.col("text").alias("shown"))
     head = clip * 2 // 3
     text = F.when(F.length("text") <= clip, F.col("text")).otherwise(F.concat(F.substring("text", 1, head), F.lit(" ... "), F.expr(f"right(text, {clip - head})")))
     return events.select(*events.columns, offset.alias("offset"), text.alias("shown"))

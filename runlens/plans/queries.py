@@ -631,6 +631,11 @@ def k01(v):
     return stats.timeline(v.v_turns.withColumn("at", F.col("turn") * 1_000_000), ["run"], "at", 60).select("run", "turn", "shown")
 
 
+@query("k01_timeline_whole", "select run, turn, role, format('{:d}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) as \"offset\", text as shown from (select *, cast(turn - min(turn) over (partition by run) as bigint) as s from v_turns) t")
+def k01_whole(v):
+    return stats.timeline(v.v_turns.withColumn("at", F.col("turn") * 1_000_000), ["run"], "at").select("run", "turn", "role", "offset", "shown")
+
+
 @query("k04_requirement_rows", "select r.run, r.req, r.holder, count(n.node) as n_nodes, count(case when n.status = 'passed' then 1 end) as passed from v_reqs r left join v_nodes n on n.run = r.run and n.req = r.req group by r.run, r.req, r.holder")
 def k04(v):
     n = v.v_nodes.groupBy("run", "req").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("status") == "passed").alias("passed"))

@@ -5,6 +5,14 @@ from conftest import SF
 from runlens.operators import stats
 
 
+def test_timeline_is_whole_without_a_clip(spark):
+    events = spark.createDataFrame([(1, 0, "a" * 90), (1, 3_661_000_000, "short"), (1, 5_000_000, None)], "run long, at long, text string")
+    for clip in (None, 0):
+        rows = stats.timeline(events, ["run"], "at", clip).collect()
+        assert {(r.offset, r.shown) for r in rows} == {("0:00:00", "a" * 90), ("1:01:01", "short"), ("0:00:05", None)}
+    assert {r.shown for r in stats.timeline(events, ["run"], "at", 60).collect()} == {"a" * 40 + " ... " + "a" * 20, "short", None}
+
+
 def test_quotes_are_sought_in_every_text(spark):
     texts = [("it says the  quick\nbrown fox ran",), ("xthe quick brown foxes",), ("the quick fox brown",), (None,), ("",), ("the quick brown fox",), ("the quick brown fox",)]
     quotes = [(1, "the quick brown fox"), (2, "quick"), (3, "absent words in here"), (4, None), (5, "brown fox")]
