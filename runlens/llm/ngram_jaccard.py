@@ -2,19 +2,23 @@
 
 A document's set of word shingles is hashed to 64-bit codes. Each code flips
 one bit of a sketch of ``m`` blocks of 65,536 bits, so the Hamming distance of
-two sketches is at most the symmetric difference of the sets. In a band of
-sizes up to ``hi`` a linked pair differs in at most
-``D = floor(2 * hi * (1 - t) / (1 + t))`` elements; with ``m = D + 1 + slack``
-blocks at least ``slack + 1`` blocks agree (pigeonhole). Documents meet on
-(band, block, block's bits). Blocks without a set bit are left out by every
-document that has no more than ``slack`` of them, which loses no pair: of
-``slack + 1`` agreeing blocks one then has bits.
-
-Members of a bucket are compared with one centre each, then, where several
-components are left, with the member that has most links. Only members that are
-still in different components afterwards are paired, and of those pairs only
-the ones leave the join whose 1,024-bit sketches differ in no more bits than a
-link allows. Every link is verified on exact sets.
+two sketches is at most the symmetric difference of the sets, which in a linked
+pair of sizes x and y is at most ``floor((x + y) * (1 - t) / (1 + t))``. A pair
+meets in the size band of its larger set. There a set shows its first
+``D + 1 + slack`` blocks, where D is the largest difference that it can have
+from a set of that band: of the blocks that both sets of a linked pair show, at
+least ``slack + 1`` agree (pigeonhole). Documents meet on (band, block, block's
+bits). Blocks without a set bit are left out by every document that shows no
+more than ``slack`` of them, which loses no pair: of ``slack + 1`` agreeing
+blocks one then has bits.
+
+Keys are shuffled once; the few that a large share of all documents have are
+handled apart, without a shuffle by key. Members of a bucket are compared with
+one centre each, then, where several components are left, with the member that
+has most links. Only members that are still in different components afterwards
+are paired, a large bucket in cells of two parts, and of those pairs only the
+ones leave the join whose 1,024-bit sketches differ in no more bits than a link
+allows. Every link is verified on exact sets.
 """
 
 from __future__ import annotations
@@ -27,11 +31,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runlens.llm.common import materialize, mix64
+from runlens.llm.common import extended, materialize, mix64
 
 BITS = np.uint64(0xFFFF)
-BAND_GROWTH = 1.25
+BAND_GROWTH = 1.5
+#: Keys that are looked for among the most frequent ones, and counters of that search.
+HOT_KEYS, HOT_COUNTERS = 1000, 10_000
+#: Members of a part of a bucket: a larger bucket is paired in cells of two parts each.
+PART = 256
+#: Texts that are hashed at once in a Python worker.
+SLICE = 512
 #: Edges (of two longs) that one task of a large-star or small-star step reads.
 ROWS_A_TASK = 250_000
 #: Longs of the sketch that pairs are filtered with.
@@ -43,7 +54,7 @@ class _WordCodes(dict):
     """64-bit code of a word; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
@@ -69,11 +80,12 @@ def _band_layout(band: int, num: int, den: int) -> tuple[int, int, int, int]:
     """Smallest and largest size of a band, its number of blocks and the slack."""
     lo = 1 if band == 0 else _band_layout(band - 1, num, den)[1] + 1
     hi = max(lo, int(lo * BAND_GROWTH))
-    differ = 2 * hi * (den - num) // (den + num)
-    blocks = differ + 2
-    for _ in range(6):
-        blocks = differ + 2 + int(np.ceil(2 * blocks * np.exp(-lo / blocks)))
-    return lo, hi, blocks, blocks - differ - 1
+    differ, slack = 2 * hi * (den - num) // (den + num), 0
+    for _ in range(8):
+        blocks = differ + 1 + slack
+        empty = blocks * np.exp(-lo / blocks)
+        slack = int(np.ceil(empty + 2 * np.sqrt(empty)))
+    return lo, hi, differ + 1 + slack, slack
 
 
 def _band_of(size: int, num: int, den: int) -> int:
@@ -89,27 +101,33 @@ _band_of = lru_cache(maxsize=65536)(_band_of)
 def bucket_keys(codes: np.ndarray, num: int, den: int) -> np.ndarray:
     """The keys under which a set meets every other set of similarity num/den or more that differs from it."""
     size, keys = len(codes), []
-    for band in range(_band_of(size, num, den), _band_of(size * den // num, num, den) + 1):
-        lo, hi, blocks, slack = _band_layout(band, num, den)
-        if blocks - slack - 1 == 0:
+    largest = size * den // num
+    for band in range(_band_of(size, num, den), _band_of(largest, num, den) + 1):
+        _, hi, blocks, slack = _band_layout(band, num, den)
+        differ = (size + min(hi, largest)) * (den - num) // (den + num)
+        if differ == 0:
             continue  # no difference is allowed: only equal sets link, and those share their id
+        shown = min(blocks, differ + 1 + slack)
         block = ((codes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         bit = mix64((codes & BITS) + np.uint64(1))
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         sketch = np.zeros(blocks, np.uint64)
         sketch[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(bit, starts)
+        sketch = sketch[:shown]
         which = np.flatnonzero(sketch)
-        if blocks - len(which) > slack:
-            which = np.arange(blocks)
+        if shown - len(which) > slack:
+            which = np.arange(shown)
         place = mix64(which.astype(np.uint64) + np.uint64(band << 32))
         keys.append(mix64(sketch[which] + place))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def set_id(codes: np.ndarray) -> int:
+def set_names(codes: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
     mixed = mix64(codes + np.uint64(0x632BE59BD9B4E019))
-    both = mix64(np.array([np.bitwise_xor.reduce(mixed), mixed.sum(dtype=np.uint64)], np.uint64))
-    return int((both * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    both = np.array([np.bitwise_xor.reduce(mixed), mixed.sum(dtype=np.uint64)], np.uint64)
+    first, second = mix64(both), mix64(both ^ np.uint64(0xD6E8FEB86659FD93))
+    return tuple(int((x * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64)) for x in (first, second))
 
 
 def wide_sketch(codes: np.ndarray) -> np.ndarray:
@@ -118,35 +136,50 @@ def wide_sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    words = _WordCodes()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, ids, keys, offsets = [], [], [], [0]
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    words, met = _WordCodes(), set()
+    for batch in _slices(batches):
+        sizes, first, second, keys, offsets = [], [], [], [], [0]
         wide = np.zeros((WIDE, batch.num_rows), np.int64)
         for i, text in enumerate(batch.column(1)):
             codes = shingle_codes(text.as_py(), k, words)
             wide[:, i] = wide_sketch(codes)
             sizes.append(len(codes))
-            ids.append(set_id(codes) if len(codes) else None)
-            keys.append(bucket_keys(codes, num, den) if len(codes) else np.empty(0, np.int64))
+            names = set_names(codes) if len(codes) else (None, None)
+            first.append(names[0])
+            second.append(names[1])
+            # of equal sets one shows its keys: the first that this task meets
+            known = not len(codes) or names in met
+            keys.append(np.empty(0, np.int64) if known else bucket_keys(codes, num, den))
             offsets.append(offsets[-1] + len(keys[-1]))
+            if not known:
+                if len(met) >= 100_000:  # forgetting costs a repetition, no row
+                    met.clear()
+                met.add(names)
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists, *map(pa.array, wide)],
-            names=["doc_id", "n_shingles", "set_id", "keys", *SKETCH],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, *map(pa.array, wide)],
+            names=["doc_id", "n_shingles", "name", "name2", "keys", *SKETCH],
         )
 
 
-def _with_set_id(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(expected set id, text) -> the same rows where the text has that id."""
+def _named_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(expected set id, text) -> the same rows with the names of the text's set."""
     words = _WordCodes()
-    for batch in batches:
-        keep = []
-        for want, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+    for batch in _slices(batches):
+        names = []
+        for text in batch.column(1):
             codes = shingle_codes(text.as_py(), k, words)
-            keep.append(bool(len(codes)) and set_id(codes) == want)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+            names.append(set_names(codes) if len(codes) else (None, None))
+        columns = [*batch.columns, *(pa.array([n[i] for n in names], pa.int64()) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["wanted", "text", "name", "name2"])
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -154,7 +187,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: in
 
     def codes_of(node: int, text: str) -> np.ndarray:
         if node not in kept:
-            if len(kept) > 64:
+            if len(kept) >= 64:
                 kept.clear()
             kept[node] = shingle_codes(text, k, words)
         return kept[node]
@@ -196,32 +229,84 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _named(clashes: list[int]) -> Column:
+    """A set's id: its first name, or, where that stands for several sets, both names."""
+    first = F.col("name")
+    return F.when(first.isin(clashes), F.xxhash64("name", "name2")).otherwise(first) if clashes else first
+
+
+def hot_share(rows: int) -> int:
+    """Rows of a key beyond which it is hot, of so many rows: one task can well take less."""
+    return max(10_000, rows // HOT_COUNTERS)
+
+
+def bucket_members(sketched: DataFrame) -> DataFrame:
+    """(key, center, set_id) of all keys that several sets show; center is the least of them.
+
+    Keys go through one shuffle. Those that stand out among all rows, at most
+    HOT_KEYS, are left out of it: their centres are a small aggregate.
+    """
+    rows = sketched.where("set_id is not null").select(F.explode("keys").alias("key"), "set_id")
+    found = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(key, {HOT_KEYS}, {HOT_COUNTERS})").alias("top")).first()
+    hot = [t["item"] for t in found["top"] or () if t["count"] > hot_share(found["n"])]
+    ends = [F.min("set_id").alias("center"), F.max("set_id").alias("other")]
+
+    cold = (rows.where(~F.col("key").isin(hot)) if hot else rows).repartition("key")
+    several = cold.groupBy("key").agg(*ends).where("center <> other").select("key", "center")
+    members = cold.join(several.hint("merge"), "key")
+    if hot:
+        centers = rows.where(F.col("key").isin(hot)).groupBy("key").agg(*ends).where("center <> other").select("key", "center")
+        members = members.unionByName(rows.where(F.col("key").isin(hot)).join(F.broadcast(centers), "key"))  # at most HOT_KEYS rows
+    return materialize(members.select("key", "center", "set_id").distinct(), "members")
+
+
+def close_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the rows (key, set_id, root, n and sketch) of a bucket that are in different components and near by their sketches.
+
+    A bucket of many rows is dealt into parts; each pair of parts is a cell of its own.
+    """
+    parts = mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = mixed.join(parts.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")}).drop("with", "parts")
+    x, y = cells.alias("x"), cells.alias("y")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
+    allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
+    close = (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+    apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))
+    same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")])
+    once = (F.col("x.low") == F.col("x.high")) | (F.col("x.part") != F.col("y.part"))
+    return x.join(y.hint("merge"), same & once & apart & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+
+
 def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     component_id is the smallest id reachable over links (Jaccard similarity of
     the k-word shingle sets >= threshold, compared in whole hundredths), the
     document's own included. Texts without words (null, empty, blank) have 0
-    shingles and link with nothing. Rows with a null id get their component's
-    smallest id; alone, null. Repeated rows each get a row. An empty table
-    gives an empty result. Columns other than the two named are ignored.
+    shingles and link with nothing. Rows with a null id link like others and
+    get their component's smallest id; without one, null. Repeated rows each
+    get a row. Ids keep their type. An empty table gives an empty result.
+    Columns other than the two named are ignored.
     """
     num, den = round(threshold * 100), 100
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialize(
-        docs.mapInArrow(partial(_sketch_batches, k=k, num=num, den=den), "doc_id long, n_shingles long, set_id long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)),
-        "sketches",
-    )
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    long = T.LongType()
+    schema = extended(docs.select("doc_id").schema, n_shingles=long, name=long, name2=long, keys=T.ArrayType(long), **{c: long for c in SKETCH})
+    sketched = materialize(docs.mapInArrow(partial(_sketch_batches, k=k, num=num, den=den), schema), "sketches")
+    # names of 64 bits that stand for several sets: about one among 10 billion sets
+    clashes = [r["name"] for r in sketched.where("name is not null").groupBy("name").agg(F.min("name2").alias("lo"), F.max("name2").alias("hi")).where("lo <> hi").select("name").collect()]
+    sketched = sketched.withColumn("set_id", _named(clashes))
     nodes = sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
+    members = bucket_members(sketched)
 
-    rows = sketched.where("doc_id is not null").select("set_id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("set_id").alias("center"), F.max("set_id").alias("other")).where("center <> other").select("key", "center")
-    members = materialize(rows.join(shared.hint("merge"), "key").select("key", "center", "set_id").distinct(), "members")
-
-    wanted = members.select("set_id").distinct()
-    by_doc = sketched.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = wanted.join(by_doc.hint("merge"), "set_id").join(docs.hint("merge"), "doc_id").select("set_id", "text")
-    texts = materialize(texts.mapInArrow(partial(_with_set_id, k=k), texts.schema).dropDuplicates(["set_id"]), "member-texts")
+    wanted = members.select(F.col("set_id").alias("wanted")).distinct()
+    by_doc = wanted.join(nodes.hint("merge"), F.col("wanted") == F.col("set_id")).select("wanted", F.col("first_id").alias("doc_id"))
+    with_id = by_doc.join(docs.where("doc_id is not null").hint("merge"), "doc_id").select("wanted", "text")
+    without = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text")
+    texts = with_id.unionByName(without).mapInArrow(partial(_named_batches, k=k), "wanted long, text string, name long, name2 long")
+    texts = texts.withColumn("set_id", _named(clashes)).where("set_id = coalesce(wanted, set_id)").select("set_id", "text")
+    texts = materialize(texts.dropDuplicates(["set_id"]), "member-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ta, tb = (texts.select(F.col("set_id").alias(c), F.col("text").alias(f"t{c}")).hint("merge") for c in "ab")
@@ -248,13 +333,7 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
             pairs = mixed.join(centers.hint("merge"), "key").where("root <> of").select(F.least("id", "set_id").alias("a"), F.greatest("id", "set_id").alias("b"))
         else:
             wide = sketched.where("set_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH])
-            mixed = materialize(mixed.join(wide.hint("merge"), "set_id"), "mixed-sketches")
-            x, y = mixed.alias("x"), mixed.alias("y")
-            differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
-            allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
-            close = (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-            apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))
-            pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & apart & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+            pairs = close_pairs(materialize(mixed.join(wide.hint("merge"), "set_id"), "mixed-sketches"), num, den)
         new = materialize(verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")), "tested")
         tested = tested.unionByName(new)
         new = new.where("linked").select("a", "b")

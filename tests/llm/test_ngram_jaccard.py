@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from runlens.llm import ngram_jaccard
 from runlens.llm.ngram_jaccard import keep_one, link_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,3 +78,40 @@ def test_keep_one(spark):
     out = keep_one(df)
     assert out.columns == df.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, 5, None]
+
+
+def test_a_null_id_is_part_of_a_chain(spark):
+    base = [f"w{i}" for i in range(100)]
+    docs = [(4, " ".join(base), None, None, None), (None, " ".join(["x0", *base[1:-2]]), None, None, None), (9, " ".join(["x0", "x1", *base[2:-4]]), None, None, None)]
+    rows = link_documents(spark.createDataFrame(docs, SCHEMA), 3, 0.93).collect()
+    assert {r.component_id for r in rows} == {4}
+
+
+def test_hot_keys_and_small_parts(spark, monkeypatch):
+    docs = corpus()
+    monkeypatch.setattr(ngram_jaccard, "PART", 2)
+    monkeypatch.setattr(ngram_jaccard, "hot_share", lambda n: 3)
+    for k, threshold in ((3, 0.9), (5, 0.8)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_documents(spark.createDataFrame(docs, SCHEMA), k, threshold).collect()}
+        assert got == brute(docs, k, round(threshold * 100))
+
+
+def test_families_just_too_far_apart_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "PART", 3)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(base[:170] + [f"x{i // 2}.{j}" for j in range(28)] + [f"y{i}"]), "en", "s", 0) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_documents(spark.createDataFrame(docs, SCHEMA), 3, 0.9).collect()}
+    assert got == brute(docs, 3, 90)
+    assert len({c for _, c in got.values()}) == 20
+
+
+def test_a_name_of_two_sets_is_told_apart(spark):
+    rows = spark.createDataFrame([(5, 1), (5, 2), (6, 1)], "name long, name2 long")
+    assert len({r[0] for r in rows.select(ngram_jaccard._named([5])).collect()}) == 3
+    assert {r[0] for r in rows.select(ngram_jaccard._named([])).collect()} == {5, 6}
+
+
+def test_ids_keep_their_type_and_long_texts_pass(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    rows = {r.doc_id: r.component_id for r in link_documents(spark.createDataFrame([("b", long), ("a", long + " end"), ("c", "one")], "doc_id string, text string")).collect()}
+    assert rows == {"a": "a", "b": "a", "c": "c"}
