@@ -1,13 +1,14 @@
 """Byte-level BPE as a monoid tree reduction.
 
-A text is halved down to leaves, which are encoded alone. Two neighbours are
-joined by encoding a window around their boundary anew. The window grows on
-either side until it ends where a letter, digit or underscore meets a space or a line feed:
-the splitting pattern takes white space only at the start of a match or in a
-run of its own, so such a place lies between two matches whatever stands
-elsewhere, and the tokens beyond it are those of the whole text. If there is no
-such place, the window is the whole node. Decoding concatenates bytes up the
-same kind of tree.
+A text is halved down to leaves of about a line, which are encoded alone. Two
+neighbours are joined by encoding a window around their boundary anew. The
+window grows on either side until it ends where a letter or digit meets a space
+or a punctuation mark: no match of the splitting pattern goes on after a letter
+or digit with anything but its own kind, so such a place lies between two
+matches whatever stands elsewhere, and the tokens beyond it are those of the
+whole text. If there is no such place, the window is the whole node. The tokens
+that the window replaces are told by their bytes. Decoding concatenates bytes
+up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from runlens.llm.common import extended
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a leaf.
-LEAF = 2048
+LEAF = 128
 #: First reach of the search for a place where the tokens are stable; doubled as long as none is found.
-WINDOW = 64
-_STABLE = re.compile(r"(?<=\w)[ \n]")
+WINDOW = 16
+#: Spaces and punctuation of ASCII, of general use and of East Asian texts, after a letter or digit.
+_STABLE = re.compile("(?<=[^\\W_])[\x00-/:-@\\[-`{-\x7f\u2010-\u2027\u3000-\u3004\u3008-\u301b\uff01-\uff0f\uff1a-\uff1f]")
 
 Ids = np.ndarray
 
@@ -65,24 +67,39 @@ def left_edge(text: str, start: int, at: int) -> int:
 
 def right_edge(text: str, at: int, end: int) -> int:
     """The first stable place after ``at``, the letter before it included; end if there is none."""
-    m = _STABLE.search(text, at + 1, end)
-    return m.start() if m else end
+    reach, low = WINDOW, at + 1
+    while True:
+        high = min(end, at + 1 + reach)
+        m = _STABLE.search(text, low, high)
+        if m or high == end:
+            return m.start() if m else end
+        low, reach = high, reach * 2
+
 
+def n_tokens(ids: list[int], lengths: list[int], size: int, back: bool) -> int:
+    """How many tokens at the end (``back``) or the beginning of a node make up ``size`` bytes."""
+    n = 0
+    while size > 0:
+        n += 1
+        size -= lengths[ids[-n] if back else ids[n - 1]]
+    return n
 
-def join(text: str, start: int, at: int, end: int, left: list[int], right: list[int], encode) -> list[int]:
+
+def join(text: str, start: int, at: int, end: int, left: list[int], right: list[int], encode, lengths: list[int]) -> list[int]:
     """Tokens of text[start:end] from those of text[start:at] and of text[at:end]."""
     p, q = left_edge(text, start, at), right_edge(text, at, end)
-    drop_left, drop_right = len(encode(text[p:at])), len(encode(text[at:q]))
-    return left[: len(left) - drop_left] + encode(text[p:q]) + right[drop_right:]
+    keep = len(left) - n_tokens(left, lengths, len(text[p:at].encode()), True)
+    skip = n_tokens(right, lengths, len(text[at:q].encode()), False)
+    return left[:keep] + encode(text[p:q]) + right[skip:]
 
 
-def encode_tree(text: str, encode, leaf: int = LEAF, start: int = 0, end: int | None = None) -> list[int]:
+def encode_tree(text: str, encode, lengths: list[int], leaf: int = LEAF, start: int = 0, end: int | None = None) -> list[int]:
     end = len(text) if end is None else end
     if end - start <= leaf:
         return encode(text[start:end])
     at = (start + end) // 2
-    left, right = encode_tree(text, encode, leaf, start, at), encode_tree(text, encode, leaf, at, end)
-    return join(text, start, at, end, left, right, encode)
+    left, right = encode_tree(text, encode, lengths, leaf, start, at), encode_tree(text, encode, lengths, leaf, at, end)
+    return join(text, start, at, end, left, right, encode, lengths)
 
 
 def decode_tree(ids: list[int], table: dict[int, bytes], leaf: int = LEAF) -> bytes:
@@ -92,12 +109,18 @@ def decode_tree(ids: list[int], table: dict[int, bytes], leaf: int = LEAF) -> by
     return decode_tree(ids[:at], table, leaf) + decode_tree(ids[at:], table, leaf)
 
 
+@lru_cache(maxsize=4)
+def token_lengths(path: str) -> list[int]:
+    table = token_bytes(path)
+    return [len(table.get(i, b"")) for i in range(max(table) + 1)]
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = encoding(path).encode_ordinary
+    encode, lengths = encoding(path).encode_ordinary, token_lengths(path)
     for batch in batches:
         counts, packed = [], []
         for text in batch.column(batch.num_columns - 1):
-            ids = encode_tree(text.as_py() or "", encode)
+            ids = encode_tree(text.as_py() or "", encode, lengths)
             counts.append(len(ids))
             packed.append(np.array(ids, "<u4").tobytes())
         columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
