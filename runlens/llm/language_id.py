@@ -2,14 +2,15 @@
 
 Texts become code points; letters are lower-cased and everything else is one
 space. Every run of 1 to 3 code points is hashed to one of ``BUCKETS`` columns.
-The counts of all labelled training texts are summed by Spark; the matrix of
-log probabilities (languages x buckets, both bounded) is broadcast, and batches
-are scored in numpy.
+The counts of all labelled training texts are summed by Spark. The matrix of
+log probabilities is broadcast in blocks of languages, each of bounded size,
+and batches of texts are scored against one block after another in numpy. A
+language's share of the training texts is its prior.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.common import extended, held_out
+from runlens.llm.common import extended, held_out, materialize
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: More languages than this are an error: the matrix that is broadcast stays under MAX_LANGS * BUCKETS * 4 bytes (64 MB).
-MAX_LANGS = 512
+#: Languages of a block: its matrix has at most BLOCK_LANGS * BUCKETS * 4 bytes (16 MB).
+BLOCK_LANGS = 128
 #: Texts are handled in pieces of so many characters at most, whatever a batch or a text holds.
 PIECE = 1 << 20
 #: n-grams that count in full for the score; beyond, each counts less, so that the score does not saturate.
@@ -79,77 +80,129 @@ def text_counts(text: str) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, bucket, n) summed over the partition."""
+    """(lang, text) -> (lang, bucket, n), summed over many texts; bucket -1 counts the texts."""
+
+    def partial_sums() -> Iterator[pa.RecordBatch]:
+        for lang, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at - 1), pa.array(counts[at])], names=["lang", "bucket", "n"])
+        sums.clear()
+
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if len(sums) > MAX_LANGS:
-                raise ValueError(f"more than {MAX_LANGS} languages")
+            if lang not in sums:
+                if len(sums) >= BLOCK_LANGS:
+                    yield from partial_sums()
+                sums[lang] = np.zeros(BUCKETS + 1, np.int64)
+            sums[lang][0] += 1
             t = text.as_py()
             if t:
-                sums[lang] = sums.get(lang, 0) + text_counts(t)
-    for lang, counts in sums.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
+                sums[lang][1:] += text_counts(t)
+    yield from partial_sums()
+
 
+#: Languages, their log priors and the matrix (buckets x languages) of log probabilities.
+Block = tuple[list[str], np.ndarray, np.ndarray]
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their matrix (buckets x languages) of log probabilities, from all rows with a language."""
+
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[Block]:
+    """The model in blocks of languages in ascending order, from all rows with a language."""
     rows = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.mapInArrow(_count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # at most MAX_LANGS * BUCKETS rows
-    langs = sorted(found["lang"].unique())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    matrix = np.full((BUCKETS, len(langs)), 0.5)
-    np.add.at(matrix, (found["bucket"].to_numpy(np.int64), np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else []), found["n"].to_numpy(np.float64))
-    return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
-
-
-def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
-    """The likeliest language of each text and its share of the (tempered) likelihood."""
-    names, scores = [], []
-    columns = [np.ascontiguousarray(matrix[:, j]) for j in range(len(langs))]
-    for text in texts:
-        sums, n, letters = np.zeros(len(langs)), 0, False
+    counts = materialize(rows.mapInArrow(_count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    texts = {r["lang"]: r["n"] for r in counts.where("bucket = -1").select("lang", "n").toLocalIterator()}  # a number for each language
+    names, total, model = sorted(texts), sum(texts.values()), []
+    for first in range(0, len(names), BLOCK_LANGS):
+        langs = names[first : first + BLOCK_LANGS]
+        found = counts.where(F.col("lang").between(langs[0], langs[-1]) & (F.col("bucket") >= 0)).toPandas()  # at most BLOCK_LANGS * BUCKETS rows
+        matrix = np.full((BUCKETS, len(langs)), 0.5)
+        np.add.at(matrix, (found["bucket"].to_numpy(np.int64), np.searchsorted(langs, found["lang"].to_numpy(str)) if len(found) else []), found["n"].to_numpy(np.float64))
+        model.append((langs, np.log([texts[x] / total for x in langs]), np.log(matrix / matrix.sum(axis=0)).astype(np.float32)))
+    return model
+
+
+def ngram_hashes(text: str | None) -> tuple[Iterator[np.ndarray], bool]:
+    """The buckets of a text's n-grams, piece by piece, and whether it has a letter."""
+
+    def hashes() -> Iterator[np.ndarray]:
         for i, piece in enumerate(_pieces(text or "")):
             points = _points(piece)
-            letters = letters or bool((points != 32).any())
             for order in ORDERS:
                 h = _hashes(points, order)
-                if i:
-                    h = h[max(ORDERS) - order :]
-                n += len(h)
-                sums += [c[h].sum(dtype=np.float64) for c in columns]
-        if not letters or not langs:
-            names.append(UNKNOWN)
-            scores.append(0.0)
-            continue
-        e = np.exp((sums - sums.max()) * min(1.0, FULL_WEIGHT / n))
-        names.append(langs[int(sums.argmax())])
-        scores.append(float(e.max() / e.sum()))
+                yield h[max(ORDERS) - order :] if i else h
+
+    return hashes(), any(bool((_points(piece) != 32).any()) for piece in _pieces(text or ""))
+
+
+def score_texts(texts: list[str | None], blocks: Iterable[Block]) -> tuple[list[str], list[float]]:
+    """The likeliest language of each text and its share of the (tempered) likelihood.
+
+    Texts are gathered to some PIECE characters; their n-grams pick rows of each
+    language's column, which are summed text by text.
+    """
+    lettered = np.zeros(len(texts), bool)
+    grams, owners, held = [], [], 0
+    n = np.zeros(len(texts))
+    blocks = list(blocks)
+    sums = [np.tile(prior, (len(texts), 1)) for _, prior, _ in blocks]
+
+    def add_up() -> None:
+        if grams:
+            h, starts = np.concatenate(grams), np.r_[0, np.cumsum([len(g) for g in grams])[:-1]]
+            for total, (_, _, matrix) in zip(sums, blocks):
+                for j in range(matrix.shape[1]):
+                    np.add.at(total[:, j], owners, np.add.reduceat(matrix[:, j][h], starts, dtype=np.float64))
+            grams.clear()
+            owners.clear()
+
+    for i, text in enumerate(texts):
+        parts, lettered[i] = ngram_hashes(text)
+        for h in parts if lettered[i] else ():
+            if len(h):
+                grams.append(h)
+                owners.append(i)
+                n[i] += len(h)
+                held += len(h)
+            if held > PIECE:
+                add_up()
+                held = 0
+    add_up()
+
+    names, scores = [], []
+    best = np.full(len(texts), -np.inf)
+    name = [UNKNOWN] * len(texts)
+    for (langs, _, _), total in zip(blocks, sums):
+        for i in np.flatnonzero(total.max(axis=1) > best):  # a later block must be better, so ties go to the first name
+            best[i], name[i] = total[i].max(), langs[int(total[i].argmax())]
+    weight = np.minimum(1.0, FULL_WEIGHT / np.maximum(n, 1))
+    likelihood = sum((np.exp((total - best[:, None]) * weight[:, None]).sum(axis=1) for total in sums), np.zeros(len(texts)))
+    for i in range(len(texts)):
+        known = bool(lettered[i]) and bool(blocks)
+        names.append(name[i] if known else UNKNOWN)
+        scores.append(float(1 / likelihood[i]) if known else 0.0)
     return names, scores
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    langs, matrix = model.value
+def _score_batches(batches: Iterator[pa.RecordBatch], model: list[Broadcast], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    blocks = [m.value for m in model]
     for batch in batches:
-        names, scores = [], []
+        found, scores = [], []
         text = batch.column(batch.num_columns - 1)
         for at in range(0, len(text), 256):
-            a, b = score_texts(text.slice(at, 256).to_pylist(), langs, matrix)
-            names += a
+            a, b = score_texts(text.slice(at, 256).to_pylist(), blocks)
+            found += a
             scores += b
-        columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of every row, its lang_pred and score."""
+def predict(docs: DataFrame, model: list[Block], keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of every row, then the language and the score, under ``names``."""
     cast = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = extended(docs.select(*keep).schema, lang_pred=T.StringType(), score=T.DoubleType())
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGS * BUCKETS
-    return cast.mapInArrow(partial(_score_batches, model=shared), schema)
+    schema = extended(docs.select(*keep).schema, **dict(zip(names, (T.StringType(), T.DoubleType()))))
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(block) for block in model]  # each of a bounded size, at most BLOCK_LANGS * BUCKETS numbers
+    return cast.mapInArrow(partial(_score_batches, model=shared, names=names), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
