@@ -18,10 +18,13 @@ _own_dir: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset in local mode (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-runlens-"))
 
 

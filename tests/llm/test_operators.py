@@ -71,6 +71,33 @@ def test_language(spark, edge):
     assert language_id.identify(edge.limit(0)).collect() == []
 
 
+def test_language_in_blocks_and_ties(spark, monkeypatch):
+    rnd = random.Random(8)
+    names = [f"l{i}" for i in range(7)]
+    vocab = {x: ["".join(rnd.choice("abcdefghij") + x[1] * 2 for _ in range(2)).translate(str.maketrans("0123456", "klmnopq")) for _ in range(9)] for x in names}
+    docs = [(i, " ".join(rnd.choice(vocab[names[i % 7]]) for _ in range(12)), names[i % 7]) for i in range(210)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    whole = language_id.fit(df)
+    monkeypatch.setattr(language_id, "BLOCK_LANGS", 3)
+    parts = language_id.fit(df)
+    assert [len(b[0]) for b in parts] == [3, 3, 1]
+    texts = [t for _, t, _ in docs[:60]] + ["", None, "12 !", "x"]
+    a, b = language_id.score_texts(texts, whole), language_id.score_texts(texts, parts)
+    assert a[0] == b[0] and np.allclose(a[1], b[1]) and a[0][-4:-1] == ["und"] * 3
+
+    def brute(text):  # sums over all n-grams of the text, one by one
+        scores = {}
+        for langs, prior, matrix in whole:
+            for j, lang in enumerate(langs):
+                points = language_id._points(text)
+                scores[lang] = prior[j] + sum(float(matrix[h, j]) for o in language_id.ORDERS for h in language_id._hashes(points, o))
+        return max(sorted(scores), key=scores.get)
+
+    assert a[0][:60] == [brute(t) for t in texts[:60]]
+    twins = spark.createDataFrame([(i, "abc def", "zz" if i % 2 else "yy") for i in range(20)], "doc_id long, text string, lang string")
+    assert language_id.score_texts(["abc"], language_id.fit(twins))[0] == ["yy"]
+
+
 def test_long_texts_count_every_ngram_once(monkeypatch):
     text = "abcdefgh" * 10
     whole = language_id.text_counts(text)
@@ -83,10 +110,13 @@ def test_bpe_tree_equals_whole_texts(spark, edge):
     encode, rnd = bpe.encoding(path).encode_ordinary, random.Random(3)
     for _ in range(300):
         text = "".join(rnd.choice(["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "7", "_", "!", "😀", "word", " ", "　", "\r\n"]) for _ in range(rnd.randint(0, 120)))
-        ids = bpe.encode_tree(text, encode, leaf=rnd.choice([1, 2, 7, 30]))
+        ids = bpe.encode_tree(text, encode, bpe.token_lengths(path), leaf=rnd.choice([1, 2, 7, 30]))
         assert ids == encode(text)
         assert bpe.decode_tree(ids, bpe.token_bytes(path), leaf=3) == text.encode()
-    rows = bpe.digests(edge).collect()
+    for text in ("x" * 3000, "ab cd" * 2000, "日本" * 900, " " * 500, "a.b," * 700):
+        assert bpe.encode_tree(text, encode, bpe.token_lengths(path)) == encode(text)
+    assert bpe.digests(edge.limit(0)).collect() == []
+    rows = bpe.digests(edge.selectExpr("*", "1 as ids", "2 as n_tokens", "3 as decoded")).collect()
     assert len(rows) == len(EDGE)
     for r in rows:
         text = next(t for i, t, *_ in EDGE if i == r.doc_id) or ""

@@ -25,3 +25,18 @@ def test_each_stage_takes_effect(spark, tmp_path):
     changed = next(t for i, t, *_ in docs if i == 203)
     assert rows[203].decoded_sha256 != hashlib.sha256(changed.encode()).hexdigest()
     assert all(len(r.ids) == 4 * r.n_tokens for r in rows.values())
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    extra = ["score", "lang_pred", "held_out", "key", "set_id", "n_replaced", "ids", "word", "pos", "component_id", "text_hash", "name"]
+    rows = [(i, f"some words of text number {i} and more of them {'x' * i}", "en", "s", 9) for i in range(6)]
+    rows += [(7, None, None, None, None), (8, "", "en", "s", 0), (None, "a row without an id stays here", "en", "s", 3), (0, rows[0][1], "en", "s", 9)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(extra)])
+    spark.createDataFrame([(1, "words that are nowhere else at all in any of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+        out = stage(spark, docs, str(tmp_path))
+        if name != "byte_bpe":
+            assert out.columns == docs.columns, name
+        kept = out.count()
+        assert kept == {"language_id": 8}.get(name, len(rows)), name
