@@ -4,15 +4,15 @@ An item is cut into windows of ``size`` consecutive words. All words of a
 window must occur, so its necessary prefix under an order by rarity is one
 word: its rarest in the corpus (the leftmost on a tie). Documents are joined on
 that word only; the word's place in the window bounds where the window can lie
-(positional bound) and how many words must stand around it (length bound), and
-exactly those words are compared, once for all candidates of a text. Windows of an item that share their rarest
-word are one candidate: the compared words tell which of them occur.
+(positional bound) and how many words must stand around it (length bound).
+Every document word carries the ``size - 1`` words on either side of it, so the
+words that must stand there are compared in the join itself. Windows of an item
+that share their rarest word are one candidate: the compared words tell which
+of them occur.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,11 +20,9 @@ from pyspark.sql.window import Window
 from runlens.llm.common import materialize, word_array
 
 WINDOW_WORDS = 10
-#: Anchors, and their words in bytes, that are broadcast at once; more are joined in as many blocks as it takes.
-BLOCK_ROWS = 50_000
-BLOCK_BYTES = 16 << 20
-#: Words of the items whose frequency is counted with a broadcast; beyond, the words are shuffled.
-VOCABULARY_ROWS = 200_000
+#: Rows of the items' words and anchors, and their words in bytes, that may be broadcast; beyond, they are shuffled.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _run(a: Column, b: Column) -> Column:
@@ -33,6 +31,12 @@ def _run(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(a)).otherwise((first - 1).cast("int"))
 
 
+def _hinted(side: DataFrame, chars: Column) -> DataFrame:
+    """``side`` with a join hint by its size."""
+    rows, size = side.agg(F.count("*"), F.sum(chars)).first()
+    return F.broadcast(side) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else side.hint("merge")
+
+
 def anchors(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """item_id, word, at (its place), low and high (first and last window start), length, lefts, rights.
 
@@ -42,8 +46,7 @@ def anchors(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> Data
     items = items.withColumn("row", F.xxhash64("item_id", "iw"))
     vocabulary = materialize(items.select(F.explode("iw").alias("word")).distinct(), "item-words")
     words = docs.select(F.explode(F.array_distinct(word_array(F.col("text")))).alias("word"))
-    small = vocabulary.count() <= VOCABULARY_ROWS
-    counted = words.join(F.broadcast(vocabulary) if small else vocabulary.hint("merge"), "word").groupBy("word").agg(F.count("*").alias("df"))
+    counted = words.join(_hinted(vocabulary, F.length("word")), "word").groupBy("word").agg(F.count("*").alias("df"))
     placed = items.select("row", F.size("iw").alias("n"), F.posexplode("iw").alias("at", "word")).join(counted.hint("merge"), "word", "left")
     length = F.least(F.lit(size), F.col("n"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - length + 1), F.least(F.col("at"), F.col("n") - length))
@@ -63,27 +66,17 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) ->
     docs: doc_id, text. items: item_id, text.
     """
     index = materialize(anchors(docs, items, size), "anchors")
-    rows, chars = index.agg(F.count("*"), F.sum(F.length("word") + F.length(F.concat_ws(" ", "lefts", "rights")))).first()
-    blocks = max(1, -(-rows // BLOCK_ROWS), -(-(chars or 0) // BLOCK_BYTES))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    # the words of a text are not carried along with each of its words: a long text would be copied that often
-    placed = keyed.select("doc_id", "text_hash", F.posexplode(word_array(F.col("text"))).alias("pos", "word"))
-    part = F.pmod(F.xxhash64("item_id", "word", "at"), F.lit(blocks))
-    met = reduce(DataFrame.unionByName, [placed.join(F.broadcast(index.where(part == b) if blocks > 1 else index), "word") for b in range(blocks)])
-    per_text = met.groupBy(F.col("doc_id").alias("met_id"), F.col("text_hash").alias("met_hash")).agg(F.collect_list(F.struct("pos", "item_id", "at", "low", "high", "length", "lefts", "rights")).alias("met"))
-    same = [F.col("doc_id").eqNullSafe(F.col("met_id")), F.col("text_hash") == F.col("met_hash")]
-    both = keyed.join(per_text.hint("merge"), same).select("met_id", "met_hash", "met", word_array(F.col("text")).alias("words"))
-
-    def place(m: Column) -> Column:
-        pos, at = m["pos"], m["at"]
-        reach = F.least(pos, F.size(m["lefts"]))
-        left = _run(m["lefts"], F.reverse(F.slice("words", pos - reach + 1, reach)))
-        right = _run(m["rights"], F.slice("words", pos + 2, F.size(m["rights"])))
-        first, last = F.greatest(m["low"], at - left), F.least(m["high"], at + right - m["length"] + 1)
-        start, end = pos - at + first, pos - at + last + m["length"]
-        return F.when(first <= last, F.struct(m["item_id"].alias("item_id"), start.alias("start"), end.alias("end")))
-
-    return both.select(F.col("met_id").alias("doc_id"), F.col("met_hash").alias("text_hash"), F.explode(F.array_compact(F.transform("met", place))).alias("o")).select("doc_id", "text_hash", "o.*")
+    index = _hinted(index, F.length("word") + F.length(F.concat_ws(" ", "lefts", "rights")))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array(F.col("text")).alias("words"))
+    # a word carries its neighbours only, never all words of its text: a long text would be copied that often
+    reach = size - 1
+    near = f"transform(words, (w, i) -> struct(i as pos, w as word, reverse(slice(words, greatest(i - {reach}, 0) + 1, least(i, {reach}))) as before, slice(words, i + 2, {reach}) as after))"
+    placed = keyed.select("doc_id", "text_hash", F.explode(F.expr(near)).alias("at_word")).select("doc_id", "text_hash", "at_word.*")
+    met = placed.join(index, "word")
+    left, right = _run(F.col("lefts"), F.slice("before", F.lit(1), F.size("lefts"))), _run(F.col("rights"), F.slice("after", F.lit(1), F.size("rights")))
+    first, last = F.greatest("low", F.col("at") - left), F.least(F.col("high"), F.col("at") + right - F.col("length") + 1)
+    found = met.select("doc_id", "text_hash", "item_id", "pos", "at", "length", first.alias("first"), last.alias("last")).where("first <= last")
+    return found.select("doc_id", "text_hash", "item_id", F.expr("pos - at + first").alias("start"), F.expr("pos - at + last + length").alias("end"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

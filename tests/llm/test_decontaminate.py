@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from runlens.llm import decontaminate
 from runlens.llm.decontaminate import contamination, drop_contaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -40,6 +41,16 @@ def test_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted((str(i), t or "") for i, t in DOCS if not brute(t)[4])
 
 
+def test_shuffled_items_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(docs, items).collect())
+    assert got == sorted((str(i), *brute(t)) for i, t in DOCS)
+    long = f"{'y z ' * 150_000}{A} {'x ' * 20_000}"
+    (r,) = contamination(spark.createDataFrame([(1, long)], "doc_id long, text string"), items).collect()
+    assert (r.n_words, r.n_hit, r.n_items) == (300_000 + 13 + 20_000, 13 + 20_000, 3)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame(DOCS[:2], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination(docs.limit(0), items).collect() == []
