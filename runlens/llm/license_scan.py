@@ -6,7 +6,7 @@ position in the document less its position in the template. Votes are summed
 by diagonal, neighbouring diagonals of a template are merged (words inserted or
 left out), and a span counts if enough of the template's 2-grams stand in it
 and it is not much longer than the template; where merged diagonals are longer,
-the parts of them that are not are tried. A template too short to miss a 2-gram
+the parts of them that are not are tried. A template may be a whole license. A template too short to miss a 2-gram
 by its coverage may have one edit: up to two words inserted at one place, or
 its first or last word missing or changed, unless the rest also stands in a
 template of another label. The words put in must not make another license (nc,
@@ -45,8 +45,41 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
+# Whole texts of short licenses, each with its label.
+WHOLE_TEXTS: tuple[tuple[str, str], ...] = (
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "isc",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "bsd",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unlicense",
+    ),
+)
+TEMPLATES += WHOLE_TEXTS
 MIN_COVERAGE = 0.85
+#: Words put in or left out between neighbouring diagonals of one span; a longer template's span may be longer by a share of it.
 MERGE_GAP = 2
+LONGER = 0.05
 #: Words that make another license of a short notice, as numbers do.
 CHANGING = ("affero", "lesser", "library", "nc", "nd", "non", "noncommercial", "not", "sa", "sharealike")
 
@@ -77,49 +110,53 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     spans has doc_id, text_hash, label, is_base, start, end (words from 0, end
     excluded), coverage of every candidate, verified or not; merged diagonals
     that are too long are one candidate, by their best part. A phrase or template
-    has 2 to 64 words.
+    has two words or more.
     """
     spark = docs.sparkSession
-    rows, sizes = [], []
+    rows, sizes, reach = [], [], 0
     known = [(f" {' '.join(template_words(t))} ", label) for t, label in templates]
     for no, (text, label) in enumerate((*base, *templates)):
         words = template_words(text)
-        if not 2 <= len(words) <= 64:
-            raise ValueError(f"2 to 64 words are needed: {text}")
+        if len(words) < 2:
+            raise ValueError(f"two words or more are needed: {text}")
         sizes.append((no, label, no < len(base), len(words) - 1))
         # one missing 2-gram of these is too much for MIN_COVERAGE
         short = no >= len(base) and len(words) > 3 and len(words) - 2 < MIN_COVERAGE * (len(words) - 1)
+        reach = max(reach, len(words) + MERGE_GAP if short else 0)
         free = [not any(f" {' '.join(part)} " in t for t, other in known if other != label) for part in (words[1:], words[:-1])]
         rows += [(no, at, *pair, words if short else None, *free) for at, pair in enumerate(zip(words, words[1:]))]
-    grams = spark.createDataFrame(rows, "template int, at int, w1 string, w2 string, short array<string>, free_first boolean, free_last boolean").withColumn("gram", F.xxhash64(F.xxhash64("w1"), F.xxhash64("w2")))
+    grams = spark.createDataFrame(rows, "template int, at int, t1 string, t2 string, short array<string>, free_first boolean, free_last boolean").withColumn("gram", F.xxhash64(F.xxhash64("t1"), F.xxhash64("t2")))
     about = spark.createDataFrame(sizes, "template int, label string, is_base boolean, grams int")
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array(F.col("text")).alias("words"))
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    rolling = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
-    placed = keyed.select("doc_id", "text_hash", "words", F.posexplode(rolling).alias("pos", "gram"))
-    # the templates are a parameter of at most some thousand 2-grams
-    votes = placed.join(F.broadcast(grams), "gram").where("words[pos] = w1 and get(words, pos + 1) = w2")
-    around = F.expr(f"transform(sequence(pos - at - {MERGE_GAP}, pos - at + size(short) - 1 + {MERGE_GAP}), p -> get(words, p))")
+    # a 2-gram carries the words around it that an edited short notice can have, never all words of its text
+    narrow = f"transform(slice(words, 1, size(words) - 1), (w, i) -> struct(i as pos, w as w1, words[i + 1] as w2, slice(words, greatest(i - {reach}, 0) + 1, least(i, {reach}) + {reach} + 1) as near, least(i, {reach}) as ahead))"
+    placed = keyed.where("size(words) > 1").select("doc_id", "text_hash", F.explode(F.expr(narrow)).alias("two")).select("doc_id", "text_hash", "two.*").withColumn("gram", F.xxhash64(F.xxhash64("w1"), F.xxhash64("w2")))
+    # the templates are a parameter, of some thousand 2-grams
+    votes = placed.join(F.broadcast(grams), "gram").where("w1 = t1 and w2 = t2")
+    around = F.expr(f"transform(sequence(ahead - at - {MERGE_GAP}, ahead - at + size(short) - 1 + {MERGE_GAP}), p -> get(near, p))")
     votes = votes.withColumn("around", F.when(F.col("short").isNotNull(), around)).withColumn("edited", _one_edit())
     lines = votes.groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"), F.min("pos").alias("start"), (F.max("pos") + 2).alias("end"), F.max("edited").alias("edited")
+        F.collect_set("at").alias("seen"), F.min("pos").alias("start"), (F.max("pos") + 2).alias("end"), F.max("edited").alias("edited")
     )
     lines = lines.join(F.broadcast(about), "template")
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     apart = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MERGE_GAP, F.lit(True))
     merged = lines.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    longer = F.greatest(F.lit(2 * MERGE_GAP), F.floor(F.col("grams") * LONGER)).cast("int")
     # the diagonals from one on that make no longer span than is allowed
     near = Window.partitionBy("doc_id", "text_hash", "template", "run").orderBy("diagonal").rangeBetween(0, 2 * MERGE_GAP)
-    part = F.struct(F.bit_count(F.bit_or("seen").over(near)).alias("n"), (-F.min("start").over(near)).alias("start"), F.max("end").over(near).alias("end"))
+    distinct = lambda lists: F.size(F.array_distinct(F.flatten(lists)))
+    part = F.struct(distinct(F.collect_list("seen").over(near)).alias("n"), (-F.min("start").over(near)).alias("start"), F.max("end").over(near).alias("end"))
     spans = merged.withColumn("part", part).groupBy("doc_id", "text_hash", "template", "label", "is_base", "grams", "run").agg(
-        F.bit_or("seen").alias("seen"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("edited").alias("edited"), F.max("part").alias("part")
+        # each place of the template once, whatever number of diagonals a long run has
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("edited").alias("edited"), F.max("part").alias("part"), F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen")
     )
     least = F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.lit(MIN_COVERAGE))
-    whole = F.col("end") - F.col("start") <= F.col("grams") + 1 + 2 * MERGE_GAP
+    whole = F.col("end") - F.col("start") <= F.col("grams") + 1 + longer
     spans = spans.withColumn("cut", ~whole & (F.col("part.n") / F.col("grams") >= least))
-    spans = spans.withColumns({"start": F.when(F.col("cut"), -F.col("part.start")).otherwise(F.col("start")), "end": F.when(F.col("cut"), F.col("part.end")).otherwise(F.col("end")), "coverage": F.when(F.col("cut"), F.col("part.n")).otherwise(F.bit_count("seen")) / F.col("grams")})
+    spans = spans.withColumns({"start": F.when(F.col("cut"), -F.col("part.start")).otherwise(F.col("start")), "end": F.when(F.col("cut"), F.col("part.end")).otherwise(F.col("end")), "coverage": F.when(F.col("cut"), F.col("part.n")).otherwise(F.size("seen")) / F.col("grams")})
     spans = spans.withColumn("verified", (F.col("coverage") >= least) & (whole | F.col("cut")) | F.col("edited"))
     return keyed.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")), spans.drop("run", "seen", "template", "grams", "edited", "part", "cut")
 

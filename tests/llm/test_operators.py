@@ -232,3 +232,24 @@ def test_licenses_in_long_runs(spark):
     for text in (f"{words} bb cc dd bb cc dd bb cc dd", f"aa bb cc bb cc bb cc bb cc bb cc {words}"):
         rows = license_scan.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), base=(), templates=((words, "x"),)).collect()
         assert [(r.labels, r.score) for r in rows] == [("x", 1.0)], text
+
+
+def test_whole_licenses_and_base_places(spark, edge):
+    rnd = random.Random(6)
+    mit, isc = (t for t, label in license_scan.WHOLE_TEXTS if label in ("mit", "isc"))
+    shortened = " ".join(w for i, w in enumerate(isc.split()) if i % 25 != 20)
+    docs = [(1, f"Intro. {mit} The end."), (2, f"x {shortened} y"), (3, mit[: len(mit) // 3])]
+    docs += [(10 + i, " ".join(rnd.choice(["CC", "by", "general", "public", "License", "all", "rights", "reserved", "é"]) for _ in range(60))) for i in range(40)]
+    docs.append((99, "CC by " * 60_000 + "nothing " * 20_000 + "all rights reserved"))
+    rows = {r.doc_id: r for r in license_scan.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[1].labels == "mit" and rows[1].score == 1 and rows[2].labels == "isc" and rows[3].labels == "mit"
+    for i, text in docs:
+        words, places, labels = license_scan.template_words(text), [], set()
+        for phrase, label in license_scan.BASE:
+            p = phrase.split()
+            found = [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+            places += found
+            labels |= {label} if found else set()
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+    assert license_scan.scan_documents(edge.limit(0)).collect() == []
