@@ -110,3 +110,22 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORD
     hit = occurrences(texts, items.select("item_id", "text"), size).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = [F.col("doc_id").eqNullSafe(F.col("__id")), F.xxhash64("text") == F.col("__hash")]
     return docs.join(hit.hint("merge"), same, "left_anti")
+
+
+def oracle_sql(size: int = WINDOW_WORDS) -> str:
+    """``contamination`` of documents and benchmark in SQL: every window against every run of words, without a prefix."""
+    words = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+    return f"""
+    with docs as (select row_number() over () as rid, doc_id, {words} as ws from documents),
+    items as (select item_id, {words} as ws from benchmark),
+    windows as (
+      select distinct item_id, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') as gram
+      from (select item_id, ws, least({size}, len(ws)) as n, unnest(range(1, greatest(len(ws) - {size}, 0) + 2)) as p from items where len(ws) > 0)),
+    grams as (
+      select rid, n, p, array_to_string(list_slice(ws, p, p + n - 1), ' ') as gram
+      from (select rid, ws, n, unnest(range(1, len(ws) - n + 2)) as p from docs, (select distinct n from windows))),
+    met as (select rid, item_id, p, n from grams join windows using (n, gram)),
+    hit as (select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + n)) as q from met) group by rid),
+    named as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, cast(item_id as varchar) as item from met where item_id is not null) group by rid)
+    select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join hit using (rid) left join named using (rid)"""

@@ -358,3 +358,33 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     found = link_documents(docs, k, threshold).where("doc_id is not null")
     drop = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("drop")).where("drop").select("doc_id")
     return docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def oracle_sql(k: int = 5, threshold: float = 0.8) -> str:
+    """``link_documents`` of documents with unique ids in SQL: all pairs that share a shingle, on sets of strings."""
+    num = round(threshold * 100)
+    words = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+    return f"""
+    with recursive docs as (select doc_id, {words} as ws from documents),
+    shingles as (
+      select distinct doc_id, array_to_string(list_slice(ws, p, p + {k - 1}), ' ') as s
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {k}, 0) + 2)) as p from docs where len(ws) > 0)),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    -- of equal sets one stands for all
+    prints as (select doc_id, md5(string_agg(s, chr(10) order by s)) as print from shingles group by doc_id),
+    nodes as (select print, min(doc_id) as node from prints group by print),
+    pairs as (
+      select a.doc_id as x, b.doc_id as y, count(*) as both_have
+      from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+      where a.doc_id in (select node from nodes) and b.doc_id in (select node from nodes)
+      group by a.doc_id, b.doc_id),
+    links as (
+      select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+      where 100 * both_have >= {num} * (a.n + b.n - both_have)),
+    reached as (
+      select node as x, node as y from nodes
+      union
+      select r.x, l.y from reached r join links l on l.x = r.y),
+    least as (select x, min(y) as root from reached group by x)
+    select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component_id
+    from docs left join sizes using (doc_id) left join prints using (doc_id) left join nodes using (print) left join least on least.x = node"""

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle_sql()}
+    return {"op1_url_filter": url_filter.oracle_sql(), "op4_ngram_jaccard": ngram_jaccard.oracle_sql(3, 0.9), "op10_decontamination": decontaminate.oracle_sql()}
