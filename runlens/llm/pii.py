@@ -8,14 +8,20 @@ document, different values different ones, and the format stays:
 - payment cards: 13 to 19 digits, grouped or not, with a valid Luhn check digit. All but the
   check digit are permuted, then the check digit is set again. Where digit groups stand side by
   side, the usual groupings of a card are tried first, then all of them, then every part.
-- telephone numbers: a leading + and country code, or an area code in parentheses; the digits
-  after the country code are permuted and all separators stay.
+- telephone numbers: a leading + and country code, an area code in parentheses, three groups 3-3-4 between equal
+  dots or hyphens, or a leading 0; the digits after the country code or the 0 are permuted and all separators stay.
 - US social security numbers (3-2-4) that were issued; IBANs with a valid check: digits are permuted, and the
   IBAN's check digits are set again.
-- IPv4 addresses with four numbers up to 255: the 32 bits are permuted.
+- IPv4 addresses with four numbers up to 255: the 32 bits are permuted. IPv6 addresses: letters and digits are.
 - calendar dates (yyyy-mm-dd, a time may follow, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where that is no
-  mm/dd/yyyy, from 1900 to 2099): the day number is permuted.
+  mm/dd/yyyy, from 1900 to 2099, days and months of one or two digits): the day number is permuted among those
+  that are written alike.
 - e-mail addresses: letters and digits before the @ are permuted, each within its class.
+- secrets: values that are assigned to a token, key, secret or password, and tokens with a known beginning; letters
+  and digits are permuted, each within its class, hexadecimal ones among a to f.
+
+The key comes from the caller or from the setting ``spark.runlens.pii.key``; without one, a random key holds for the
+application. Whoever has it can restore the values.
 
 Where a match is no valid value, its shorter and later parts are tried, then the other kinds, and the
 search goes on after its first character. Which of several overlapping digit groups are the card can
@@ -26,30 +32,38 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.llm.common import extended
 
-#: Key of the permutations where the caller gives none.
-DEFAULT_KEY = "runlens"
+KEY_SETTING = "spark.runlens.pii.key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 _CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?|\(\d{3}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"
+_LOCAL_PHONE = r"(?<![\w.+-])(?:\d{3}([.-])\d{3}\1\d{4}|0\d{1,4}[ /-]\d{5,8})(?![\w-]|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-_DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:?\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]))"
+_IPV6 = r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])"
+_DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:?\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w-]))"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
-_PATTERNS = {"date": _DATE, "ip": _IP, "ssn": _SSN, "phone": _PHONE, "card": _CARD, "iban": _IBAN}
-_NUMBER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+_PATTERNS = {"date": _DATE, "ip": _IP, "ssn": _SSN, "phone": _PHONE, "card": _CARD, "iban": _IBAN, "local": _LOCAL_PHONE, "ipv6": _IPV6}
+_NUMBER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()).replace("\\1", "(?P=sep)").replace("([.-])", "(?P<sep>[.-])"))
+#: An assignment to a name that says secret, or a token with a known beginning; its parts are what stays and what is replaced.
+_SECRET = re.compile(
+    r"""(?i:\b(?:\w*[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9+/_.-]{8,})|\b(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)([A-Za-z0-9_-]{12,})"""
+)
+_HEX = re.compile(r"(?=.*[0-9])(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _EACH = {k: re.compile(p) for k, p in _PATTERNS.items()}
 _MORE = re.compile(r"(?:[ -]\d+(?!\w|\.\d)){0,19}")
 #: How cards are usually grouped.
@@ -62,9 +76,9 @@ _IBAN_LENGTHS = {
     }.items() for c in cs.split()
 }
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+'-]+\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'-")
 #: A text without any of these has nothing to replace.
-_ANY = re.compile(r"@|\d.?\d|\d\)")
+_ANY = re.compile(r"[@=]|\d.?\d|\d\)|::|[\w\"']\s{0,3}:\s{0,3}\S{8}|sk-|xox|gh[po]_|AKIA|ASIA|AIza|_pat_|glpat-|_live_")
 
 
 @lru_cache(maxsize=200_000)
@@ -126,8 +140,11 @@ def _card(s: str, key: str, back: bool) -> str:
             d += luhn_digit(d)
             if _luhn_ok(d) and not _luhn_ok(d[:16]):
                 return _refill(s, d)
-    new = _permuted_digits(d[:-1], f"card{key}", back)
-    return _refill(s, new + luhn_digit(new)) if len(set(new)) > 1 else s
+    while True:  # a number of equal digits is no card, so the walk goes on
+        d = _permuted_digits(d[:-1], f"card{key}", back)
+        d += luhn_digit(d)
+        if _luhn_ok(d):
+            return _refill(s, d)
 
 
 def _phone(s: str, key: str, back: bool) -> str:
@@ -139,6 +156,15 @@ def _phone(s: str, key: str, back: bool) -> str:
     return (head[0] if head else "") + _refill(rest, _permuted_digits(d, f"phone{key}", back))
 
 
+def _local_phone(s: str, key: str, back: bool) -> str:
+    head, rest = ("0", s[1:]) if s[0] == "0" and s[3] not in ".-" else ("", s)
+    d = re.sub(r"\D", "", rest)
+    if head:
+        return head + _refill(rest, _permuted_digits(d, f"phone{key}", back))
+    # a number of ten digits that begins with 0 would be read as one with a leading 0
+    return _refill(rest, _walk(d, f"phone{key}", back, lambda x: (x[0] == "0") == (d[0] == "0")))
+
+
 def _ssn_ok(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -165,19 +191,24 @@ def _ip(s: str, key: str, back: bool) -> str:
 
 
 def _date(s: str, key: str, back: bool) -> str:
-    swapped = s[2] == "/" and int(s[:2]) > 12  # no month, so the day comes first
-    form = "%Y-%m-%d" if s[4] == "-" else "%d.%m.%Y" if "." in s else "%d/%m/%Y" if swapped else "%m/%d/%Y"
+    parts = re.split(r"[./-]", s)
+    swapped = "/" in s and int(parts[0]) > 12  # no month, so the day comes first
+    order = (2, 1, 0) if len(parts[0]) == 4 else (0, 1, 2) if "." in s or swapped else (1, 0, 2)  # day, month, year
     try:
-        day = dt.datetime.strptime(s, form).date().toordinal()
+        day = dt.date(*(int(parts[i]) for i in reversed(order))).toordinal()
     except ValueError:
         return s
     if not FIRST_DAY <= day <= LAST_DAY:
         return s
+    widths = [len(parts[i]) for i in order[:2]]
     while True:
         day = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{key}", back) + FIRST_DAY
         new = dt.date.fromordinal(day)
-        if not swapped or new.day > 12:
-            return new.strftime(form)
+        alike = all(w == 2 or x < 10 for w, x in zip(widths, (new.day, new.month)))
+        if alike and ("/" not in s or swapped == (order == (0, 1, 2) and new.day > 12)):
+            for i, x, w in zip(order, (new.day, new.month, new.year), (*widths, 4)):
+                parts[i] = str(x).zfill(w)
+            return _refill(s, "".join(parts))
 
 
 def _iban_check(country: str, rest: str) -> str:
@@ -212,27 +243,46 @@ def _parts(kind: str, s: str, more: str) -> Iterator[tuple[int, int]]:
         yield 0, len(s)
 
 
-_KINDS = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "iban": _iban}
+def _ipv6(s: str, key: str, back: bool) -> str:
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return s
+    return _by_class(s, f"ip{key}", back, 6) if sum(c.isalnum() for c in s) >= 4 else s
 
 
-def _email(local: str, key: str, back: bool) -> str:
-    """Letters and digits form one mixed-radix number, which is permuted; other characters stay."""
-    bases = [10 if c.isdigit() else 26 for c in local if c.isalnum()]
+def _by_class(s: str, key: str, back: bool, letters: int = 26) -> str:
+    """ASCII letters and digits form one mixed-radix number, which is permuted; other characters stay."""
+    bases = [10 if c.isdigit() else letters for c in s if c.isalnum()]
     value, size = 0, 1
-    for c, base in zip((c for c in local if c.isalnum()), bases):
+    for c, base in zip((c for c in s if c.isalnum()), bases):
         value = value * base + (int(c) if c.isdigit() else ord(c.lower()) - 97)
         size *= base
-    value = permute(value, size, f"mail{key}", back)
+    value = permute(value, size, key, back)
     out = []
-    for c in reversed(local):
+    for c in reversed(s):
         if c.isalnum():
-            value, x = divmod(value, 10 if c.isdigit() else 26)
+            value, x = divmod(value, 10 if c.isdigit() else letters)
             out.append(str(x) if c.isdigit() else chr(x + (65 if c.isupper() else 97)))
         else:
             out.append(c)
     return "".join(reversed(out))
 
 
+def _secret(s: str, key: str, back: bool) -> str:
+    if _HEX.match(s):
+        return _by_class(s, f"secret{key}", back, 6)
+    if not any(c.isalnum() for c in s):
+        return s
+    while True:
+        s = _by_class(s, f"secret{key}", back)
+        if not _HEX.match(s):
+            return s
+
+
+_KINDS = {"local": _local_phone, "ipv6": _ipv6, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "iban": _iban}
+
+
 def _value(text: str, m: re.Match, key: str, back: bool) -> tuple[int, int, str] | None:
     """Start, end and pseudonym of the first valid value in a match, or in one of another kind from the same character."""
     for kind in (m.lastgroup, *(k for k in _EACH if k != m.lastgroup)):
@@ -245,7 +295,7 @@ def _value(text: str, m: re.Match, key: str, back: bool) -> tuple[int, int, str]
     return None
 
 
-def pseudonymise(text: str, key: str = DEFAULT_KEY, back: bool = False) -> tuple[str, int]:
+def pseudonymise(text: str, key: str, back: bool = False) -> tuple[str, int]:
     """The text with pseudonyms and the number of values replaced. ``back`` restores the values."""
     if not _ANY.search(text):
         return text, 0
@@ -265,18 +315,40 @@ def pseudonymise(text: str, key: str = DEFAULT_KEY, back: bool = False) -> tuple
             m = _NUMBER.search(part, max(at, m.start() + 1))
         return "".join(done) + part[at:]
 
+    def plain(part: str) -> str:
+        nonlocal n
+        done, at = [], 0
+        for m in _SECRET.finditer(part):
+            start, end = m.span(m.lastindex)
+            new = _secret(part[start:end], key, back)
+            n += new != part[start:end]
+            done += [numbers(part[at:start]), new]
+            at = end
+        return "".join(done) + numbers(part[at:])
+
     out, at = [], 0
     for m in _DOMAIN.finditer(text):
-        local = _LOCAL.search(text, max(at, m.start() - 64), m.start())
-        if local and any(c.isalnum() for c in local[0]):
-            new = _email(local[0], key, back)
-            n += new != local[0]
-            out += [numbers(text[at : local.start()]), new, m[0]]
+        first = m.start()
+        while first > at and text[first - 1] in _LOCAL:
+            first -= 1
+        local = text[first : m.start()]
+        if any(c.isalnum() for c in local):
+            new = _by_class(local, f"mail{key}", back)
+            n += new != local
+            out += [plain(text[at:first]), new, m[0]]
             at = m.end()
-    out.append(numbers(text[at:]))
+    out.append(plain(text[at:]))
     return "".join(out), n
 
 
+_own_keys: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key in spark.runlens.pii.key, else a random one for this application."""
+    return spark.conf.get(KEY_SETTING, None) or _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def _replace_batches(batches: Iterator[pa.RecordBatch], key: str, back: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts = [], []
@@ -289,7 +361,7 @@ def _replace_batches(batches: Iterator[pa.RecordBatch], key: str, back: bool) ->
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_replaced"])
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | None = None, text_col: str = "text", back: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text replaced, then n_replaced (int), for every row.
 
     Null and empty texts stay as they are with n_replaced 0. n_chars, where
@@ -297,6 +369,7 @@ def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY, text_col: st
     n_replaced is replaced. Repeated rows each get a row; an empty table gives
     an empty result.
     """
+    key = key or key_of(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, "n_replaced")]
     one = docs.select(*kept, F.col(text_col).cast("string").alias(text_col))
     out = one.mapInArrow(partial(_replace_batches, key=key, back=back), extended(one.schema, n_replaced=T.IntegerType()))
