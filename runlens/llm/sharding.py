@@ -1,11 +1,13 @@
 """Minimax contiguous partition of documents into shards.
 
-Equal texts form an atomic group. Groups are ordered by the hash of their
-text and fall into at most ``atoms`` hash ranges, so that a range is an ordered
-run of whole groups; with fewer groups than ranges a range is almost always one
-group. The smallest feasible shard capacity is searched in halves over the
-ordered sizes, each candidate checked greedily, and the run is cut there. Only
-the sizes of the ranges, whose number is fixed, come to the driver.
+Equal texts form an atomic group, and groups are ordered by the hash of their
+text. The smallest feasible shard capacity is searched in halves over ordered
+sizes, each candidate checked greedily, and the run is cut there.
+
+The driver never sees all groups: it starts with the sizes of the ranges that
+the first bits of the hash make. A range that may hold a cut of a capacity that
+is still possible is split by further bits, again and again, until each of them
+is one group, so the cuts are those of the groups themselves.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from runlens.llm.common import materialize
 
-ATOMS = 1 << 16
+#: Bits of the hash that make the first ranges, and by which a range is split.
+FIRST_BITS, SPLIT_BITS = 14, 8
+#: Rows of a part that is numbered by itself.
+PART_ROWS = 50_000
 
 
 def greedy_cut(sizes: np.ndarray, shards: int, capacity: int) -> np.ndarray | None:
@@ -48,39 +52,80 @@ def minimax_cut(sizes: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
     return low, greedy_cut(sizes, shards, low)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", atoms: int = ATOMS) -> DataFrame:
+def open_ranges(sizes: np.ndarray, single: np.ndarray, shards: int, largest: int) -> np.ndarray:
+    """Which ranges of several groups may hold a cut. ``single``: ranges of one group; ``largest``: size of the largest group."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    high, _ = minimax_cut(sizes, shards)  # cuts between ranges are possible, so no more is needed
+    low = min(high, max(largest, -(-int(total[-1]) // shards)))
+    least = most = 0
+    found = np.zeros(len(sizes), bool)
+    for _ in range(shards - 1):
+        # a shard of capacity low ends not before the range in which it would be full, one of capacity high not after that
+        least = int(total[np.searchsorted(total, least + low, side="right") - 1])
+        most = min(most + high, int(total[-1]))
+        found |= (total[1:] > least) & (total[:-1] < most)
+    return found & ~single
+
+
+def cut_hashes(sizes: DataFrame, shards: int) -> list[int]:
+    """The hashes at which each shard after the first begins, of (hash, size) rows: hashes from 0 to 2 ** 62."""
+    groups = materialize(sizes.groupBy("hash").agg(F.sum("size").alias("size")), "groups")
+    largest = groups.agg(F.max("size")).first()[0]
+    if largest is None:
+        return []
+
+    def ranges(of: DataFrame, bits: int) -> pd.DataFrame:
+        start = F.shiftleft(F.shiftright("hash", 62 - bits), 62 - bits)
+        return of.groupBy(start.alias("start")).agg(F.sum("size").alias("size"), F.count("*").alias("groups")).toPandas()
+
+    bits = FIRST_BITS
+    known = ranges(groups, bits).assign(bits=bits)  # at most 2 ** FIRST_BITS rows
+    while True:
+        known = known.sort_values("start", ignore_index=True)
+        split = known[open_ranges(known["size"].to_numpy(np.int64), known["groups"].to_numpy() == 1, shards, largest)]
+        if split.empty:
+            break
+        parts = [known.drop(split.index)]
+        for before, some in split.groupby("bits"):  # ranges around the at most shards - 1 cuts
+            start = F.shiftleft(F.shiftright("hash", 62 - int(before)), 62 - int(before))
+            after = min(62, int(before) + SPLIT_BITS)
+            chosen = F.broadcast(groups.sparkSession.createDataFrame(some[["start"]].astype("int64"), "begin long"))
+            parts.append(ranges(groups.join(chosen, start == F.col("begin"), "left_semi"), after).assign(bits=after))
+        known = pd.concat(parts)
+    _, cuts = minimax_cut(known["size"].to_numpy(np.int64), shards)
+    starts = known["start"].tolist()
+    return [starts[c] if c < len(starts) else 1 << 62 for c in cuts]
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``. Size is the text's UTF-8 bytes plus 1; a null text
     has size 1, counts as empty and shares the empty texts' group. Slots run
-    from 0 without a gap in each shard, in an order of hash range, then id;
-    repeated rows each get a slot. An empty table gives an empty result.
-    A range that holds many rows is numbered in parts of bounded size.
+    from 0 without a gap in each shard; repeated rows each get a slot. Texts of
+    the same 62-bit hash count as one group. An empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(atoms)).cast("int").alias("atom"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)).cast("int").alias("salt"),
+        F.shiftrightunsigned(F.xxhash64(text), 2).alias("hash"),
     )
     narrow = materialize(narrow, "sizes")
-    atom = narrow.groupBy("atom").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas().sort_values("atom")  # at most ``atoms`` rows
-    _, cuts = minimax_cut(atom["size"].to_numpy(np.int64), shards)
-    atom["shard"] = np.searchsorted(cuts, np.arange(len(atom)), side="right")
-    # a part holds about rows / atoms rows, so there are at most 2 * atoms parts
-    atom["parts"] = np.ceil(atom["rows"] / max(1.0, atom["rows"].sum() / atoms, 1000.0)).astype(int).clip(lower=1)
-    plan = F.broadcast(spark.createDataFrame(atom[["atom", "shard", "parts"]].astype("int32"), "atom int, shard int, parts int"))
-    parted = narrow.join(plan, "atom").withColumn("part", F.col("salt") % F.col("parts"))
-
-    part = parted.groupBy("shard", "atom", "part").agg(F.count("*").alias("rows")).toPandas().sort_values(["shard", "atom", "part"])
-    before = part.groupby("shard")["rows"].cumsum() - part["rows"]
-    offsets = pd.DataFrame({"atom": part["atom"], "part": part["part"], "before": before}).astype({"atom": "int32", "part": "int32", "before": "int64"})
-    schema = T.StructType([T.StructField("atom", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
-    numbered = parted.join(F.broadcast(spark.createDataFrame(offsets, schema)), ["atom", "part"])
-    within = Window.partitionBy("atom", "part").orderBy("doc_id", "text_crc32", "size")
+    cuts = cut_hashes(narrow, shards)
+    shard = sum((F.when(F.col("hash") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
+    # rows are dealt into parts by all that they hold, so a group of any size is numbered by many tasks
+    parts = max(1, -(-narrow.count() // (shards * PART_ROWS)))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "hash", "size"), F.lit(parts)).cast("int")
+    placed = narrow.withColumn("shard", shard).withColumn("part", part)
+    counts = materialize(placed.groupBy("shard", "part").agg(F.count("*").alias("rows")), "part-counts")
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    # a row for PART_ROWS rows
+    numbered = placed.join(F.broadcast(offsets), ["shard", "part"])
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "hash", "size")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.row_number().over(within) - 1).alias("slot"),
