@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.common import extended
+from runlens.llm.common import extended, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a leaf.
@@ -117,7 +117,7 @@ def token_lengths(path: str) -> list[int]:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode, lengths = encoding(path).encode_ordinary, token_lengths(path)
-    for batch in batches:
+    for batch in slices(batches):
         counts, packed = [], []
         for text in batch.column(batch.num_columns - 1):
             ids = encode_tree(text.as_py() or "", encode, lengths)
@@ -153,7 +153,18 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(partial(_decode_batches, path=str(path)), extended(encoded.schema, decoded=T.BinaryType()))
 
 
+def _round_trip_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    return _decode_batches(_encode_batches(batches, path), path)
+
+
+def round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``encode_documents``, then ``decode_documents``, by one Python worker for each task."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    schema = extended(docs.select(*keep).schema, n_tokens=T.LongType(), ids=T.BinaryType(), decoded=T.BinaryType())
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(partial(_round_trip_batches, path=str(path)), schema)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, after encoding and decoding it."""
-    out = decode_documents(encode_documents(docs, [id_col], text_col))
+    out = round_trip(docs, [id_col], text_col)
     return out.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

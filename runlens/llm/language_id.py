@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.common import extended, held_out, materialize
+from runlens.llm.common import extended, held_out, materialize, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Languages of a block: its matrix has at most BLOCK_LANGS * BUCKETS * 4 bytes (16 MB).
 BLOCK_LANGS = 128
 #: Texts are handled in pieces of so many characters at most, whatever a batch or a text holds.
-PIECE = 1 << 20
+PIECE = 1 << 17
+#: n-grams, beside those of a piece, that are looked up at once.
+GATHER = 1 << 17
 #: n-grams that count in full for the score; beyond, each counts less, so that the score does not saturate.
 FULL_WEIGHT = 60
 UNKNOWN = "und"
@@ -137,7 +139,7 @@ def ngram_hashes(text: str | None) -> tuple[Iterator[np.ndarray], bool]:
 def score_texts(texts: list[str | None], blocks: Iterable[Block]) -> tuple[list[str], list[float]]:
     """The likeliest language of each text and its share of the (tempered) likelihood.
 
-    Texts are gathered to some PIECE characters; their n-grams pick rows of each
+    Texts are gathered to some GATHER n-grams; their n-grams pick rows of each
     language's column, which are summed text by text.
     """
     lettered = np.zeros(len(texts), bool)
@@ -163,7 +165,7 @@ def score_texts(texts: list[str | None], blocks: Iterable[Block]) -> tuple[list[
                 owners.append(i)
                 n[i] += len(h)
                 held += len(h)
-            if held > PIECE:
+            if held > GATHER:
                 add_up()
                 held = 0
     add_up()
@@ -185,7 +187,7 @@ def score_texts(texts: list[str | None], blocks: Iterable[Block]) -> tuple[list[
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: list[Broadcast], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     blocks = [m.value for m in model]
-    for batch in batches:
+    for batch in slices(batches):
         found, scores = [], []
         text = batch.column(batch.num_columns - 1)
         for at in range(0, len(text), 256):

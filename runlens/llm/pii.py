@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.common import extended
+from runlens.llm.common import extended, slices
 
 KEY_SETTING = "spark.runlens.pii.key"
 ROUNDS = 8
@@ -81,7 +81,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ANY = re.compile(r"[@=]|\d.?\d|\d\)|::|[\w\"']\s{0,3}:\s{0,3}\S{8}|sk-|xox|gh[po]_|AKIA|ASIA|AIza|_pat_|glpat-|_live_")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def permute(value: int, size: int, key: str, back: bool = False) -> int:
     """The image of ``value`` under a keyed permutation of 0 .. size - 1; ``back`` inverts it."""
     if size <= 1:
@@ -350,7 +350,7 @@ def key_of(spark: SparkSession) -> str:
 
 
 def _replace_batches(batches: Iterator[pa.RecordBatch], key: str, back: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, counts = [], []
         for text in batch.column(batch.num_columns - 1):
             t = text.as_py()

@@ -46,6 +46,23 @@ def test_minimax_cut_is_the_smallest():
         assert max(int(p.sum()) if len(p) else 0 for p in np.split(np.array(sizes), cuts)) == capacity
 
 
+@pytest.mark.parametrize("first,split", [(2, 1), (3, 4), (14, 8)])
+def test_cuts_are_those_of_the_groups(spark, monkeypatch, first, split):
+    monkeypatch.setattr(sharding, "FIRST_BITS", first)
+    monkeypatch.setattr(sharding, "SPLIT_BITS", split)
+    rnd = random.Random(first)
+    for groups, most in ((1, 5), (3, 50), (150, 9), (150, 4000)):
+        sizes = {rnd.getrandbits(62): rnd.choice([1, rnd.randint(1, most)]) for _ in range(groups)}
+        rows = [(h, 1) for h, n in sizes.items() for _ in range(min(n, 3) - 1)] + [(h, n - min(n, 3) + 1) for h, n in sizes.items()]
+        cuts = sharding.cut_hashes(spark.createDataFrame(rows, "hash long, size long"), 5)
+        order = sorted(sizes)
+        capacity, _ = sharding.minimax_cut(np.array([sizes[h] for h in order]), 5)
+        held = [0] * 5
+        for h in order:
+            held[sum(h >= c for c in cuts)] += sizes[h]
+        assert max(held) == capacity
+
+
 def test_sharding(spark, edge):
     rows = sharding.shard_documents(edge, 4).collect()
     assert len(rows) == len(EDGE)
