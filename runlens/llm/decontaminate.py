@@ -5,8 +5,8 @@ window must occur, so its necessary prefix under an order by rarity is one
 word: its rarest in the corpus (the leftmost on a tie). Documents are joined on
 that word only; the word's place in the window bounds where the window can lie
 (positional bound) and how many words must stand around it (length bound).
-Every document word carries the ``size - 1`` words on either side of it, so the
-words that must stand there are compared in the join itself. Windows of an item
+Every document word is joined together with the stretch of words around it, so
+the words that must stand there are compared in the join itself. Windows of an item
 that share their rarest word are one candidate: the compared words tell which
 of them occur.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.llm.common import materialize, word_array
+from runlens.llm.common import materialize, word_array, word_places
 
 WINDOW_WORDS = 10
 #: Rows of the items' words and anchors, and their words in bytes, that may be broadcast; beyond, they are shuffled.
@@ -68,12 +68,11 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) ->
     index = materialize(anchors(docs, items, size), "anchors")
     index = _hinted(index, F.length("word") + F.length(F.concat_ws(" ", "lefts", "rights")))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array(F.col("text")).alias("words"))
-    # a word carries its neighbours only, never all words of its text: a long text would be copied that often
-    reach = size - 1
-    near = f"transform(words, (w, i) -> struct(i as pos, w as word, reverse(slice(words, greatest(i - {reach}, 0) + 1, least(i, {reach}))) as before, slice(words, i + 2, {reach}) as after))"
-    placed = keyed.select("doc_id", "text_hash", F.explode(F.expr(near)).alias("at_word")).select("doc_id", "text_hash", "at_word.*")
+    placed = word_places(keyed, size - 1).withColumnRenamed("at", "here")
     met = placed.join(index, "word")
-    left, right = _run(F.col("lefts"), F.slice("before", F.lit(1), F.size("lefts"))), _run(F.col("rights"), F.slice("after", F.lit(1), F.size("rights")))
+    ahead = F.least(F.col("here"), F.size("lefts"))
+    left = _run(F.col("lefts"), F.reverse(F.slice("near", F.col("here") - ahead + 1, ahead)))
+    right = _run(F.col("rights"), F.slice("near", F.col("here") + 2, F.size("rights")))
     first, last = F.greatest("low", F.col("at") - left), F.least(F.col("high"), F.col("at") + right - F.col("length") + 1)
     found = met.select("doc_id", "text_hash", "item_id", "pos", "at", "length", first.alias("first"), last.alias("last")).where("first <= last")
     return found.select("doc_id", "text_hash", "item_id", F.expr("pos - at + first").alias("start"), F.expr("pos - at + last + length").alias("end"))

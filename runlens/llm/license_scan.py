@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.llm.common import WORD_GAP, word_array
+from runlens.llm.common import WORD_GAP, word_array, word_places
 
 # Base phrases and templates of notices, each with its label.
 BASE: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -130,12 +130,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array(F.col("text")).alias("words"))
-    # a 2-gram carries the words around it that an edited short notice can have, never all words of its text
-    narrow = f"transform(slice(words, 1, size(words) - 1), (w, i) -> struct(i as pos, w as w1, words[i + 1] as w2, slice(words, greatest(i - {reach}, 0) + 1, least(i, {reach}) + {reach} + 1) as near, least(i, {reach}) as ahead))"
-    placed = keyed.where("size(words) > 1").select("doc_id", "text_hash", F.explode(F.expr(narrow)).alias("two")).select("doc_id", "text_hash", "two.*").withColumn("gram", F.xxhash64(F.xxhash64("w1"), F.xxhash64("w2")))
+    placed = word_places(keyed, max(reach, 1)).withColumnRenamed("at", "here").withColumn("next", F.get("near", F.col("here") + 1))
+    placed = placed.where("next is not null").withColumn("gram", F.xxhash64(F.xxhash64("word"), F.xxhash64("next")))
     # the templates are a parameter, of some thousand 2-grams
-    votes = placed.join(F.broadcast(grams), "gram").where("w1 = t1 and w2 = t2")
-    around = F.expr(f"transform(sequence(ahead - at - {MERGE_GAP}, ahead - at + size(short) - 1 + {MERGE_GAP}), p -> get(near, p))")
+    votes = placed.join(F.broadcast(grams), "gram").where("word = t1 and next = t2")
+    around = F.expr(f"transform(sequence(here - at - {MERGE_GAP}, here - at + size(short) - 1 + {MERGE_GAP}), p -> get(near, p))")
     votes = votes.withColumn("around", F.when(F.col("short").isNotNull(), around)).withColumn("edited", _one_edit())
     lines = votes.groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("seen"), F.min("pos").alias("start"), (F.max("pos") + 2).alias("end"), F.max("edited").alias("edited")
