@@ -60,7 +60,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text has no tokens, as an empty one. Every row gets a row.
     """
-    out = bpe.decode_documents(bpe.encode_documents(docs, ["doc_id", "lang", "source"]))
+    out = bpe.round_trip(docs, ["doc_id", "lang", "source"])
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
