@@ -18,7 +18,8 @@ one centre each, then, where several components are left, with the member that
 has most links. Only members that are still in different components afterwards
 are paired, a large bucket in cells of two parts, and of those pairs only the
 ones leave the join whose 1,024-bit sketches differ in no more bits than a link
-allows. Every link is verified on exact sets.
+allows. All other pairs are held against that bound before their texts are
+fetched, too. Every link is verified on exact sets.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.common import extended, materialize, mix64
+from runlens.llm.common import extended, materialize, mix64, slices
 
 BITS = np.uint64(0xFFFF)
 BAND_GROWTH = 1.5
@@ -41,8 +42,8 @@ BAND_GROWTH = 1.5
 HOT_KEYS, HOT_COUNTERS = 1000, 10_000
 #: Members of a part of a bucket: a larger bucket is paired in cells of two parts each.
 PART = 256
-#: Texts that are hashed at once in a Python worker.
-SLICE = 512
+#: Sets whose texts are fetched with a broadcast of their ids (two longs each); of more, texts are shuffled.
+FETCH = 200_000
 #: Edges (of two longs) that one task of a large-star or small-star step reads.
 ROWS_A_TASK = 250_000
 #: Longs of the sketch that pairs are filtered with.
@@ -136,15 +137,9 @@ def wide_sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     words, met = _WordCodes(), set()
-    for batch in _slices(batches):
+    for batch in slices(batches):
         sizes, first, second, keys, offsets = [], [], [], [], [0]
         wide = np.zeros((WIDE, batch.num_rows), np.int64)
         for i, text in enumerate(batch.column(1)):
@@ -173,7 +168,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: in
 def _named_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(expected set id, text) -> the same rows with the names of the text's set."""
     words = _WordCodes()
-    for batch in _slices(batches):
+    for batch in slices(batches):
         names = []
         for text in batch.column(1):
             codes = shingle_codes(text.as_py(), k, words)
@@ -257,7 +252,14 @@ def bucket_members(sketched: DataFrame) -> DataFrame:
     if hot:
         centers = rows.where(F.col("key").isin(hot)).groupBy("key").agg(*ends).where("center <> other").select("key", "center")
         members = members.unionByName(rows.where(F.col("key").isin(hot)).join(F.broadcast(centers), "key"))  # at most HOT_KEYS rows
-    return materialize(members.select("key", "center", "set_id").distinct(), "members")
+    return materialize(members.select("key", "center", "set_id"), "members")
+
+
+def _close(num: int, den: int) -> Column:
+    """Whether the sketches of two sets x and y of n shingles allow a link."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
+    allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
+    return (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
 
 
 def close_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
@@ -269,13 +271,10 @@ def close_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
     dealt = mixed.join(parts.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
     cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")}).drop("with", "parts")
     x, y = cells.alias("x"), cells.alias("y")
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH])
-    allowed = (F.col("x.n") + F.col("y.n")) * (den - num)
-    close = (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
     apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))
     same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")])
     once = (F.col("x.low") == F.col("x.high")) | (F.col("x.part") != F.col("y.part"))
-    return x.join(y.hint("merge"), same & once & apart & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+    return x.join(y.hint("merge"), same & once & apart & _close(num, den)).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
 
 
 def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,44 +296,57 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     # names of 64 bits that stand for several sets: about one among 10 billion sets
     clashes = [r["name"] for r in sketched.where("name is not null").groupBy("name").agg(F.min("name2").alias("lo"), F.max("name2").alias("hi")).where("lo <> hi").select("name").collect()]
     sketched = sketched.withColumn("set_id", _named(clashes))
-    nodes = sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
+    of_set = [F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH]]
+    sets = materialize(sketched.where("set_id is not null").groupBy("set_id").agg(*of_set), "sets")
     members = bucket_members(sketched)
 
-    wanted = members.select(F.col("set_id").alias("wanted")).distinct()
-    by_doc = wanted.join(nodes.hint("merge"), F.col("wanted") == F.col("set_id")).select("wanted", F.col("first_id").alias("doc_id"))
-    with_id = by_doc.join(docs.where("doc_id is not null").hint("merge"), "doc_id").select("wanted", "text")
-    without = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text")
-    texts = with_id.unionByName(without).mapInArrow(partial(_named_batches, k=k), "wanted long, text string, name long, name2 long")
-    texts = texts.withColumn("set_id", _named(clashes)).where("set_id = coalesce(wanted, set_id)").select("set_id", "text")
-    texts = materialize(texts.dropDuplicates(["set_id"]), "member-texts")
+    def near(pairs: DataFrame) -> DataFrame:
+        x, y = sets.alias("x").hint("merge"), sets.alias("y").hint("merge")
+        both = pairs.join(x, F.col("a") == F.col("x.set_id")).join(y, F.col("b") == F.col("y.set_id"))
+        return both.where(_close(num, den)).select("a", "b")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+        by_doc = materialize(wanted.join(sets.hint("merge"), F.col("wanted") == F.col("set_id")).select("wanted", F.col("first_id").alias("doc_id")), "wanted")
+        few = by_doc.count() <= FETCH
+        fetched = docs.where("doc_id is not null").join(F.broadcast(by_doc) if few else by_doc.hint("merge"), "doc_id").select("wanted", "text")
+        if not by_doc.where("doc_id is null").isEmpty():  # sets of rows without an id only
+            fetched = fetched.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text"))
+        fetched = fetched.mapInArrow(partial(_named_batches, k=k), "wanted long, text string, name long, name2 long")
+        fetched = fetched.withColumn("set_id", _named(clashes)).where("set_id = coalesce(wanted, set_id)").select("set_id", "text")
+        return materialize(fetched.dropDuplicates(["set_id"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of the pairs that their sketches allow."""
+        pairs = materialize(near(pairs), "near")
+        texts = texts_of(pairs)
         ta, tb = (texts.select(F.col("set_id").alias(c), F.col("text").alias(f"t{c}")).hint("merge") for c in "ab")
         both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(partial(_verify_batches, k=k, num=num, den=den), "a long, b long, linked boolean")
+        return materialize(both.mapInArrow(partial(_verify_batches, k=k, num=num, den=den), "a long, b long, linked boolean"), "tested")
 
     as_pair = [F.least("center", "set_id").alias("a"), F.greatest("center", "set_id").alias("b")]
-    tested = materialize(verified(members.where("center <> set_id").select(*as_pair).distinct()), "tested")
+    tested = verified(members.where("center <> set_id").select(*as_pair).distinct())
     links = tested.where("linked").select("a", "b")
     roots = connected_components(links)
 
+    members = members.where("center <> set_id")  # a centre has been held against all of its bucket
     for last in (False, True):
         labelled = members.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
         mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
+        mixed = materialize(labelled.join(mixed.hint("merge"), "key").distinct(), "mixed")
         if mixed.isEmpty():
             break
-        members = mixed.select("key", "set_id")  # a bucket of one component stays one
         if not last:
             # the member with most links so far is near the middle of its family
             links_of = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("links"))
             order = F.struct((-F.coalesce("links", F.lit(0))).alias("few"), F.col("set_id").alias("id"), F.col("root").alias("of"))
             centers = mixed.join(links_of.hint("merge"), "set_id", "left").groupBy("key").agg(F.min(order).alias("c")).select("key", "c.id", "c.of")
-            pairs = mixed.join(centers.hint("merge"), "key").where("root <> of").select(F.least("id", "set_id").alias("a"), F.greatest("id", "set_id").alias("b"))
+            centred = materialize(mixed.join(centers.hint("merge"), "key"), "centred")
+            pairs = centred.where("root <> of").select(F.least("id", "set_id").alias("a"), F.greatest("id", "set_id").alias("b"))
+            members = centred.where("set_id <> id").select("key", "set_id")  # a bucket of one component stays one
         else:
-            wide = sketched.where("set_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH])
-            pairs = close_pairs(materialize(mixed.join(wide.hint("merge"), "set_id"), "mixed-sketches"), num, den)
-        new = materialize(verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")), "tested")
+            pairs = close_pairs(materialize(mixed.join(sets.drop("first_id").hint("merge"), "set_id"), "mixed-sketches"), num, den)
+        new = verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
         tested = tested.unionByName(new)
         new = new.where("linked").select("a", "b")
         if not new.isEmpty():
@@ -342,7 +354,7 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
             # the components so far are stars already
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
 
-    roots = nodes.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
+    roots = sets.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(least.hint("merge"), "root").select("set_id", "component_id")
     out = sketched.select("doc_id", "n_shingles", "set_id").join(named.hint("merge"), "set_id", "left")
