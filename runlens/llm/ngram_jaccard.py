@@ -49,6 +49,8 @@ ROWS_A_TASK = 250_000
 #: Longs of the sketch that pairs are filtered with.
 WIDE = 16
 SKETCH = [f"s{i}" for i in range(WIDE)]
+#: Sets of more shingles than these have a second sketch of at least two bits a shingle, as WIDE longs are too few to tell them apart.
+LONG_FROM = WIDE * 32
 
 
 class _WordCodes(dict):
@@ -131,6 +133,15 @@ def set_names(codes: np.ndarray) -> tuple[int, int]:
     return tuple(int((x * np.array([1, 3], np.uint64)).sum(dtype=np.uint64).view(np.int64)) for x in (first, second))
 
 
+def long_sketch(codes: np.ndarray) -> np.ndarray | None:
+    """The parity sketch of a large set, of a power of two bits; folding it in half gives the one of half as many."""
+    if len(codes) <= LONG_FROM:
+        return None
+    bits = 1 << (2 * len(codes) - 1).bit_length()
+    odd = np.bincount((codes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def wide_sketch(codes: np.ndarray) -> np.ndarray:
     """The parity sketch of WIDE * 64 bits."""
     odd = np.bincount((codes % np.uint64(WIDE * 64)).astype(np.int64), minlength=WIDE * 64) & 1
@@ -141,10 +152,11 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: in
     words, met = _WordCodes(), set()
     for batch in slices(batches):
         sizes, first, second, keys, offsets = [], [], [], [], [0]
-        wide = np.zeros((WIDE, batch.num_rows), np.int64)
+        wide, long = np.zeros((WIDE, batch.num_rows), np.int64), []
         for i, text in enumerate(batch.column(1)):
             codes = shingle_codes(text.as_py(), k, words)
             wide[:, i] = wide_sketch(codes)
+            long.append(long_sketch(codes))
             sizes.append(len(codes))
             names = set_names(codes) if len(codes) else (None, None)
             first.append(names[0])
@@ -160,8 +172,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: in
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, *map(pa.array, wide)],
-            names=["doc_id", "n_shingles", "name", "name2", "keys", *SKETCH],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, *map(pa.array, wide), pa.array(long, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "name", "name2", "keys", *SKETCH, "long_sketch"],
         )
 
 
@@ -262,6 +274,17 @@ def _close(num: int, den: int) -> Column:
     return (differ * (den + num) <= allowed) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
 
 
+def _long_close(num: int, den: int) -> Column:
+    """The same by the second sketches, where both sets have one; the longer of two is folded."""
+    short = F.least(F.size("x.long_sketch"), F.size("y.long_sketch"))
+    halves = [F.slice(f"{side}.long_sketch", start, short) for side in "xy" for start in (F.lit(1), short + 1)]
+    folded = [F.zip_with(a, b, lambda p, q: p.bitwiseXOR(F.coalesce(q, F.lit(0)))) for a, b in (halves[:2], halves[2:])]
+    differ = F.aggregate(F.zip_with(*folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + x)
+    comparable = F.greatest(F.size("x.long_sketch"), F.size("y.long_sketch")) <= 2 * short
+    known = F.col("x.long_sketch").isNotNull() & F.col("y.long_sketch").isNotNull()
+    return ~known | ~comparable | (differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
+
+
 def close_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of the rows (key, set_id, root, n and sketch) of a bucket that are in different components and near by their sketches.
 
@@ -291,19 +314,19 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     num, den = round(threshold * 100), 100
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     long = T.LongType()
-    schema = extended(docs.select("doc_id").schema, n_shingles=long, name=long, name2=long, keys=T.ArrayType(long), **{c: long for c in SKETCH})
+    schema = extended(docs.select("doc_id").schema, n_shingles=long, name=long, name2=long, keys=T.ArrayType(long), **{c: long for c in SKETCH}, long_sketch=T.ArrayType(long))
     sketched = materialize(docs.mapInArrow(partial(_sketch_batches, k=k, num=num, den=den), schema), "sketches")
     # names of 64 bits that stand for several sets: about one among 10 billion sets
     clashes = [r["name"] for r in sketched.where("name is not null").groupBy("name").agg(F.min("name2").alias("lo"), F.max("name2").alias("hi")).where("lo <> hi").select("name").collect()]
     sketched = sketched.withColumn("set_id", _named(clashes))
-    of_set = [F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH]]
+    of_set = [F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in SKETCH], F.max("long_sketch").alias("long_sketch")]
     sets = materialize(sketched.where("set_id is not null").groupBy("set_id").agg(*of_set), "sets")
     members = bucket_members(sketched)
 
     def near(pairs: DataFrame) -> DataFrame:
         x, y = sets.alias("x").hint("merge"), sets.alias("y").hint("merge")
         both = pairs.join(x, F.col("a") == F.col("x.set_id")).join(y, F.col("b") == F.col("y.set_id"))
-        return both.where(_close(num, den)).select("a", "b")
+        return both.where(_close(num, den) & _long_close(num, den)).select("a", "b")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
@@ -345,7 +368,7 @@ def link_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
             pairs = centred.where("root <> of").select(F.least("id", "set_id").alias("a"), F.greatest("id", "set_id").alias("b"))
             members = centred.where("set_id <> id").select("key", "set_id")  # a bucket of one component stays one
         else:
-            pairs = close_pairs(materialize(mixed.join(sets.drop("first_id").hint("merge"), "set_id"), "mixed-sketches"), num, den)
+            pairs = close_pairs(materialize(mixed.join(sets.drop("first_id", "long_sketch").hint("merge"), "set_id"), "mixed-sketches"), num, den)
         new = verified(pairs.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
         tested = tested.unionByName(new)
         new = new.where("linked").select("a", "b")

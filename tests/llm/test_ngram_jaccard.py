@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from runlens.llm import ngram_jaccard
@@ -115,3 +116,34 @@ def test_ids_keep_their_type_and_long_texts_pass(spark):
     long = " ".join(f"w{i % 5000}" for i in range(200_000))
     rows = {r.doc_id: r.component_id for r in link_documents(spark.createDataFrame([("b", long), ("a", long + " end"), ("c", "one")], "doc_id string, text string")).collect()}
     assert rows == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_long_sketches_fold_and_bound(spark):
+    rnd = np.random.default_rng(3)
+    both = rnd.integers(0, 2**63, 1800).astype(np.uint64)
+    rows, want = [], []
+    for i in range(60):
+        a = np.unique(np.r_[both[: rnd.integers(600, 1800)], rnd.integers(0, 2**63, rnd.integers(1, 400)).astype(np.uint64)])
+        b = np.unique(np.r_[both[: rnd.integers(600, 1800)], rnd.integers(0, 2**63, rnd.integers(1, 400)).astype(np.uint64)])
+        common = len(np.intersect1d(a, b))
+        want.append(common * 100 >= 80 * (len(a) + len(b) - common))
+        rows.append((i, *(({"n": len(s), "long_sketch": ngram_jaccard.long_sketch(s).tolist()}) for s in (a, b))))
+    side = "struct<n:long,long_sketch:array<long>>"
+    got = {r.i for r in spark.createDataFrame(rows, f"i int, x {side}, y {side}").where(ngram_jaccard._long_close(80, 100)).collect()}
+    assert {i for i, w in enumerate(want) if w} <= got and len(got) < 60
+    long, longer = rows[0][1]["long_sketch"], ngram_jaccard.long_sketch(np.arange(5000, dtype=np.uint64))
+    assert len(long) * 32 >= rows[0][1]["n"] and len(longer) == 256
+
+
+@pytest.mark.parametrize("size", [800, 1100, 2300])
+def test_families_of_long_texts(spark, size):
+    rnd = random.Random(size)
+    base = [f"w{i}" for i in range(size)]
+    docs = []
+    for i in range(12):
+        words = list(base)
+        for _ in range(i * size // 90):
+            words[rnd.randrange(size)] = f"x{rnd.random()}"
+        docs.append((i, " ".join(words[: size - 7 * i]), "en", "s", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_documents(spark.createDataFrame(docs, SCHEMA), 5, 0.8).collect()}
+    assert got == brute(docs, 5, 80)
