@@ -24,7 +24,7 @@ def run_snapshot(nodes: DataFrame, by: list[str]) -> DataFrame:
 def norm_status(raw: Column) -> Column:
     """Words and parts of words to passed or failed; anything else, numbers too, is null."""
     s = F.lower(F.trim(raw))
-    return F.when(s.isin(*rules.PASSED_WORDS), "passed").when(s.isin(*rules.FAILED_WORDS) | s.rlike(rules.FAILED_PART), "failed")
+    return F.when(s.isin(*rules.PASSED_WORDS), "passed").when(s.isin(*rules.FAILED_WORDS) | s.rlike("|".join(rules.FAILED_PARTS)), "failed")
 
 
 def first_rule(text: Column, table: tuple[tuple, ...]) -> Column:

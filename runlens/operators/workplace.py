@@ -49,7 +49,7 @@ def note_units(notes: DataFrame, key: list[str], text: str) -> DataFrame:
 
 def classify_claim(unit: Column, heads: Column, broad: bool = False) -> Column:
     """partial or open, done, or not mentioned, from the unit's words and its headings."""
-    has_open, done = unit.rlike(rules.OPEN_WORDS), unit.rlike(rules.DONE_WORDS)
+    has_open, done = unit.rlike(rules.OPEN_WORDS) | unit.rlike(rules.OPEN_UNKNOWN), unit.rlike(rules.DONE_WORDS)
     open_section = heads.rlike(rules.OPEN_HEAD) & ~(unit.rlike(rules.ANSWERED) & ~has_open)
     implemented = heads.rlike(rules.IMPLEMENT_HEAD_BROAD if broad else rules.IMPLEMENT_HEAD)
     return F.when(open_section | has_open, "claimed_partial_or_open").when(done | implemented, "claimed_done").otherwise("not_mentioned")
@@ -118,12 +118,13 @@ def file_category(path: Column) -> Column:
 
 
 def file_language(path: Column) -> Column:
-    """Language by the file ending; null if it is not known."""
-    end = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    out = F.lit(None).cast("string")
-    for name, ends in rules.LANGUAGES.items():
-        out = F.when(end.isin(*ends), name).otherwise(out)
-    return out
+    """Language by the whole file name, else by the ending; null if neither is known."""
+    known = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    base = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    # a leading dot makes no ending
+    end = F.regexp_extract(base, r"[^.].*\.([^.]+)$|^[^.]\.([^.]+)$", 1)
+    docker = F.when((end == "") & base.startswith("dockerfile"), "Dockerfile")
+    return F.coalesce(F.element_at(known(rules.FILE_NAMES), base), docker, F.element_at(known(rules.LANGUAGES), end))
 
 
 def note_source(runs: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:

@@ -286,7 +286,7 @@ _LABEL = "case node % 7 when 0 then 'Runner_Error' when 1 then 'timed_out' when
 _MESSAGE = "case node % 3 when 0 then 'expected 1' when 1 then 'request Timed Out' else 'none' end"
 
 
-@query("d02_norm_status", "select raw, case when lower(trim(raw)) in ('green','ok','pass','passed','succeeded','success','true') then 'passed' when regexp_matches(lower(trim(raw)), '^(other|pending|red|false)$') or regexp_matches(lower(trim(raw)), '" + rules.FAILED_PART + "') then 'failed' end as status, count(*) as n from (select case node % 9 when 0 then ' Passed ' when 1 then 'FAIL' when 2 then 'ok' when 3 then '17' when 4 then 'infra_error' when 5 then 'red' when 6 then 'was skipped' when 7 then null else status end as raw from v_nodes) t group by raw")
+@query("d02_norm_status", "select raw, case when lower(trim(raw)) in ('green','ok','pass','passed','succeeded','success','true') then 'passed' when regexp_matches(lower(trim(raw)), '^(other|pending|red|false)$') or regexp_matches(lower(trim(raw)), '" + "|".join(rules.FAILED_PARTS) + "') then 'failed' end as status, count(*) as n from (select case node % 9 when 0 then ' Passed ' when 1 then 'FAIL' when 2 then 'ok' when 3 then '17' when 4 then 'infra_error' when 5 then 'red' when 6 then 'was skipped' when 7 then null else status end as raw from v_nodes) t group by raw")
 def d02(v):
     raw = v.v_nodes.select(F.expr("case node % 9 when 0 then ' Passed ' when 1 then 'FAIL' when 2 then 'ok' when 3 then '17' when 4 then 'infra_error' when 5 then 'red' when 6 then 'was skipped' when 7 then null else status end").alias("raw"))
     return raw.groupBy("raw").agg(F.count("*").alias("n")).select("raw", nodes.norm_status(F.col("raw")).alias("status"), "n")
@@ -442,10 +442,13 @@ def f04(v):
     return r6(out.select("unit", "topic", "hits", "features", "score"), "score")
 
 
-_CLAIM = "case when regexp_matches(text, '{o}') then 'claimed_partial_or_open' when regexp_matches(text, '{d}') then 'claimed_done' else 'not_mentioned' end"
+# the SQL engine has no look-ahead: the word for unknown counts if it is still there once all of its harmless uses are gone
+_quoted = lambda pattern: pattern.replace("'", "''")
+_OPEN = f"(regexp_matches(text, '{_quoted(rules.OPEN_WORDS)}') or contains(regexp_replace(text, '(?i)未知{rules.UNKNOWN_KINDS}', '', 'g'), '未知'))"
+_CLAIM = "case when {o} then 'claimed_partial_or_open' when regexp_matches(text, '{d}') then 'claimed_done' else 'not_mentioned' end"
 
 
-@query("f05_classify_claim", "select run, " + _CLAIM.format(o=rules.OPEN_WORDS, d=rules.DONE_WORDS) + " as claim from v_notes")
+@query("f05_classify_claim", "select run, " + _CLAIM.format(o=_OPEN, d=_quoted(rules.DONE_WORDS)) + " as claim from v_notes")
 def f05(v):
     return v.v_notes.select("run", workplace.classify_claim(F.col("text"), F.lit("")).alias("claim"))
 
@@ -944,9 +947,9 @@ def k08(v):
     return longs(reviews.sidecar_log(events, ["run"], ["start_us", "action"], ["action", "tool"]), "place")
 
 
-_F08 = "case when regexp_matches(h, '{o}') and not (regexp_matches(text, '{a}') and not regexp_matches(text, '{w}')) or regexp_matches(text, '{w}') then 'claimed_partial_or_open' when regexp_matches(text, '{d}') or regexp_matches(h, '{i}') then 'claimed_done' else 'not_mentioned' end"
+_F08 = "case when regexp_matches(h, '{o}') and not (regexp_matches(text, '{a}') and not {w}) or {w} then 'claimed_partial_or_open' when regexp_matches(text, '{d}') or regexp_matches(h, '{i}') then 'claimed_done' else 'not_mentioned' end"
 _HEADS = "case run % 4 when 0 then 'Implementation' when 1 then 'Open items' when 2 then 'What changed' else 'Summary' end"
-_f08 = lambda i: _F08.format(o=rules.OPEN_HEAD, a=rules.ANSWERED, w=rules.OPEN_WORDS, d=rules.DONE_WORDS, i=i)
+_f08 = lambda i: _F08.format(o=rules.OPEN_HEAD, a=rules.ANSWERED, w=_OPEN, d=rules.DONE_WORDS, i=i)
 
 
 @query("f08_claims_strict_broad", f"select run, mode, case mode when 'strict' then {_f08(rules.IMPLEMENT_HEAD)} else {_f08(rules.IMPLEMENT_HEAD_BROAD)} end as claim from (select run, text, {_HEADS} as h, unnest(['strict', 'broad']) as mode from v_notes) t")

@@ -92,3 +92,19 @@ def test_patches(spark):
     df = workplace.patch_files(spark.createDataFrame([(1, PATCH)], "run int, patch string"), ["run"], "patch")
     got = df.withColumn("c", workplace.file_category(df["path"])).withColumn("l", workplace.file_language(df["path"])).orderBy("path").collect()
     assert [tuple(r) for r in got] == [(1, "src/x.py", "modified", 2, 1, "production", "Python"), (1, "tests/test_y.py", "deleted", 0, 1, "test", "Python")]
+
+
+def test_languages_by_name_and_ending(spark):
+    cases = {"a/Makefile": "Make", "Dockerfile.dev": None, "x/Dockerfile": "Dockerfile", "CMakeLists.txt": "CMake", "b/BUILD": "Bazel", "src/a.tar.ts": "TypeScript", "q.PY": "Python", "README": None, "a.unknown": None, ".py": None, "dockerfile-dev": "Dockerfile", "t.das": "Daslang", "x.h": "C", "a.r": "R"}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r.path: r.l for r in df.withColumn("l", workplace.file_language(df["path"])).collect()} == cases
+
+
+def test_words_of_claims(spark):
+    open_words = ["my own choice", "no owner", "I chose this", "couldn't", "not defined", "no record", "not possible", "not exercised", "not replied", "not addressed", "nothing was changed", "not changed", "kept the existing", "needs owner", "needs confirmation", "partial fix", "未确认", "需 owner", "未知"]
+    done_words = ["already the case", "now returns x", "new `f`", "✅", "已实现", "新增"]
+    rows = [(t, "", "claimed_partial_or_open") for t in open_words] + [(t, "", "claimed_done") for t in done_words]
+    rows += [("未知字段", "", "not_mentioned"), ("plain", "", "not_mentioned"), ("plain", "not guessed", "claimed_partial_or_open"), ("plain", "风险", "claimed_partial_or_open"), ("answered", "open items", "claimed_done"), ("plain", "代码改动", "claimed_done")]
+    df = spark.createDataFrame(rows, "text string, heads string, want string")
+    wrong = df.where(workplace.classify_claim(df["text"], df["heads"]) != df["want"]).collect()
+    assert wrong == []
