@@ -1,11 +1,11 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A paragraph (a line) is hashed to a wide vector: 8 lanes of 32 random bits that
-depend on the whole line, and 62 lanes that count, over the line's pairs of
+A paragraph (a line) is hashed to a wide vector: 16 lanes of 32 bits, which are
+the line's SHA-512 cut into lanes, and 62 lanes that count, over the line's pairs of
 neighbouring words, how often each bit of the pair's hash is set. A document's
 vector is the sum of its paragraphs' vectors modulo powers of two, so it does
 not depend on their order, and a paragraph is inserted or deleted by adding or
-subtracting its vector. The first lanes tell equality; the cosine of the
+subtracting its vector (``combined``, ``inserted``, ``deleted``). The first lanes tell equality; the cosine of the
 centred counts of two documents is their likeness.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EXACT_LANES = 8
-#: Each long holds two counters of 32 bits. Bit 0 of a code marks the hash of a whole line, so its lane is left out.
+EXACT_LANES = 16
+#: Each long holds two counters of 32 bits; bits 0 and 32 of a pair's hash are left out.
 PACKED = 31
 LOW = 0xFFFFFFFF
 PAIR_OF_BITS = (1 << 32) | 1
@@ -27,19 +27,45 @@ _FIRST = -(1 << 63)
 
 
 def paragraph_codes(line: Column) -> Column:
-    """The line's hash with bit 0 set, then the hashes of its word pairs (the last word alone) without it."""
+    """(code, digest) for the line itself, with its digest alone, and for its word pairs (the last word alone), with their hash alone."""
     hashes = F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
-    pairs = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(-2)))
-    return F.concat(F.array(F.xxhash64(line).bitwiseOR(F.lit(1))), pairs)
+    no_digest, no_code = F.lit(None).cast("string"), F.lit(None).cast("long")
+    pairs = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda a, b: F.struct(F.xxhash64(a, b).alias("code"), no_digest.alias("digest")))
+    return F.concat(F.array(F.struct(no_code.alias("code"), F.sha2(line, 512).alias("digest"))), pairs)
 
 
-def vector_sums(code: Column) -> list[Column]:
+def vector_sums(code: Column, digest: Column) -> list[Column]:
     """Aggregates that add up the vectors of all codes: exact lanes, number of pairs, packed counters."""
-    is_line = code.bitwiseAND(F.lit(1)) == 1
-    exact = [F.sum(F.when(is_line, F.xxhash64(code, F.lit(i)).bitwiseAND(F.lit(LOW))).otherwise(F.lit(0))).alias(f"e{i}") for i in range(EXACT_LANES)]
-    n = F.sum(F.when(is_line, F.lit(0)).otherwise(F.lit(1))).cast("long").alias("n")
-    packed = [F.sum(F.when(is_line, F.lit(0)).otherwise(F.shiftrightunsigned(code, k).bitwiseAND(F.lit(PAIR_OF_BITS)))).alias(f"p{k}") for k in range(1, PACKED + 1)]
-    return [*exact, n, *packed]
+    lane = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+    exact = [F.coalesce(F.sum(F.when(digest.isNotNull(), lane(i))), F.lit(0)).bitwiseAND(F.lit(LOW)).alias(f"e{i}") for i in range(EXACT_LANES)]
+    packed = [F.coalesce(F.sum(F.shiftrightunsigned(code, k).bitwiseAND(F.lit(PAIR_OF_BITS))), F.lit(0)).alias(f"p{k}") for k in range(1, PACKED + 1)]
+    return [*exact, F.count(code).alias("n"), *packed]
+
+
+#: The columns that make up a fingerprint.
+VECTOR = [*(f"e{i}" for i in range(EXACT_LANES)), "n", *(f"p{k}" for k in range(1, PACKED + 1))]
+
+
+def combined(left: DataFrame, right: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
+    """The vectors of ``left`` with those of the same keys of ``right`` added (sign 1) or taken away (sign -1).
+
+    Keys that ``right`` lacks keep their vector. ``right`` has each key once at
+    most; a null key meets none. What is taken away must have been added before.
+    """
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in VECTOR])
+    both = left.join(other.hint("merge"), [F.col(k) == F.col(f"__{k}") for k in keys], "left")
+    total = lambda c: F.col(c) + sign * F.coalesce(F.col(f"__{c}"), F.lit(0))
+    return both.select(*[c for c in left.columns if c not in VECTOR], *[(total(c).bitwiseAND(F.lit(LOW)) if c.startswith("e") else total(c)).alias(c) for c in VECTOR])
+
+
+def inserted(vectors: DataFrame, paragraphs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """The vectors after the paragraphs of ``paragraphs`` (rows of keys and text) were put into their documents."""
+    return combined(vectors, fingerprints(paragraphs, keys, text_col), keys)
+
+
+def deleted(vectors: DataFrame, paragraphs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """The vectors after the paragraphs of ``paragraphs`` (rows of keys and text) were taken out of their documents."""
+    return combined(vectors, fingerprints(paragraphs, keys, text_col), keys, -1)
 
 
 def _hex(value: Column, digits: int) -> Column:
@@ -68,10 +94,10 @@ def likeness(fa: Column, a: Column, fb: Column, b: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys`` (unique together), the vector's sums for each row of ``texts``. Null texts count as empty."""
+    """``keys`` and the vector's sums of the texts of each key. Null texts count as empty."""
     lines = texts.select(*keys, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
-    codes = lines.select(*keys, F.explode(paragraph_codes(F.col("line"))).alias("code"))
-    return codes.groupBy(*keys).agg(*vector_sums(F.col("code")))
+    codes = lines.select(*keys, F.explode(paragraph_codes(F.col("line"))).alias("__c"))
+    return codes.groupBy(*keys).agg(*vector_sums(F.col("__c.code"), F.col("__c.digest")))
 
 
 def _run_of(order: Column, starts: list[int]) -> Column:

@@ -1,5 +1,6 @@
 """Small tests of the other operators: brute force, round trips, and edge cases (nulls, empty texts, repeats, clashing columns)."""
 
+import functools
 import hashlib
 import random
 import re
@@ -230,6 +231,36 @@ def test_toxicity(spark, edge):
     assert len(bare) == len(EDGE)
 
 
+def brute_fingerprint(text):
+    """The string and the centred counts, lane by lane."""
+    hashed = lambda *parts: functools.reduce(lambda seed, p: xxhash.xxh64(p, seed=seed).intdigest(), parts, 42)
+    exact, ones, n = [0] * 16, [0] * 64, 0
+    for line in text.split("\n"):
+        digest = hashlib.sha512(line.encode()).digest()
+        exact = [(e + int.from_bytes(digest[4 * i : 4 * i + 4], "big")) % 2**32 for i, e in enumerate(exact)]
+        words = [hashed(w.encode()) for w in line.split(" ") if w]
+        for a, b in zip(words, [*words[1:], None]):
+            code = hashed(*(struct.pack("<Q", x) for x in (a, b) if x is not None))
+            n += 1
+            ones = [c + (code >> i & 1) for i, c in enumerate(ones)]
+    packed = [ones[k] + (ones[k + 32] << 32) for k in range(1, 32)]
+    counts = [2 * c - n for k in range(1, 32) for c in (ones[k], ones[k + 32])]
+    return "".join(f"{e:08x}" for e in exact) + f"{n:08x}" + "".join(f"{p:016x}" for p in packed), np.array(counts, float)
+
+
+def test_insertion_deletion_and_union(spark):
+    texts = [(1, "one two\nthree four\nfive"), (2, "a b"), (3, "")]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    strings = lambda vectors: {r.doc_id: r.f for r in vectors.select("doc_id", fingerprint.fingerprint_string().alias("f")).collect()}
+    part = lambda rows: fingerprint.fingerprints(df(rows), ["doc_id"])
+    whole = part(texts)
+    grown = fingerprint.inserted(whole, df([(1, "six seven"), (1, "eight"), (2, "c")]), ["doc_id"])
+    assert strings(grown) == strings(part([(1, "six seven\nfive\none two\nthree four\neight"), (2, "c\na b"), (3, "")]))
+    assert strings(fingerprint.deleted(grown, df([(1, "eight"), (1, "six seven"), (2, "c")]), ["doc_id"])) == strings(whole)
+    assert strings(fingerprint.deleted(whole, df([(1, "three four")]), ["doc_id"]))[1] == strings(part([(1, "five\none two")]))[1]
+    assert strings(fingerprint.combined(part([(1, "x y")]), part([(1, "z\nx")]), ["doc_id"])) == strings(part([(1, "z\nx y\nx")]))
+
+
 def test_fingerprints(spark, edge):
     docs = [(i, t) for i, t, *_ in EDGE if i] + [(8, "b line\na line x"), (9, "a line x\nb line")]
     rows = sorted(fingerprint.compare_with_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
@@ -239,9 +270,12 @@ def test_fingerprints(spark, edge):
         t, after = t or "", docs[(k + 1) % len(docs)][1] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert (rows[k].doc_id, rows[k].n_chars, rows[k].edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        lines = [xxhash.xxh64(x.encode(), seed=42).intdigest() | 1 for x in t.split("\n")]
-        first = sum(xxhash.xxh64((0).to_bytes(4, "little"), seed=xxhash.xxh64(c.to_bytes(8, "little"), seed=42).intdigest()).intdigest() & 0xFFFFFFFF for c in lines) % 2**32
-        assert rows[k].fingerprint[:8] == f"{first:08x}"
+        assert rows[k].fingerprint == brute_fingerprint(t)[0] and rows[k].edited_fingerprint == brute_fingerprint(edited)[0]
+        for other, got in ((edited, rows[k].near_edited), (after, rows[k].near_next)):
+            (f, x), (g, y) = brute_fingerprint(t), brute_fingerprint(other)
+            norm = np.sqrt((x @ x) * (y @ y))
+            want = 1.0 if f == g else float(np.clip(x @ y / norm, 0, 1)) if norm else 0.0
+            assert abs(got - want) < 1e-9
     by = {r.doc_id: r for r in rows}
     assert by[8].fingerprint == by[9].fingerprint and by[8].near_next == 1  # the order of paragraphs does not matter
     assert by[2].near_next == 1 and by[1].near_next == 0
