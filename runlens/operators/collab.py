@@ -67,7 +67,7 @@ def redundancy(questions: DataFrame, facts: DataFrame) -> DataFrame:
 def texts_with_card(cards: DataFrame, tokens: DataFrame, by: list[str]) -> DataFrame:
     """Which cards occur among the tokens of the same run."""
     there = tokens.select(*by, "card").distinct().withColumn("__there", F.lit(True))
-    return cards.join(there, [*by, "card"], "left").withColumn("seen", F.coalesce("__there", F.lit(False))).drop("__there")
+    return cards.join(there.hint("merge"), [*by, "card"], "left").withColumn("seen", F.coalesce("__there", F.lit(False))).drop("__there")
 
 
 def requirement_stage(holder: Column, seen: Column, read_doc: Column, disclosure: Column) -> Column:
@@ -119,7 +119,7 @@ def chain_positions(items: DataFrame, by: list[str], order: list[str], item: str
 
 def docs_fetched(cards: DataFrame, public: DataFrame) -> DataFrame:
     """The distinct document keys in a run's arguments that are keys of public documents."""
-    return cards.distinct().join(public.select("card").distinct(), "card", "left_semi")
+    return cards.distinct().join(public.select("card").distinct().hint("merge"), "card", "left_semi")
 
 
 def node_rows(nodes: DataFrame, links: DataFrame, stages: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def outcome_macro(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 def rate_histogram(runs: DataFrame, rate: str) -> DataFrame:
     """Ten bins of ten points, 100 in the last; empty bins have 0."""
     bins = runs.where(F.col(rate).isNotNull()).groupBy(F.floor(F.least(F.col(rate) * 100, F.lit(99.999)) / 10).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    return runs.sparkSession.range(10).toDF("bin").join(bins, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return runs.sparkSession.range(10).toDF("bin").join(bins.hint("merge"), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def effort_quantiles(df: DataFrame, by: list[str], col: str) -> DataFrame:

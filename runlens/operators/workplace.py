@@ -79,8 +79,8 @@ def topic_match(topics: DataFrame, units: DataFrame, by: list[str], least: int =
     topics: by, topic, feature. units: by, unit, feature.
     """
     size = topics.groupBy(*by, "topic").agg(F.count_distinct("feature").alias("features"))
-    hits = topics.distinct().join(units.distinct(), [*by, "feature"]).groupBy(*by, "topic", "unit").agg(F.count("*").alias("hits"))
-    return hits.join(size, [*by, "topic"]).where(F.col("hits") >= least).withColumn("score", F.col("hits") / F.col("features"))
+    hits = topics.distinct().join(units.distinct().hint("merge"), [*by, "feature"]).groupBy(*by, "topic", "unit").agg(F.count("*").alias("hits"))
+    return hits.join(size.hint("merge"), [*by, "topic"]).where(F.col("hits") >= least).withColumn("score", F.col("hits") / F.col("features"))
 
 
 def question_deciles(asks: DataFrame, spans: DataFrame, by: list[str], at: str) -> DataFrame:
