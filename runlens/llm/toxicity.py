@@ -191,7 +191,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts are scored as texts without features. Labels that are null, other
     than 0 and 1 or contradictory for an id are left out. Without labels the
     lexicon is empty and the seeds and patterns alone decide. Repeated rows
-    each get a row; an empty table gives an empty result.
+    each get a row; an empty table gives an empty result. Ids keep their type;
+    further columns are left out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -207,7 +208,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast((index, voter))  # at most MAX_TERMS terms
 
     featured = docs.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "text")
-    featured = featured.mapInArrow(partial(_feature_batches, model=shared), "doc_id long, held_out boolean, votes int, features array<int>")
+    # the id keeps its own type
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    featured = featured.mapInArrow(partial(_feature_batches, model=shared), f"doc_id {ident}, held_out boolean, votes int, features array<int>")
     featured = materialize(featured, "votes")
     counts = np.zeros(1 << VOTERS)
     for r in featured.groupBy("votes").count().collect():  # at most 2 ** VOTERS rows
@@ -226,7 +229,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     w, bias = fit_classifier(rows, target, len(voter))
 
     shared = spark.sparkContext.broadcast((w, bias))
-    scored = featured.mapInArrow(partial(_score_batches, model=shared), "doc_id long, held_out boolean, votes int, z double")
+    scored = featured.mapInArrow(partial(_score_batches, model=shared), f"doc_id {ident}, held_out boolean, votes int, z double")
     score = 1 / (1 + F.exp(-F.col("z")))
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "votes")
 

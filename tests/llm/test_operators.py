@@ -215,6 +215,14 @@ def test_pii_documents(spark, edge):
     assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted((str(i), t or "") for i, t, *_ in EDGE)
 
 
+def test_toxicity_keeps_ids_of_text(spark):
+    docs = spark.createDataFrame([("a", "you idiot", 1), ("b", "a calm day", 2), ("b", None, 3), (None, "", 4)], "doc_id string, text string, votes int")
+    out = toxicity.score_documents(docs, spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int"))
+    assert dict(out.dtypes)["doc_id"] == "string"
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["None", "a", "b", "b"]
+    assert out.limit(0).count() == 0
+
+
 def test_toxicity(spark, edge):
     rnd, words = random.Random(4), [f"w{chr(97 + i)}{chr(97 + j)}rd" for i in range(20) for j in range(20)]
     docs, labels = [], []
