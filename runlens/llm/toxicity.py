@@ -37,6 +37,8 @@ LEXICONS = 8
 VOTERS = LEXICONS + 4
 #: Labelled rows that the lexicon and the classifier are fitted on, those with the least hash of the id.
 MAX_SAMPLE = 20_000
+#: Unlabelled training documents that the classifier learns from by their posteriors, those with the least hash of the id.
+MAX_UNLABELLED = 20_000
 #: Terms of the lexicon, those with the highest likelihood ratio.
 MAX_TERMS = 4096
 MIN_RATIO = 14.0
@@ -184,7 +186,7 @@ def fit_classifier(rows: list[list[int]], target: np.ndarray, n_features: int, r
     return w, bias
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_sample: int = MAX_SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_sample: int = MAX_SAMPLE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, votes.
 
     Learns labels only from ids whose crc32 mod 5 is not 0. Null and empty
@@ -220,8 +222,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     np.add.at(by_class, (seen["votes"].to_numpy(np.int64), seen["toxic"].to_numpy(np.int64)), 1)
     counts = np.maximum(counts - by_class.sum(1), 0)  # the labelled ones count once, with their class
     posterior, _ = fit_label_model(counts, by_class)
-    rows = [list(f) for f in seen["features"]]
-    target = posterior[seen["votes"].to_numpy(np.int64)] if len(seen) else np.empty(0)
+    # unlabelled training documents teach by their posteriors alone; at most max_unlabelled rows of features
+    others = featured.where(~F.col("held_out")).join(F.broadcast(chosen), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
+    others = others.select("votes", "features").toPandas()
+    rows = [list(f) for part in (seen, others) for f in part["features"]]
+    target = posterior[np.concatenate([seen["votes"].to_numpy(np.int64), others["votes"].to_numpy(np.int64)])]
     if not rows or not terms:  # nothing to train on: the patterns that occur stand in for documents
         at = np.flatnonzero(counts)
         rows = [[len(index) + i for i in range(VOTERS - LEXICONS) if p >> (LEXICONS + i) & 1] for p in at]
