@@ -78,3 +78,19 @@ def committed_unseen(released: DataFrame, seen: DataFrame, tokens: DataFrame, ke
     """C14: released items that never appeared, with the number of lines in which their id occurs literally."""
     occurs = tokens.groupBy(*key).agg(F.count("*").alias("lines"))
     return never_seen(released, seen, key).join(occurs, key, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
+# Kinds of sidecar events.
+AVAILABILITY = ("availability_deferred", "availability_followup_counted", "availability_opened")
+UNBOUND = ("colleague_model_failed_closed", "conversation_transaction_rolled_back")
+
+
+def availability(events: DataFrame, kind: str, questions: DataFrame, key: list[str], action: str) -> DataFrame:
+    """Deferral-gate events with all their counters and times, and the action of their question if exactly one has that id."""
+    once = questions.groupBy(*key).agg(F.count("*").alias("__n"), F.min(action).alias("question_action")).where("__n = 1").drop("__n")
+    return events.where(F.col(kind).isin(*AVAILABILITY)).join(once, key, "left")
+
+
+def unbound_failures(events: DataFrame, kind: str) -> DataFrame:
+    """Failures and rollbacks; they carry no id of a call or question, and time alone binds nothing."""
+    return events.where(F.col(kind).isin(*UNBOUND)).withColumn("binding_status", F.lit("unbound"))

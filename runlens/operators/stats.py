@@ -141,6 +141,34 @@ def model_compare(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("metric").agg(F.count("value").alias("models"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
+def model_table(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """A row per model and a row Mean, which skips nulls, with a column per metric; two summaries of one model are an error.
+
+    metrics: model, metric, value.
+    """
+    cell = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("more than one summary of model "), F.col("model")))).otherwise(F.max("value"))
+    single = metrics.where(F.col("metric").isin(*names)).groupBy("model", "metric").agg(cell.alias("value"))
+    column = lambda of: [of(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names]
+    models = single.groupBy("model").agg(*column(F.max))
+    return models.unionByName(single.agg(*column(F.avg)).withColumn("model", F.lit("Mean")))
+
+
+def tool_totals(breakdown: DataFrame, tool: str = "tool", calls: str = "calls", errors: str = "n_error") -> DataFrame:
+    """Calls, error calls and runs of each tool, of a row per run and tool."""
+    return breakdown.groupBy(tool).agg(F.sum(calls).alias("calls"), F.sum(errors).alias("errors"), F.count("*").alias("runs"))
+
+
+def end_reasons(runs: DataFrame, reason: str) -> DataFrame:
+    """Runs by end reason, a missing one included."""
+    return runs.groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("runs"))
+
+
+def failure_class_counts(nodes: DataFrame) -> DataFrame:
+    """Failed nodes by class, those of f2p and p2p apart. nodes: node_class, status, failure_class."""
+    counts = [F.count_if(F.col("node_class") == k).alias(k) for k in ("f2p", "p2p")]
+    return nodes.where((F.col("status") == "failed") & F.col("node_class").isin("f2p", "p2p")).groupBy("failure_class").agg(*counts)
+
+
 def regression_check(stats: DataFrame, expected: DataFrame) -> DataFrame:
     """Shared names whose formatted values agree, commas and blanks removed."""
     bare = lambda c: F.translate(F.col(c), ", ", "")

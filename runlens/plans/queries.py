@@ -617,7 +617,7 @@ def j23(v):
 
 @query("j24_failure_class_counts", f"select failure_class, count(case when node_class = 'f2p' then 1 end) as f2p, count(case when node_class = 'p2p' then 1 end) as p2p from (select node_class, {_D09.format(l=_LABEL)} as failure_class from v_nodes where status = 'failed') t group by failure_class")
 def j24(v):
-    return _failed(v).groupBy("failure_class").pivot("node_class", ["f2p", "p2p"]).agg(F.count("node")).select("failure_class", F.coalesce("f2p", F.lit(0)).alias("f2p"), F.coalesce("p2p", F.lit(0)).alias("p2p"))
+    return stats.failure_class_counts(_failed(v))
 
 
 @query("j26_case_selection", _RATE + "select domain, run, f2p_total - f2p_passed as failed from (select *, row_number() over (partition by domain order by f2p_total - f2p_passed desc, run) as rn from rr) t where rn = 1")
