@@ -231,3 +231,19 @@ def claim_stats(claims: DataFrame, nodes: DataFrame, by: list[str], req: str) ->
     share = F.try_divide("silent", "failed")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scored", "claimed_done", "failed", "silent", "listed_open", "functional", "build_or_load", "other")]
     return per_run.agg(*sums, F.count_if(F.col("failed") > 0).alias("runs_with_failures"), F.median(share).alias("median_silent_share"), F.count_if(share > 0).alias("runs_silent"), F.count_if(share >= 0.5).alias("runs_half_silent"))
+
+
+def reviewer_usage(records: DataFrame, by: list[str], response: str, seq: list[str], usage: list[str]) -> DataFrame:
+    """Requests, responses, those with usage, and the sums of the ``usage`` columns per run.
+
+    A response has several snapshots; the last one that reports any usage
+    counts as a whole, what it leaves out as 0. A record without a response id
+    counts as a request only. Without any usage a run's sums are null.
+    """
+    reports = reduce(Column.__or__, [F.col(c).isNotNull() for c in usage])
+    told = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in usage])
+    last = F.max_by(told, F.when(reports, F.struct(*seq))).alias("last")
+    per = records.groupBy(*by, response).agg(F.count("*").alias("n"), last)
+    known = F.col(response).isNotNull()
+    sums = [F.sum(F.when(known, F.col(f"last.{c}"))).alias(c) for c in usage]
+    return per.groupBy(*by).agg(F.sum("n").alias("requests"), F.count(response).alias("responses"), F.count_if(known & F.col("last").isNotNull()).alias("with_usage"), *sums)

@@ -21,6 +21,17 @@ def rate_histogram(runs: DataFrame, rate: str) -> DataFrame:
     return runs.sparkSession.range(10).toDF("bin").join(bins.hint("merge"), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def rate_marks(runs: DataFrame, rate: str) -> DataFrame:
+    """Runs with 90 points or more, runs under 25, runs that keep all p2p nodes, and the median rate."""
+    r, kept = F.col(rate), F.col("p2p_passed") == F.col("p2p_total")
+    return runs.agg(F.count_if(r >= 0.9).alias("high"), F.count_if(r < 0.25).alias("low"), F.count_if(kept).alias("p2p_kept"), F.median(r).alias("median"))
+
+
+def flagged_rows(runs: DataFrame, key: list[str], flag: str) -> DataFrame:
+    """The runs that the sensitivity cohort leaves out."""
+    return runs.where(flag).select(*key)
+
+
 def effort_quantiles(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """N, median and quartiles with linear interpolation."""
     q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -37,6 +48,12 @@ def pass_by_state(nodes: DataFrame, state: str) -> DataFrame:
     return nodes.groupBy(state).agg(F.count("*").alias("n"), F.avg((F.col("status") == "passed").cast("int")).alias("rate"))
 
 
+def confidence_counts(nodes: DataFrame, confidence: str) -> DataFrame:
+    """Nodes, graded ones and unresolved ones by the confidence of their link."""
+    open_ = F.col("status") == "unresolved"
+    return nodes.groupBy(confidence).agg(F.count("*").alias("n"), F.count_if(~open_).alias("graded"), F.count_if(open_).alias("unresolved"))
+
+
 def paired_gap(nodes: DataFrame, by: list[str], side: str) -> DataFrame:
     """Per run the pass rate with ``side`` less that without it, where both exist; mean, median, signs, signed-rank sum."""
     ok = (F.col("status") == "passed").cast("int")

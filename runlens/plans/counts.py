@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import comms, stats, telemetry
-from runlens.plans.queries import _L, _models, query, r6
+from runlens.operators import comms, reviews, stats, telemetry
+from runlens.plans.queries import _L, _RATE, _models, _runs, query, r6
 
 #: A call's results by its actions: one in five has none, some say that they failed, some show it.
 _CALLS = """with r as (select run, tool, args, case when end_us % 5 <> 0 then is_error end as said, case when end_us % 5 <> 0 then end_us % 3 = 0 end as other from v_actions),
@@ -74,3 +74,32 @@ def j23_reasons(v):
 @query("l02_model_table", _L + "select model, round(max(case when metric = 'chars' then value end), 6) as chars, round(max(case when metric = 'notes' then value end), 6) as notes from m group by model union all select 'Mean', round(avg(case when metric = 'chars' then value end), 6), round(avg(case when metric = 'notes' then value end), 6) from m")
 def l02_table(v):
     return r6(stats.model_table(_models(v), ["chars", "notes"]), "chars", "notes")
+
+
+@query("j02_flagged_rows", _RATE + "select run from rr where flagged")
+def j02_flagged(v):
+    return stats.flagged_rows(_runs(v), ["run"], "flagged")
+
+
+@query("j03_rate_marks", _RATE + "select count(case when f2p_rate >= 0.9 then 1 end) as high, count(case when f2p_rate < 0.25 then 1 end) as low, count(case when p2p_passed = p2p_total then 1 end) as p2p_kept, round(median(f2p_rate), 6) as median from rr")
+def j03_marks(v):
+    return r6(stats.rate_marks(_runs(v), "f2p_rate"), "median")
+
+
+@query("j09_confidence_counts", "select case node % 4 when 0 then 'low' when 1 then 'medium' else 'high' end as confidence, count(*) as n, count(case when node % 5 <> 0 then 1 end) as graded, count(case when node % 5 = 0 then 1 end) as unresolved from v_nodes group by 1")
+def j09_confidence(v):
+    confidence = F.when(F.col("node") % 4 == 0, "low").when(F.col("node") % 4 == 1, "medium").otherwise("high")
+    status = F.when(F.col("node") % 5 == 0, "unresolved").otherwise(F.col("status"))
+    return stats.confidence_counts(v.v_nodes.withColumns({"confidence": confidence, "status": status}), "confidence")
+
+
+_H05 = """with u as (select run, nullif(node, case when node % 11 = 0 then node end) as response, ord2, ord3, case when ord2 % 3 <> 0 then ord1 end as input, case when ord2 % 5 <> 0 then ord2 end as output from v_records),
+l as (select *, row_number() over (partition by run, response order by ord2 desc, ord3 desc) as rn from u where response is not null and (input is not null or output is not null))
+select s.run, s.requests, s.responses, coalesce(t.with_usage, 0) as with_usage, t.input, t.output from (select run, count(*) as requests, count(distinct response) as responses from u group by run) s
+left join (select run, count(*) as with_usage, cast(sum(coalesce(input, 0)) as bigint) as input, cast(sum(coalesce(output, 0)) as bigint) as output from l where rn = 1 group by run) t using (run)"""
+
+
+@query("h05_reviewer_usage_snapshots", _H05)
+def h05_snapshots(v):
+    records = v.v_records.select("run", "ord2", "ord3", F.when(F.col("node") % 11 != 0, F.col("node")).alias("response"), F.when(F.col("ord2") % 3 != 0, F.col("ord1")).alias("input"), F.when(F.col("ord2") % 5 != 0, F.col("ord2")).alias("output"))
+    return reviews.reviewer_usage(records, ["run"], "response", ["ord2", "ord3"], ["input", "output"])

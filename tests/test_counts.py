@@ -2,7 +2,7 @@
 
 import pytest
 
-from runlens.operators import comms, stats, telemetry
+from runlens.operators import comms, reviews, stats, telemetry
 
 
 def test_call_flags_and_breakdown(spark):
@@ -37,3 +37,14 @@ def test_model_table(spark):
     assert {tuple(r) for r in stats.model_table(metrics, ["n", "m"]).select("model", "n", "m").collect()} == {("x", 1.0, None), ("y", 3.0, 5.0), ("Mean", 2.0, 5.0)}
     with pytest.raises(Exception, match="more than one summary of model x"):
         stats.model_table(metrics.union(metrics.where("model = 'x'")), ["n", "m"]).collect()
+
+
+def test_reviewer_usage_takes_the_last_snapshot_with_usage(spark):
+    rows = [(1, "a", 1, 10, 1), (1, "a", 2, 20, None), (1, "a", 3, None, None), (1, "b", 1, 5, 5), (1, None, 9, 99, 99), (2, "c", 1, None, None)]
+    found = reviews.reviewer_usage(spark.createDataFrame(rows, "run long, id string, seq long, i long, o long"), ["run"], "id", ["seq"], ["i", "o"])
+    assert {tuple(r) for r in found.select("run", "requests", "responses", "with_usage", "i", "o").collect()} == {(1, 5, 2, 2, 25, 5), (2, 1, 1, 0, None, None)}
+
+
+def test_rate_marks(spark):
+    runs = spark.createDataFrame([(1.0, 2, 2), (0.9, 1, 2), (0.25, 0, 0), (0.2, 3, 3), (None, 1, 1)], "rate double, p2p_passed long, p2p_total long")
+    assert tuple(stats.rate_marks(runs, "rate").first()) == (2, 1, 4, 0.575)
