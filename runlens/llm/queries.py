@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import bpe, decontaminate, fingerprint, language_id, license_scan, ngram_jaccard, pii, sharding, toxicity, url_filter
+from runlens.llm import alignment, bpe, clustering, decontaminate, fingerprint, language_id, license_scan, ngram_jaccard, pii, quality, sharding, toxicity, url_filter
 from runlens.llm.common import table
 
 
@@ -50,10 +50,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_toxicity, op3_pii, op4_ngram_jaccard, op5_sharding, op6_fingerprint, op7_license_scan, op8_language_id, op9_byte_bpe, op10_decontamination)
+    ops = (op1_url_filter, op2_toxicity, op3_pii, op4_ngram_jaccard, op5_sharding, op6_fingerprint, op7_license_scan, op8_language_id, op9_byte_bpe, op10_decontamination, op11_centroid_clustering, op12_tokenizer_alignment, op13_quality)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle_sql(), "op4_ngram_jaccard": ngram_jaccard.oracle_sql(3, 0.9), "op10_decontamination": decontaminate.oracle_sql()}
+    return {"op1_url_filter": url_filter.oracle_sql(), "op4_ngram_jaccard": ngram_jaccard.oracle_sql(3, 0.9), "op10_decontamination": decontaminate.oracle_sql(), "op11_centroid_clustering": clustering.oracle_sql()}
