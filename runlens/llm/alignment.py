@@ -36,7 +36,7 @@ from runlens.llm.common import SLICE, materialize, slices
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a range.
-CHUNK = 16_384
+CHUNK = 1 << 16
 #: Fragments composed by one group of a step.
 FAN = 8
 #: Pairs at most whose counts every task gets; those of the rest are joined.
@@ -215,8 +215,10 @@ def whole(x: tuple, one: Side, two: Side) -> tuple:
 _IDS = T.ArrayType(T.IntegerType())
 _CODES = T.ArrayType(T.LongType())
 _FRAGMENT = [("ok", T.BooleanType()), ("cut", T.BooleanType()), ("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("shown", T.StringType()), ("codes", _CODES), ("pa", _IDS), ("pb", _IDS), ("sa", _IDS), ("sb", _IDS)]
-_PLACE = [("key", T.LongType()), ("chunk", T.LongType())]
-_ROW = T.StructType([T.StructField(n, t) for n, t in [*_PLACE, *_FRAGMENT]])
+
+
+def _fragment_type(ident: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in [("key", T.LongType()), ("chunk", T.LongType()), ("doc_id", ident), *_FRAGMENT]])
 
 
 def _aligned_type(ident: T.DataType) -> T.StructType:
@@ -233,7 +235,7 @@ def _fragment_batch(head: list[pa.Array], found: list[tuple]) -> pa.RecordBatch:
     columns = [list(c) for c in zip(*found)] or [[] for _ in _FRAGMENT]
     kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [_lists(columns[6], pa.int64())] + [_lists(c, pa.int32()) for c in columns[7:]]
-    return pa.RecordBatch.from_arrays([*head, *arrays], names=_ROW.names)
+    return pa.RecordBatch.from_arrays([*head, *arrays], names=["key", "chunk", "doc_id", *(n for n, _ in _FRAGMENT)])
 
 
 def _whole_batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
@@ -264,28 +266,27 @@ def _short_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str)
 
 
 def _range_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> key, chunk, low, high, window; a batch for each text."""
+    """(key, doc_id, text) -> key, chunk, doc_id, low, high, window; a text's ranges in batches of their own."""
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = " " + text.as_py()
+        for row, key in enumerate(batch.column(0).to_pylist()):
+            text = " " + batch.column(2)[row].as_py()
             cut = cut_ranges(text, size)
             windows = [text[q:r] for _, _, q, r in cut]
             lows = [len(text[q:s].encode()) for s, _, q, _ in cut]
             highs = [lo + len(text[s:e].encode()) for lo, (s, e, _, _) in zip(lows, cut)]
             for i in range(0, len(cut), FEW):
                 n = len(windows[i : i + FEW])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array(range(i, i + n), pa.int64()), pa.array(lows[i : i + FEW], pa.int64()), pa.array(highs[i : i + FEW], pa.int64()), pa.array(windows[i : i + FEW], pa.string())],
-                    names=["key", "chunk", "low", "high", "window"],
-                )
+                place = [pa.array([key] * n, pa.int64()), pa.array(range(i, i + n), pa.int64()), batch.column(1).take(pa.array([row] * n))]
+                window = [pa.array(lows[i : i + FEW], pa.int64()), pa.array(highs[i : i + FEW], pa.int64()), pa.array(windows[i : i + FEW], pa.string())]
+                yield pa.RecordBatch.from_arrays([*place, *window], names=["key", "chunk", "doc_id", "low", "high", "window"])
 
 
 def _long_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, FEW):
             part = batch.slice(start, FEW)
-            found = _fragments(part.column(4).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy(), a_path, b_path)
-            yield _fragment_batch([part.column(0), part.column(1)], found)
+            found = _fragments(part.column(5).to_pylist(), part.column(3).to_numpy(), part.column(4).to_numpy(), a_path, b_path)
+            yield _fragment_batch(part.columns[:3], found)
 
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple:
@@ -300,7 +301,7 @@ def _compose_group(group: pa.Table, a_path: str, b_path: str) -> pa.Table:
     made = _read(batch, 0)
     for i in range(1, batch.num_rows):
         made = compose(made, _read(batch, i), one, two)
-    head = [pa.array([batch.column("key")[0].as_py()], pa.int64()), pa.array([batch.column("chunk")[0].as_py() // FAN], pa.int64())]
+    head = [pa.array([batch.column("key")[0].as_py()], pa.int64()), pa.array([batch.column("chunk")[0].as_py() // FAN], pa.int64()), batch.column("doc_id").slice(0, 1)]
     return pa.Table.from_batches([_fragment_batch(head, [made])])
 
 
@@ -358,28 +359,31 @@ def _look_up_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> It
 
 
 def align_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """key, doc_id, n_a, n_b, n_groups, n_links, groups, and codes and times of the distinct links of every row, as a table.
+    """doc_id, n_a, n_b, n_groups, n_links, groups, and codes and times of the distinct links of every row.
 
     A link's code is its id of A times the number of B's ids, plus its id of B.
     """
-    paths = {"a_path": str(a_path or public_tokenizers.path(A_FILE)), "b_path": str(b_path or public_tokenizers.path(B_FILE))}
+    paths = _paths(a_path, b_path)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = _aligned_type(given.schema["doc_id"].dataType)
+    ident = given.schema["doc_id"].dataType
+    schema, pieces_of = _aligned_type(ident), _fragment_type(ident)
     is_long = F.coalesce(F.length("text"), F.lit(0)) > CHUNK
     short = given.where(~is_long).mapInArrow(partial(_short_batches, **paths), schema)
 
-    long = materialize(given.where(is_long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "long")
-    ranges = materialize(long.select("key", "text").mapInArrow(partial(_range_batches, size=CHUNK), "key long, chunk long, low long, high long, window string"), "ranges")
+    window = T.StructType([*pieces_of.fields[:3], T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("window", T.StringType())])
+    ranges = given.where(is_long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(partial(_range_batches, size=CHUNK), window)
     # ranges of one text are dealt over the tasks
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    level = materialize(ranges.repartition(parts, "key", "chunk").mapInArrow(partial(_long_batches, **paths), _ROW), "fragments")
+    level = materialize(ranges.repartition(parts, "key", "chunk").mapInArrow(partial(_long_batches, **paths), pieces_of), "fragments")
     deepest = level.agg(F.max("chunk")).first()[0] or 0
     while deepest > 0:
-        level = materialize(level.groupBy("key", F.floor(F.col("chunk") / FAN).alias("part")).applyInArrow(lambda group: _compose_group(group, **paths), _ROW), "fragments")
+        level = materialize(level.groupBy("key", F.floor(F.col("chunk") / FAN).alias("part")).applyInArrow(lambda group: _compose_group(group, **paths), pieces_of), "fragments")
         deepest //= FAN
-    named = level.hint("shuffle_hash").join(long.select("key", "doc_id"), "key")
-    ends = named.select("doc_id", *_ROW.names).mapInArrow(partial(_finish_batches, **paths), schema)
-    return materialize(short.unionByName(ends).select(F.monotonically_increasing_id().alias("key"), "*"), "aligned")
+    return short.unionByName(level.mapInArrow(partial(_finish_batches, **paths), schema))
+
+
+def _paths(a_path: str | None, b_path: str | None) -> dict[str, str]:
+    return {"a_path": str(a_path or public_tokenizers.path(A_FILE)), "b_path": str(b_path or public_tokenizers.path(B_FILE))}
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -408,8 +412,12 @@ def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result. Further columns are left out.
     """
     spark = docs.sparkSession
-    width = len(pieces(str(b_path or public_tokenizers.path(B_FILE))).table)
-    aligned = align_texts(docs, id_col, text_col, a_path, b_path)
+    paths = _paths(a_path, b_path)
+    width = len(pieces(paths["b_path"]).table)
+    narrow = width * len(byte_level(paths["a_path"]).table) < 1 << 31
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    columns = [F.monotonically_increasing_id().alias("key"), "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, F.col("codes").cast("array<int>" if narrow else "array<long>"), "times"]
+    aligned = materialize(align_texts(docs, id_col, text_col, a_path, b_path).select(*columns), "aligned")
     counts = pair_counts(aligned)
     of_a: Column = F.expr(f"code div {width}")
     # one row for each id of A: bounded by its vocabulary
@@ -424,7 +432,6 @@ def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = rare.hint("merge").join(judged.where(F.col("n") < least), "code").groupBy("key")
     rare = rare.agg(F.sum(F.col("times") * F.col("top")).alias("best_rest"), F.sum(F.col("times") * F.col("n")).alias("sum_rest"))
     summed = seen.select("key", "n_best", "count_sum").hint("merge").join(rare, "key", "left")
-    numbers = aligned.select("key", "doc_id", "n_a", "n_b", "n_groups", "n_links", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
-    out = numbers.hint("merge").join(summed, "key")
+    out = aligned.drop("codes", "times").hint("merge").join(summed, "key")
     total = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0))).alias(x)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", total("n_best", "best_rest"), total("count_sum", "sum_rest"), "groups_sha256")
