@@ -81,16 +81,22 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ANY = re.compile(r"[@=]|\d.?\d|\d\)|::|[\w\"']\s{0,3}:\s{0,3}\S{8}|sk-|xox|gh[po]_|AKIA|ASIA|AIza|_pat_|glpat-|_live_")
 
 
+@lru_cache(maxsize=64)
+def _subkey(key: str) -> bytes:
+    """32 bytes that depend on all of a kind's name and key."""
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
 @lru_cache(maxsize=20_000)
 def permute(value: int, size: int, key: str, back: bool = False) -> int:
     """The image of ``value`` under a keyed permutation of 0 .. size - 1; ``back`` inverts it."""
     if size <= 1:
         return value
-    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    half, own = max(1, ((size - 1).bit_length() + 1) // 2), _subkey(key)
     mask = (1 << half) - 1
 
     def mixed(x: int, i: int) -> int:
-        h = hashlib.blake2b(f"{size}.{i}.{x}".encode(), digest_size=16, key=key.encode()[:64]).digest()
+        h = hashlib.blake2b(f"{size}.{i}.{x}".encode(), digest_size=16, key=own).digest()
         return int.from_bytes(h, "big") & mask
 
     while True:
@@ -369,6 +375,8 @@ def pseudonymise_documents(docs: DataFrame, key: str | None = None, text_col: st
     n_replaced is replaced. Repeated rows each get a row; an empty table gives
     an empty result.
     """
+    if key == "":
+        raise ValueError("the key is empty")
     key = key or key_of(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, "n_replaced")]
     one = docs.select(*kept, F.col(text_col).cast("string").alias(text_col))

@@ -349,3 +349,14 @@ def test_whole_licenses_and_base_places(spark, edge):
         r = rows[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
     assert license_scan.scan_documents(edge.limit(0)).collect() == []
+
+
+def test_all_of_a_pii_key_counts(spark):
+    text = "card 4111 1111 1111 1111, mail jane.doe@example.com, ssn 536-22-1234, token=abcdEFGH1234, on 2021-03-04"
+    for n in (64, 200):
+        one, two = "k" * n, "k" * (n - 1) + "j"
+        a, b = pii.pseudonymise(text, one)[0], pii.pseudonymise(text, two)[0]
+        assert all(x != y for x, y in zip(a.split(", "), b.split(", ")))
+        assert pii.pseudonymise(a, one, back=True)[0] == pii.pseudonymise(b, two, back=True)[0] == text
+    with pytest.raises(ValueError):
+        pii.pseudonymise_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="")
