@@ -54,6 +54,55 @@ def match_tiers(records: DataFrame, nodes: DataFrame, keys: list[tuple[str, Colu
     return found.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").drop("__rn", "__tier")
 
 
+def canonical_id(name: Column) -> Column:
+    """Lower case, without a leading class, and runs of anything but a-z and 0-9 as one underscore."""
+    s = F.lower(F.trim(name))
+    for lead in (r"^\[(f2p|p2p)\]\s*", r"^(f2p|p2p)[\s:_\-/]+"):
+        s = F.regexp_replace(s, lead, "")
+    return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def longest_number(name: Column) -> Column:
+    """The longest run of digits in a text (the first of equal ones) without leading zeros; null if there is none."""
+    runs = F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0))
+    first = F.filter(runs, lambda r: F.length(r) == F.array_max(F.transform(runs, F.length)))
+    return F.regexp_replace(F.try_element_at(first, F.lit(1)), "^0+(?=.)", "")
+
+
+def match_nodes(records: DataFrame, nodes: DataFrame, aliases: DataFrame, by: list[str], record: str, ids: str, node: str, place: str, numbers: Column | None = None) -> DataFrame:
+    """(by, record, tier, node) of each record that names a node: by its exact id, an alias, the canonical form, a
+    prefix that one of the two has more, or the longest number, in this order.
+
+    records: by, record and ids, the names it may go by; of one tier the first
+    name wins. nodes: by, node and place, their order, which decides between
+    nodes that differ by a prefix only. aliases: by, alias, node. Canonical
+    forms and numbers (of two digits at least) count only if they name one node
+    of ``by``. numbers: may a record be matched by its number; true by default.
+    All tiers are candidates of one join, keyed by tier and text.
+    """
+    key = lambda tier, sub, text: F.struct(F.lit(tier).alias("tier"), F.lit(sub).alias("sub"), text.alias("key"))
+    own, name = canonical_id(F.col(node)), F.col("__name")
+    said = canonical_id(name)
+    of_node = [key(0, 0, F.col(node)), key(2, 0, own), key(4, 0, longest_number(F.col(node)))]
+    of_name = [key(0, 0, name), key(1, 0, name), key(2, 0, said)]
+    number = longest_number(name)
+    of_name.append(key(4, 0, F.when((F.length(number) >= 2) & F.coalesce(numbers if numbers is not None else F.lit(True), F.lit(False)), number)))
+    for i, p in enumerate(rules.NODE_PREFIXES):
+        of_node += [key(3, i, F.concat(F.lit(f">{p}"), own)), key(3, i, F.concat(F.lit("<"), own))]
+        of_name += [key(3, i, F.concat(F.lit(">"), said)), key(3, i, F.concat(F.lit(f"<{p}"), said))]
+    order = F.struct(F.col(place).alias("place"), F.col(node).alias("node"))
+    targets = nodes.select(*by, order.alias("__order"), F.inline(F.array(*of_node)))
+    also = aliases.select(*by, F.struct(F.lit(None).cast(nodes.schema[place].dataType).alias("place"), F.col(node).alias("node")).alias("__order"), F.lit(1).alias("tier"), F.lit(0).alias("sub"), F.col("alias").cast("string").alias("key"))
+    targets = targets.unionByName(also).where("key is not null").groupBy(*by, "tier", "sub", "key")
+    targets = targets.agg(F.min("__order").alias("__order"), F.count_distinct("__order.node").alias("__n")).where("tier not in (2, 4) or __n = 1")
+    named = records.select(*by, record, *([] if numbers is None else [c for c in records.columns if c not in (*by, record, ids)]), F.posexplode(ids).alias("pos", "__name"))
+    sought = named.select(*by, record, "pos", F.inline(F.array(*of_name))).where("key is not null")
+    hits = sought.hint("merge").join(targets.drop("__n"), [*by, "tier", "sub", "key"])
+    best = hits.groupBy(*by, record).agg(F.min(F.struct("tier", "pos", "sub", "__order")).alias("best"))
+    tiers = F.array(*map(F.lit, ("exact", "alias", "canonical", "prefix", "number")))
+    return best.select(*by, record, tiers[F.col("best.tier")].alias("tier"), F.col("best.__order.node").alias(node))
+
+
 def merge_json_evidence(records: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first record sets the status; label is the first one not null among failed records."""
     o = F.struct(*order)
