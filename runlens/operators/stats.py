@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.operators.relational import share_of_total, spearman
+from runlens.operators.relational import QUARTILES, exact_quantiles, share_of_total, signed_rank, spearman
 
 
 def outcome_macro(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -34,8 +34,8 @@ def flagged_rows(runs: DataFrame, key: list[str], flag: str) -> DataFrame:
 
 def effort_quantiles(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """N, median and quartiles with linear interpolation."""
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.count(col).alias("n"), q.alias("q")).select(*by, "n", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
+    groups = df.select(*by).distinct()
+    return groups.join(exact_quantiles(df, by, col, QUARTILES), by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), *QUARTILES)
 
 
 def acquisition_shares(reqs: DataFrame, by: list[str]) -> DataFrame:
@@ -55,15 +55,13 @@ def confidence_counts(nodes: DataFrame, confidence: str) -> DataFrame:
 
 
 def paired_gap(nodes: DataFrame, by: list[str], side: str) -> DataFrame:
-    """Per run the pass rate with ``side`` less that without it, where both exist; mean, median, signs, signed-rank sum."""
+    """Per run the pass rate with ``side`` less that without it, where both exist; mean, median, signs, signed-rank sum and its p value."""
     ok = (F.col("status") == "passed").cast("int")
     gaps = nodes.groupBy(*by).agg((F.avg(F.when(F.col(side), ok)) - F.avg(F.when(~F.col(side), ok))).alias("gap")).where("gap is not null")
-    # ranks over the non-zero gaps of all runs: aggregated by size first, so that no window holds all runs
-    sizes = gaps.where("gap <> 0").groupBy(F.abs(F.round("gap", 9)).alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col("gap") > 0).alias("up"))
-    below = F.sum("k").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    w = sizes.withColumn("rank", below - (F.col("k") - 1) / 2).agg(F.sum(F.col("up") * F.col("rank")).alias("w_plus"))
-    out = gaps.agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.median("gap").alias("median"), F.count_if(F.col("gap") > 0).alias("positive"), F.count_if(F.col("gap") < 0).alias("negative"))
-    return out.crossJoin(F.broadcast(w))  # one row each
+    out = gaps.agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.count_if(F.col("gap") > 0).alias("positive"), F.count_if(F.col("gap") < 0).alias("negative"))
+    median = exact_quantiles(gaps, [], "gap", {"median": 0.5}).select("median")
+    ranks = signed_rank(gaps, [], "gap").select("w_plus", "p")
+    return out.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(ranks))  # one row each
 
 
 def strata(runs: DataFrame, axes: dict[str, str], rate: str) -> DataFrame:
@@ -196,8 +194,9 @@ def regression_check(stats: DataFrame, expected: DataFrame) -> DataFrame:
 def collab_summary(runs: DataFrame, metrics: list[str], outcome: str) -> DataFrame:
     """N, mean, median and rank correlation with the outcome of every metric."""
     long = runs.unpivot([outcome], metrics, "metric", "value").where(F.col("value").isNotNull())
-    out = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
-    return out.join(spearman(long, "value", outcome, ["metric"]).select("metric", "rho"), "metric", "left")
+    out = long.groupBy("metric").agg(F.avg("value").alias("mean")).join(exact_quantiles(long, ["metric"], "value", {"median": 0.5}), "metric")
+    rho = spearman(long, "value", outcome, ["metric"]).select("metric", "rho")
+    return out.hint("merge").join(rho, "metric", "left").select("metric", "n", "mean", "median", "rho")
 
 
 def stage_matrix(df: DataFrame, first: str, second: str) -> DataFrame:

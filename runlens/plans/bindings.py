@@ -50,4 +50,5 @@ def oracle(body: str) -> str:
     """``body`` with all views in front of it."""
     names = {n: n for n in (*TABLES, *VIEWS)}
     ctes = ",\n".join(f"{n} as ({v.format(us=_DUCK_US, **names)})" for n, v in VIEWS.items())
-    return f"with {ctes}\n{body}" if not body.lstrip().startswith("with ") else f"with {ctes},\n{body.lstrip()[5:]}"
+    lead = next((w for w in ("with recursive ", "with ") if body.lstrip().startswith(w)), "")
+    return f"{lead}{ctes},\n{body.lstrip()[len(lead):]}" if lead else f"with {ctes}\n{body}"

@@ -578,16 +578,39 @@ def j07(v):
     return r6(stats.pass_by_state(v.v_nodes.join(_information(v), ["run", "node"]), "information_state"), "rate")
 
 
-_J08 = """with g as (select n.run, avg(case when r.disclosure = 'obtained' then case when status = 'passed' then 1 else 0 end end) - avg(case when r.disclosure <> 'obtained' then case when status = 'passed' then 1 else 0 end end) as gap from v_nodes n join v_reqs r on r.run = n.run and r.req = n.req group by n.run),
-ok as (select * from g where gap is not null),
-rk as (select gap, rank() over (order by abs(round(gap, 9))) + (count(*) over (partition by abs(round(gap, 9))) - 1) / 2 as rank from ok where gap <> 0)
-select (select count(*) from ok) as n, (select round(avg(gap), 6) from ok) as mean, (select round(median(gap), 6) from ok) as median, (select count(*) from ok where gap > 0) as positive, (select count(*) from ok where gap < 0) as negative, (select round(sum(case when gap > 0 then rank else 0 end), 6) from rk) as w_plus"""
+#: Of rows g(grp, gap): n, w_plus and the p value, the distribution counted out up to 50 different sizes, else by Simpson's rule.
+_SIGNED_RANK = """rk as (select grp, gap, count(*) over w as k, rank() over (partition by grp order by abs(round(gap, 9))) + (count(*) over w - 1) / 2 as rank from g where gap <> 0 window w as (partition by grp, abs(round(gap, 9)))),
+sr as (select grp, count(*) as n, sum(case when gap > 0 then rank else 0 end) as w_plus, sum(k * k - 1) as ties from rk group by grp),
+ways(n, s, c) as (select 0, 0, 1::double union all (with dp as (select * from ways where n < 50) select n + 1, s, sum(c) from (select n, s, c from dp union all select n, s + n + 1, c from dp) t group by n, s)),
+z as (select *, least(w_plus, n * (n + 1) / 2 - w_plus) as w, (n * (n + 1) / 4 - least(w_plus, n * (n + 1) / 2 - w_plus)) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) / sqrt(2) as x from sr),
+tails as (select grp, 2 / sqrt(pi()) * sum(exp(-power(x + i * 0.001, 2)) * case when i in (0, 10000) then 1 when i % 2 = 1 then 4 else 2 end) * 0.001 / 3 as tail from z, range(10001) r(i) group by grp),
+told as (select grp, n, w_plus, case when n < 2 then null when n <= 50 and ties = 0 then least(1, 2 * (select sum(c) from ways where ways.n = z.n and ways.s <= z.w) / power(2, n)) else tail end as p from z join tails using (grp))"""
+_J08 = """with recursive gr as (select n.run, avg(case when r.disclosure = 'obtained' then case when status = 'passed' then 1 else 0 end end) - avg(case when r.disclosure <> 'obtained' then case when status = 'passed' then 1 else 0 end end) as gap from v_nodes n join v_reqs r on r.run = n.run and r.req = n.req group by n.run),
+ok as (select * from gr where gap is not null), g as (select 0 as grp, gap from ok),
+""" + _SIGNED_RANK + """
+select (select count(*) from ok) as n, (select round(avg(gap), 6) from ok) as mean, (select round(median(gap), 6) from ok) as median, (select count(*) from ok where gap > 0) as positive, (select count(*) from ok where gap < 0) as negative, (select round(w_plus, 6) from told) as w_plus, (select round(p, 6) from told) as p"""
 
 
 @query("j08_paired_gap", _J08)
 def j08(v):
     j = v.v_nodes.join(v.v_reqs.select("run", "req", (F.col("disclosure") == "obtained").alias("got")), ["run", "req"])
-    return r6(stats.paired_gap(j, ["run"], "got"), "mean", "median", "w_plus")
+    return r6(stats.paired_gap(j, ["run"], "got"), "mean", "median", "w_plus", "p")
+
+
+_J08_GROUPS = """with recursive m as (select run, avg(case when node_class = 'f2p' then ord3 end) - avg(case when node_class = 'p2p' then ord3 end) as price, avg(case when node_class = 'f2p' then ord2 end) - avg(case when node_class = 'p2p' then ord2 end) as place from v_records group by run),
+g as (select 'nation ' || nation as grp, price as gap from m join v_runs using (run) where price is not null union all select domain, price from m join v_runs using (run) where price is not null union all select 'tied ' || domain, round(place / 10) from m join v_runs using (run) where place is not null),
+""" + _SIGNED_RANK + """
+select grp, n, round(w_plus, 6) as w_plus, round(p, 6) as p from told"""
+
+
+@query("j08_signed_rank", _J08_GROUPS)
+def j08_groups(v):
+    gap = lambda c: F.avg(F.when(F.col("node_class") == "f2p", F.col(c))) - F.avg(F.when(F.col("node_class") == "p2p", F.col(c)))
+    m = v.v_records.groupBy("run").agg(gap("ord3").alias("price"), gap("ord2").alias("place")).join(v.v_runs, "run")
+    price = m.where("price is not null")
+    tied = m.where("place is not null").select(F.concat(F.lit("tied "), "domain").alias("grp"), F.round(F.col("place") / 10).alias("gap"))
+    g = price.select(F.concat(F.lit("nation "), "nation").alias("grp"), F.col("price").alias("gap")).unionByName(price.select(F.col("domain").alias("grp"), F.col("price").alias("gap"))).unionByName(tied)
+    return r6(relational.signed_rank(g, ["grp"], "gap"), "w_plus", "p")
 
 
 @query("j10_loss_shares", _E09 + ", l as (select n.node, sg.stage from v_nodes n join sg on sg.run = n.run and sg.req = n.req where n.status = 'failed') select stage, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from l group by stage")
