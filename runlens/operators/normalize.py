@@ -51,6 +51,23 @@ def missing_results(calls: DataFrame, paired: DataFrame, call: list[str]) -> Dat
     return calls.join(paired.where("status <> 'orphan'").select(*call).distinct(), call, "left_anti")
 
 
+def later_calls(calls: DataFrame, results: DataFrame, call: list[str], order: list[str], action: str) -> DataFrame:
+    """Results that came before any call of theirs, with the next call of the same id, null where none follows.
+
+    calls: call, order, action. results: call, order and what names them. A
+    call at the very place of a result does not follow it. Calls and results
+    stand in one order per id, so no range join is needed.
+    """
+    names = [c for c in results.columns if c not in (*call, *order)]
+    both = results.withColumn("__action", F.lit(None).cast(calls.schema[action].dataType)).withColumn("__call", F.lit(0))
+    said = calls.select(*call, *order, *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in names], F.col(action).alias("__action"), F.lit(-1).alias("__call"))
+    along = Window.partitionBy(*call).orderBy(*order, "__call")
+    any_call = F.max(F.when(F.col("__call") == -1, 1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first("__action", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    out = both.unionByName(said).withColumn("__seen", any_call).withColumn("matching_later_call", following)
+    return out.where("__call = 0 and __seen is null").select(*call, *order, *names, "matching_later_call")
+
+
 def message_exposures(results: DataFrame, by: list[str], message: str, order: list[str]) -> DataFrame:
     """A10: ordinal of each exposure of a message, first flag, and the first one's place."""
     along = Window.partitionBy(*by, message).orderBy(*order)

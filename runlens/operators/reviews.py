@@ -60,6 +60,40 @@ def phase_usage(events: DataFrame, by: list[str], digest: list[str], usage: str)
     return phases.groupBy(*by, "usage_key").agg(F.count("value").alias("reporting"), F.sum("value").alias("total"))
 
 
+#: Levels of nested usage that are read.
+USAGE_DEPTH = 8
+
+
+def flat_usage(usage: Column) -> Column:
+    """The numbers of usage given as JSON, by their keys joined with dots; other values are left out, and so is what lies deeper than USAGE_DEPTH."""
+    entries = F.map_entries(F.from_json(usage, "map<string,string>"))
+
+    def opened(e: Column) -> Column:
+        inner = F.map_entries(F.from_json(e["value"], "map<string,string>"))
+        named = F.transform(inner, lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(e["value"].startswith("{"), F.coalesce(named, F.array().cast("array<struct<key:string,value:string>>"))).otherwise(F.array(e))
+
+    for _ in range(USAGE_DEPTH - 1):
+        entries = F.flatten(F.transform(entries, opened))
+    numbers = F.filter(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["value"].rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
+    return F.map_from_entries(F.transform(numbers, lambda e: F.struct(e["key"], e["value"].cast("double"))))
+
+
+def usage_by_event(events: DataFrame, by: list[str], digest: list[str], phases: str, usage: str, needed: tuple[str, ...] = ("input_tokens", "output_tokens")) -> DataFrame:
+    """Per event, identical ones once: its phases, those that report all ``needed`` keys, and whether the sums of its phases equal its own usage.
+
+    phases: an array of JSON usages; usage: the event's own. An event without
+    phases matches nothing: null.
+    """
+    of = events.dropDuplicates([*by, *digest]).select(*by, *digest, F.coalesce(F.transform(phases, flat_usage), F.array().cast("array<map<string,double>>")).alias("__phases"), flat_usage(F.col(usage)).alias("__own"))
+    keys = F.array_distinct(F.flatten(F.transform("__phases", F.map_keys)))
+    total = F.transform(keys, lambda k: F.struct(k.alias("key"), F.aggregate("__phases", F.lit(0.0), lambda a, p: a + F.coalesce(p[k], F.lit(0.0))).alias("value")))
+    own = F.transform(F.map_entries("__own"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    whole = F.filter("__phases", lambda p: F.size(F.array_intersect(F.map_keys(p), F.array(*map(F.lit, needed)))) == len(needed))
+    n = F.size("__phases")
+    return of.select(*by, *digest, n.alias("phases"), F.size(whole).alias("with_needed"), F.when(n > 0, F.array_sort(total) == F.array_sort(own)).alias("matches"))
+
+
 def compact_index(rows: DataFrame, by: list[str], order: list[str], nested: str) -> DataFrame:
     """The scalars of a row, the fields of one struct as columns, and the row's line in its file."""
     inner = [F.col(f"{nested}.{f}").alias(f"{nested}_{f}") for f in rows.select(f"{nested}.*").columns]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import grader, nodes
+from runlens.operators import grader, nodes, normalize, reviews
 from runlens.plans.evidence import text
-from runlens.plans.queries import query
+from runlens.plans.queries import longs, query, r6
 
 # --- D06: names of nodes
 
@@ -84,3 +84,54 @@ def k03(v):
     record = F.when(F.col("req") % 2 == 0, told).otherwise(bare)
     json = own.where("place % 5 = 0").groupBy("run", "path").agg(F.array_join(F.collect_list(record), "\n").alias("text"))
     return grader.grader_output(own, logs.unionByName(json), ["run"], "node", 90)
+
+
+# --- A09, B17: orphans, nested usage
+
+_A09 = """with c as (select req, node, ord1, ord2, node || '-' || ord1 || '-' || ord2 as action from v_records where node_class = 'f2p'),
+r as (select distinct req, ord1, ord2, node from v_records where node_class = 'p2p'),
+o as (select *, exists (select 1 from c where c.req = r.req and (c.ord1, c.ord2) <= (r.ord1, r.ord2)) as called from r)
+select 'matching_later_call' as kind, req, node, ord1, ord2, (select arg_min(action, (c.ord1, c.ord2, c.action)) from c where c.req = o.req and (c.ord1, c.ord2) > (o.ord1, o.ord2)) as action from o where not called
+union all select distinct 'missing_result', req, null, null, null, null from c where not exists (select 1 from r where r.req = c.req and r.ord1 > (select min(ord1) from c d where d.req = c.req))"""
+
+
+@query("a09_orphans", _A09)
+def a09_orphans(v):
+    name = F.concat_ws("-", "node", "ord1", "ord2")
+    calls = v.v_records.where("node_class = 'f2p'").select("req", "ord1", "ord2", name.alias("action")).groupBy("req", "ord1", "ord2").agg(F.min("action").alias("action"))
+    results = v.v_records.where("node_class = 'p2p'").select("req", "ord1", "ord2", "node").distinct()
+    later = normalize.later_calls(calls, results, ["req"], ["ord1", "ord2"], "action").select(F.lit("matching_later_call").alias("kind"), "req", "node", "ord1", "ord2", F.col("matching_later_call").alias("action"))
+    first = calls.groupBy("req").agg(F.min("ord1").alias("ord1"))
+    missing = normalize.missing_results(first, normalize.pair_results(first, results.select("req", "ord1"), ["req"], "ord1"), ["req"])
+    return later.unionByName(missing.select(F.lit("missing_result").alias("kind"), "req"), allowMissingColumns=True)
+
+
+_PHASE = "case action % 3 when 0 then concat('{\"input_tokens\": ', action, ', \"output_tokens\": 2, \"d\": {\"cached\": {\"read\": ', action % 7, ', \"w\": 0}, \"x\": \"no\", \"z\": true}}') when 1 then concat('{\"input_tokens\": ', action, ', \"d\": {\"cached\": {\"read\": null}}}') else '{\"input_tokens\": null, \"output_tokens\": 1.5}' end"
+_B17 = """select run, action, cast(action % 4 as int) as phases, cast(case when action % 3 = 0 then action % 4 else 0 end as int) as with_needed,
+case when action % 4 > 0 then action % 5 <> 0 end as matches from v_actions"""
+
+
+@query("b17_usage_by_event", _B17)
+def b17_events(v):
+    n = F.col("action") % 4
+    phases = F.slice(F.array_repeat(F.expr(_PHASE), 3), F.lit(1), n.cast("int"))
+    # the sums of n equal phases; a fifth of the events tells something else
+    kind, k = F.col("action") % 3, F.when(F.col("action") % 5 == 0, n + 1).otherwise(n)
+    own = F.when(kind == 0, F.format_string('{"d": {"cached": {"w": 0, "read": %d}}, "output_tokens": %d, "input_tokens": %d}', F.col("action") % 7 * k, 2 * k, F.col("action") * k))
+    own = own.when(kind == 1, F.format_string('{"input_tokens": %d}', F.col("action") * k)).otherwise(F.format_string('{"output_tokens": %s}', (1.5 * k).cast("string")))
+    events = v.v_actions.select("run", "action", phases.alias("phases"), own.alias("usage"))
+    return reviews.usage_by_event(events.unionByName(events), ["run"], ["action"], "phases", "usage")
+
+
+_B17_KEYS = """with p as (select run, action, action % 3 as kind from v_actions, range(3) r(i) where i < action % 4)
+select run, 'input_tokens' as usage_key, count(case when kind < 2 then 1 end) as reporting, sum(case when kind < 2 then action end)::double as total from p group by run having count(case when kind < 2 then 1 end) > 0
+union all select run, 'output_tokens', count(case when kind <> 1 then 1 end), sum(case kind when 0 then 2.0 when 2 then 1.5 end)::double from p group by run having count(case when kind <> 1 then 1 end) > 0
+union all select run, 'd.cached.read', count(case when kind = 0 then 1 end), sum(case when kind = 0 then action % 7 end)::double from p group by run having count(case when kind = 0 then 1 end) > 0
+union all select run, 'd.cached.w', count(case when kind = 0 then 1 end), sum(case when kind = 0 then 0 end)::double from p group by run having count(case when kind = 0 then 1 end) > 0"""
+
+
+@query("b17_nested_usage", _B17_KEYS)
+def b17_nested(v):
+    phases = v.v_actions.select("run", "action", F.explode(F.slice(F.array_repeat(F.expr(_PHASE), 3), F.lit(1), (F.col("action") % 4).cast("int"))).alias("phase"))
+    flat = phases.select("run", F.monotonically_increasing_id().alias("no"), reviews.flat_usage(F.col("phase")).alias("usage"))
+    return reviews.phase_usage(flat, ["run"], ["no"], "usage")
