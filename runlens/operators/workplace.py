@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.functions import rules
+from runlens.functions.words import says
 from runlens.operators.nodes import first_rule
 
 
@@ -49,7 +50,7 @@ def note_units(notes: DataFrame, key: list[str], text: str) -> DataFrame:
 
 def classify_claim(unit: Column, heads: Column, broad: bool = False) -> Column:
     """partial or open, done, or not mentioned, from the unit's words and its headings."""
-    has_open, done = unit.rlike(rules.OPEN_WORDS) | unit.rlike(rules.OPEN_UNKNOWN), unit.rlike(rules.DONE_WORDS)
+    has_open, done = says(unit, rules.OPEN_WORDS) | (F.contains(unit, F.lit("未知")) & unit.rlike(rules.OPEN_UNKNOWN)), says(unit, rules.DONE_WORDS)
     open_section = heads.rlike(rules.OPEN_HEAD) & ~(unit.rlike(rules.ANSWERED) & ~has_open)
     implemented = heads.rlike(rules.IMPLEMENT_HEAD_BROAD if broad else rules.IMPLEMENT_HEAD)
     return F.when(open_section | has_open, "claimed_partial_or_open").when(done | implemented, "claimed_done").otherwise("not_mentioned")

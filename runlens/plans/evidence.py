@@ -108,10 +108,10 @@ def d13_nodes(v):
 
 
 _F03 = """with u as (select run, req, 200 + req % 80 as x, 200 + req % 80 + req % 9 as y, 200 + req % 97 as z from v_reqs),
-n as (select run, req, unnest(generate_series(x, y)) as number, y - x > 5 as blanket, 0 as mention from u
-union all select run, req, z, y - x > 5, 0 from u where y > x
-union all select run, req, x, false, null from u)
-select run, req, cast(number as int) as number, blanket, cast(mention as int) as mention from n where (run, number) in (select run, 200 + req % 100 from v_reqs)"""
+n as (select run, req, unnest(generate_series(x, y)) as number, y - x > 5 as blanket, 0 as mention, 10 as "at" from u
+union all select run, req, z, y - x > 5, 0, 10 from u where y > x
+union all select run, req, x, false, null, 1 from u)
+select run, req, cast(number as int) as number, blanket, cast(mention as int) as mention, "at" from n where (run, number) in (select run, 200 + req % 100 from v_reqs)"""
 
 
 @query("f03_card_ranges", _F03)
@@ -119,7 +119,7 @@ def f03(v):
     x = "200 + req % 80"
     unit = text("|<x>| see AB-<x>–<y>, <z> and more, not AB-1234 or XAB-200|", x=x, y=f"{x} + req % 9", z="200 + req % 97")
     units = v.v_reqs.select("run", "req", F.lit("AB").alias("prefix"), unit.alias("text"))
-    return mentions.card_ranges(units, v.v_reqs.select("run", F.expr("cast(200 + req % 100 as int)").alias("number")), ["run"]).select("run", "req", "number", "blanket", "mention")
+    return mentions.card_ranges(units, v.v_reqs.select("run", F.expr("cast(200 + req % 100 as int)").alias("number")), ["run"]).select("run", "req", "number", "blanket", "mention", "at")
 
 
 _J12 = """with r as (select dimension, run, score, effort, row_number() over (partition by dimension order by run, score, effort) - 1 as at, count(*) over (partition by dimension) as n from v_ratings where score is not null and effort is not null),

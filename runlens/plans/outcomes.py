@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import grader, nodes, normalize, reviews
+from runlens.operators import claims, grader, mentions, nodes, normalize, reviews
 from runlens.plans.evidence import text
 from runlens.plans.queries import longs, query, r6
 
@@ -135,3 +135,53 @@ def b17_nested(v):
     phases = v.v_actions.select("run", "action", F.explode(F.slice(F.array_repeat(F.expr(_PHASE), 3), F.lit(1), (F.col("action") % 4).cast("int"))).alias("phase"))
     flat = phases.select("run", F.monotonically_increasing_id().alias("no"), reviews.flat_usage(F.col("phase")).alias("usage"))
     return reviews.phase_usage(flat, ["run"], ["no"], "usage")
+
+
+# --- F05, F07: claims by clauses and topics
+
+_CARDS = "select distinct run, 200 + req % 50 as number from v_reqs union select distinct run, 260 + req % 30 from v_reqs"
+_FILL = "repeat('note ', 70)"
+_F05 = f"""with c as ({_CARDS}), u as (select run, req, 200 + req % 50 as a, 260 + req % 30 as b, req % 7 as kind from v_reqs),
+m as (select run, req, a as number, case kind when 0 then 'claimed_done' when 1 then 'claimed_partial_or_open' when 4 then 'claimed_done' when 5 then 'claimed_partial_or_open' else 'claimed_done' end as claim,
+case kind when 0 then 'AB-' || a || ' was implemented.' when 1 then 'AB-' || a || ' was implemented. AB-' || b || ' is pending; more' when 4 then 'AB-' || a || ' answered' when 5 then 'AB-' || a || ' 待回复！AB-' || b || ' 已实现' else '关于 AB-' || a || ' 已实现！' end as said from u where kind in (0, 1, 4, 5, 6)
+union all select run, req, b, case when kind = 6 then 'not_mentioned' else 'claimed_partial_or_open' end, case kind when 0 then 'AB-' || b || ' is pending;' when 1 then 'AB-' || a || ' was implemented. AB-' || b || ' is pending; more' when 5 then 'AB-' || a || ' 待回复！AB-' || b || ' 已实现' else 'AB-' || b || '？' end from u where kind in (0, 1, 5, 6)
+union all select run, req, unnest(generate_series(200, 250)), case kind when 2 then 'not_mentioned' else 'claimed_done' end, case kind when 2 then 'See AB-200–250.' else 'Implemented all of AB-200–250;' end from u where kind in (2, 3))
+select m.* from m join c using (run, number)"""
+
+
+@query("f05_claims_by_clause", _F05)
+def f05_clauses(v):
+    a, b = "200 + req % 50", "260 + req % 30"
+    forms = (
+        "Some words. AB-<a> was implemented. AB-<b> is pending; <fill>", "AB-<a> was implemented. AB-<b> is pending; more", "See AB-200–250. All is pending.", "Implemented all of AB-200–250; rest pending", "AB-<a> answered", "AB-<a> 待回复！AB-<b> 已实现", "<fill>。关于 AB-<a> 已实现！AB-<b>？",
+    )
+    unit = F.coalesce(*[F.when(F.col("req") % 7 == i, text(f, a=a, b=b, fill=_FILL)) for i, f in enumerate(forms)])
+    units = v.v_reqs.select("run", "req", F.lit("AB").alias("prefix"), unit.alias("text"), F.when(F.col("req") % 7 == 4, "Open items").when(F.col("req") % 7 == 2, "Code changes").otherwise("").alias("heads"))
+    cards = v.sql(_CARDS.replace("v_reqs", "{v_reqs}")).withColumn("number", F.col("number").cast("int"))
+    found = mentions.card_ranges(units, cards, ["run"])
+    several = F.col("req") % 7 != 4
+    j = claims.judge(F.col("text"), F.col("heads"), F.col("at"), several, F.col("blanket"))
+    return found.select("run", "req", "number", j.alias("j")).select("run", "req", "number", "j.claim", "j.said")
+
+
+_F07 = """with c as (select run, req, cast(200 + row_number() over (partition by run order by req) as int) as number, req % 6 as kind from v_reqs)
+select run, number, case when kind in (0, 1, 4) then 'claimed_partial_or_open' when kind = 2 then 'claimed_done' else 'not_mentioned' end as claim, kind = 4 as listed_open, kind in (1, 2, 4) as also_done,
+case when kind in (0, 4) then 'substantive' when kind = 1 then 'late_record_only' else '' end as open_kind, case when kind in (0, 4) then 'claimed_partial_or_open' when kind in (1, 2) then 'claimed_done' else 'not_mentioned' end as note_claim,
+case when kind = 1 then 'claimed_partial_or_open' else 'not_mentioned' end as goal_claim, case when kind in (0, 1, 4, 5) then 'card_id' when kind = 2 then 'topic' else 'none' end as method, case when kind in (1, 4) then 2 when kind = 3 then 0 else 1 end as mentions,
+case kind when 0 then 'AB-' || number || ' is pending' when 1 then '[goal] AB-' || number || ' re-runnable once the late record is not yet here' when 2 then substr('zq' || number || ' and wx' || number || ' are done ' || repeat('abc ', 80), 1, 199) || '…' when 4 then 'zq' || number || ' wx' || number || ' left' when 5 then 'source: AB-' || number else '' end as evidence
+from c where number < 300"""
+
+
+@query("f07_card_claims", _F07)
+def f07_cards(v):
+    c = v.sql("select run, req, cast(200 + row_number() over (partition by run order by req) as int) as number, req % 6 as kind from {v_reqs}").where("number < 300")
+    unit = lambda where, no, form, heads="", goal=False: c.where(where).select("run", (F.col("number") * 10 + no).alias("unit"), text(form, n="number", fill="repeat('abc ', 80)").alias("text"), F.lit(heads).alias("heads"), F.lit("AB").alias("prefix"), F.lit(False).alias("is_head"), F.lit(goal).alias("is_goal"))
+    parts = [
+        unit("kind = 0", 0, "AB-<n> is pending"), unit("kind in (1, 4)", 0, "AB-<n> done"), unit("kind = 1", 1, "AB-<n> re-runnable once the late record is not yet here", goal=True), unit("kind = 2", 0, "zq<n> and wx<n>  are\ndone <fill>"),
+        unit("kind = 3", 0, "zq<n> only, pending"), unit("kind = 4", 1, "zq<n> wx<n> left", heads="Open items"), unit("kind = 5", 0, "source: AB-<n>"), unit("kind = 5", 1, "AB-<n>", goal=True),
+    ]
+    units = parts[0]
+    for p in parts[1:]:
+        units = units.unionByName(p)
+    cards = c.select("run", "number", text("the zq<n> and wx<n>", n="number").alias("topic"))
+    return claims.card_claims(units, cards, ["run"]).select("run", "number", "claim", "listed_open", "also_done", "open_kind", "note_claim", "goal_claim", "method", "mentions", "evidence")
