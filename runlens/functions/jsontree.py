@@ -106,3 +106,35 @@ def without_keys(record: Column, pattern: str) -> Column:
         return texts.map(one, na_action="ignore")
 
     return strip(record)
+
+
+def _strings(text: str) -> list[str]:
+    """All texts in a JSON document, and those in texts that are JSON objects or lists themselves."""
+    try:
+        todo, found = [json.loads(text)], []
+        while todo:
+            value = todo.pop()
+            if isinstance(value, dict):
+                todo.extend(reversed(value.values()))
+            elif isinstance(value, list):
+                todo.extend(reversed(value))
+            elif isinstance(value, str):
+                found.append(_plain(value))
+                if value.lstrip().startswith(("{", "[")):
+                    try:
+                        todo.append(json.loads(value))
+                    except (ValueError, RecursionError):
+                        pass
+        return found
+    except (ValueError, RecursionError):
+        return []
+
+
+def json_strings(record: Column) -> Column:
+    """The texts in a JSON document, at any depth; none if it is no JSON."""
+
+    @F.pandas_udf("array<string>")
+    def strings(texts: pd.Series) -> pd.Series:
+        return texts.map(_strings, na_action="ignore")
+
+    return strings(record)

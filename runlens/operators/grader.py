@@ -36,7 +36,7 @@ def _longest_word(name: Column) -> Column:
 
 
 def _folder(path: Column) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
 def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> DataFrame:

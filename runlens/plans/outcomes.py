@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import claims, grader, mentions, nodes, normalize, reviews
+from runlens.operators import checks, claims, grader, mentions, nodes, normalize, reviews
+from runlens.functions import rules
 from runlens.plans.evidence import text
 from runlens.plans.queries import longs, query, r6
 
@@ -185,3 +186,116 @@ def f07_cards(v):
         units = units.unionByName(p)
     cards = c.select("run", "number", text("the zq<n> and wx<n>", n="number").alias("topic"))
     return claims.card_claims(units, cards, ["run"]).select("run", "number", "claim", "listed_open", "also_done", "open_kind", "note_claim", "goal_claim", "method", "mentions", "evidence")
+
+
+# --- H01, H02, H10: citations, reviews, diagnoses
+
+_CITED = "select run, req, node, status, row_number() over (partition by run order by node) as n, node % 3 as kind, req % 9 as form from {v_nodes}"
+_H02 = f"""with c as ({_CITED.format(v_nodes="v_nodes")})
+select run, cast(node as varchar) as id, case form when 1 then 'quote not found in cited lines: ' || node when 2 then 'invalid evidence path: a/../../b' when 3 then 'invalid evidence path: /a/log.jsonl' when 4 then 'invalid line range: ' || node when 5 then 'invalid line range: ' || node when 6 then 'event ID not found in cited lines: ' || node else 'quote not found in cited lines: ' || node end as error
+from c where form in (1, 2, 3, 4, 5, 7) or form = 6 and kind <> 1"""
+_SOURCE = ("node <node> is\t<status>", '{"e": "E<node>", "t": ["said  <status> of <node>", {"x": 1}]}', '{"out": "{\\"msg\\": [\\"inner   <node>\\"]}"}')
+_QUOTES = ("node  <node> is <status> ", "said <status> of <node>", '{"msg": ["inner <node>"]}')
+
+
+def _by_kind(forms, column="kind"):
+    return F.coalesce(*[F.when(F.col(column) == i, text(f)) for i, f in enumerate(forms)])
+
+
+def _citations(c):
+    path = F.when(F.col("form") == 2, "a/../../b").when(F.col("form") == 3, "/a/log.jsonl").when(F.col("form") == 8, "a/x/.././log.jsonl").otherwise("a/log.jsonl")
+    start = F.when(F.col("form") == 4, F.col("n") + 10_000).when(F.col("form") == 8, F.lit(1)).otherwise(F.col("n"))
+    end = F.when(F.col("form") == 4, F.col("n") + 10_000).when(F.col("form") == 5, F.col("n") - 1).otherwise(F.col("n"))
+    quote = F.when(F.col("form") == 1, "never said").when(F.col("form") == 7, "  ").otherwise(_by_kind(_QUOTES))
+    event = F.when(F.col("form") == 6, F.concat(F.lit("E"), "node")).otherwise("")
+    return c.select("run", F.col("node").cast("string").alias("id"), path.alias("path"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end"), quote.alias("quote"), event.alias("event_id"))
+
+
+def _files(c):
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", _by_kind(_SOURCE).alias("line")))), lambda x: x["line"]), "\n")
+    return c.groupBy("run").agg(F.concat(body, F.lit("\n")).alias("text")).withColumn("path", F.lit("a/log.jsonl"))
+
+
+@query("h02_citations", _H02)
+def h02_citations(v):
+    c = v.sql(_CITED)
+    return checks.check_citations(_citations(c), _files(c), ["run"])
+
+
+_H10 = """with q as (select run, 'q' || req as req_id, count(*) as total, count(case when status = 'passed' then 1 end) as ok, min(node) as node from v_nodes group by run, req),
+k as (select run, run % 12 as kind, (select min(req_id) from q where q.run = v_counts.run and ok < total) as lost, (select max(req_id) from q where q.run = v_counts.run) as last from v_counts)
+select run, 'task identity mismatch: run_id' as error from k where kind = 1 union all select run, 'task identity mismatch: row' from k where kind = 1
+union all select run, 'outcome mismatch: f2p_total' from k where kind = 2
+union all select run, 'failed requirements not diagnosed: ' || lost from k where kind = 3 and lost is not null
+union all select run, 'unknown requirement: x' from k where kind = 4
+union all select run, 'empty chain: ' || last from k where kind = 5 union all select run, 'chain without trajectory evidence: ' || last from k where kind = 5
+union all select run, 'chain without trajectory evidence: ' || last from k where kind = 6
+union all select run, 'duplicate evidence IDs' from k where kind = 7 union all select run, 'unknown evidence reference: E99' from k where kind = 7
+union all select run, unnest(['malformed context ref: spec', 'malformed context ref: Node:1', 'context ref to unknown requirement: req:none', 'context ref to unknown node: p2p:none']) from k where kind = 8
+union all select run, 'case_paragraph must not contain evidence/context IDs; put them in case_evidence_ids' from k where kind = 9
+union all select run, unnest(['case_evidence_ids is empty', 'case_paragraph too short (79 words/characters)']) from k where kind = 10
+union all select run, 'quote not found in cited lines: E1' from k where kind = 11"""
+
+
+@query("h10_check_diagnoses", _H10)
+def h10(v):
+    kind, run = F.col("run") % 12, F.col("run")
+    name = lambda lead: F.concat(F.lit(lead), "run")
+    context = v.v_counts.select("run", name("t").alias("task_id"), F.lit("1").alias("task_version"), name("r").alias("run_id"), run.alias("row"), *checks.OUTCOME)
+    prose = F.when(kind == 9, F.concat(F.repeat(F.lit("word "), F.lit(90)), F.lit("see E12"))).when(kind == 10, F.concat(F.repeat(F.lit("卡"), F.lit(40)), F.repeat(F.lit(" 3d_x,"), F.lit(39)))).otherwise(F.repeat(F.lit("卡 a-"), F.lit(40)))
+    reports = context.withColumns(
+        {
+            "run_id": F.when(kind == 1, "other").otherwise(F.col("run_id")), "row": F.when(kind == 1, run + 1).otherwise(F.col("row")), "f2p_total": F.when(kind == 2, F.col("f2p_total") + 1).otherwise(F.col("f2p_total")),
+            "case_paragraph": prose, "case_evidence_ids": F.when(kind == 10, F.array().cast("array<string>")).otherwise(F.array(F.lit("E1"))),
+        }
+    )
+    reqs = v.v_nodes.groupBy("run", F.concat(F.lit("q"), "req").alias("req_id")).agg(F.count("*").alias("nodes_total"), F.count_if(F.col("status") == "passed").alias("nodes_passed"))
+    of_run = reqs.groupBy("run").agg(F.min(F.when(F.col("nodes_passed") < F.col("nodes_total"), F.col("req_id"))).alias("lost"), F.max("req_id").alias("last"))
+    last = F.col("req_id") == F.col("last")
+    chains = reqs.join(of_run, "run").where(~((kind == 3) & F.col("req_id").eqNullSafe(F.col("lost"))))
+    chains = chains.select("run", "req_id", F.when(kind == 6, "ask").otherwise("read").alias("stage"), F.when((kind == 5) & last, 0).otherwise(2).alias("steps"), (~(last & kind.isin(5, 6))).alias("proven"))
+    extra = v.v_counts.where(kind == 4).select("run", F.lit("x").alias("req_id"), F.lit("infrastructure").alias("stage"), F.lit(1).alias("steps"), F.lit(False).alias("proven"))
+    files = v.v_counts.select("run", F.lit("f.md").alias("path"), F.lit("one\ntwo words\n").alias("text"))
+    quote = F.when(kind == 11, "three").otherwise("one two")
+    evidence = v.v_counts.select("run", F.explode(F.when(kind == 7, F.array(F.lit("E1"), F.lit("E1"))).otherwise(F.array(F.lit("E1")))).alias("id"), F.lit("f.md").alias("path"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), quote.alias("quote"), F.lit(None).cast("string").alias("event_id"))
+    given = F.when(kind == 8, F.array(*map(F.lit, ("spec", "Node:1", "req:none", "p2p:none", "note")))).otherwise(F.array(F.lit("outcome"), F.concat(F.lit("req:"), "last"), F.lit("deferral:3")))
+    known = v.v_counts.join(of_run, "run")
+    refs = known.select("run", F.lit("context_refs").alias("kind"), F.explode(given).alias("ref")).unionByName(known.select("run", F.lit("evidence_ids").alias("kind"), F.explode(F.when(kind == 7, F.array(F.lit("E1"), F.lit("E99"))).otherwise(F.array(F.lit("E1")))).alias("ref")))
+    nodes_of = v.v_nodes.select("run", F.col("node").cast("string").alias("node_id"))
+    return checks.check_diagnoses(reports, chains.unionByName(extra), evidence, refs, files, context, reqs, nodes_of, ["run"])
+
+
+_H01 = """with k as (select run, run % 12 as kind, (select count(*) from v_nodes n where n.run = v_runs.run) as total from v_runs)
+select run, unnest(['task identity mismatch: task_id', 'task identity mismatch: row']) as error from k where kind = 1
+union all select run, unnest(['dimension set mismatch: collaboration_dimensions', 'dimension set mismatch: strategy_dimensions']) from k where kind = 2
+union all select run, unnest(['non-observed dimension has a score: search_strategy', 'scored dimension lacks evidence: causal_debugging']) from k where kind = 3
+union all select run, 'empty evidence or duplicate IDs' from k where kind in (4, 5) union all select run, 'unknown evidence reference: E1' from k where kind = 4
+union all select run, 'invalid evidence path: f/../..' from k where kind = 6
+union all select run, 'unknown evidence reference: E7' from k where kind = 7
+union all select run, unnest(['coverage total_actions mismatch', 'full coverage claimed without all actions']) from k where kind = 8 and total > 0
+union all select run, unnest(['invalid examined action count', 'full coverage claimed without all actions']) from k where kind = 9 and total > 0
+union all select run, 'invalid examined file: g.md' from k where kind = 10"""
+
+
+@query("h01_review_rules", _H01)
+def h01_rules(v):
+    kind, run = F.col("run") % 12, F.col("run")
+    counted = v.v_runs.select("run").join(v.v_nodes.groupBy("run").agg(F.count("*").alias("actions")), "run", "left")
+    source = counted.select("run", F.concat(F.lit("t"), "run").alias("task_id"), F.lit("1").alias("task_version"), F.concat(F.lit("r"), "run").alias("run_id"), run.alias("row"), "actions")
+    total = F.coalesce("actions", F.lit(0))
+    reports = source.select(
+        "run", F.when(kind == 1, "t").otherwise(F.col("task_id")).alias("task_id"), "task_version", "run_id", F.when(kind == 1, run - 1).otherwise(run).alias("row"),
+        F.when(kind == 8, total + 1).otherwise(total).alias("total_actions"), F.when(kind == 9, total + 1).when(kind == 8, total - 1).otherwise(total).alias("examined_actions"), F.lit(True).alias("fully_examined"),
+    )
+    ids = [(f, i) for f, group in rules.DIMENSIONS.items() for i in group]
+    all_dims = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("id")) for f, i in ids])
+    # one dimension is left out, another one stands twice
+    dims = v.v_runs.select("run", F.inline(F.when(kind == 2, F.concat(F.slice(all_dims, 2, len(ids) - 1), F.slice(all_dims, len(ids), 1))).otherwise(all_dims)))
+    odd = (kind == 3) & (F.col("id") == "search_strategy")
+    dims = dims.select("run", "field", "id", F.when(odd, "not_observed").otherwise("observed").alias("observation_status"), F.lit(2).alias("score"), F.when((kind == 3) & (F.col("id") == "causal_debugging"), 0).otherwise(1).alias("n_evidence"))
+    cited = F.when(kind == 4, F.array().cast("array<string>")).when(kind == 5, F.array(F.lit("E1"), F.lit("E1"))).otherwise(F.array(F.lit("E1")))
+    evidence = v.v_runs.select("run", F.explode(cited).alias("id"), F.when(kind == 6, "f/../..").otherwise("f.md").alias("path"), F.lit(2).alias("line_start"), F.lit(2).alias("line_end"), F.lit("two words").alias("quote"), F.lit("ev-1").alias("event_id"))
+    files = v.v_runs.select("run", F.lit("f.md").alias("path"), F.lit('one\r\n{"a": ["two  words"], "id": "ev-1"}').alias("text"))
+    refs = v.v_runs.select("run", F.when(kind == 7, "E7").otherwise("E1").alias("ref"))
+    examined = v.v_runs.select("run", F.when(kind == 10, "g.md").otherwise("./f.md").alias("path"))
+    return checks.check_reviews(reports, dims, evidence, refs, files, examined, source, ["run"])
