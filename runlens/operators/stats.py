@@ -105,12 +105,12 @@ def find_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     of_text = F.explode(F.array_distinct(F.split("__text", " "))).alias("__word")
     of_quote = q.select("place", "__quote", F.explode("__inner").alias("__word"))
     seen = texts.select(of_text).join(F.broadcast(of_quote.select("__word").distinct()), "__word").groupBy("__word").agg(F.count("*").alias("__n"))
-    rarest = of_quote.join(seen, "__word", "left").groupBy("place", "__quote").agg(F.min_by("__word", F.struct(F.coalesce("__n", F.lit(0)), "__word")).alias("__word"))
+    rarest = of_quote.hint("merge").join(seen, "__word", "left").groupBy("place", "__quote").agg(F.min_by("__word", F.struct(F.coalesce("__n", F.lit(0)), "__word")).alias("__word"))
     held = F.contains(F.col("__text"), F.col("__quote"))
     hits = texts.select("__text", of_text).join(F.broadcast(rarest), "__word").where(held).select("place")
     hits = hits.unionByName(texts.join(F.broadcast(q.where("size(__inner) = 0")), held).select("place"))
     n = hits.groupBy("place").agg(F.count("*").alias("texts"))
-    return quotes.join(n, "place", "left").select(*quotes.columns, F.coalesce("texts", F.lit(0)).alias("texts"))
+    return quotes.hint("merge").join(n, "place", "left").select(*quotes.columns, F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
 def violations(df: DataFrame, key: list[str], checks: dict[str, str]) -> DataFrame:
@@ -123,7 +123,7 @@ def gate(reports: DataFrame, problems: DataFrame, key: list[str]) -> DataFrame:
     """Reports without a violation, and the others, counted by state."""
     bad = problems.select(*key).distinct().withColumn("__bad", F.lit(True))
     state = F.when(F.col("__bad"), "invalidated").otherwise("accepted")
-    return reports.join(bad, key, "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return reports.hint("merge").join(bad, key, "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def run_summary(runs: DataFrame, tables: list[DataFrame], by: list[str], zeros: list[str]) -> DataFrame:

@@ -8,9 +8,18 @@ from pyspark.sql.window import Window
 
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Path, line (from 1, as in the file) and value of every physical line of many files."""
+    """Path, line (from 1, as in the file) and value of every physical line of many files.
+
+    Lines are numbered within the splits that files are read by, and the
+    numbers of lines of the splits before are added, so that no task holds a
+    whole file.
+    """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    return raw.select("path", F.row_number().over(Window.partitionBy("path").orderBy("block", "id")).cast("long").alias("line"), "value")
+    sizes = raw.groupBy("path", "block").agg(F.count("*").alias("n"))
+    # one row for each split
+    before = sizes.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    inside = raw.withColumn("at", F.row_number().over(Window.partitionBy("path", "block").orderBy("id")))
+    return inside.hint("merge").join(before, ["path", "block"]).select("path", (F.col("before") + F.col("at")).alias("line"), "value")
 
 
 def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -118,12 +118,12 @@ def test_names_of_nodes(spark):
 
 def test_graders_texts(spark):
     own = "\n".join([f"FAILED t::a[7] at {i}" for i in range(30)] + ["xt::a[7]", "t::a[7]-b", "0t::a[7]", "17 or 77", "it is 7."])
-    files = [(1, "v/run.log", own), (1, "v/b.log", "\n".join(f"unit 7: {i}" for i in range(15))), (1, "all.log", "no 77"), (1, "top.log", "::\n7"), (1, "v/out.json", '[{"id": 9}, {"k": "7", "stdout": " lost ", "n": 1}, {"7": {"a": null, "b": "q\\"", "c": [1]}}]'), (2, "v/run.log", "t::a[7]"), (1, "v/none.log", None)]
+    files = [(1, "v/run.log", own), (1, "v/b.log", "\n".join(f"unit 7: {i}" for i in range(15))), (1, "all.log", "no 77"), (1, "top.log", "::\n7"), (1, "v/out.json", '[{"id": 9, "detail": "7 no"}, {"k": "7", "stdout": " lost ", "n": 1}, {"7": {"a": null, "b": "q\\"", "c": [1]}}]'), (2, "v/run.log", "t::a[7]"), (1, "v/none.log", None)]
     given = [(1, "t::a[7]", "v/run.log"), (1, "t::b[7]", "v/out.json"), (1, "::", "top.log"), (2, "z", "gone.log")]
     got = {r.node: r.output for r in grader.grader_output(spark.createDataFrame(given, "run int, node string, path string"), spark.createDataFrame(files, "run int, path string, text string"), ["run"], "node", 0x7FFF).collect()}
     lines = [f"FAILED t::a[7] at {i}" for i in range(30)] + ["xt::a[7]", "t::a[7]-b", "0t::a[7]", "it is 7."]  # 7 is a name too
     assert got["t::a[7]"] == "\n".join([*lines[-20:], "[b.log]", *[f"unit 7: {i}" for i in range(3, 15)], "[top.log]", "7"])
-    assert got["t::b[7]"].startswith('stdout: lost\n{"a": null, "b": "q\\""}\n[b.log]\n') and "[run.log]" in got["t::b[7]"] and got["t::b[7]"].endswith("[top.log]\n7")
+    assert got["t::b[7]"].startswith('{"k": "7", "stdout": " lost ", "n": 1}\n{"a": null, "b": "q\\""}\n[b.log]\n') and "[run.log]" in got["t::b[7]"] and got["t::b[7]"].endswith("[top.log]\n7")
     assert got["::"] == "::" and got["z"] == ""
     clipped = spark.createDataFrame([("abcdefghij",), ("abc",), (None,)], "t string").select(grader.clip(F.col("t"), 6).alias("c")).collect()
     assert [r.c for r in clipped] == ["abcd\n… [4 chars omitted] …\nij", "abc", None]
