@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import checks, claims, grader, mentions, nodes, normalize, reviews
+from runlens.operators import checks, claims, grader, mentions, nodes, normalize, reviews, wide
 from runlens.functions import rules
 from runlens.plans.evidence import text
 from runlens.plans.queries import longs, query, r6
@@ -299,3 +299,80 @@ def h01_rules(v):
     refs = v.v_runs.select("run", F.when(kind == 7, "E7").otherwise("E1").alias("ref"))
     examined = v.v_runs.select("run", F.when(kind == 10, "g.md").otherwise("./f.md").alias("path"))
     return checks.check_reviews(reports, dims, evidence, refs, files, examined, source, ["run"])
+
+
+# --- A13, C11, K06: wide rows
+
+_A13 = """with e as (select run, count(*) as lines, count(case when tool <> 'view' then 1 end) as evidence, count(distinct args) as sessions, count(case when tool = 'signup' then 1 end) as init_segments from v_actions group by run),
+t as (select run, string_agg(tool || ':' || n, ',' order by tool) as event_types from (select run, tool, count(*) as n from v_actions group by run, tool) g group by run),
+r as (select run, action, (select count(*) from v_actions b where b.run = a.run and b.args = a.args and b.action > a.action and b.is_error) as n_results, action % 3 as n_replays from v_actions a where is_ask),
+c as (select run, count(*) as calls, count(case when n_results = 0 then 1 end) as without_result, cast(sum(n_replays) as bigint) as replays from r group by run),
+s as (select run, count(*) as results, count(case when action % 4 = 1 then 1 end) as repeat_results, count(case when action % 4 = 2 then 1 end) as orphans from v_actions where is_error group by run),
+x as (select run, count(*) as exposures, count(distinct text) as messages from v_turns group by run)
+select v.run, coalesce(lines, 0) as lines, coalesce(evidence, 0) as evidence, coalesce(sessions, 0) as sessions, coalesce(init_segments, 0) as init_segments, coalesce(calls, 0) as calls, coalesce(without_result, 0) as without_result, coalesce(replays, 0) as replays,
+coalesce(results, 0) as results, coalesce(repeat_results, 0) as repeat_results, coalesce(orphans, 0) as orphans, coalesce(exposures, 0) as exposures, coalesce(messages, 0) as messages, coalesce(event_types, '') as event_types
+from v_runs v left join e using (run) left join t using (run) left join c using (run) left join s using (run) left join x using (run)"""
+
+
+@query("a13_inventory", _A13)
+def a13_inventory(v):
+    a = v.v_actions
+    events = a.select("run", F.col("tool").alias("type"), F.col("args").alias("session"), (F.col("tool") == "signup").alias("is_init"), (F.col("tool") != "view").alias("is_kept"))
+    asked = a.where("is_ask").select("run", "args", "action")
+    after = asked.hint("merge").join(a.where("is_error").select("run", "args", F.col("action").alias("later")), ["run", "args"]).where("later > action").groupBy("run", "action").agg(F.count("*").alias("n"))
+    calls = asked.hint("merge").join(after, ["run", "action"], "left").select("run", F.coalesce("n", F.lit(0)).alias("n_results"), (F.col("action") % 3).alias("n_replays"))
+    status = F.when(F.col("action") % 4 == 1, "repeat_result").when(F.col("action") % 4 == 2, "orphan").otherwise("result")
+    return wide.input_counts(v.v_runs, events, calls, a.where("is_error").select("run", status.alias("status")), v.v_turns.select("run", F.col("text").alias("message")), ["run"])
+
+
+_C11 = """with q as (select run, count(*) as asks, count(case when action % 2 = 0 then 1 end) as asks_returned, count(case when action % 3 = 0 then 1 end) as asks_linked, count(case when action % 5 = 0 then 1 end) as asks_with_fact from v_actions where is_ask group by run),
+t as (select run, count(*) as questions, count(case when turn % 2 = 0 then 1 end) as questions_linked, count(case when turn % 4 = 0 then 1 end) as questions_linked_by_text, count(case when turn % 3 = 0 then 1 end) as replies_visible, cast(sum(turn % 2) as bigint) as defer_items, cast(sum(turn % 3) as bigint) as clarify_items from v_turns where role = 'user' group by run),
+f as (select run, count(*) as facts, count(distinct ord1) as distinct_facts, count(case when status = 'passed' then 1 end) as facts_committed, count(case when ord2 % 2 = 0 then 1 end) as facts_repeated, count(case when ord2 % 3 = 0 then 1 end) as facts_linked, count(case when node_class = 'f2p' then 1 end) as facts_visible, count(case when status = 'passed' and node_class = 'f2p' then 1 end) as facts_committed_visible from v_records group by run),
+a as (select run, count(*) as availability_events, count(case when is_error then 1 end) as availability_linked, count(case when tool = 'click' and action % 2 = 0 then 1 end) as availability_first_defers from v_actions where not is_ask group by run),
+n as (select run, count(*) as notifications, count(case when disclosure = 'obtained' then 1 end) as notifications_released, count(case when disclosure <> 'not_disclosed' then 1 end) as notifications_read, count(case when holder = 'public' then 1 end) as notifications_mentioned, count(case when req % 2 = 0 then 1 end) as notifications_with_card from v_reqs group by run),
+u as (select run, count(*) as released_unmatched from v_nodes where status = 'failed' group by run), b as (select run, count(*) as unbound_failures from v_asks where req is null group by run),
+j as (select v.run, v.run % 3 <> 0 as has_sidecar, q.*, t.*, f.*, a.*, n.*, u.*, b.* from v_runs v left join q on q.run = v.run left join t on t.run = v.run left join f on f.run = v.run left join a on a.run = v.run left join n on n.run = v.run left join u on u.run = v.run left join b on b.run = v.run)
+select run, has_sidecar, """
+_ALWAYS = ("asks", "asks_returned", "notifications", "notifications_read", "notifications_mentioned", "notifications_with_card")
+_C11 += ", ".join([f"coalesce({c}, 0) as {c}" for c in _ALWAYS] + [f"case when has_sidecar then coalesce({c}, 0) end as {c}" for c in wide.SIDECAR_ONLY]) + " from j"
+
+
+@query("c11_coverage", _C11)
+def c11_coverage(v):
+    flag = lambda name, cond: F.expr(cond).alias(name)
+    asks = v.v_actions.where("is_ask").select("run", flag("returned", "action % 2 = 0"), flag("linked", "action % 3 = 0"), flag("declared", "case when action % 5 = 0 then true end"))
+    questions = v.v_turns.where("role = 'user'").select("run", flag("linked", "turn % 2 = 0"), flag("by_text", "turn % 4 = 0"), flag("visible", "turn % 3 = 0"), flag("defers", "turn % 2"), flag("clarifies", "turn % 3"))
+    facts = v.v_records.select("run", F.col("ord1").alias("fact"), flag("committed", "status = 'passed'"), flag("is_first", "ord2 % 2 <> 0"), flag("linked", "ord2 % 3 = 0"), flag("visible", "node_class = 'f2p'"))
+    availability = v.v_actions.where("not is_ask").select("run", flag("event", "case tool when 'click' then 'availability_deferred' else 'other' end"), flag("first_defer", "action % 2 = 0"), flag("linked", "is_error"))
+    notifications = v.v_reqs.select("run", flag("released", "disclosure = 'obtained'"), flag("read", "disclosure <> 'not_disclosed'"), flag("mentioned", "holder = 'public'"), flag("with_card", "req % 2 = 0"))
+    runs = v.v_runs.select("run", flag("has_sidecar", "run % 3 <> 0"))
+    return wide.comm_coverage(runs, asks, questions, facts, availability, notifications, v.v_nodes.where("status = 'failed'"), v.v_asks.where("req is null"), ["run"])
+
+
+_STATES = ("obtained", "returned_not_visible", "asked_owner_about_card", "asked_wrong_person_about_card", "contacted_owner_not_card", "owner_never_contacted", "public")
+_PICK = lambda names, of: f"case cast({of} as bigint) % {len(names)} " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names)) + " end"
+_CLAIMS = _PICK(("claimed_done", "claimed_partial_or_open", "not_mentioned"), "req")
+_STAGES = _PICK(("discovery", "ask", "read", "implement", "none"), "node")
+_KINDS = _PICK(("test", "production", "doc"), "turn")
+_K06 = f"""with q as (select r.run, r.req, holder, {_PICK(_STATES, "r.req")} as state, {_CLAIMS.replace("req", "r.req")} as claim, count(node) as n, count(case when status = 'passed' then 1 end) as ok from v_reqs r left join v_nodes x on x.run = r.run and x.req = r.req group by r.run, r.req, holder),
+a as (select run, count(case when h then 1 end) as colleague_held, count(case when h and state in ('obtained', 'returned_not_visible') then 1 end) as obtained, count(case when h and state like 'asked%' then 1 end) as card_raised_not_disclosed, count(case when h and state = 'contacted_owner_not_card' then 1 end) as owner_contacted_card_not_raised, count(case when h and state = 'owner_never_contacted' then 1 end) as owner_never_contacted,
+count(case when claim = 'claimed_done' then 1 end) as claimed_done, count(case when claim = 'claimed_done' and ok < n then 1 end) as claimed_done_failed, count(case when claim like '%open' then 1 end) as listed_open, count(case when claim = 'not_mentioned' then 1 end) as not_mentioned from (select *, holder <> 'public' and state <> 'public' as h from q) g group by run),
+n as (select run, count(case when f then 1 end) as f2p_failed, count(case when node_class = 'p2p' and status = 'failed' then 1 end) as p2p_failed, count(case when f and s = 'discovery' then 1 end) as lost_discovery, count(case when f and s = 'ask' then 1 end) as lost_ask, count(case when f and s = 'read' then 1 end) as lost_read, count(case when f and s = 'implement' then 1 end) as lost_implement from (select *, node_class = 'f2p' and status = 'failed' as f, {_STAGES} as s from v_nodes) g group by run),
+d as (select run, count(*) as deferral_threads, count(case when req % 2 = 0 then 1 end) as deferrals_abandoned from v_reqs where disclosure = 'not_disclosed' group by run),
+p as (select run, count(*) as patch_files, cast(sum(turn * 2) as bigint) as patch_added, cast(sum(turn % 4) as bigint) as patch_removed, count(case when k = 'test' and role <> 'user' and turn % 4 > 0 then 1 end) as test_files_cut from (select *, {_KINDS} as k from v_turns) g group by run),
+e as (select run, cast(max(end_us) - min(start_us) as bigint) as wall_us, count(*) as tool_calls from v_actions group by run)
+select v.run, v.domain, c.f2p_passed, c.f2p_total, c.p2p_passed, c.p2p_total, c.f2p_passed = c.f2p_total and c.p2p_passed = c.p2p_total as strict, """
+_ZERO = ("colleague_held", "obtained", "card_raised_not_disclosed", "owner_contacted_card_not_raised", "owner_never_contacted", "claimed_done", "claimed_done_failed", "listed_open", "not_mentioned", "f2p_failed", "p2p_failed", "lost_discovery", "lost_ask", "lost_read", "lost_implement", "deferral_threads", "deferrals_abandoned", "patch_files", "patch_added", "patch_removed", "test_files_cut")
+_K06 += ", ".join(f"coalesce({c}, 0) as {c}" for c in _ZERO) + ", wall_us, tool_calls from v_counts c join v_runs v using (run) left join a using (run) left join n using (run) left join d using (run) left join p using (run) left join e using (run)"
+
+
+@query("k06_dossier", _K06)
+def k06_dossier(v):
+    of_req = v.v_nodes.groupBy("run", "req").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("status") == "passed").alias("passed"))
+    reqs = v.v_reqs.join(of_req, ["run", "req"], "left").select("run", "holder", F.expr(_PICK(_STATES, "req")).alias("acquisition"), F.expr(_CLAIMS).alias("claim"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("passed", F.lit(0)).alias("passed"))
+    nodes_of = v.v_nodes.select("run", "node_class", "status", F.expr(_STAGES).alias("loss_stage"))
+    threads = v.v_reqs.where("disclosure = 'not_disclosed'").select("run", F.expr("req % 2 <> 0").alias("followed"))
+    patches = v.v_turns.select("run", F.expr(_KINDS).alias("kind"), F.when(F.col("role") == "user", "added").otherwise("modified").alias("status"), (F.col("turn") * 2).alias("added"), (F.col("turn") % 4).alias("removed"))
+    effort = v.v_actions.groupBy("run").agg((F.max("end_us") - F.min("start_us")).alias("wall_us"), F.count("*").alias("tool_calls"))
+    runs = v.v_counts.join(v.v_runs.select("run", "domain"), "run").select("run", "domain", "f2p_passed", "f2p_total", "p2p_passed", "p2p_total")
+    return wide.run_dossier(runs, reqs, nodes_of, threads, patches, [effort], ["run"])
