@@ -41,11 +41,11 @@ def acquisition_state(reqs: DataFrame, asks: DataFrame) -> DataFrame:
 
 
 def collab_run_metrics(states: DataFrame) -> DataFrame:
-    """Shares of held requirements that were asked for, obtained and visible, per run."""
+    """Shares of held requirements that were asked for, obtained and visible, of those asked for that were obtained, and of those obtained that stayed unread, per run."""
     got = F.col("state").isin("obtained", "returned_not_visible")
     out = states.groupBy("run").agg(F.count("*").alias("held"), F.count_if(got | F.col("asked_owner")).alias("asked"), F.count_if(got).alias("got"), F.count_if(F.col("state") == "obtained").alias("visible"), F.sum("n_owner").alias("questions"))
     share = lambda n, d, name: F.try_divide(n, d).alias(name)
-    return out.select("run", "held", "asked", "got", "visible", share("asked", "held", "ask_rate"), share("got", "held", "obtained_rate"), share("visible", "got", "visible_rate"), share("got", "questions", "gain_per_q"))
+    return out.select("run", "held", "asked", "got", "visible", share("asked", "held", "ask_rate"), share("got", "held", "obtained_rate"), share("visible", "got", "visible_rate"), share("got", "questions", "gain_per_q"), share("got", "asked", "followthrough"), F.try_divide(F.col("got") - F.col("visible"), "got").alias("unread"))
 
 
 def targeting(asks: DataFrame, reqs: DataFrame, order: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runlens.functions import rules
 from runlens.operators.relational import unique_match
 
 
@@ -33,6 +34,53 @@ def fact_disclosures(events: DataFrame, by: list[str], order: list[str], visible
     return events.withColumn("ordinal", F.row_number().over(along)).withColumn("is_first", F.col("ordinal") == 1).withColumn("first_visible", F.first(F.when(F.col(visible), F.col(order[0])), ignorenulls=True).over(whole))
 
 
+def linked_disclosures(facts: DataFrame, questions: DataFrame, exposures: DataFrame, by: list[str]) -> DataFrame:
+    """Disclosures with their ordinal per fact, the question they answer, and when their reply was seen and read.
+
+    facts: by, fact, question, reply, place. questions: by, question, reply,
+    action; a question that stands more than once is no link. exposures: by,
+    message, place, is_read. reply_agrees is null without a link.
+    """
+    along = Window.partitionBy(*by, "fact").orderBy("place")
+    counted = facts.select(*by, "fact", "question", "reply", "place", F.row_number().over(along).alias("ordinal"))
+    once = questions.groupBy(*by, "question").agg(F.count("*").alias("__n"), F.first("reply").alias("__reply"), F.first("action").alias("action")).where("__n = 1").withColumn("__linked", F.lit(True))
+    seen = exposures.groupBy(*by, F.col("message").alias("reply")).agg(F.min("place").alias("first_visible"), F.min(F.when(F.col("is_read"), F.col("place"))).alias("first_read"))
+    j = counted.hint("merge").join(once, [*by, "question"], "left").hint("merge").join(seen, [*by, "reply"], "left")
+    agrees = F.when(F.col("__linked"), F.col("__reply").eqNullSafe(F.col("reply")))
+    return j.select(*by, "fact", "question", "reply", "place", "ordinal", (F.col("ordinal") == 1).alias("is_first"), "action", agrees.alias("reply_agrees"), F.col("first_visible").isNotNull().alias("visible"), "first_visible", "first_read")
+
+
+def notification_links(exposures: DataFrame, releases: DataFrame, actions: DataFrame, by: list[str]) -> DataFrame:
+    """Messages that the runtime sent, with the release of their delivery, when they were seen and read, and the later actions that name them or their cards.
+
+    exposures: by, message, place, is_read, text. releases: by, delivery,
+    release. actions: by, action, place, input. Only a delivery that was
+    released once is linked. Names and cards count where no letter, digit
+    or underscore stands beside them.
+    """
+    sent = exposures.withColumn("delivery", F.regexp_extract("message", rules.RUNTIME_MESSAGE, 1)).where("delivery <> ''")
+    seen = sent.groupBy(*by, "message", "delivery").agg(F.count("*").alias("occurrences"), F.min("place").alias("first_seen"), F.min(F.when(F.col("is_read"), F.col("place"))).alias("first_read"), F.min_by("text", "place").alias("text"))
+    cards = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(rules.CARD), F.lit(0))), lambda c: ~c.rlike(rules.NO_CARD))
+    seen = seen.withColumn("cards", F.coalesce(cards, F.array().cast("array<string>"))).drop("text")
+    freed = releases.groupBy(*by, "delivery").agg(F.count("*").alias("releases"), F.first("release").alias("release"))
+    # cards have two parts between hyphens and names three, so actions meet them by two or three neighbouring parts
+
+    def neighbours(run: Column) -> Column:
+        parts = F.split(run, "-")
+        of = lambda k: F.when(F.size(parts) >= k, F.transform(F.sequence(F.lit(1), F.size(parts) - (k - 1)), lambda i: F.array_join(F.slice(parts, i, F.lit(k)), "-"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(of(2), of(3))
+
+    words = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("input", F.lit("[A-Za-z0-9_-]+"), F.lit(0)), neighbours)))
+    said = actions.select(*by, "action", F.col("place").alias("__at"), F.explode(words).alias("__word"))
+    asked = seen.select(*by, "message", "first_seen", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("message").alias("__word"))), F.transform("cards", lambda c: F.struct(F.lit(False).alias("own"), c.alias("__word"))))).alias("w"))
+    asked = asked.select(*by, "message", "first_seen", "w.own", "w.__word")
+    hits = said.hint("shuffle_hash").join(asked, [*by, "__word"]).where("__at > first_seen").groupBy(*by, "message")
+    hits = hits.agg(F.count_distinct(F.when(F.col("own"), F.col("action"))).alias("mentions"), F.count_distinct(F.when(~F.col("own"), F.col("action"))).alias("with_card"))
+    out = seen.hint("merge").join(freed, [*by, "delivery"], "left").hint("merge").join(hits, [*by, "message"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*by, "message", "delivery", n("releases"), F.when(F.col("releases") == 1, F.col("release")).alias("release"), "occurrences", "first_seen", "first_read", F.size("cards").alias("cards"), n("mentions"), n("with_card"))
+
+
 def notification_chains(notices: DataFrame, actions: DataFrame, by: list[str]) -> DataFrame:
     """Per notice the later actions that share its token (equality on the token, then order)."""
     later = notices.join(actions.select(*by, "token", F.col("at").alias("action_at")), [*by, "token"], "left")

@@ -118,22 +118,26 @@ def merge_text_evidence(lines: DataFrame, by: list[str], node: str, pattern: str
     return last.join(pick, [*by, pattern])
 
 
-def candidate_rank(path: Column) -> Column:
-    """Order of evidence files, 0 the best."""
-    return F.coalesce(first_rule(path, tuple(rules.EVIDENCE_FILES)), F.lit(rules.LAST_EVIDENCE))
+def candidate_rank(path: Column, size: Column | None = None) -> Column:
+    """Order of evidence files, 0 the best; with a size in bytes null for artifacts and for files that are too large."""
+    rank = F.coalesce(first_rule(path, tuple(rules.EVIDENCE_FILES)), F.lit(rules.LAST_EVIDENCE))
+    return rank if size is None else F.when(~F.contains(path, F.lit("/artifacts/")) & (size < rules.LARGEST_EVIDENCE), rank)
 
 
 def reconcile(candidates: DataFrame, expected: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
     """Of each run's candidates the one whose pass counts equal the reported ones exactly and that covers enough nodes.
 
     candidates: by, candidate, priority, node, node_class, status. expected:
-    by, f2p_passed, p2p_passed, total. The best coverage wins, then priority.
-    Runs without one are unresolved.
+    by, f2p_passed, p2p_passed, total. The best coverage wins, then one that
+    needs no matching by numbers (where candidates have the column
+    ``numbers``), then priority. Runs without one are unresolved.
     """
+    if "numbers" not in candidates.columns:
+        candidates = candidates.withColumn("numbers", F.lit(False))
     passed = lambda k: F.count_if((F.col("node_class") == k) & (F.col("status") == "passed")).alias(f"got_{k}")
-    sums = candidates.groupBy(*by, "candidate", "priority").agg(passed("f2p"), passed("p2p"), F.count("*").alias("n"))
+    sums = candidates.groupBy(*by, "candidate", "priority", "numbers").agg(passed("f2p"), passed("p2p"), F.count("*").alias("n"))
     fits = sums.join(expected, by).where("got_f2p = f2p_passed and got_p2p = p2p_passed").withColumn("coverage", F.try_divide("n", "total")).where(F.col("coverage") >= least)
-    best = Window.partitionBy(*by).orderBy(F.desc("coverage"), "priority")
+    best = Window.partitionBy(*by).orderBy(F.desc("coverage"), "numbers", "priority")
     chosen = fits.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(*by, "candidate", "coverage")
     return expected.select(*by).join(chosen, by, "left").withColumn("resolved", F.col("candidate").isNotNull())
 

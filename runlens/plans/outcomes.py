@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import checks, claims, grader, mentions, nodes, normalize, reviews, wide
+from runlens.operators import checks, claims, comms, grader, mentions, nodes, normalize, reviews, wide
 from runlens.functions import rules
 from runlens.plans.evidence import text
 from runlens.plans.queries import longs, query, r6
@@ -376,3 +376,73 @@ def k06_dossier(v):
     effort = v.v_actions.groupBy("run").agg((F.max("end_us") - F.min("start_us")).alias("wall_us"), F.count("*").alias("tool_calls"))
     runs = v.v_counts.join(v.v_runs.select("run", "domain"), "run").select("run", "domain", "f2p_passed", "f2p_total", "p2p_passed", "p2p_total")
     return wide.run_dossier(runs, reqs, nodes_of, threads, patches, [effort], ["run"])
+
+
+# --- C04, C08: links of disclosures and notifications
+
+_C04 = """with q as (select run, args as question, any_value(action) as action, count(*) as n from v_actions where is_ask group by run, args),
+x as (select run, text as message, min(turn) as first_visible, min(case when role = 'user' then turn end) as first_read from (select run, turn, role, 'm' || (turn % 4) as text from v_turns) t group by run, text)
+select a.run, a.tool as fact, a.args as question, 'm' || (action_id % 6) as reply, action_id as place, row_number() over (partition by a.run, a.tool order by action_id) as ordinal, row_number() over (partition by a.run, a.tool order by action_id) = 1 as is_first,
+q.action, case when q.action is not null then 'm' || (q.action % 3) = 'm' || (action_id % 6) end as reply_agrees, x.first_visible is not null as visible, x.first_visible, x.first_read
+from (select *, action as action_id from v_actions where not is_ask) a left join q on q.run = a.run and q.question = a.args and q.n = 1 left join x on x.run = a.run and x.message = 'm' || (action_id % 6)"""
+
+
+@query("c04_linked_disclosures", _C04)
+def c04_linked(v):
+    name = lambda c, n: F.concat(F.lit("m"), F.col(c) % n)
+    facts = v.v_actions.where("not is_ask").select("run", F.col("tool").alias("fact"), F.col("args").alias("question"), name("action", 6).alias("reply"), F.col("action").alias("place"))
+    questions = v.v_actions.where("is_ask").select("run", F.col("args").alias("question"), name("action", 3).alias("reply"), "action")
+    exposures = v.v_turns.select("run", name("turn", 4).alias("message"), F.col("turn").alias("place"), (F.col("role") == "user").alias("is_read"))
+    return comms.linked_disclosures(facts, questions, exposures, ["run"]).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+_C08 = """with e as (select run, ord1 as k, ord2 as place, status = 'passed' as is_read from v_records where node_class = 'f2p'),
+m as (select run, k, count(*) as occurrences, min(place) as first_seen, min(case when is_read then place end) as first_read from e group by run, k),
+r as (select run, ord1 as k, count(*) as releases, any_value(node) as release from v_records where node_class = 'p2p' or ord1 % 2 = 0 group by run, ord1),
+a as (select run, node || '-' || ord1 || '-' || ord2 as action, ord1 as k, ord2 as place, req % 5 as form from v_records),
+h as (select m.run, m.k, count(distinct case when form in (0, 1) then action end) as mentions, count(distinct case when form in (1, 2) then action end) as with_card from m join a on a.run = m.run and a.k = m.k and a.place > m.first_seen group by m.run, m.k)
+select m.run, 'runtime-D' || m.k || '-7' as message, 'D' || m.k as delivery, coalesce(releases, 0) as releases, case when releases = 1 then release end as release, occurrences, first_seen, first_read, 1 as cards, coalesce(mentions, 0) as mentions, coalesce(with_card, 0) as with_card
+from m left join r on r.run = m.run and r.k = m.k left join h on h.run = m.run and h.k = m.k"""
+
+
+@query("c08_notification_links", _C08)
+def c08_links(v):
+    seen = v.v_records.where("node_class = 'f2p'")
+    exposures = seen.select("run", text("runtime-D<ord1>-7").alias("message"), F.col("ord2").alias("place"), (F.col("status") == "passed").alias("is_read"), text("see CARD-<n>, not DOC-12 or MR-77 (xCARD-13)", n="100000 + ord1").alias("text"))
+    exposures = exposures.unionByName(seen.select("run", text("other-D<ord1>-7").alias("message"), F.col("ord2").alias("place"), F.lit(True).alias("is_read"), F.lit("CARD-12").alias("text")))
+    freed = v.v_records.where("node_class = 'p2p' or ord1 % 2 = 0").select("run", text("D<ord1>").alias("delivery"), F.col("node").alias("release"))
+    forms = ('{"id": "runtime-D<ord1>-7"}', "re: runtime-D<ord1>-7-x and a-CARD-<n>-b", "CARD-<n>", "xruntime-D<ord1>-7 CARD-<n>0", "runtime-D<ord1>-75, _CARD-<n>")
+    said = F.coalesce(*[F.when(F.col("req") % 5 == i, text(f, n="100000 + ord1")) for i, f in enumerate(forms)])
+    actions = v.v_records.select("run", F.concat_ws("-", "node", "ord1", "ord2").alias("action"), F.col("ord2").alias("place"), said.alias("input"))
+    return comms.notification_links(exposures, freed, actions, ["run"])
+
+
+# --- D12, D13: which file tells of the nodes
+
+_PATHS = (
+    ("x/ctrf.json", 0), ("ctrf.json", 0), ("a/ctrf.jsonl", 1), ("private-runtime/a.json", 5), ("a/private-runtime/ctrf.json", 0), ("v/reward.json", 3), ("v/source-rewards.jsonl", 3), ("v/adapter-1.json", 3), ("v/my-reward.json", 1), ("v/a.jsonl", 1),
+    ("test-stdout.log", 2), ("v/test-stdout.log", 2), ("v/my-test-stdout.log", 4), ("a.txt", 4), ("a.out", 4), ("a.csv", 6), ("v/artifacts/a.json", None), ("artifacts/a.json", 1), ("reward/x.json", 1), ("a.json.bak", 6),
+)
+_RANK = " ".join(f"when {i} then {'null' if r is None else r}" for i, (_, r) in enumerate(_PATHS))
+
+
+@query("d12_evidence_order", f"select node, case when req % 9 = 0 then null else case cast(node as bigint) % {len(_PATHS)} {_RANK} end end as priority from v_nodes")
+def d12_order(v):
+    path = F.array(*[F.lit(p) for p, _ in _PATHS])[(F.col("node") % len(_PATHS)).cast("int")]
+    size = F.when(F.col("req") % 9 == 0, 80_000_000).otherwise(79_999_999)
+    return v.v_nodes.select("node", nodes.candidate_rank(path, size).alias("priority"))
+
+
+_D13 = """with t as (select run, count(*) as total, count(case when node_class = 'f2p' and status = 'passed' then 1 end) as f, count(case when node_class = 'p2p' and status = 'passed' then 1 end) as p, count(case when status = 'passed' then 1 end) as ok, count(case when node % 2 = 0 or status = 'passed' then 1 end) as half from v_nodes group by run)
+select run, case when run % 3 = 0 then 'plain' when run % 3 = 1 and half = total then 'half' when run % 3 = 1 then 'numbers' when half >= 0.5 * total then 'half' end as candidate, round(case when run % 3 < 2 then 1.0 when half >= 0.5 * total then half / total end, 6) as coverage, run % 3 < 2 or half >= 0.5 * total as resolved from t"""
+
+
+@query("d13_prefer_plain", _D13)
+def d13_plain(v):
+    n = v.v_nodes.select("run", "node", "node_class", "status")
+    of = lambda d, name, priority, numbers: d.select("*", F.lit(name).alias("candidate"), F.lit(priority).alias("priority"), F.lit(numbers).alias("numbers"))
+    # all nodes by name, all by number from a better file, and in some runs a part of them
+    some = n.where("run % 3 > 0 and (node % 2 = 0 or status = 'passed')")
+    parts = [of(n.where("run % 3 = 0"), "plain", 4, False), of(n.where("run % 3 < 2"), "numbers", 0, True), of(some, "half", 2, False)]
+    found = nodes.reconcile(parts[0].unionByName(parts[1]).unionByName(parts[2]), v.v_counts.select("run", "f2p_passed", "p2p_passed", "total"), ["run"])
+    return r6(found, "coverage")

@@ -373,9 +373,9 @@ def e03(v):
     return _states(v)
 
 
-@query("e04_collab_run_metrics", _E03 + "select run, count(*) as held, count(case when state in ('obtained','returned_not_visible') or asked_owner then 1 end) as asked, count(case when state in ('obtained','returned_not_visible') then 1 end) as got, count(case when state = 'obtained' then 1 end) as visible, round(count(case when state in ('obtained','returned_not_visible') or asked_owner then 1 end) / count(*), 6) as ask_rate, round(count(case when state in ('obtained','returned_not_visible') then 1 end) / count(*), 6) as obtained_rate, round(count(case when state = 'obtained' then 1 end) / nullif(count(case when state in ('obtained','returned_not_visible') then 1 end), 0), 6) as visible_rate, round(count(case when state in ('obtained','returned_not_visible') then 1 end) / nullif(sum(n_owner), 0), 6) as gain_per_q from st group by run")
+@query("e04_collab_run_metrics", _E03 + "select *, round(got / nullif(asked, 0), 6) as followthrough, round((got - visible) / nullif(got, 0), 6) as unread from (select run, count(*) as held, count(case when state in ('obtained','returned_not_visible') or asked_owner then 1 end) as asked, count(case when state in ('obtained','returned_not_visible') then 1 end) as got, count(case when state = 'obtained' then 1 end) as visible, round(count(case when state in ('obtained','returned_not_visible') or asked_owner then 1 end) / count(*), 6) as ask_rate, round(count(case when state in ('obtained','returned_not_visible') then 1 end) / count(*), 6) as obtained_rate, round(count(case when state = 'obtained' then 1 end) / nullif(count(case when state in ('obtained','returned_not_visible') then 1 end), 0), 6) as visible_rate, round(count(case when state in ('obtained','returned_not_visible') then 1 end) / nullif(sum(n_owner), 0), 6) as gain_per_q from st group by run) m")
 def e04(v):
-    return r6(collab.collab_run_metrics(_states(v)), "ask_rate", "obtained_rate", "visible_rate", "gain_per_q")
+    return r6(collab.collab_run_metrics(_states(v)), "ask_rate", "obtained_rate", "visible_rate", "gain_per_q", "followthrough", "unread")
 
 
 @query("e05_targeting", "select r.run, count(*) as named, count(case when f.recipient = r.holder then 1 end) as on_target, round(avg(case when f.recipient = r.holder then 1 else 0 end), 6) as targeting from v_reqs r join (select run, req, arg_min(recipient, ord) as recipient from v_asks where req is not null group by run, req) f on f.run = r.run and f.req = r.req where r.holder <> 'public' group by r.run")
