@@ -563,7 +563,7 @@ def j04(v):
 
 
 @query("j05_spearman", """with r as (select dimension, score, effort, rank() over (partition by dimension order by score) + (count(*) over (partition by dimension, score) - 1) / 2 as x, rank() over (partition by dimension order by effort) + (count(*) over (partition by dimension, effort) - 1) / 2 as y from v_ratings)
-select dimension, count(*) as n, case when count(*) >= 3 and min(score) <> max(score) and min(effort) <> max(effort) then round(corr(x, y), 6) end as rho from r group by dimension""")
+select dimension, count(*) as n, case when count(*) >= 3 and min(score) <> max(score) and min(effort) <> max(effort) then round(corr(x, y), 6) + 0.0 end as rho from r group by dimension""")
 def j05(v):
     return r6(relational.spearman(v.v_ratings, "score", "effort", ["dimension"]), "rho")
 
@@ -815,7 +815,7 @@ def j09(v):
 
 @query("j11_collab_summary", """with l as (select 'effort' as metric, cast(effort as double) as value, flag from v_ratings union all select 'score', cast(score as double), flag from v_ratings),
 r as (select *, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2 as x, rank() over (partition by metric order by flag) + (count(*) over (partition by metric, flag) - 1) / 2 as y from l where value is not null)
-select metric, count(*) as n, round(avg(value), 6) as mean, round(median(value), 6) as median, case when count(*) >= 3 and min(value) <> max(value) and min(flag) <> max(flag) then round(corr(x, y), 6) end as rho from r group by metric""")
+select metric, count(*) as n, round(avg(value), 6) as mean, round(median(value), 6) as median, case when count(*) >= 3 and min(value) <> max(value) and min(flag) <> max(flag) then round(corr(x, y), 6) + 0.0 end as rho from r group by metric""")
 def j11(v):
     d = v.v_ratings.select(F.col("effort").cast("double").alias("effort"), F.col("score").cast("double").alias("score"), "flag")
     return r6(stats.collab_summary(d, ["effort", "score"], "flag"), "mean", "median", "rho")
