@@ -1,4 +1,4 @@
-"""One wide row of counts for each run."""
+"""Wide rows of runs, requirements and nodes."""
 
 from __future__ import annotations
 
@@ -94,3 +94,37 @@ def run_dossier(runs: DataFrame, reqs: DataFrame, nodes: DataFrame, threads: Dat
     blank = tuple(c for t in others for c in t.columns if c not in by)
     strict = (F.col("f2p_passed") == F.col("f2p_total")) & (F.col("p2p_passed") == F.col("p2p_total"))
     return _beside(runs.withColumn("strict", strict), [*tables, *others], by, blank)
+
+
+def requirement_dossier(reqs: DataFrame, nodes: DataFrame, claims: DataFrame, broad: DataFrame, threads: DataFrame, by: list[str]) -> DataFrame:
+    """The wide row of a requirement: its own columns, nodes, passed, losses by stage, both claims with the note's words, and what became of its deferrals.
+
+    reqs: by, req, card and more. nodes: by, req, status, loss_stage, a row for
+    each requirement of a node. claims: by, req, claim, evidence. broad: by,
+    req, claim. threads: by, card, followed. loss: ``stage:n``, by name. Texts
+    are empty, not null, where nothing is known.
+    """
+    key = [*by, "req"]
+    of_node = _counts(nodes, key, nodes=F.count("*"), passed=F.count_if(F.col("status") == "passed"))
+    stages = nodes.where("loss_stage <> ''").groupBy(*key, "loss_stage").agg(F.count("*").alias("n"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loss_stage", "n"))), lambda x: F.concat_ws(":", x["loss_stage"], x["n"])), ",")
+    deferred = _counts(threads, [*by, "card"], deferral=F.when(F.bool_or(~F.col("followed")), "abandoned").otherwise("followed"))
+    said = claims.select(*key, "claim", F.col("evidence").alias("note_excerpt")).hint("merge").join(broad.select(*key, F.col("claim").alias("claim_broad")), key, "full")
+    out = _beside(reqs, [of_node, _counts(stages, key, loss=shown), said], key, ("loss", "claim", "note_excerpt", "claim_broad"))
+    out = out.hint("merge").join(deferred, [*by, "card"], "left")
+    return out.fillna("", ["loss", "claim", "note_excerpt", "claim_broad", "deferral"])
+
+
+def node_dossier(nodes: DataFrame, links: DataFrame, graders: DataFrame, by: list[str]) -> DataFrame:
+    """The wide row of a node: status and failure class, the columns of its links if it is an f2p node, and the graders' words if it failed.
+
+    nodes: by, node, node_class, status, failure_class. links: by, node and
+    more (requirements, information state, stage of the loss). graders: by,
+    node, output.
+    """
+    key = [*by, "node"]
+    more = [c for c in links.columns if c not in key]
+    out = nodes.hint("merge").join(links, key, "left").hint("merge").join(graders.select(*key, "output"), key, "left")
+    own = [F.when(F.col("node_class") == "f2p", F.col(c)).alias(c) for c in more]
+    told = F.when(~F.col("status").isin("passed", "unresolved"), F.col("output"))
+    return out.select(*nodes.columns, *own, F.coalesce(told, F.lit("")).alias("grader_message"))

@@ -446,3 +446,35 @@ def d13_plain(v):
     parts = [of(n.where("run % 3 = 0"), "plain", 4, False), of(n.where("run % 3 < 2"), "numbers", 0, True), of(some, "half", 2, False)]
     found = nodes.reconcile(parts[0].unionByName(parts[1]).unionByName(parts[2]), v.v_counts.select("run", "f2p_passed", "p2p_passed", "total"), ["run"])
     return r6(found, "coverage")
+
+
+# --- K04, K05: wide rows of requirements and nodes
+
+_LOSS = f"case when status = 'failed' and node % 7 > 0 then {_STAGES} end"
+_K04 = f"""with n as (select run, req, count(*) as nodes, count(case when status = 'passed' then 1 end) as passed from v_nodes group by run, req),
+l as (select run, req, string_agg(s || ':' || n, ',' order by s) as loss from (select run, req, s, count(*) as n from (select *, {_LOSS} as s from v_nodes) t where s is not null group by run, req, s) g group by run, req),
+d as (select run, 'C-' || turn % 9 as card, case when count(case when turn % 2 = 0 then 1 end) > 0 then 'abandoned' else 'followed' end as deferral from v_turns where role = 'user' group by run, turn % 9)
+select r.run, r.req, 'C-' || r.req % 9 as card, holder, coalesce(nodes, 0) as nodes, coalesce(passed, 0) as passed, coalesce(loss, '') as loss, case when r.req % 4 = 0 then '' else {_CLAIMS.replace("req", "r.req")} end as claim, case when r.req % 4 = 0 then '' else 'said ' || r.req end as note_excerpt,
+case when r.req % 5 = 0 then '' else disclosure end as claim_broad, coalesce(deferral, '') as deferral from v_reqs r left join n on n.run = r.run and n.req = r.req left join l on l.run = r.run and l.req = r.req left join d on d.run = r.run and d.card = 'C-' || r.req % 9"""
+
+
+@query("k04_requirement_dossier", _K04)
+def k04_dossier(v):
+    reqs = v.v_reqs.select("run", "req", text("C-<n>", n="req % 9").alias("card"), "holder")
+    nodes_of = v.v_nodes.select("run", "req", "status", F.expr(_LOSS).alias("loss_stage"))
+    told = v.v_reqs.where("req % 4 <> 0").select("run", "req", F.expr(_CLAIMS).alias("claim"), text("said <req>").alias("evidence"))
+    broad = v.v_reqs.where("req % 5 <> 0").select("run", "req", F.col("disclosure").alias("claim"))
+    threads = v.v_turns.where("role = 'user'").select("run", text("C-<n>", n="turn % 9").alias("card"), F.expr("turn % 2 <> 0").alias("followed"))
+    return wide.requirement_dossier(reqs, nodes_of, told, broad, threads, ["run"])
+
+
+_K05 = f"""select run, node, node_class, st as status, case when st = 'failed' then 'c' || node % 3 end as failure_class, case when node_class = 'f2p' and node % 5 > 0 then 'q' || req end as req_ids, case when node_class = 'f2p' and node % 5 > 0 then {_LOSS.replace("status", "st")} end as loss_stage,
+case when st = 'failed' and node % 3 = 0 then 'lost ' || node else '' end as grader_message from (select *, case when req % 6 = 0 then 'unresolved' else status end as st from v_nodes) t"""
+
+
+@query("k05_node_dossier", _K05)
+def k05_dossier(v):
+    n = v.v_nodes.withColumn("status", F.when(F.col("req") % 6 == 0, "unresolved").otherwise(F.col("status")))
+    nodes_of = n.select("run", "node", "node_class", "status", F.when(F.col("status") == "failed", text("c<k>", k="node % 3")).alias("failure_class"))
+    links = n.where("node % 5 > 0").select("run", "node", text("q<req>").alias("req_ids"), F.expr(_LOSS).alias("loss_stage"))
+    return wide.node_dossier(nodes_of, links, v.v_nodes.where("node % 3 = 0").select("run", "node", text("lost <node>").alias("output")), ["run"])
