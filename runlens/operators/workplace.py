@@ -84,10 +84,15 @@ def topic_match(topics: DataFrame, units: DataFrame, by: list[str], least: int =
     return hits.join(size.hint("merge"), [*by, "topic"]).where(F.col("hits") >= least).withColumn("score", F.col("hits") / F.col("features"))
 
 
+def tenth(at: Column) -> Column:
+    """The tenth of first_at to last_at that a time falls in; null without duration (``least`` alone would skip that null)."""
+    of = F.floor(F.try_divide(10 * (at - F.col("first_at")), F.col("last_at") - F.col("first_at")))
+    return F.when(of > 9, F.lit(9)).otherwise(of)
+
+
 def question_deciles(asks: DataFrame, spans: DataFrame, by: list[str], at: str) -> DataFrame:
     """Tenth of the run in which each question falls; null for a run without duration."""
-    j = asks.join(spans, by)
-    return j.withColumn("decile", F.least(F.lit(9), F.floor(F.try_divide(10 * (F.col(at) - F.col("first_at")), F.col("last_at") - F.col("first_at")))))
+    return asks.join(spans, by).withColumn("decile", tenth(F.col(at)))
 
 
 def first_edit(actions: DataFrame, by: list[str], at: str, edit: str, ask: str) -> DataFrame:
