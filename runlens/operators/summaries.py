@@ -1,10 +1,11 @@
-"""What claims add up to, ratios of linked events, and the document that a diagnosis of a run starts from."""
+"""What claims add up to, ratios of linked events, documents for diagnoses, strata, short rows of runs and of models."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions import rules
 from runlens.operators.relational import exact_quantiles, ranked
 
 DONE = "claimed_done"
@@ -122,3 +123,59 @@ def diagnosis_documents(runs: DataFrame, reqs: DataFrame, nodes: DataFrame, clai
     in_order = F.array_sort(none("requirements", required), lambda a, b: F.when(a["req"] < b["req"], -1).when(a["req"] > b["req"], 1).otherwise(0))
     document = F.struct("outcome", in_order.alias("requirements"), none("p2p_failed", regressions))
     return whole.select(*by, F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def _band(c: str, low: int, high: int, names: tuple[str, str, str]) -> Column:
+    return F.when(F.col(c) < low, names[0]).when(F.col(c) <= high, names[1]).otherwise(names[2])
+
+
+def release_strata(runs: DataFrame, release: DataFrame, by: list[str]) -> DataFrame:
+    """Per axis and stratum the runs, mean rate in per cent, strict successes, and mean share of obtained facts in per cent
+    over the runs that have one. Runs without release data are left out.
+
+    runs: by, rate, strict, obtained. release: by, n_nodes, added (lines of production code), language, domain, one row per run.
+    """
+    known = lambda c, names: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col(c)), F.lit("Other"))
+    axes = {
+        "verifier_nodes": _band("n_nodes", 28, 35, rules.NODE_BANDS), "edit_size": _band("added", 1000, 5000, rules.EDIT_BANDS),
+        "language": known("language", rules.LANGUAGE_GROUPS), "domain": known("domain", {d: d for d in rules.DOMAINS}),
+    }
+    places = F.array(*[F.struct(F.lit(n).alias("axis"), c.alias("stratum")) for n, c in axes.items()])
+    stacked = runs.select(*by, "rate", "strict", "obtained").join(release, by).select("rate", "strict", "obtained", F.inline(places))
+    return stacked.groupBy("axis", "stratum").agg(F.count("*").alias("n"), (100 * F.avg("rate")).alias("rate_pct"), F.count_if("strict").alias("strict"), (100 * F.avg("obtained")).alias("obtained_pct"))
+
+
+def short_index(summary: DataFrame, losses: DataFrame, by: list[str]) -> DataFrame:
+    """Per run both rates, hours, messages, obtained facts, lost nodes by the first letter of their stage in the order of
+    stages, abandoned threads and claims of done that fail, as texts; a null label shows as a dash.
+
+    summary: by, task, f2p_passed, f2p_total, p2p_passed, p2p_total, end_reason,
+    hours, messages, obtained, held, abandoned, threads, done_failed, done,
+    premature. losses: by, stage, one row per lost node.
+    """
+    order = F.array(*map(F.lit, rules.LOSS_STAGES))
+    per = losses.where(F.col("stage").isin(*rules.LOSS_STAGES)).groupBy(*by, "stage").agg(F.count("*").alias("n"))
+    letters = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("stage")).alias("at"), F.concat(F.upper(F.left("stage", F.lit(1))), "n").alias("text"))))
+    lost = per.groupBy(*by).agg(F.array_join(letters["text"], " ").alias("lost_at"))
+    of = lambda a, b: F.concat_ws("/", F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))
+    return summary.join(lost, by, "left").select(
+        *by, "task", of("f2p_passed", "f2p_total").alias("f2p"), of("p2p_passed", "p2p_total").alias("p2p"), "end_reason", F.format_string("%.1f", F.coalesce("hours", F.lit(0)).cast("double")).alias("hours"), "messages",
+        of("obtained", "held").alias("obtained"), F.coalesce("lost_at", F.lit("")).alias("lost_at"), of("abandoned", "threads").alias("deferrals"), of("done_failed", "done").alias("claims"), F.coalesce("premature", F.lit("–")).alias("premature"),
+    )
+
+
+#: Figures of a model's comparison row that are shares to be shown in per cent.
+IN_PERCENT = ("obtained_rate", "first_fifth", "after_first_edit", "first_edit_median")
+
+
+def model_rows(figures: DataFrame, names: list[str]) -> DataFrame:
+    """A row per model with a column per figure, shares in per cent, and the silent share of failed requirements: what is
+    neither listed as open nor claimed done (null without failed ones).
+
+    figures: model, figure, value, one row per model and figure; ``failed``,
+    ``listed_open_pct`` and ``claimed_done_pct`` are among the names.
+    """
+    scale = F.when(F.col("figure").isin(*IN_PERCENT), 100.0).otherwise(1.0)
+    wide = figures.where(F.col("figure").isin(*names)).groupBy("model").agg(*[F.max(F.when(F.col("figure") == n, F.col("value") * scale)).alias(n) for n in names])
+    told = F.coalesce("listed_open_pct", F.lit(0.0)) + F.coalesce("claimed_done_pct", F.lit(0.0))
+    return wide.withColumn("silent_pct", F.when(F.col("failed") > 0, 100 - told))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators import summaries, workplace
+from runlens.functions import rules
+from runlens.operators import relational, reviews, summaries, workplace
 from runlens.plans.queries import query, r6
 
 _F10 = """with d as (select run, req, case when bool_or(status = 'failed') then false when bool_and(status = 'passed') then true end as delivered from v_nodes group by run, req),
@@ -93,3 +94,76 @@ def h09_documents(v):
     )
     lost = v.v_nodes.where("node_class = 'p2p' and status <> 'passed'").select("run", "node", F.lit("").alias("failure_class"), F.when(node % 2 == 0, "tail").otherwise("").alias("grader_output"))
     return summaries.diagnosis_documents(runs, reqs, nodes, claims, broad, deferrals, lost, ["run"])
+
+
+# --- J20, J25, K07, L01
+
+_LANGUAGES = (*rules.LANGUAGE_GROUPS, "Zig")
+_IN_DOMAINS = (*rules.DOMAINS, "Science", "Other")
+_GROUPED = " ".join(f"when {i} then '{rules.LANGUAGE_GROUPS.get(x, 'Other')}'" for i, x in enumerate(_LANGUAGES))
+_DOMAIN = " ".join(f"when {i} then '{x}'" for i, x in enumerate(rules.DOMAINS))
+_J20 = f"""with r as (select c.run, f2p_passed / nullif(f2p_total, 0) as rate, f2p_passed = f2p_total as strict, q.o as obtained, total, c.run % 7000 as added from v_counts c left join (select run, avg(case when disclosure = 'obtained' then 1.0 else 0.0 end) as o from v_reqs where holder <> 'public' group by run) q using (run) where c.run % 10 <> 0),
+s as (select 'verifier_nodes' as axis, case when total < 28 then '<28' when total <= 35 then '28-35' else '>35' end as stratum, * from r union all select 'edit_size', case when added < 1000 then '<1k' when added <= 5000 then '1k-5k' else '>5k' end, * from r
+union all select 'language', case run % {len(_LANGUAGES)} {_GROUPED} end, * from r union all select 'domain', case run % {len(_IN_DOMAINS)} {_DOMAIN} else 'Other' end, * from r)
+select axis, stratum, count(*) as n, round(100 * avg(rate), 6) as rate_pct, count(case when strict then 1 end) as strict, round(100 * avg(obtained), 6) as obtained_pct from s group by axis, stratum"""
+
+
+def _one_of(c: str, names: tuple[str, ...]):
+    return F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names)).cast("int") + 1)
+
+
+@query("j20_release_strata", _J20)
+def j20_release(v):
+    obtained = v.v_reqs.where("holder <> 'public'").groupBy("run").agg(F.avg((F.col("disclosure") == "obtained").cast("int")).alias("obtained"))
+    runs = v.v_counts.join(obtained, "run", "left").select("run", F.try_divide("f2p_passed", "f2p_total").alias("rate"), (F.col("f2p_passed") == F.col("f2p_total")).alias("strict"), "obtained")
+    release = v.v_counts.where("run % 10 <> 0").select("run", F.col("total").alias("n_nodes"), (F.col("run") % 7000).alias("added"), _one_of("run", _LANGUAGES).alias("language"), _one_of("run", _IN_DOMAINS).alias("domain"))
+    return r6(summaries.release_strata(runs, release, ["run"]), "rate_pct", "obtained_pct")
+
+
+_J25 = """with l as (select run, args, arg_max(action, action) as i, arg_max(action % 50, action) as o from v_actions group by run, args), u as (select run, cast(sum(i) as double) as input_tokens, cast(sum(o) as double) as output_tokens from l where args is not null group by run)
+select metric, count(*) as n, round(sum(x), 6) as total, round(min(x), 6) as least, round(max(x), 6) as most, round(quantile_cont(x, 0.25), 6) as p25, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.75), 6) as p75 from (select 'input_tokens' as metric, input_tokens as x from u union all select 'output_tokens', output_tokens from u) t group by metric"""
+
+
+@query("j25_reviewer_tokens", _J25)
+def j25_tokens(v):
+    records = v.v_actions.select("run", "args", "action", F.col("action").alias("input_tokens"), (F.col("action") % 50).alias("output_tokens"))
+    usage = reviews.reviewer_usage(records, ["run"], "args", ["action"], ["input_tokens", "output_tokens"])
+    return r6(relational.five_number(usage.select(*[F.col(c).cast("double").alias(c) for c in ("input_tokens", "output_tokens")]), ["input_tokens", "output_tokens"]), "total", "least", "most", "p25", "median", "p75")
+
+
+_K07 = """with l as (select run, case when node % 4 = 0 then 'discovery' when node % 4 = 1 then 'ask' when node % 4 = 2 then 'read' else 'implement' end as stage, count(*) as n from v_nodes where status = 'failed' and node % 9 <> 0 group by 1, 2),
+t as (select run, string_agg(upper(stage[1]) || n, ' ' order by case stage when 'discovery' then 0 when 'ask' then 1 when 'read' then 2 else 3 end) as lost_at from l group by run),
+q as (select run, count(*) as held, count(case when disclosure = 'obtained' then 1 end) as obtained from v_reqs where holder <> 'public' group by run)
+select c.run, concat('task ', c.run) as task, f2p_passed || '/' || f2p_total as f2p, p2p_passed || '/' || p2p_total as p2p, case when c.run % 3 = 0 then 'time_budget' end as end_reason, printf('%.1f', case when c.run % 8 = 0 then 0.0 else c.run % 33 / 4.0 + 0.01 end) as hours, total as messages,
+coalesce(obtained, 0) || '/' || coalesce(held, 0) as obtained, coalesce(lost_at, '') as lost_at, c.run % 2 || '/' || c.run % 5 as deferrals, '0/' || c.run % 4 as claims, case when c.run % 7 = 0 then '–' else 'no' end as premature from v_counts c left join q using (run) left join t using (run)"""
+
+
+@query("k07_short_index", _K07)
+def k07_index(v):
+    run, node = F.col("run"), F.col("node")
+    stage = F.when(node % 9 == 0, "unmapped").otherwise(_one_of("node", rules.LOSS_STAGES))
+    losses = v.v_nodes.where("status = 'failed'").select("run", stage.alias("stage"))
+    held = v.v_reqs.where("holder <> 'public'").groupBy("run").agg(F.count("*").alias("held"), F.count_if(F.col("disclosure") == "obtained").alias("obtained"))
+    summary = v.v_counts.join(held, "run", "left").withColumns({
+        "task": F.concat(F.lit("task "), "run"), "end_reason": F.when(run % 3 == 0, "time_budget"), "hours": F.when(run % 8 != 0, run % 33 / 4 + 0.01), "messages": F.col("total"), "abandoned": run % 2, "threads": run % 5,
+        "done_failed": F.lit(None).cast("int"), "done": run % 4, "premature": F.when(run % 7 != 0, "no"),
+    })
+    return summaries.short_index(summary, losses, ["run"])
+
+
+_FIGURES = ["n", "obtained_rate", "failed", "listed_open_pct", "claimed_done_pct"]
+
+
+@query("l01_model_rows", """with c as (select domain as model, disclosure, delivered, req from v_reqs join v_runs using (run) join (select run, req, bool_and(status = 'passed') as delivered from v_nodes group by run, req) d using (run, req)),
+m as (select model, cast(count(*) as double) as n, 100 * avg(case when disclosure = 'obtained' then 1.0 else 0.0 end) as obtained_rate, cast(count(case when not delivered then 1 end) as double) as failed, 100.0 * count(case when not delivered and req % 3 = 1 then 1 end) / nullif(count(case when not delivered then 1 end), 0) as listed_open_pct,
+100.0 * count(case when not delivered and req % 3 = 0 then 1 end) / nullif(count(case when not delivered then 1 end), 0) as claimed_done_pct from c group by model)
+select model, n, round(obtained_rate, 6) as obtained_rate, failed, round(listed_open_pct, 6) as listed_open_pct, round(claimed_done_pct, 6) as claimed_done_pct, round(case when failed > 0 then 100 - listed_open_pct - claimed_done_pct end, 6) as silent_pct from m""")
+def l01_rows(v):
+    j = v.v_reqs.join(v.v_runs, "run").join(workplace.delivered(v.v_nodes, ["run", "req"]).hint("merge"), ["run", "req"])
+    failed, req = ~F.col("delivered"), F.col("req")
+    pct = lambda w: F.try_divide(100 * F.count_if(failed & w), F.count_if(failed))
+    by_model = j.groupBy(F.col("domain").alias("model")).agg(
+        F.count("*").cast("double").alias("n"), F.avg((F.col("disclosure") == "obtained").cast("double")).alias("obtained_rate"), F.count_if(failed).cast("double").alias("failed"),
+        pct(req % 3 == 1).alias("listed_open_pct"), pct(req % 3 == 0).alias("claimed_done_pct"),
+    )
+    return r6(summaries.model_rows(by_model.unpivot("model", _FIGURES, "figure", "value"), _FIGURES), "obtained_rate", "listed_open_pct", "claimed_done_pct", "silent_pct")

@@ -56,3 +56,30 @@ def test_document_of_a_run_without_requirements(spark):
     assert (b["card"], b["topic"], b["questions"], b["nodes"], b["deferrals"], b["delivery_note"]["strict"]) == (None, "", 0, [], [], None)
     skipped = summaries.skipped_runs(runs, make([(1, True), (1, True), (2, None)], "run int, match boolean"), make([], "run int"), ["run"])
     assert {r.run: r.reason for r in skipped.collect()} == {1: "no requirement links", 2: "per-node outcomes not reconstructed"}
+
+
+def test_strata_and_their_edges(spark):
+    make = spark.createDataFrame
+    runs = make([(1, 0.5, True, 0.2), (2, None, False, None), (3, 1.0, None, 0.4), (4, 0.1, True, 0.1)], "run int, rate double, strict boolean, obtained double")
+    release = make([(1, 28, 1000, "Go", "Science"), (2, 27, 999, None, None), (3, 36, 5001, "Rust", "Games & Graphics"), (9, 1, 1, "Go", "x")], "run int, n_nodes int, added int, language string, domain string")
+    found = {(r.axis, r.stratum): (r.n, r.rate_pct, r.strict, r.obtained_pct and round(r.obtained_pct, 6)) for r in summaries.release_strata(runs, release, ["run"]).collect()}
+    assert found[("verifier_nodes", "28-35")] == (1, 50.0, 1, 20.0) and found[("verifier_nodes", "<28")] == (1, None, 0, None) and found[("verifier_nodes", ">35")][0] == 1
+    assert {s for a, s in found if a == "edit_size"} == {"<1k", "1k-5k", ">5k"}
+    assert found[("language", "Go / Rust")] == (2, 75.0, 1, 30.0) and found[("language", "Other")][0] == 1 and found[("domain", "Other")][0] == 2
+    assert summaries.release_strata(runs.limit(0), release, ["run"]).count() == 0
+
+
+def test_short_row_of_a_run(spark):
+    columns = "run int, task string, f2p_passed int, f2p_total int, p2p_passed int, p2p_total int, end_reason string, hours double, messages int, obtained int, held int, abandoned int, threads int, done_failed int, done int, premature string"
+    summary = spark.createDataFrame([(1, "t", 1, 2, 3, 3, "done", 7.96, 4, 1, 2, 0, 1, 2, 3, "no"), (2, None, *[None] * 14)], columns)
+    losses = spark.createDataFrame([(1, "implement"), (1, "ask"), (1, "implement"), (1, "unmapped"), (1, None)], "run int, stage string")
+    rows = {r.run: tuple(r)[1:] for r in summaries.short_index(summary, losses, ["run"]).collect()}
+    assert rows[1] == ("t", "1/2", "3/3", "done", "8.0", 4, "1/2", "A1 I2", "0/1", "2/3", "no")
+    assert rows[2] == (None, "0/0", "0/0", None, "0.0", None, "0/0", "", "0/0", "0/0", "–")
+
+
+def test_rows_of_models(spark):
+    figures = spark.createDataFrame([("a", "failed", 4.0), ("a", "listed_open_pct", 25.0), ("a", "first_fifth", 0.5), ("a", "else", 1.0), ("b", "failed", 0.0)], "model string, figure string, value double")
+    rows = {r.model: r.asDict() for r in summaries.model_rows(figures, ["failed", "listed_open_pct", "claimed_done_pct", "first_fifth"]).collect()}
+    assert rows["a"] == {"model": "a", "failed": 4.0, "listed_open_pct": 25.0, "claimed_done_pct": None, "first_fifth": 50.0, "silent_pct": 75.0}
+    assert rows["b"]["silent_pct"] is None
