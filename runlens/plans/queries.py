@@ -310,7 +310,7 @@ l as (select req, pattern, node, arg_max(status, place) as status from p group b
 n as (select req, pattern, row_number() over (partition by req order by count(*) desc, pattern) as rn from l group by req, pattern)
 select l.req, l.pattern, l.node, l.status from l join n on n.req = l.req and n.pattern = l.pattern and n.rn = 1""")
 def d08(v):
-    lines = v.v_records.select("req", "node", "status", F.concat(F.lit("p"), F.col("ord1") % 3).alias("pattern"), F.expr("ord1 * 10000000000000 + ord2 * 1000000000 + cast(round(ord3 * 100) as bigint)").alias("at"))
+    lines = v.v_records.select("req", "node", "status", F.concat(F.lit("p"), F.col("ord1") % 3).alias("pattern"), F.expr("cast(ord1 as decimal(20, 0)) * 10000000000000 + cast(ord2 as decimal(20, 0)) * 1000000000 + cast(round(ord3 * 100) as decimal(20, 0))").alias("at"))  # past 64 bits
     return nodes.merge_text_evidence(lines, ["req"], "node", "pattern", "at").select("req", "pattern", "node", "status")
 
 
