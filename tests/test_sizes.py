@@ -46,3 +46,8 @@ def test_d08_places_past_64_bits(spark, far):
     # the SQL's own places overflow there; part keys moved by a multiple of 3 leave order and patterns as they are
     df = entry.queries()["d08_merge_text_evidence"](spark, far)
     assert rows(df.columns, df.collect()) == by_sql("d08_merge_text_evidence", SF)
+
+
+def test_c08_cards_of_large_keys(spark, far):
+    df = entry.queries()["c08_notification_links"](spark, far)
+    assert rows(df.columns, df.collect()) == by_sql("c08_notification_links", far)
