@@ -78,27 +78,39 @@ def match_nodes(records: DataFrame, nodes: DataFrame, aliases: DataFrame, by: li
     nodes that differ by a prefix only. aliases: by, alias, node. Canonical
     forms and numbers (of two digits at least) count only if they name one node
     of ``by``. numbers: may a record be matched by its number; true by default.
-    All tiers are candidates of one join, keyed by tier and text.
+    One join holds all tiers: texts as they are (exact ids and aliases), canonical forms and numbers. A name with a
+    prefix more meets the node's form by what is left of its own, a node with one by what is left of the node's.
     """
-    key = lambda tier, sub, text: F.struct(F.lit(tier).alias("tier"), F.lit(sub).alias("sub"), text.alias("key"))
-    own, name = canonical_id(F.col(node)), F.col("__name")
-    said = canonical_id(name)
-    of_node = [key(0, 0, F.col(node)), key(2, 0, own), key(4, 0, longest_number(F.col(node)))]
-    of_name = [key(0, 0, name), key(1, 0, name), key(2, 0, said)]
-    number = longest_number(name)
-    of_name.append(key(4, 0, F.when((F.length(number) >= 2) & F.coalesce(numbers if numbers is not None else F.lit(True), F.lit(False)), number)))
-    for i, p in enumerate(rules.NODE_PREFIXES):
-        of_node += [key(3, i, F.concat(F.lit(f">{p}"), own)), key(3, i, F.concat(F.lit("<"), own))]
-        of_name += [key(3, i, F.concat(F.lit(">"), said)), key(3, i, F.concat(F.lit(f"<{p}"), said))]
+    key = lambda space, tier, sub, text: F.struct(F.lit(space).alias("space"), F.lit(tier).alias("tier"), F.lit(sub).alias("sub"), text.alias("key"))
+    cut = lambda form, p: F.when(F.startswith(form, F.lit(p)), F.substring(form, F.lit(len(p) + 1), F.length(form)))
+    present = lambda keys: F.inline(F.filter(F.array(*keys), lambda k: k["key"].isNotNull()))
     order = F.struct(F.col(place).alias("place"), F.col(node).alias("node"))
-    targets = nodes.select(*by, order.alias("__order"), F.inline(F.array(*of_node)))
-    also = aliases.select(*by, F.struct(F.lit(None).cast(nodes.schema[place].dataType).alias("place"), F.col(node).alias("node")).alias("__order"), F.lit(1).alias("tier"), F.lit(0).alias("sub"), F.col("alias").cast("string").alias("key"))
-    targets = targets.unionByName(also).where("key is not null").groupBy(*by, "tier", "sub", "key")
-    targets = targets.agg(F.min("__order").alias("__order"), F.count_distinct("__order.node").alias("__n")).where("tier not in (2, 4) or __n = 1")
+    targets = nodes.select(*by, order.alias("__order"), canonical_id(F.col(node)).alias("__form"))
+    own, form = F.col("__order.node"), F.col("__form")
+    of_node = [key(0, 0, 0, own), key(1, 2, 0, form), key(2, 4, 0, longest_number(own)), *[key(1, 3, i, cut(form, p)) for i, p in enumerate(rules.NODE_PREFIXES)]]
+    targets = targets.select(*by, "__order", present(of_node))
+    also = aliases.select(*by, F.struct(F.lit(None).cast(nodes.schema[place].dataType).alias("place"), F.col(node).alias("node")).alias("__order"), F.lit(0).alias("space"), F.lit(1).alias("tier"), F.lit(0).alias("sub"), F.col("alias").cast("string").alias("key"))
+    # canonical forms and numbers count if they are of one node
+    single = F.col("tier").isin(2, 4)
+    targets = targets.unionByName(also).where("key is not null").groupBy(*by, "space", "key").agg(
+        F.min(F.when(~single, F.struct("tier", "sub", "__order"))).alias("__any"), F.min(F.when(single, F.col("__order"))).alias("__own"),
+        F.min(F.when(single, F.col("__order.node"))).eqNullSafe(F.max(F.when(single, F.col("__order.node")))).alias("__once"),
+    )
+    # ``short``: which prefix the name gave up, none by default
+    said = lambda space, short, text: F.struct(F.lit(space).alias("space"), F.lit(short).cast("int").alias("short"), text.alias("key"))
     named = records.select(*by, record, *([] if numbers is None else [c for c in records.columns if c not in (*by, record, ids)]), F.posexplode(ids).alias("pos", "__name"))
-    sought = named.select(*by, record, "pos", F.inline(F.array(*of_name))).where("key is not null")
-    hits = sought.hint("merge").join(targets.drop("__n"), [*by, "tier", "sub", "key"])
-    best = hits.groupBy(*by, record).agg(F.min(F.struct("tier", "pos", "sub", "__order")).alias("best"))
+    name, number = F.col("__name"), longest_number(F.col("__name"))
+    counted = F.when((F.length(number) >= 2) & F.coalesce(numbers if numbers is not None else F.lit(True), F.lit(False)), number)
+    named = named.withColumn("__number", counted).withColumn("__form", canonical_id(name))
+    of_name = [said(0, None, name), said(1, None, form), said(2, None, F.col("__number")), *[said(1, i, cut(form, p)) for i, p in enumerate(rules.NODE_PREFIXES)]]
+    sought = named.select(*by, record, "pos", present(of_name))
+    # a name's own form meets a node's, if only one has it, or what is left of a node's; what is left of it meets any node's
+    hits = sought.hint("merge").join(targets, [*by, "space", "key"])
+    found = lambda tier, sub: F.when(F.col("__own").isNotNull(), F.struct(tier.alias("tier"), "pos", sub.alias("sub"), F.col("__own").alias("__order")))
+    other = F.when(F.col("__any").isNotNull(), F.struct(F.col("__any.tier").alias("tier"), "pos", F.col("__any.sub").alias("sub"), F.col("__any.__order").alias("__order")))
+    whole = F.array_min(F.array_compact(F.array(other, F.when(F.col("__once"), found(F.col("space") * 2, F.lit(0))))))
+    hits = hits.withColumn("best", F.when(F.col("short").isNotNull(), found(F.lit(3), F.col("short"))).otherwise(whole))
+    best = hits.where("best is not null").groupBy(*by, record).agg(F.min("best").alias("best"))
     tiers = F.array(*map(F.lit, ("exact", "alias", "canonical", "prefix", "number")))
     return best.select(*by, record, tiers[F.col("best.tier")].alias("tier"), F.col("best.__order.node").alias(node))
 

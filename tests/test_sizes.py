@@ -51,3 +51,8 @@ def test_d08_places_past_64_bits(spark, far):
 def test_c08_cards_of_large_keys(spark, far):
     df = entry.queries()["c08_notification_links"](spark, far)
     assert rows(df.columns, df.collect()) == by_sql("c08_notification_links", far)
+
+
+def test_d06_shuffles_few_keys(spark):
+    # 6,000 records of two names: 34 keys each before
+    assert shuffled(spark, entry.queries()["d06_match_all_tiers"](spark, SF)) < 120_000
