@@ -63,15 +63,15 @@ def topic_features(topic: Column) -> Column:
 def topic_scores(units: DataFrame, topics: DataFrame, by: list[str], unit: str, topic: str, text: str) -> DataFrame:
     """(by, topic, unit, score) of the units that hold features of a topic: the share of them, two at least, or the only one if it has six characters.
 
-    units: by, unit, text. topics: by, topic and its array ``features``. A
-    feature may stand anywhere in a text, so units are known by their pieces of
-    the features' lengths.
+    units: by, unit, text. topics: by, topic and its array ``features``, as
+    topic_features gives them. A feature may stand anywhere in a text, so units
+    are known by the pieces of the features' lengths of their words.
     """
     wanted = topics.select(*by, topic, F.size("features").alias("__size"), F.explode("features").alias("__f"))
-    low = F.lower(F.col(text))
-    cut = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    pairs = F.filter(cut(2), lambda p: p.rlike("^[一-鿿]{2}$"))
-    pieces = units.select(*by, unit, F.explode(F.array_distinct(F.concat(pairs, *[cut(k) for k in range(3, 7)]))).alias("__f"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_.]{3,}|[一-鿿]{2,}"), F.lit(0)))
+    cut = lambda w, k: F.when(F.length(w) >= k, F.transform(F.sequence(F.lit(1), F.length(w) - (k - 1)), lambda i: F.substring(w, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    of_word = lambda w: F.when(w.rlike("^[a-z0-9_.]"), F.concat(*[cut(w, k) for k in range(3, 7)])).otherwise(cut(w, 2))
+    pieces = units.select(*by, unit, F.explode(F.array_distinct(F.flatten(F.transform(words, of_word)))).alias("__f"))
     hits = pieces.hint("shuffle_hash").join(wanted, [*by, "__f"]).groupBy(*by, topic, unit)
     hits = hits.agg(F.count("*").alias("__n"), F.max("__size").alias("__size"), F.max(F.length("__f")).alias("__long"))
     enough = F.when(F.col("__size") == 1, F.col("__long") >= 6).otherwise(F.col("__n") >= 2)

@@ -4,9 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF
+from runlens.operators import claims
 from runlens.plans.bindings import TABLES
 from test_oracles import ORACLES, rows
 
@@ -56,3 +58,13 @@ def test_c08_cards_of_large_keys(spark, far):
 def test_d06_shuffles_few_keys(spark):
     # 6,000 records of two names: 34 keys each before
     assert shuffled(spark, entry.queries()["d06_match_all_tiers"](spark, SF)) < 120_000
+
+
+def test_f07_pieces_of_words_only(spark):
+    # 300 words of six letters: four lengths within a word, 2,100 pieces; every place of the text began five before, 10,000
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{i:03d}x" for i in range(300)]
+    units = spark.createDataFrame([(1, 1, " ".join(words)), (1, 2, "X12345.\nyy 权限校验")], "run int, unit int, text string")
+    topics = spark.createDataFrame([(1, 7, ["c00", "x"]), (1, 8, ["限校", "345"]), (1, 9, ["ca002x"])], "run int, number int, features array<string>")
+    found = claims.topic_scores(units, topics, ["run"], "unit", "number", "text")
+    assert {(r.number, r.unit, r.score) for r in found.collect()} == {(8, 2, 1.0), (9, 1, 1.0)}
+    assert shuffled(spark, found) < 4_000
