@@ -103,20 +103,25 @@ def compact_index(rows: DataFrame, by: list[str], order: list[str], nested: str)
 
 def failure_label(record: Column, status: Column) -> Column:
     """The first text that reads as an identifier and isn't generic: nested ``extra`` (two deep), class keys, reasons, raw status."""
-    places = [f"$.{deep}{k}" for deep in ("extra.extra.", "extra.", "") for k in (*CLASS_KEYS, *REASON_KEYS)]
-    named = lambda c: F.when(c.rlike(LABEL_PATTERN) & ~F.lower(c).isin(*GENERIC_LABELS), c)
-    return F.coalesce(*[named(F.get_json_object(record, p)) for p in places], named(status), F.lit(""))
+    keys = [*CLASS_KEYS, *REASON_KEYS]
+    once = lambda c, then: F.transform(F.array(c), then)[0]  # noqa: E731  (``then`` of a value that is read once)
+    named = lambda c: c.rlike(LABEL_PATTERN) & ~F.lower(c).isin(*GENERIC_LABELS)
+    told = lambda m: F.try_element_at(F.filter(F.transform(F.array(*map(F.lit, keys)), lambda k: m[k]), named), F.lit(1))
+    texts = "map<string,string>"
+    inner, middle, top = F.from_json(record, f"extra struct<extra:{texts}>")["extra"]["extra"], F.from_json(record, f"extra {texts}")["extra"], F.from_json(record, texts)
+    found = F.coalesce(*[once(m, told) for m in (inner, middle, top)])
+    return F.coalesce(found, F.when(named(status), status), F.lit(""))
 
 
 def failure_message(record: Column, tail: int = 4000) -> Column:
     """The ends of the record's message texts, one below the other; values that aren't texts are left out."""
-    v = F.try_parse_json(record)
 
-    def text(path: str) -> Column:
-        return F.when(F.schema_of_variant(F.variant_get(v, path, "variant")) == "STRING", F.variant_get(v, path, "string"))
-
-    ends = [F.right(text(f"$.{k}"), F.lit(tail)) for k in MESSAGE_KEYS]
-    return F.concat_ws("\n", *ends, text("$.outcome"), text("$.extra"), *[F.right(text(f"$.extra.{k}"), F.lit(tail)) for k in MESSAGE_KEYS])
+    entries = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    said = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    ends = lambda m: F.transform(F.array(*map(F.lit, MESSAGE_KEYS)), lambda k: F.right(said(m[k]), F.lit(tail)))
+    # the record is parsed once, and the object inside it read once
+    of = lambda top: F.transform(F.array(entries(top["extra"])), lambda inner: F.array_join(F.concat(ends(top), F.array(said(top["outcome"]), said(top["extra"])), F.coalesce(ends(inner), F.array().cast("array<string>"))), "\n"))[0]
+    return F.coalesce(F.transform(F.array(entries(F.try_parse_json(record))), of)[0], F.lit(""))
 
 
 def evidence_source(runs: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF
-from runlens.operators import claims
+from runlens.operators import claims, reviews
 from runlens.plans.bindings import TABLES
 from test_oracles import ORACLES, rows
 
@@ -68,3 +68,16 @@ def test_f07_pieces_of_words_only(spark):
     found = claims.topic_scores(units, topics, ["run"], "unit", "number", "text")
     assert {(r.number, r.unit, r.score) for r in found.collect()} == {(8, 2, 1.0), (9, 1, 1.0)}
     assert shuffled(spark, found) < 4_000
+
+
+def test_d03_reads_a_record_few_times(spark):
+    label = reviews.failure_label(F.col("r"), F.col("st"))
+    rows = [
+        ('{"extra": {"extra": {"reason": "deep"}, "class": "mid"}, "category": "top"}', "deep"), ('{"extra": {"extra": {"reason": "two words"}, "class": "FAILED"}, "failure_reason": "last"}', "last"),
+        ('{"extra": "{\\"class\\": \\"no_object\\"}", "reason": "told"}', "told"), ('{"category": 7, "reason": true, "class": {"a": 1}}', "odd_status"), ('{"category": "cut_off"', "odd_status"), (None, "odd_status"), ('[{"class": "listed"}]', "odd_status"),
+    ]
+    df = spark.createDataFrame([(r, "odd_status", want) for r, want in rows], "r string, st string, want string")
+    assert df.where(label != F.col("want")).collect() == []
+    # 45 paths before, each read up to three times
+    plan = df.select(label)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") + plan.count("from_json") < 10
