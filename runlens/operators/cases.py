@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.operators.relational import spearman
-
 #: Outcomes under which a requirement reached the run.
 OBTAINED = ("obtained", "returned_not_visible")
 
 
+#: Draws of a resample that are made from one row.
+BLOCK = 4096
+
+
+def _parts(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _weighted_spearman(drawn: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """by and the rank correlation, null as ``relational.spearman`` has it, of many groups at once: equal pairs are counted first, and ranks are running sums of the counts.
+
+    ``by`` includes n, the rows of the group.
+    """
+    pairs = drawn.groupBy(*by, x, y).agg(F.count("*").alias("__w"))
+
+    def centred(c: str) -> Column:
+        # a window without a frame goes up to the last equal value
+        upto = F.sum("__w").over(Window.partitionBy(*by).orderBy(c))
+        equal = F.sum("__w").over(Window.partitionBy(*by, c))
+        return upto - (equal + F.col("n")) / 2
+
+    a, b, w = F.col("__a"), F.col("__b"), F.col("__w")
+    of = pairs.withColumn("__a", centred(x)).withColumn("__b", centred(y))
+    out = of.groupBy(*by).agg(F.sum(w * a * a).alias("__aa"), F.sum(w * b * b).alias("__bb"), F.sum(w * a * b).alias("__ab"))
+    usable = (F.col("n") >= 3) & (F.col("__aa") > 0) & (F.col("__bb") > 0)
+    return out.select(*by, F.when(usable, F.col("__ab") / F.sqrt("__aa") / F.sqrt("__bb")).alias("rho"))
+
+
 def bootstrap_ci(df: DataFrame, x: str, y: str, by: list[str], order: str, reps: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """N, percentile interval of the rank correlation over ``reps`` resamples, and whether it leaves out zero.
 
@@ -25,12 +51,18 @@ def bootstrap_ci(df: DataFrame, x: str, y: str, by: list[str], order: str, reps:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, order, x, y)
     placed = both.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(order, x, y)) - 1)
     sizes = both.groupBy(*by).agg(F.count("*").alias("n"))
-    draws = sizes.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__rep"))
-    draws = draws.select(*by, "n", "__rep", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("__place"))
+    # few rows become many: dealt out before, so that no task makes the draws of a group
+    blocks = sizes.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))).alias("__block"))
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__rep")).repartition(_parts(df), *by, "__rep", "__block")
+    places = F.sequence(F.col("__block") * BLOCK, F.least((F.col("__block") + 1) * BLOCK, F.col("n")) - 1)
+    draws = blocks.select(*by, "n", "__rep", F.explode(places).alias("__place"))
     code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "__rep", "__place")), 1, 8), 16, 10).cast("long")
-    drawn = draws.select(*by, "__rep", (code % F.col("n")).alias("__at")).join(placed.hint("shuffle_hash"), [*by, "__at"])
+    # never null, or a join would test that by making the code twice
+    at = F.coalesce((code % F.col("n")).cast("int"), F.lit(0))
+    drawn = draws.select(*by, "n", "__rep", at.alias("__at")).join(placed.hint("shuffle_hash"), [*by, "__at"])
+    rho = _weighted_spearman(drawn, x, y, [*by, "n", "__rep"])
     ends = [(1 - level) / 2, (1 + level) / 2]
-    out = spearman(drawn, x, y, [*by, "__rep"]).groupBy(*by).agg(F.percentile("rho", F.array(*map(F.lit, ends))).alias("q"), F.count("rho").alias("used"))
+    out = rho.groupBy(*by).agg(F.percentile("rho", F.array(*map(F.lit, ends))).alias("q"), F.count("rho").alias("used"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     return sizes.join(out.hint("merge"), by, "left").select(*by, "n", F.coalesce("used", F.lit(0)).alias("used"), lo.alias("lo"), hi.alias("hi"), F.coalesce((lo > 0) | (hi < 0), F.lit(False)).alias("significant"))
 

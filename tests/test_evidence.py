@@ -1,5 +1,8 @@
 """Edge cases of the operators on open JSON, card ranges, resampling and cases."""
 
+import hashlib
+import math
+
 from pyspark.sql import functions as F
 
 from runlens.functions.jsontree import json_objects
@@ -83,6 +86,26 @@ def test_bootstrap_without_correlation(spark):
     assert out["up"].significant and round(out["up"].lo, 6) == 1.0
 
 
+def test_bootstrap_makes_its_draws_once(spark, monkeypatch):
+    monkeypatch.setattr(cases, "BLOCK", 3)
+    rows = [("g", i, float(i % 2), float(i * 7 % 5)) for i in range(10)]
+    out = cases.bootstrap_ci(spark.createDataFrame(rows, "g string, i int, x double, y double"), "x", "y", ["g"], "i", reps=20)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    ranks = lambda v: [sum(w < a for w in v) + (sum(w == a for w in v) - len(v)) / 2 for a in v]
+    found = []
+    for rep in range(1, 21):
+        drawn = [rows[int(hashlib.md5(f"7|{rep}|{place}".encode()).hexdigest()[:8], 16) % 10] for place in range(10)]
+        a, b = ranks([r[2] for r in drawn]), ranks([r[3] for r in drawn])
+        spread = math.sqrt(sum(i * i for i in a) * sum(i * i for i in b))
+        if spread:
+            found.append(sum(i * j for i, j in zip(a, b, strict=True)) / spread)
+    found.sort()
+    at = lambda p: found[int(p)] + (found[int(p) + 1] - found[int(p)]) * (p - int(p))
+    (r,) = out.collect()
+    assert (r.n, r.used) == (10, len(found))
+    assert (round(r.lo, 9), round(r.hi, 9)) == (round(at(0.025 * (len(found) - 1)), 9), round(at(0.975 * (len(found) - 1)), 9))
+
+
 def test_cases_fall_back_to_five(spark):
     losses = spark.createDataFrame([(r, "implement") for r in (1, 2, 3, 4, 5, 6, 6)], "run int, loss_stage string")
     reqs = spark.createDataFrame([(r, a) for r in range(1, 7) for a in ("obtained" if r < 6 else "no", "no")], "run int, acquisition string")
