@@ -47,27 +47,32 @@ def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> D
     runs too, so lines and names meet by the name's longest run and are
     compared only then.
     """
-    own = ~F.col("path").rlike(r"\.jsonl?$")
+    other = ~F.col("path").rlike(r"\.jsonl?$") & ~F.col("path").endswith(".log")
     scopes = F.array(
-        F.struct(F.lit(0).alias("far"), F.when(own, F.concat(F.lit("="), "path")).alias("scope")),
+        F.struct(F.lit(0).alias("far"), F.when(other, F.concat(F.lit("="), "path")).alias("scope")),
         F.struct(F.lit(1).alias("far"), F.concat(F.lit("/"), _folder(F.col("path"))).alias("scope")),
         F.struct(F.lit(2).alias("far"), F.concat(F.lit("/"), _folder(_folder(F.col("path")))).alias("scope")),
     )
     named = nodes.select(*by, node, F.col("path").alias("__own"), F.explode(node_names(F.col(node))).alias("__name"), scopes.alias("__scopes"))
     named = named.withColumn("__word", _longest_word(F.col("__name"))).select("*", F.inline("__scopes")).drop("__scopes").where("scope is not null")
 
-    is_log = F.col("path").endswith(".log") & (F.octet_length("text") <= LARGEST_LOG)
-    places = F.array_compact(F.array(F.when(~F.col("path").rlike(r"\.jsonl?$"), F.concat(F.lit("="), "path")), F.when(is_log, F.concat(F.lit("/"), _folder(F.col("path"))))))
-    lines = files.select(*by, F.col("path").alias("file"), places.alias("__places"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    # the lines of a log are met by its folder, from its own nodes too; those of another file by its path
+    place = F.when(F.col("path").endswith(".log"), F.concat(F.lit("/"), _folder(F.col("path")))).when(other, F.concat(F.lit("="), "path"))
+    large = F.octet_length("text") > LARGEST_LOG
+    lines = files.select(*by, F.col("path").alias("file"), place.alias("scope"), large.alias("__large"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where("scope is not null")
+    lines = lines.withColumn("__id", F.xxhash64(*by, "file", "line"))
     words = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"(?U)[\w-]+"), F.lit(0)), F.array(F.lit(""))))
-    # only lines with a name's word go on
-    known = named.select(*by, "__word").distinct()
-    found = lines.select("*", F.explode(words).alias("__word")).hint("shuffle_hash").join(known, [*by, "__word"], "left_semi")
-    found = found.select(*by, "file", "line", "text", "__word", F.explode("__places").alias("scope"))
+    # words and lines meet as numbers, so that a line's text moves once and not with each word; equal numbers of other words fall away with the text
+    named = named.withColumn("__key", F.xxhash64(*by, "__word")).drop("__word")
+    known = named.select("__key").distinct().hint("shuffle_hash")
+    keys = lines.select("__id", F.explode(F.transform(words, lambda w: F.xxhash64(*by, w))).alias("__key")).join(known, "__key", "left_semi")
+    found = lines.join(keys.hint("shuffle_hash"), "__id").drop("__id")
     said = F.expr(r"text rlike concat('(?U)(?<![\\w-])\\Q', replace(__name, '\\E', '\\E\\\\E\\Q'), '\\E(?![\\w-])')")
-    hits = found.hint("merge").join(named, [*by, "scope", "__word"]).where("far = 0 or file <> __own").where(said)
-    # a log may be met by several names, and from the folder and from above it
-    hits = hits.groupBy(*by, node, "file", "line").agg(F.min("far").alias("far"), F.first("text").alias("text"))
+    # a file's own nodes do not meet it as one of the folder above; a large log is searched for its own nodes alone
+    own = F.col("file") == F.col("__own")
+    hits = found.hint("merge").join(named, [*by, "scope", "__key"]).where(F.when(own, F.col("far") < 2).otherwise(~F.col("__large"))).where(said).withColumn("far", F.when(own, 0).otherwise(F.col("far")))
+    # a log may be met by several names, and from the folder and from above it; all that follows is of a node
+    hits = hits.select(*by, node, "file", "line", "far", "text").repartition(*by, node).groupBy(*by, node, "file", "line").agg(F.min("far").alias("far"), F.first("text").alias("text"))
     last = Window.partitionBy(*by, node, "file").orderBy(F.desc("line"))
     shown = F.when(F.col("far") == 0, OWN_LINES).otherwise(OTHER_LINES)
     return hits.withColumn("__rn", F.row_number().over(last)).where((F.col("__rn") <= OWN_LINES) & (F.col("__rn") <= shown)).drop("__rn")
@@ -102,7 +107,8 @@ def json_records(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -
     said = objects.select(*by, "path", "part", "no", _summary(F.col("fields")).alias("text"), F.explode(told).alias("__name"))
     plain = node_names(F.col(node))
     names = F.concat(plain, F.transform(plain, lambda n: F.concat(F.lit("[f2p] "), n)), F.transform(plain, lambda n: F.concat(F.lit("[p2p] "), n)))
-    named = nodes.select(*by, node, "path", F.explode(names).alias("__name"))
+    # the others have no such file
+    named = nodes.where(F.col("path").rlike(r"\.jsonl?$")).select(*by, node, "path", F.explode(names).alias("__name"))
     hits = said.hint("merge").join(named, [*by, "path", "__name"]).groupBy(*by, node, "part", "no").agg(F.first("text").alias("text"))
     first = Window.partitionBy(*by, node).orderBy("part", "no")
     return hits.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= RECORDS).select(*by, node, F.col("__rn").alias("no"), "text")

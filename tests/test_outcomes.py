@@ -162,3 +162,20 @@ def test_topics(spark):
     topics = spark.createDataFrame([(1, 9, topic), (1, 8, ["render"]), (1, 7, ["v2.1"])], "run int, number int, features array<string>")
     got = {(r.number, r.unit): round(r.score, 3) for r in claims.topic_scores(units, topics, ["run"], "unit", "number", "text").collect()}
     assert got == {(9, 1): 0.4, (9, 2): 0.6, (8, 1): 1.0, (8, 3): 1.0}
+
+
+def test_lines_meet_names_without_their_text(spark, monkeypatch):
+    monkeypatch.setattr(grader, "LARGEST_LOG", 40)
+    given = [(1, "n1", "r/v/run.log"), (1, "n2", "r/v/a.json"), (1, "n3", "r/v/out.txt"), (1, "n4", "r/v/small.log")]
+    files = [(1, "r/v/run.log", "n1 n2 n3 " * 9), (1, "r/v/small.log", "n1 n2\nn3 n4"), (1, "r/v/out.txt", "n3 n4"), (1, "r/all.log", "n4"), (1, "r/v/a.json", '{"id": "n2"}')]
+    df = grader.log_lines(spark.createDataFrame(given, "run int, node string, path string"), spark.createDataFrame(files, "run int, path string, text string"), ["run"], "node")
+    got = sorted((r.node, r.file, r.line, r.far) for r in df.collect())
+    assert got == [("n1", "r/v/run.log", 0, 0), ("n1", "r/v/small.log", 0, 1), ("n2", "r/v/small.log", 0, 1), ("n3", "r/v/out.txt", 0, 0), ("n3", "r/v/small.log", 1, 1), ("n4", "r/all.log", 0, 2), ("n4", "r/v/small.log", 1, 0)]
+
+    def semi_joins(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        own = [children[0].output().mkString(",")] if plan.nodeName() == "Join" and plan.joinType().toString() == "LeftSemi" else []
+        return own + [x for c in children for x in semi_joins(c)]
+
+    (moved,) = semi_joins(df._jdf.queryExecution().optimizedPlan())
+    assert "text" not in moved and "file" not in moved
