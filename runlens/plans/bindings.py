@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("benchmark", "conversations", "customer", "documents", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
@@ -41,6 +44,21 @@ class Views:
                 raise AttributeError(name)
         return self._made[name]
 
+    def keep(self, name: str) -> None:
+        """Writes a view that a query reads several times, and reads it back from there: else its joins and windows run, and move the records, once for each time.
+
+        The folder is that of spark.checkpoint.dir. Without one, a local
+        session has a temporary folder, and a cluster goes on with the view.
+        """
+        context = self._spark.sparkContext
+        folder = self._spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not folder and (context.master == "local" or context.master.startswith("local[")):
+            folder = tempfile.mkdtemp(prefix="spark-runlens-")
+        if folder:
+            view, path = getattr(self, name), f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+            view.write.parquet(path)
+            self._made[name] = self._spark.read.schema(view.schema).parquet(path)
+
     def sql(self, text: str) -> DataFrame:
         used = {n: getattr(self, n) for n in (*TABLES, *VIEWS) if f"{{{n}}}" in text}
         return self._spark.sql(text.replace("{us}", _SPARK_US), **used)

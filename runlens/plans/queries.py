@@ -845,6 +845,7 @@ def k02(v):
 
 @query("k05_node_rows", _E09 + f", fl as (select run, req, node, {_D09.format(l=_LABEL)} as failure_class from v_nodes where status = 'failed'), ls as (select fl.run, fl.node, case when failure_class in ('infrastructure_or_blocked', 'timeout') then 'excluded_infrastructure' else coalesce(sg.stage, 'unmapped') end as stage from fl left join sg on sg.run = fl.run and sg.req = fl.req and fl.node % 11 <> 0) select n.run, n.req, n.node, n.node_class, n.status, case when n.node_class = 'f2p' then case when r.holder = 'public' then 'public' when r.disclosure = 'obtained' then 'colleague_obtained' else 'colleague_not_obtained' end end as information_state, ls.stage from v_nodes n join v_reqs r on r.run = n.run and r.req = n.req left join ls on ls.run = n.run and ls.node = n.node")
 def k05(v):
+    v.keep("v_nodes")
     return collab.node_rows(v.v_nodes, _information(v).select("run", "node", "information_state"), e10(v))
 
 
