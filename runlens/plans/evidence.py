@@ -102,6 +102,7 @@ case when f = p and g = q and kept >= 0.5 * total and node % 4 = 0 then 'not_rep
 
 @query("d13_reconciled_nodes", _D13)
 def d13_nodes(v):
+    v.keep("v_nodes")
     candidates = v.v_nodes.where("node % 4 <> 0").select("run", F.lit("kept").alias("candidate"), F.lit(0).alias("priority"), "node", "node_class", "status")
     chosen = nodes.reconcile(candidates, v.v_counts.select("run", "f2p_passed", "p2p_passed", "total"), ["run"])
     return verifier.reconciled_nodes(v.v_nodes, candidates, chosen, ["run"])
