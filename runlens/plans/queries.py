@@ -575,6 +575,7 @@ def j06(v):
 
 @query("j07_pass_by_state", _E03 + "select case when r.holder = 'public' then 'public' when st.state = 'obtained' then 'colleague_obtained' else 'colleague_not_obtained' end as information_state, count(*) as n, round(avg(case when n.status = 'passed' then 1 else 0 end), 6) as rate from v_nodes n join v_reqs r on r.run = n.run and r.req = n.req left join st on st.run = n.run and st.req = n.req where n.node_class = 'f2p' group by 1")
 def j07(v):
+    v.keep("v_nodes")
     return r6(stats.pass_by_state(v.v_nodes.join(_information(v), ["run", "node"]), "information_state"), "rate")
 
 

@@ -83,7 +83,7 @@ def test_d03_reads_a_record_few_times(spark):
     assert plan.count("get_json_object") + plan.count("from_json") < 10
 
 
-@pytest.mark.parametrize("name", ["k05_node_rows", "d13_reconciled_nodes"])
+@pytest.mark.parametrize("name", ["k05_node_rows", "d13_reconciled_nodes", "j07_pass_by_state"])
 def test_records_are_not_read_again_for_each_use(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "node" in plan
