@@ -19,9 +19,9 @@ OBJECT = "no int, parent int, at string, above string, direct boolean, fields ma
 _FIELDS = pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string()), ("no", pa.int32())]))
 
 
-def _plain(text: str) -> str:
+def plain(text: str) -> str:
     """A text without halves of surrogate pairs, which JSON may hold but UTF-8 may not."""
-    return text.encode("utf-8", "replace").decode()
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 def _scalar(value: object) -> tuple[str, str | None]:
@@ -29,7 +29,7 @@ def _scalar(value: object) -> tuple[str, str | None]:
     if isinstance(value, bool):
         return "bool", str(value).lower()
     if isinstance(value, str):
-        return "string", _plain(value)
+        return "string", plain(value)
     if isinstance(value, (int, float)):
         return ("int" if isinstance(value, int) else "float"), str(value)
     if isinstance(value, list):
@@ -50,10 +50,10 @@ def _objects(text: str | None) -> list[dict]:
         if isinstance(value, tuple):  # an entry of an object
             key, inner = value
             kind, shown = _scalar(inner)
-            around["fields"].append((_plain(key), {"type": kind, "value": shown, "no": clock}))
+            around["fields"].append((plain(key), {"type": kind, "value": shown, "no": clock}))
             clock += 1
             if isinstance(inner, (dict, list)):
-                todo.append((inner, around, _plain(key), isinstance(inner, dict)))
+                todo.append((inner, around, plain(key), isinstance(inner, dict)))
         elif isinstance(value, list):
             todo.extend((v, around, at, False) for v in reversed(value) if isinstance(v, (dict, list)))
         elif isinstance(value, dict):
@@ -91,7 +91,7 @@ def field(name: str, *kinds: str) -> Column:
 def _without(text: str, private) -> str | None:
     try:
         kept = json.loads(text, object_pairs_hook=lambda pairs: {k: v for k, v in pairs if not private(k)})
-        return _plain(json.dumps(kept, ensure_ascii=False, separators=(",", ":")))
+        return plain(json.dumps(kept, ensure_ascii=False, separators=(",", ":")))
     except (ValueError, RecursionError):
         return None
 
@@ -119,7 +119,7 @@ def _strings(text: str) -> list[str]:
             elif isinstance(value, list):
                 todo.extend(reversed(value))
             elif isinstance(value, str):
-                found.append(_plain(value))
+                found.append(plain(value))
                 if value.lstrip().startswith(("{", "[")):
                     try:
                         todo.append(json.loads(value))
