@@ -31,7 +31,8 @@ def _clean_path(path: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    parts = F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    ends = r"\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"  # most texts have none of them
+    parts = F.when(text.rlike(f"[{ends}]"), F.split(text, rf"\r\n|[\n{ends}]")).otherwise(F.split(text, "\n"))
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
@@ -41,29 +42,29 @@ def check_citations(evidence: DataFrame, files: DataFrame, by: list[str]) -> Dat
     evidence: by, id, path, line_start, line_end, quote, event_id. files: by,
     path, text. A quote stands in the lines together, or in a text inside of a
     line that is JSON, texts in JSON that is itself a text included; white
-    space counts as one blank. Only cited lines meet their citations.
+    space counts as one blank.
     """
     known = files.select(*by, F.col("path").alias("__file"), _lines(F.col("text")).alias("__lines"))
-    cited = evidence.select(*by, "id", "path", "line_start", "line_end", "quote", "event_id", _clean_path(F.col("path")).alias("__file"), F.monotonically_increasing_id().alias("__no"))
-    sizes = known.select(*by, "__file", F.size("__lines").alias("__size"))
-    placed = cited.hint("merge").join(sizes, [*by, "__file"], "left")
-    start, end = F.col("line_start"), F.col("line_end")
-    range_ok = F.coalesce((start >= 1) & (start <= end) & (end <= F.col("__size")), F.lit(False))
-    where = F.when(F.col("__size").isNull(), F.concat(F.lit("invalid evidence path: "), F.coalesce("path", F.lit("")))).when(~range_ok, F.concat(F.lit("invalid line range: "), "id"))
-    placed = placed.withColumn("error", where)
-    wanted = placed.where("error is null").select(*by, "id", "quote", "event_id", "__no", "__file", F.explode(F.sequence(start, end)).alias("__line"))
-    lines = known.select(*by, "__file", F.posexplode("__lines").alias("__at", "__text")).withColumn("__line", F.col("__at") + 1)
-    met = wanted.hint("merge").join(lines, [*by, "__file", "__line"])
-    section = met.groupBy(*by, "id", "quote", "event_id", "__no").agg(F.array_sort(F.collect_list(F.struct("__line", "__text"))).alias("__s"))
-    section = section.withColumn("__texts", F.transform("__s", lambda s: s["__text"]))
-    # one Python call for a section: its lines as one JSON list, whose texts may be JSON themselves
-    inner = json_strings(F.to_json("__texts"))
-    section = section.select(*by, "id", "quote", "event_id", F.concat(F.array(F.array_join("__texts", "\n")), inner).alias("__said"))
-    held = F.exists("__said", lambda s: F.contains(_fold(s), _fold(F.col("quote"))))
-    quoted = F.coalesce((F.trim("quote") != "") & held, F.lit(False))
-    event = (F.coalesce("event_id", F.lit("")) == "") | F.exists("__said", lambda s: F.contains(s, F.col("event_id")))
-    wrong = F.array_compact(F.array(F.when(~quoted, F.concat(F.lit("quote not found in cited lines: "), "id")), F.when(~event, F.concat(F.lit("event ID not found in cited lines: "), "id"))))
-    return placed.where("error is not null").select(*by, "id", "error").unionByName(section.select(*by, "id", F.explode(wrong).alias("error")))
+    cited = evidence.select(*by, "id", "path", "line_start", "line_end", "quote", "event_id", _clean_path(F.col("path")).alias("__file"))
+    start, end, size = F.col("line_start"), F.col("line_end"), F.size("__lines")
+    range_ok = F.coalesce((start >= 1) & (start <= end) & (end <= size), F.lit(False))
+    where = F.when(F.col("__lines").isNull(), F.concat(F.lit("invalid evidence path: "), F.coalesce("path", F.lit("")))).when(~range_ok, F.concat(F.lit("invalid line range: "), "id"))
+    # a merge join holds one file at a time; its rows take the cited lines with them, not the file
+    texts = F.when(range_ok, F.slice("__lines", start, end - start + 1))
+    section = cited.hint("merge").join(known, [*by, "__file"], "left").select(*by, "id", "quote", "event_id", where.alias("error"), texts.alias("__texts"))
+    section = section.withColumn("__said", F.array_join("__texts", "\n")).withColumn("__quote", _fold(F.col("quote")))
+    some, no = F.trim("quote") != "", F.lit(False)
+    quoted = F.coalesce(some & F.contains(_fold(F.col("__said")), F.col("__quote")), no)
+    event = (F.coalesce("event_id", F.lit("")) == "") | F.contains("__said", F.col("event_id"))
+    section = section.withColumns({"__quoted": quoted, "__event": event})
+    # texts inside of JSON are read only where the lines themselves do not tell enough: one Python call for a section, its lines as one JSON list
+    more = F.col("error").isNull() & ((F.coalesce(some, no) & ~F.col("__quoted")) | ~F.col("__event")) & F.col("__said").rlike(r"[{\[]")
+    inner = json_strings(F.when(more, F.to_json("__texts")))
+    section = section.select(*by, "id", "error", "event_id", "__quote", "__quoted", "__event", some.alias("__some"), F.coalesce(inner, F.array().cast("array<string>")).alias("__inner"))
+    quoted = F.col("__quoted") | F.coalesce(F.col("__some") & F.exists("__inner", lambda s: F.contains(_fold(s), F.col("__quote"))), no)
+    event = F.col("__event") | F.exists("__inner", lambda s: F.contains(s, F.col("event_id")))
+    wrong = F.array(F.when(~quoted, F.concat(F.lit("quote not found in cited lines: "), "id")), F.when(~event, F.concat(F.lit("event ID not found in cited lines: "), "id")))
+    return section.select(*by, "id", F.explode(F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array_compact(wrong))).alias("error"))
 
 
 def _mismatches(reports: DataFrame, facts: DataFrame, by: list[str], fields: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -218,6 +218,7 @@ def _files(c):
 
 @query("h02_citations", _H02)
 def h02_citations(v):
+    v.keep("v_nodes")
     c = v.sql(_CITED)
     return checks.check_citations(_citations(c), _files(c), ["run"])
 
