@@ -240,6 +240,8 @@ union all select run, 'quote not found in cited lines: E1' from k where kind = 1
 
 @query("h10_check_diagnoses", _H10)
 def h10(v):
+    v.keep("v_nodes")
+    v.keep("v_counts")
     kind, run = F.col("run") % 12, F.col("run")
     name = lambda lead: F.concat(F.lit(lead), "run")
     context = v.v_counts.select("run", name("t").alias("task_id"), F.lit("1").alias("task_version"), name("r").alias("run_id"), run.alias("row"), *checks.OUTCOME)
