@@ -33,9 +33,11 @@ def replay_flags(events: DataFrame, by: list[str], key: list[str], order: list[s
 
 def extract_calls(sightings: DataFrame, call: list[str], order: list[str], content: list[str]) -> DataFrame:
     """One action per id: its first sighting, later ones counted as replays, conflicting if their content differs."""
-    ranked = sightings.withColumn("__rn", F.row_number().over(Window.partitionBy(*call).orderBy(*order)))
-    first = [F.max(F.when(F.col("__rn") == 1, F.col(c))).alias(c) for c in content]
-    return ranked.groupBy(*call).agg(*first, (F.count("*") - 1).alias("replays"), (F.count_distinct(F.struct(*content)) > 1).alias("conflicting"))
+    along, whole = Window.partitionBy(*call).orderBy(*order), Window.partitionBy(*call)
+    # one sort serves all of it: aggregates of the sorted rows would each hold a table of all calls beside it
+    said = F.struct(*content)
+    seen = sightings.select(*call, *content, F.row_number().over(along).alias("__rn"), (F.count("*").over(whole) - 1).alias("replays"), (~F.min(said).over(whole).eqNullSafe(F.max(said).over(whole))).alias("conflicting"))
+    return seen.where("__rn = 1").drop("__rn")
 
 
 def pair_results(calls: DataFrame, results: DataFrame, call: list[str], at: str) -> DataFrame:

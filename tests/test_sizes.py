@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF
-from runlens.operators import checks, claims, reviews, verifier
+from runlens.operators import checks, claims, normalize, reviews, verifier
 from runlens.plans.bindings import TABLES
 from test_oracles import ORACLES, rows
 
@@ -109,3 +109,11 @@ def test_h02_moves_a_file_once(spark):
     assert sorted(tuple(r)[1:] for r in found.collect()) == [("b", "event ID not found in cited lines: b"), ("b", wrong + "b"), ("w", wrong + "w"), ("x", "event ID not found in cited lines: x"), ("y", "invalid line range: y"), ("z", "invalid evidence path: ../g")]
     # before, citations moved three times or more, and lines once
     assert shuffled(spark, found) < 1_600
+
+
+def test_a08_holds_calls_once(spark):
+    rows = [(1, 2, "a", None), (1, 1, "a", None), (2, 1, None, "x"), (2, 2, "b", "x"), (3, 1, "c", "y")]
+    found = normalize.extract_calls(spark.createDataFrame(rows, "id int, at int, s string, c string"), ["id"], ["at"], ["s", "c"])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", None, 1, False), (2, None, "x", 1, True), (3, "c", "y", 0, False)]
+    # before, three aggregates stood behind the sort
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
