@@ -169,6 +169,7 @@ runs as (select d.run, concat(f2p_passed, '/', f2p_total) as f2p, concat('run ',
 
 
 def _diagnoses(v) -> dict[str, DataFrame]:
+    v.keep("v_nodes")
     step = F.struct("node", F.col("node_class").alias("phase"), F.concat(F.lit("node "), "node").alias("description"))
     failed = v.v_nodes.groupBy("run", "req").agg(F.count("*").alias("nodes_total"), F.count_if(F.col("status") == "failed").alias("nodes_failed"), F.array_sort(F.collect_list(step)).alias("steps"))
     req = F.col("req")
