@@ -294,6 +294,7 @@ def d02(v):
 
 @query("d06_match_nodes", "select run, record, case when record % 5 = 0 then 'prefixed' else 'exact' end as tier, node as matched from (select run, node as record, node from v_nodes) t")
 def d06(v):
+    v.keep("v_nodes")
     base = v.v_nodes.select("run", F.col("node").alias("record"), F.when(F.col("node") % 5 == 0, F.concat(F.lit("test_"), "node")).otherwise(F.col("node").cast("string")).alias("name"))
     named = v.v_nodes.select("node")
     keys = [("exact", F.col("name"), F.col("node").cast("string")), ("prefixed", F.regexp_replace("name", "^test_", ""), F.col("node").cast("string"))]
