@@ -78,6 +78,7 @@ def h09_skipped(v):
 
 @query("h09_diagnosis_documents", _H09)
 def h09_documents(v):
+    v.keep("v_nodes")
     req, node = F.col("req"), F.col("node")
     failed = F.col("status") == "failed"
     card = F.concat(F.lit("c"), req % 9)

@@ -93,7 +93,7 @@ def test_d04_walks_a_file_once(spark):
     assert "fields" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["k05_node_rows", "d13_reconciled_nodes", "j07_pass_by_state", "h02_citations", "h10_check_diagnoses", "d06_match_nodes", "h12_diagnosis_counts"])
+@pytest.mark.parametrize("name", ["k05_node_rows", "d13_reconciled_nodes", "j07_pass_by_state", "h02_citations", "h10_check_diagnoses", "h09_diagnosis_documents", "d06_match_nodes", "h12_diagnosis_counts"])
 def test_records_are_not_read_again_for_each_use(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "node" in plan
