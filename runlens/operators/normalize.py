@@ -48,26 +48,32 @@ def pair_results(calls: DataFrame, results: DataFrame, call: list[str], at: str)
     return joined.withColumn("status", F.when(~after, "orphan").when(no > 1, "repeat_result").otherwise("result"))
 
 
-def missing_results(calls: DataFrame, paired: DataFrame, call: list[str]) -> DataFrame:
-    """Calls without any result."""
-    return calls.join(paired.where("status <> 'orphan'").select(*call).distinct(), call, "left_anti")
+def missing_results(calls: DataFrame, results: DataFrame, call: list[str], at: str) -> DataFrame:
+    """The ids of calls without any result after the first call of theirs; one aggregate over both, no join."""
+    said = calls.select(*call, F.col(at).alias("__first"), F.lit(None).cast(results.schema[at].dataType).alias("__last"), F.lit(True).alias("__call"))
+    back = results.dropna(subset=call).select(*call, F.lit(None).cast(calls.schema[at].dataType).alias("__first"), F.col(at).alias("__last"), F.lit(False).alias("__call"))
+    both = said.unionByName(back).groupBy(*call).agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"), F.bool_or("__call").alias("__call"))
+    return both.where(F.col("__call") & ~F.coalesce(F.col("__last") > F.col("__first"), F.lit(False))).select(*call)
 
 
 def later_calls(calls: DataFrame, results: DataFrame, call: list[str], order: list[str], action: str) -> DataFrame:
     """Results that came before any call of theirs, with the next call of the same id, null where none follows.
 
     calls: call, order, action. results: call, order and what names them. A
-    call at the very place of a result does not follow it. Calls and results
-    stand in one order per id, so no range join is needed.
+    call at the very place of a result does not follow it; of several calls at
+    one place the smallest action counts. Calls and results stand in one order
+    per id, so no range join is needed, and that order is backwards, so that
+    the next call is the last one seen.
     """
     names = [c for c in results.columns if c not in (*call, *order)]
     both = results.withColumn("__action", F.lit(None).cast(calls.schema[action].dataType)).withColumn("__call", F.lit(0))
     said = calls.select(*call, *order, *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in names], F.col(action).alias("__action"), F.lit(-1).alias("__call"))
-    along = Window.partitionBy(*call).orderBy(*order, "__call")
-    any_call = F.max(F.when(F.col("__call") == -1, 1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("__action", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
-    out = both.unionByName(said).withColumn("__seen", any_call).withColumn("matching_later_call", following)
-    return out.where("__call = 0 and __seen is null").select(*call, *order, *names, "matching_later_call")
+    along = Window.partitionBy(*call).orderBy(*[F.desc(c) for c in (*order, "__call", "__action")]).rowsBetween(Window.unboundedPreceding, 0)
+    is_call = F.col("__call") == -1
+    calls_before = F.count_if(is_call).over(Window.partitionBy(*call)) - F.count_if(is_call).over(along)
+    following = F.last("__action", ignorenulls=True).over(along)
+    out = both.unionByName(said).withColumn("__before", calls_before).withColumn("matching_later_call", following)
+    return out.where("__call = 0 and __before = 0").select(*call, *order, *names, "matching_later_call")
 
 
 def message_exposures(results: DataFrame, by: list[str], message: str, order: list[str]) -> DataFrame:

@@ -44,10 +44,10 @@ class Views:
                 raise AttributeError(name)
         return self._made[name]
 
-    def keep(self, name: str) -> None:
+    def keep(self, name: str, *columns: str) -> None:
         """Writes a view that a query reads several times, and reads it back from there: else its joins and windows run, and move the records, once for each time.
 
-        The folder is that of spark.checkpoint.dir. Without one, a local
+        With columns, the view has only these from then on. The folder is that of spark.checkpoint.dir. Without one, a local
         session has a temporary folder, and a cluster goes on with the view.
         """
         context = self._spark.sparkContext
@@ -55,7 +55,7 @@ class Views:
         if not folder and (context.master == "local" or context.master.startswith("local[")):
             folder = tempfile.mkdtemp(prefix="spark-runlens-")
         if folder:
-            view, path = getattr(self, name), f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+            view, path = getattr(self, name).select(*(columns or "*")), f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
             view.write.parquet(path)
             self._made[name] = self._spark.read.schema(view.schema).parquet(path)
 

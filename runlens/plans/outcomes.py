@@ -98,12 +98,13 @@ union all select distinct 'missing_result', req, null, null, null, null from c w
 
 @query("a09_orphans", _A09)
 def a09_orphans(v):
+    v.keep("v_records", "req", "node", "node_class", "ord1", "ord2")
     name = F.concat_ws("-", "node", "ord1", "ord2")
-    calls = v.v_records.where("node_class = 'f2p'").select("req", "ord1", "ord2", name.alias("action")).groupBy("req", "ord1", "ord2").agg(F.min("action").alias("action"))
-    results = v.v_records.where("node_class = 'p2p'").select("req", "ord1", "ord2", "node").distinct()
-    later = normalize.later_calls(calls, results, ["req"], ["ord1", "ord2"], "action").select(F.lit("matching_later_call").alias("kind"), "req", "node", "ord1", "ord2", F.col("matching_later_call").alias("action"))
-    first = calls.groupBy("req").agg(F.min("ord1").alias("ord1"))
-    missing = normalize.missing_results(first, normalize.pair_results(first, results.select("req", "ord1"), ["req"], "ord1"), ["req"])
+    calls = v.v_records.where("node_class = 'f2p'").select("req", "ord1", "ord2", name.alias("action"))
+    results = v.v_records.where("node_class = 'p2p'").select("req", "ord1", "ord2", "node")
+    later = normalize.later_calls(calls, results, ["req"], ["ord1", "ord2"], "action").distinct()
+    later = later.select(F.lit("matching_later_call").alias("kind"), "req", "node", "ord1", "ord2", F.col("matching_later_call").alias("action"))
+    missing = normalize.missing_results(calls, results, ["req"], "ord1")
     return later.unionByName(missing.select(F.lit("missing_result").alias("kind"), "req"), allowMissingColumns=True)
 
 

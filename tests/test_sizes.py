@@ -117,3 +117,15 @@ def test_a08_holds_calls_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a", None, 1, False), (2, None, "x", 1, True), (3, "c", "y", 0, False)]
     # before, three aggregates stood behind the sort
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a09_reads_records_once_and_sorts_them_once(spark):
+    df = entry.queries()["a09_orphans"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # before, records were made three times, and calls joined to results
+    assert "l_orderkey" not in plan and "Join" not in plan
+    calls = spark.createDataFrame([("a", 5, "B"), ("a", 5, "A"), ("a", 9, "C"), ("b", 3, "D"), ("d", None, "E"), (None, 1, "F")], "id string, at int, action string")
+    results = spark.createDataFrame([("a", 1), ("a", 6), ("b", 3), ("b", None), ("c", 7), ("d", 4), (None, 9)], "id string, at int")
+    assert sorted(map(tuple, normalize.missing_results(calls, results, ["id"], "at").collect()), key=str) == [("b",), ("d",), (None,)]
+    found = normalize.later_calls(calls, results, ["id"], ["at"], "action")
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", 1, "A"), ("b", None, "D"), ("c", 7, None)]
