@@ -24,7 +24,7 @@ def plain(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def _scalar(value: object) -> tuple[str, str | None]:
+def scalar(value: object) -> tuple[str, str | None]:
     """Type and text of a value; containers other than lists of strings have no text."""
     if isinstance(value, bool):
         return "bool", str(value).lower()
@@ -49,7 +49,7 @@ def _objects(text: str | None) -> list[dict]:
         value, around, at, direct = todo.pop()
         if isinstance(value, tuple):  # an entry of an object
             key, inner = value
-            kind, shown = _scalar(inner)
+            kind, shown = scalar(inner)
             around["fields"].append((plain(key), {"type": kind, "value": shown, "no": clock}))
             clock += 1
             if isinstance(inner, (dict, list)):
@@ -64,6 +64,22 @@ def _objects(text: str | None) -> list[dict]:
     return found
 
 
+def nested(text: str | None) -> Iterator[tuple[dict, dict | None, str, bool]]:
+    """Each object of a document in its order, with the object around it, the last key above it and whether it is that key's value; none if it is null or no JSON."""
+    try:
+        root = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return
+    todo: list[tuple] = [(root, None, "", False)]
+    while todo:
+        value, around, at, direct = todo.pop()
+        if isinstance(value, dict):
+            yield value, around, at, direct
+            todo.extend([(v, value, plain(k), True) for k, v in reversed(value.items()) if isinstance(v, (dict, list))])
+        elif isinstance(value, list):
+            todo.extend([(v, around, at, False) for v in reversed(value) if isinstance(v, (dict, list))])
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text last -> the other columns, repeated, and the objects."""
     for batch in batches:
@@ -82,12 +98,6 @@ def json_objects(df: DataFrame, column: str) -> DataFrame:
     return df.select(*kept.columns, F.col(column).cast("string")).mapInArrow(_batches, schema)
 
 
-def field(name: str, *kinds: str) -> Column:
-    """Text of an object's entry, null if it is absent or of another type than those given."""
-    entry = F.col("fields")[name]
-    return F.when(entry["type"].isin(*kinds), entry["value"]) if kinds else entry["value"]
-
-
 def _without(text: str, private) -> str | None:
     try:
         kept = json.loads(text, object_pairs_hook=lambda pairs: {k: v for k, v in pairs if not private(k)})

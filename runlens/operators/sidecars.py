@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from runlens.functions import rules
-from runlens.functions.jsontree import field, json_objects, without_keys
+from runlens.functions.jsontree import nested, plain, scalar, without_keys
+
+#: Keys of which an object has to have one to be named by its id.
+_SIGNS = {"artifacts": {"body"}, "people": {"display_name", "username", "expertise"}, "chat": {"text", "body"}}
 
 
 def strip_private(record: Column) -> Column:
@@ -38,40 +45,54 @@ def sidecar_counts(records: DataFrame, by: list[str]) -> DataFrame:
     return records.where("parsed").groupBy(*by, "kind").agg(F.count("*").alias("n"))
 
 
+def _is_entity(family: str, one: dict, ident: str) -> bool:
+    if family == "reviews":
+        return ident.startswith("MR-")
+    return family in rules.KEYED_FAMILIES or not _SIGNS[family].isdisjoint(one)
+
+
+def _entities(family: str, text: str | None) -> set[tuple[str, str, str | None]]:
+    """(kind, key, version) of all that one result returns, in one walk of its objects."""
+    found, named_by, first = set(), "key" if family in rules.KEYED_FAMILIES else "id", None
+    for one, around, at, direct in nested(text):
+        first = one if first is None else first
+        if direct and at == "conversation" and around is first:
+            kind, named = scalar(one.get("id"))
+            if kind in ("string", "int", "float", "bool") and named not in ("", "0", "false"):
+                found.add(("conversation", named, None))
+        if isinstance(talk := one.get("conversation_id"), str):
+            found.add(("conversation", plain(talk), None))
+        ident = one.get(named_by)
+        if not isinstance(ident, str) or not _is_entity(family, one, plain(ident)):
+            continue
+        key, chosen = plain(ident), one.get("selected_version")
+        picked = isinstance(chosen, dict) and "body" in chosen
+        found.add(("id", key, None))
+        if picked or "body" in one:
+            found.add(("body", key, None))
+        if picked and family == "docs":
+            version = scalar(chosen.get("version"))[1]
+            found.add(("version", key, "None" if version is None else version))
+    return found
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Family and payload last -> the other columns, repeated, and the entities."""
+    for batch in batches:
+        *others, families, texts = batch.columns
+        rows = [(i, *e) for i, (f, t) in enumerate(zip(families.to_pylist(), texts.to_pylist(), strict=True)) for e in _entities(f, t)]
+        owner, *entity = zip(*rows, strict=True) if rows else ((),) * 4
+        owner = pa.array(owner, pa.int32())
+        yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in others], *[pa.array(e, pa.string()) for e in entity]], names=[*batch.schema.names[:-2], "kind", "key", "version"])
+
+
 def returned_entities(results: DataFrame, by: list[str], result: str, family: str, payload: str) -> DataFrame:
     """Distinct (by, kind, key, version) of what results return; kind is id, body, version or conversation.
 
-    results: by, result, family and payload (JSON). Docs and boards are named
-    by ``key``, the others by ``id``, if the family's rule holds; an object
+    results: by, result, family and payload (JSON), each read by itself. Docs and boards are named by
+    ``key``, the others by ``id``, if the family's rule holds; an object
     and its selected version count as one.
     """
-    objects = json_objects(results.select(*by, result, F.col(family).alias("family"), payload), payload)
-    picked = (F.col("at") == "selected_version") & F.col("direct")
-    has = lambda *names: F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, names)))
-    # a selected version stands for itself and, once more, beside the object that holds it
-    roles = F.array(F.struct(F.lit(True).alias("own"), F.col("no").alias("holder")), F.when(picked, F.struct(F.lit(False).alias("own"), F.col("parent").alias("holder"))))
-    seen = objects.select("*", F.explode(F.array_compact(roles)).alias("role")).select("*", "role.*")
-    keyed = F.col("family").isin(*rules.KEYED_FAMILIES)
-    ident = F.when(keyed, field("key", "string")).otherwise(field("id", "string"))
-    valid = (
-        F.when(keyed, True)
-        .when(F.col("family") == "reviews", ident.startswith("MR-"))
-        .when(F.col("family") == "artifacts", has("body"))
-        .when(F.col("family") == "people", has("display_name", "username", "expertise"))
-        .when(F.col("family") == "chat", has("text", "body"))
-        .otherwise(False)
-    )
-    top = F.col("own") & F.col("direct") & (F.col("at") == "conversation") & (F.col("parent") == 0)
-    named = field("id", "string", "int", "float", "bool")
-    inside = F.array_compact(F.array(F.when(top & ~named.isin("", "0", "false"), named), F.when(F.col("own"), field("conversation_id", "string"))))
-    one = seen.groupBy(*by, result, "family", "holder").agg(
-        F.max(F.when(F.col("own") & valid, ident)).alias("key"),
-        F.bool_or(has("body")).alias("body"),
-        F.bool_or(~F.col("own") & has("body")).alias("chosen"),
-        F.max(F.when(~F.col("own"), F.coalesce(field("version"), F.lit("None")))).alias("version"),
-        F.flatten(F.collect_list(inside)).alias("conversations"),
-    )
-    row = lambda kind, key, version=None: F.struct(F.lit(kind).alias("kind"), key.alias("key"), (F.lit(None).cast("string") if version is None else version).alias("version"))
-    named_rows = F.array_compact(F.array(row("id", F.col("key")), F.when(F.col("body"), row("body", F.col("key"))), F.when(F.col("chosen") & (F.col("family") == "docs"), row("version", F.col("key"), F.col("version")))))
-    rows = F.concat(F.when(F.col("key").isNull(), F.array().cast("array<struct<kind:string,key:string,version:string>>")).otherwise(named_rows), F.transform("conversations", lambda c: row("conversation", c)))
-    return one.where(F.col("family").isin(*rules.FAMILIES)).select(*by, F.inline(rows)).distinct()
+    given = results.where(F.col(family).isin(*rules.FAMILIES)).select(*by, F.col(family).alias("family"), F.col(payload).cast("string").alias("payload"))
+    schema = T.StructType([*given.select(*by).schema.fields, *T.StructType.fromDDL("kind string, key string, version string").fields])
+    return given.mapInArrow(_batches, schema).distinct()

@@ -59,7 +59,7 @@ def b08(v):
     kind = F.col("ord2") % 3
     call = F.concat_ws("-", "node", "ord1", "ord2")  # a node may have several records
     results = v.v_records.select("run", call.alias("call"), F.when(kind == 0, "docs").when(kind == 1, "reviews").otherwise("chat").alias("family"), F.when(kind == 0, docs).when(kind == 1, reviews).otherwise(chat).alias("payload"))
-    return sidecars.returned_entities(results.distinct(), ["run"], "call", "family", "payload")
+    return sidecars.returned_entities(results, ["run"], "call", "family", "payload")
 
 
 _D04 = """with r as (select distinct node, status, node_class from v_nodes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF
-from runlens.operators import checks, claims, normalize, reviews, verifier
+from runlens.operators import checks, claims, normalize, reviews, sidecars, verifier
 from runlens.plans.bindings import TABLES
 from test_oracles import ORACLES, rows
 
@@ -129,3 +129,19 @@ def test_a09_reads_records_once_and_sorts_them_once(spark):
     assert sorted(map(tuple, normalize.missing_results(calls, results, ["id"], "at").collect()), key=str) == [("b",), ("d",), (None,)]
     found = normalize.later_calls(calls, results, ["id"], ["at"], "action")
     assert sorted(map(tuple, found.collect()), key=str) == [("a", 1, "A"), ("b", None, "D"), ("c", 7, None)]
+
+
+def test_b08_walks_a_payload_once(spark):
+    rows = [
+        ("docs", '[[{"conversation": {"id": 1.5}}], {"key": "k\\ud800", "body": "", "selected_version": {"version": ["a"], "key": "v", "body": 0}}, {"conversation": {"id": 8}}]'),
+        ("docs", '{"conversation": {"id": 0}, "key": 7, "selected_version": [{"key": "in", "body": 1, "conversation_id": ""}]}'),
+        ("chat", '{"a": {"conversation": {"id": "no"}}, "id": "c", "body": 1, "conversation_id": 3}'), ("chat", '{"id": "n"}'), ("reviews", '{"id": "MR-1"'), ("people", None), (None, '{"id": "x"}'),
+    ]
+    given = spark.createDataFrame([("r", f"{i}", f, p) for i, (f, p) in enumerate(rows)], "run string, result string, family string, payload string")
+    found = sidecars.returned_entities(given, ["run"], "result", "family", "payload")
+    assert {tuple(r)[1:] for r in found.collect()} == {
+        ("conversation", "1.5", None), ("id", "k?", None), ("body", "k?", None), ("version", "k?", '["a"]'), ("id", "v", None), ("body", "v", None), ("id", "in", None), ("body", "in", None), ("conversation", "", None),
+        ("id", "c", None), ("body", "c", None),
+    }
+    # before, each object came as a map, and was moved to the object that holds it
+    assert "fields" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate") == 1
