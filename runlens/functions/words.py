@@ -1,14 +1,14 @@
-"""Long alternations of words, sought as plain texts."""
+"""Long alternations of words, sought together."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _META = re.compile(r"[\\.^$*+?{}\[\]()|]")
 
 
@@ -56,30 +56,16 @@ def _spelled(part: str) -> list[str] | None:
 
 
 def says(text: Column, pattern: str) -> Column:
-    """``text.rlike(pattern)`` for a case-insensitive pattern ``(?i)a|b|...``, with most alternatives sought as plain texts.
+    """Whether a case-insensitive pattern ``(?i)a|b|...`` without look-arounds occurs in the text; null texts give null.
 
-    A word between word boundaries is sought as plain text first, and by the
-    regular expression only where it occurs.
+    All alternatives are sought together in one walk of the text, by RE2, in
+    which a word boundary is one of ASCII words.
     """
     if not pattern.startswith("(?i)"):
         raise ValueError("the pattern has to begin with (?i)")
-    plain, cores, bounded, rest = set(), set(), [], []
-    for part in _parts(pattern[4:]):
-        core = re.sub(r"^\\b|\\b$", "", part)
-        spelled = _spelled(core)
-        if spelled is None:
-            rest.append(part)
-        elif core == part:
-            plain |= {s.lower() for s in spelled}
-        else:
-            bounded.append(part)
-            cores |= {s.lower() for s in spelled}
-    # a text that holds another one is found by that one
-    shortest = lambda words: sorted(p for p in words if not any(q != p and q in p for q in words))
-    holds = lambda words: F.transform(F.array(F.translate(text, _UPPER, _LOWER)), lambda low: F.exists(F.array(*map(F.lit, shortest(words))), lambda w: F.contains(low, w)))[0]
-    tests = [holds(plain)] if plain else []
-    if bounded:
-        tests.append(holds(cores) & text.rlike("(?i)" + "|".join(bounded)))
-    if rest:
-        tests.append(text.rlike("(?i)" + "|".join(rest)))
-    return reduce(Column.__or__, tests)
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return found(text)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.functions import rules
-from runlens.functions.words import says
 from runlens.operators.mentions import card_ranges
-from runlens.operators.workplace import classify_claim
+from runlens.operators.workplace import claim_of, heard
 
 OPEN, DONE, NONE = "claimed_partial_or_open", "claimed_done", "not_mentioned"
 _END = r"(?:[。；;！!？?\n]|\.\s)"
@@ -41,11 +40,11 @@ def judge(text: Column, heads: Column, at: Column | None = None, multi: Column |
     by_clause = no if at is None else at.isNotNull() & (wide | (F.coalesce(multi, no) & (F.length(text) > rules.LONG_UNIT)))
     said = F.when(by_clause, clause_around(text, F.coalesce(at, F.lit(0)))).otherwise(text) if at is not None else text
     known = F.when(wide, "").otherwise(heads)
-    has_open = says(said, rules.OPEN_WORDS) | said.rlike(rules.OPEN_UNKNOWN)
-    claim = classify_claim(said, known, broad)
-    listed = known.rlike(rules.OPEN_HEAD) & ~(said.rlike(rules.ANSWERED) & ~has_open)
+    has_open, says_done, answered = heard(said)
+    claim = claim_of(has_open, says_done, answered, known, broad)
+    listed = known.rlike(rules.OPEN_HEAD) & ~(answered & ~has_open)
     implemented = known.rlike(rules.IMPLEMENT_HEAD_BROAD if broad else rules.IMPLEMENT_HEAD)
-    done = says(said, rules.DONE_WORDS) | (implemented & ~listed)
+    done = says_done | (implemented & ~listed)
     silent = wide & ~has_open & ~said.rlike(rules.ALL_CARDS)
     word = lambda c: F.when(silent, no).otherwise(c)
     return F.struct(F.when(silent, NONE).otherwise(claim).alias("claim"), word(listed).alias("listed_open"), word(done).alias("also_done"), said.alias("said"))

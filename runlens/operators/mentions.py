@@ -27,29 +27,42 @@ def _numbers(first: Column, tail: Column, prefix: Column) -> Column:
     return F.aggregate(F.arrays_zip(signs.alias("sign"), numbers.alias("number")), start, go)
 
 
-def card_ranges(units: DataFrame, cards: DataFrame, by: list[str], text: str = "text", prefix: str = "prefix") -> DataFrame:
-    """(units' columns, mention, number, blanket, at) for each card that a unit names, alone, in a range or in a list.
+def card_mentions(units: DataFrame, text: str = "text", prefix: str = "prefix") -> DataFrame:
+    """(units' columns, mention, numbers, blanket, at) for each mention of cards in a unit, alone, in a range or in a list.
 
-    units: by, text and the run's card prefix. cards: by, number (those that
-    exist). A mention whose ranges add more than five numbers is a blanket
+    units: text and the run's card prefix. A mention whose ranges add more than five numbers is a blanket
     one. Bare numbers in the first cell of a table row count if the cell
     holds nothing else; their mention is null. at: the place in the text, from 0. Null texts and prefixes have none.
     """
     quoted = F.concat(F.lit(r"\Q"), F.col(prefix), F.lit(r"\E"))
     more = F.concat(F.lit(f"(?:{rules.RANGE_SIGN}(?:"), quoted, F.lit(rf"-)?\d{{3}}(?!\d)|{rules.LIST_SIGN}(?:"), quoted, F.lit(r"-)?\d{3}(?![\d.]))*"))
     head = F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit(r"-(\d{3})(?!\d)(?=("), more, F.lit("))"))
+    # found once in columns of their own: inside of a lambda they would be sought again for each mention
+    sought = {"__gaps": F.split(F.col(text), head, -1), "__heads": F.regexp_extract_all(text, head, F.lit(0)), "__tails": F.regexp_extract_all(text, head, F.lit(2))}
+    gaps, heads, tails = map(F.col, sought)
     # a mention begins where the texts between mentions and the mentions before it end
-    gaps, heads = F.split(F.col(text), head, -1), F.regexp_extract_all(text, head, F.lit(0))
     upto = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(heads, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))
-    firsts, tails = F.regexp_extract_all(text, head, F.lit(1)), F.regexp_extract_all(text, head, F.lit(2))
     named = F.transform(
-        F.arrays_zip(firsts.alias("first"), tails.alias("tail")),
-        lambda m, i: F.struct(i.alias("mention"), upto(i).alias("at"), _numbers(m["first"].cast("int"), m["tail"], quoted).alias("found")),
+        F.arrays_zip(heads.alias("head"), tails.alias("tail")),
+        lambda m, i: F.struct(i.alias("mention"), upto(i).alias("at"), _numbers(F.right(m["head"], F.lit(3)).cast("int"), m["tail"], quoted).alias("found")),
     )
-    each = F.flatten(F.transform(named, lambda m: F.transform(m["found"]["nums"], lambda n: F.struct(m["mention"].alias("mention"), n.alias("number"), (m["found"]["ranged"] > rules.BLANKET).alias("blanket"), m["at"].alias("at")))))
+    each = F.transform(named, lambda m: F.struct(m["mention"].alias("mention"), m["found"]["nums"].alias("numbers"), (m["found"]["ranged"] > rules.BLANKET).alias("blanket"), m["at"].alias("at")))
     cell = F.when(F.col(text).startswith("|"), F.split_part(F.col(text), F.lit("|"), F.lit(2)))
     bare = F.when(cell.rlike(rules.NUMBERS_ONLY), F.regexp_extract_all(cell, F.lit(r"(?<!\d)(2\d\d)(?!\d)"), F.lit(1)))
-    cells = F.transform(bare, lambda n: F.struct(F.lit(None).cast("int").alias("mention"), n.cast("int").alias("number"), F.lit(False).alias("blanket"), F.lit(1).alias("at")))
-    none = F.array().cast("array<struct<mention:int,number:int,blanket:boolean,at:int>>")
-    found = units.select(*units.columns, F.inline(F.concat(F.coalesce(each, none), F.coalesce(cells, none))))
-    return found.join(cards.select(*by, "number").distinct().hint("merge"), [*by, "number"], "left_semi").select(*units.columns, "mention", "number", "blanket", "at")
+    cells = F.transform(bare, lambda n: F.struct(F.lit(None).cast("int").alias("mention"), F.array(n.cast("int")).alias("numbers"), F.lit(False).alias("blanket"), F.lit(1).alias("at")))
+    none = F.array().cast("array<struct<mention:int,numbers:array<int>,blanket:boolean,at:int>>")
+    return units.withColumns(sought).select(*units.columns, F.inline(F.concat(F.coalesce(each, none), F.coalesce(cells, none))))
+
+
+def of_cards(mentions: DataFrame, cards: DataFrame, by: list[str]) -> DataFrame:
+    """mentions with ``number`` in place of ``numbers``, a row for each card that exists. cards: by, number."""
+    found = mentions.select(*[c for c in mentions.columns if c != "numbers"], F.explode("numbers").alias("number"))
+    return found.join(cards.select(*by, "number").distinct().hint("merge"), [*by, "number"], "left_semi").select(*found.columns)
+
+
+def card_ranges(units: DataFrame, cards: DataFrame, by: list[str], text: str = "text", prefix: str = "prefix") -> DataFrame:
+    """(units' columns, mention, number, blanket, at) for each card that a unit names, as ``card_mentions`` finds them.
+
+    units: by, text and the run's card prefix. cards: by, number (those that exist).
+    """
+    return of_cards(card_mentions(units, text, prefix), cards, by).select(*units.columns, "mention", "number", "blanket", "at")

@@ -48,10 +48,19 @@ def note_units(notes: DataFrame, key: list[str], text: str) -> DataFrame:
     return out.select(*key, "unit", "start_line", "kind", "heads", F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("unit_text"))
 
 
+def heard(unit: Column) -> tuple[Column, Column, Column]:
+    """Whether a unit's words speak of open work, of work done, and of answers."""
+    return says(unit, rules.OPEN_WORDS) | (F.contains(unit, F.lit("未知")) & unit.rlike(rules.OPEN_UNKNOWN)), says(unit, rules.DONE_WORDS), says(unit, rules.ANSWERED)
+
+
 def classify_claim(unit: Column, heads: Column, broad: bool = False) -> Column:
     """partial or open, done, or not mentioned, from the unit's words and its headings."""
-    has_open, done = says(unit, rules.OPEN_WORDS) | (F.contains(unit, F.lit("未知")) & unit.rlike(rules.OPEN_UNKNOWN)), says(unit, rules.DONE_WORDS)
-    open_section = heads.rlike(rules.OPEN_HEAD) & ~(unit.rlike(rules.ANSWERED) & ~has_open)
+    return claim_of(*heard(unit), heads, broad)
+
+
+def claim_of(has_open: Column, done: Column, answered: Column, heads: Column, broad: bool = False) -> Column:
+    """the claim of a unit of which ``heard`` is known."""
+    open_section = heads.rlike(rules.OPEN_HEAD) & ~(answered & ~has_open)
     implemented = heads.rlike(rules.IMPLEMENT_HEAD_BROAD if broad else rules.IMPLEMENT_HEAD)
     return F.when(open_section | has_open, "claimed_partial_or_open").when(done | implemented, "claimed_done").otherwise("not_mentioned")
 
