@@ -67,8 +67,10 @@ def claim_of(has_open: Column, done: Column, answered: Column, heads: Column, br
 
 def claims_strict_broad(units: DataFrame, by: list[str], text: str, heads: str) -> DataFrame:
     """each unit's claim by the strict and by the broad vocabulary of implementation headings."""
-    modes = [F.struct(F.lit(n).alias("mode"), classify_claim(F.col(text), F.col(heads), broad).alias("claim")) for n, broad in (("strict", False), ("broad", True))]
-    return units.select(*by, F.inline(F.array(*modes)))
+    told = dict(zip(("__open", "__done", "__answered"), heard(F.col(text)), strict=True))
+    read = units.withColumns(told).select(*by, heads, *told)  # both take the same words
+    modes = [F.struct(F.lit(n).alias("mode"), claim_of(*map(F.col, told), F.col(heads), broad).alias("claim")) for n, broad in (("strict", False), ("broad", True))]
+    return read.select(*by, F.inline(F.array(*modes)))
 
 
 def resolve_claims(claims: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -164,3 +164,9 @@ def test_words_beside_letters_that_are_not_ascii(spark):
     df = spark.createDataFrame([("已done",), ("édone",), ("xdone",), ("Done é",), (None,)], "t string")
     assert [r.s for r in df.select(words.says(F.col("t"), rules.DONE_WORDS).alias("s")).collect()] == [True, True, False, True, None]
     assert duckdb.sql(f"select regexp_matches('已done', '{rules.DONE_WORDS}') and not regexp_matches('xdone', '{rules.DONE_WORDS}')").fetchall()[0][0]
+
+
+def test_f08_seeks_words_once_for_both_vocabularies(spark):
+    plan = entry.queries()["f08_claims_strict_broad"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # before, some 150 words were sought one after the other, twice
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Contains(") <= 2
