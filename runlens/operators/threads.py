@@ -103,13 +103,26 @@ def brief(results: DataFrame, by: list[str], text: str) -> DataFrame:
     return shown.groupBy(*by).agg(*[F.bool_or(c).alias(n) for n, c in says.items()])
 
 
+def _edited_test() -> Column:
+    lost = (F.col("removed") > 0) | (F.col("status") == "deleted")
+    return (F.col("category") == "test") & F.col("path").rlike(rules.CODE_FILE) & (F.col("status") != "added") & lost
+
+
 def edited_tests(files: DataFrame) -> DataFrame:
     """The files of patches that are existing tests in code and lost lines or were deleted.
 
     files: path, category, status, removed and further columns.
     """
-    lost = (F.col("removed") > 0) | (F.col("status") == "deleted")
-    return files.where((F.col("category") == "test") & F.col("path").rlike(rules.CODE_FILE) & (F.col("status") != "added") & lost)
+    return files.where(_edited_test())
+
+
+def _counts(of: Column) -> list[Column]:
+    return [F.count_if(of).alias("tests_edited"), F.sum(F.when(of, F.col("removed"))).alias("lines_removed"), F.count_if(of & (F.col("status") == "deleted")).alias("tests_deleted")]
+
+
+def patch_counts(files: DataFrame, by: list[str]) -> DataFrame:
+    """Per run with a patch, that it has one, and the figures of its edited tests, in one aggregate over all of its files."""
+    return files.groupBy(*by).agg(F.bool_or(F.lit(True)).alias("patch_found"), *_counts(_edited_test()))
 
 
 def run_basics(runs: DataFrame, briefs: DataFrame, patched: DataFrame, tests: DataFrame, by: list[str]) -> DataFrame:
@@ -117,8 +130,13 @@ def run_basics(runs: DataFrame, briefs: DataFrame, patched: DataFrame, tests: Da
 
     runs: by, end_reason, note_bytes. briefs: of ``brief``. patched: by, runs with a patch. tests: of ``edited_tests``.
     """
-    per = tests.groupBy(*by).agg(F.count("*").alias("tests_edited"), F.sum("removed").alias("lines_removed"), F.count_if(F.col("status") == "deleted").alias("tests_deleted"))
-    j = runs.select(*by, "end_reason", "note_bytes").join(briefs, by, "left").join(patched.select(*by).distinct().withColumn("patch_found", F.lit(True)), by, "left").join(per.hint("merge"), by, "left")
+    per = tests.groupBy(*by).agg(*_counts(F.lit(True)))
+    return basics(runs, briefs, patched.select(*by).distinct().withColumn("patch_found", F.lit(True)).join(per.hint("merge"), by, "full_outer"), by)
+
+
+def basics(runs: DataFrame, briefs: DataFrame, patches: DataFrame, by: list[str]) -> DataFrame:
+    """``run_basics`` where the figures of patches are given. patches: of ``patch_counts``."""
+    j = runs.select(*by, "end_reason", "note_bytes").join(briefs, by, "left").join(patches.hint("merge"), by, "left")
     flags, counts = ("told_note", "test_rule", "migration_allowed", "patch_found"), ("note_bytes", "tests_edited", "lines_removed", "tests_deleted")
     return j.select(*by, "end_reason", *[F.coalesce(c, F.lit(False)).alias(c) for c in flags], *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 

@@ -47,17 +47,25 @@ class Views:
     def keep(self, name: str, *columns: str) -> None:
         """Writes a view that a query reads several times, and reads it back from there: else its joins and windows run, and move the records, once for each time.
 
-        With columns, the view has only these from then on. The folder is that of spark.checkpoint.dir. Without one, a local
-        session has a temporary folder, and a cluster goes on with the view.
+        With columns, the view has only these from then on.
+        """
+        self._made[name] = self.written(getattr(self, name).select(*(columns or "*")), name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows read back from where they were written.
+
+        The folder is that of spark.checkpoint.dir. Without one, a local
+        session has a temporary folder, and a cluster goes on with the rows as they come.
         """
         context = self._spark.sparkContext
         folder = self._spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not folder and (context.master == "local" or context.master.startswith("local[")):
             folder = tempfile.mkdtemp(prefix="spark-runlens-")
-        if folder:
-            view, path = getattr(self, name).select(*(columns or "*")), f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-            view.write.parquet(path)
-            self._made[name] = self._spark.read.schema(view.schema).parquet(path)
+        if not folder:
+            return df
+        path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
 
     def sql(self, text: str) -> DataFrame:
         used = {n: getattr(self, n) for n in (*TABLES, *VIEWS) if f"{{{n}}}" in text}

@@ -113,8 +113,7 @@ def _basics(v) -> DataFrame:
     briefs = threads.brief(v.v_reqs.where("floor(req / 8) % 8 = run % 8").select("run", text.alias("text")), ["run"], "text")
     end = F.when(F.col("run") % 4 == 0, "time_budget").when(F.col("run") % 4 == 1, "done")
     runs = v.v_runs.select("run", end.alias("end_reason"), F.when(F.col("run") % 11 != 0, F.col("run") % 9 * 10).alias("note_bytes"))
-    files = _files(v)
-    return threads.run_basics(runs, briefs, files, threads.edited_tests(files), ["run"])
+    return threads.basics(runs, briefs, threads.patch_counts(_files(v), ["run"]), ["run"])
 
 
 @query("g08_edited_tests", _G08 + "select run, path, status, removed from tests")
@@ -141,7 +140,7 @@ def j19_broken(v):
 select count(case when ruled then 1 end) as rule_runs, count(case when against then 1 end) as edited_existing_tests, cast(coalesce(sum(case when against then tests_deleted end), 0) as bigint) as deleted_test_files, count(case when told_note then 1 end) as told_note,
 count(case when told_note and note_bytes < 50 then 1 end) as no_note, count(case when timed then 1 end) as time_budget_runs, count(case when timed and note_bytes < 50 then 1 end) as time_budget_no_note, round(median(case when against then lines_removed end), 6) as lines_removed_median from b""")
 def j19_figures(v):
-    return r6(threads.rule_figures(_basics(v)), "lines_removed_median")
+    return r6(threads.rule_figures(v.written(_basics(v), "basics")), "lines_removed_median")
 
 
 # --- J10, J21: losses and coverage

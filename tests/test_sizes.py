@@ -170,3 +170,10 @@ def test_f08_seeks_words_once_for_both_vocabularies(spark):
     plan = entry.queries()["f08_claims_strict_broad"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # before, some 150 words were sought one after the other, twice
     assert plan.count("ArrowEvalPython") == 1 and plan.count("Contains(") <= 2
+
+
+@pytest.mark.parametrize("name", ["j19_rule_figures", "j19_broken_rules", "g08_run_basics"])
+def test_patches_are_read_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # before, patches were made and split twice for the basics, and the basics twice for their figures
+    assert plan.count("collect_list") == (0 if name == "j19_rule_figures" else 1)
