@@ -156,7 +156,8 @@ def reconcile(candidates: DataFrame, expected: DataFrame, by: list[str], least:
 
 def node_aliases(aliases: DataFrame, priority: str, alias: str, node: str) -> DataFrame:
     """The node of each alias; ambiguous inside its own key it is dropped, and the key of lowest priority number wins."""
-    clear = aliases.groupBy(priority, alias).agg(F.min(node).alias(node), F.count_distinct(node).alias("__n")).where("__n = 1")
+    # smallest and largest are equal where there is one node; to count the distinct ones, each pair would be moved and held once more
+    clear = aliases.groupBy(priority, alias).agg(F.min(node).alias(node), F.max(node).alias("__last")).where(F.col(node) == F.col("__last"))
     return clear.groupBy(alias).agg(F.min_by(node, priority).alias(node), F.min(priority).alias(priority))
 
 

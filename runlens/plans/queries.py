@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -741,9 +740,9 @@ def d05(v):
 
 @query("d05_node_aliases_all", "select alias, arg_min(node, priority) as node, min(priority) as priority from (select priority, alias, min(node) as node from (select 0 as priority, cast(round(ord3 * 100) as bigint) as alias, node from v_records union all select 1, ord1, node from v_records union all select 2, ord2, node from v_records union all select 3, node, node from v_records) t group by priority, alias having count(distinct node) = 1) u group by alias")
 def d05_all(v):
-    of = lambda no, c: v.v_records.select(F.lit(no).alias("priority"), c.cast("bigint").alias("alias"), "node")
     keys = [F.round(F.col("ord3") * 100), F.col("ord1"), F.col("ord2"), F.col("node")]
-    return nodes.node_aliases(reduce(DataFrame.unionByName, [of(no, c) for no, c in enumerate(keys)]), "priority", "alias", "node")
+    each = F.inline(F.array(*[F.struct(F.lit(no).alias("priority"), c.cast("bigint").alias("alias")) for no, c in enumerate(keys)]))
+    return nodes.node_aliases(v.v_records.select("node", each), "priority", "alias", "node")
 
 
 _D14 = """with b as (select run, count(case when node_class = 'f2p' and status = 'passed' then 1 end) as f, count(case when node_class = 'p2p' and status = 'passed' then 1 end) as p from v_nodes where req % 5 <> 0 group by run),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SF
 from runlens.functions import rules, words
-from runlens.operators import checks, claims, mentions, normalize, reviews, sidecars, verifier
+from runlens.operators import checks, claims, mentions, nodes, normalize, reviews, sidecars, verifier
 from runlens.plans.bindings import TABLES
 from test_oracles import ORACLES, rows
 
@@ -177,3 +177,12 @@ def test_patches_are_read_once(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     # before, patches were made and split twice for the basics, and the basics twice for their figures
     assert plan.count("collect_list") == (0 if name == "j19_rule_figures" else 1)
+
+
+def test_d05_moves_an_alias_once(spark):
+    rows = [(0, 1, 7), (0, 1, 7), (1, 1, 8), (1, 2, 8), (1, 2, 9), (2, 2, None), (2, 2, 5), (2, 3, None), (3, None, 4)]
+    found = nodes.node_aliases(spark.createDataFrame(rows, "p int, a int, n int"), "p", "a", "n")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 7, 0), (2, 5, 2), (None, 4, 3)]
+    # before, each distinct pair was moved before it was counted, and the records were made four times
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert entry.queries()["d05_node_aliases_all"](spark, SF)._jdf.queryExecution().analyzed().toString().count("Relation [l_orderkey") == 1
