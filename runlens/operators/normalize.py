@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
 def select_runs(index: DataFrame, scores: DataFrame, by: list[str], same: list[str]) -> DataFrame:
@@ -40,12 +40,23 @@ def extract_calls(sightings: DataFrame, call: list[str], order: list[str], conte
     return seen.where("__rn = 1").drop("__rn")
 
 
+def _whole(along: WindowSpec) -> WindowSpec:
+    """All rows of a partition in the order of another window, so that one sort serves both."""
+    return along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def pair_results(calls: DataFrame, results: DataFrame, call: list[str], at: str) -> DataFrame:
-    """Results with their call, in order: result, repeat_result or orphan (before its call, or without one)."""
-    joined = results.join(calls.select(*call, F.col(at).alias("call_at")), call, "left")
+    """Results with their call, in order: result, repeat_result or orphan (before its call, or without one).
+
+    calls: one row per call. Results and calls stand in one order per id, so one sort serves and no join is needed.
+    """
+    begun = calls.dropna(subset=call).select(*call, F.col(at).alias("call_at"), F.lit(True).alias("__call"))
+    along = Window.partitionBy(*call).orderBy(at)
+    both = results.unionByName(begun, allowMissingColumns=True).withColumn("call_at", F.min("call_at").over(_whole(along)))
     after = F.coalesce(F.col(at) > F.col("call_at"), F.lit(False))
-    no = F.count_if(after).over(Window.partitionBy(*call).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("status", F.when(~after, "orphan").when(no > 1, "repeat_result").otherwise("result"))
+    no = F.count_if(after).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("status", F.when(~after, "orphan").when(no > 1, "repeat_result").otherwise("result"))
+    return found.where("__call is null").drop("__call")
 
 
 def missing_results(calls: DataFrame, results: DataFrame, call: list[str], at: str) -> DataFrame:
@@ -68,10 +79,10 @@ def later_calls(calls: DataFrame, results: DataFrame, call: list[str], order: li
     names = [c for c in results.columns if c not in (*call, *order)]
     both = results.withColumn("__action", F.lit(None).cast(calls.schema[action].dataType)).withColumn("__call", F.lit(0))
     said = calls.select(*call, *order, *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in names], F.col(action).alias("__action"), F.lit(-1).alias("__call"))
-    along = Window.partitionBy(*call).orderBy(*[F.desc(c) for c in (*order, "__call", "__action")]).rowsBetween(Window.unboundedPreceding, 0)
-    is_call = F.col("__call") == -1
-    calls_before = F.count_if(is_call).over(Window.partitionBy(*call)) - F.count_if(is_call).over(along)
-    following = F.last("__action", ignorenulls=True).over(along)
+    along = Window.partitionBy(*call).orderBy(*[F.desc(c) for c in (*order, "__call", "__action")])
+    upto, is_call = along.rowsBetween(Window.unboundedPreceding, 0), F.col("__call") == -1
+    calls_before = F.count_if(is_call).over(_whole(along)) - F.count_if(is_call).over(upto)
+    following = F.last("__action", ignorenulls=True).over(upto)
     out = both.unionByName(said).withColumn("__before", calls_before).withColumn("matching_later_call", following)
     return out.where("__call = 0 and __before = 0").select(*call, *order, *names, "matching_later_call")
 

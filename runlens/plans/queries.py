@@ -71,6 +71,7 @@ select status, count(*) as n from p group by status"""
 
 @query("a09_pair_results", _A09)
 def a09(v):
+    v.keep("v_records", "node", "ord1")
     calls = v.v_records.groupBy("node").agg(F.min("ord1").alias("ord1"))
     return normalize.pair_results(calls, v.v_records.select("node", "ord1"), ["node"], "ord1").groupBy("status").agg(F.count("*").alias("n"))
 
