@@ -271,6 +271,7 @@ def c12(v):
 
 @query("c13_validate_refs", "select distinct node, req from v_records where node % 89 = 0")
 def c13(v):
+    v.keep("v_records")
     return comms.check_refs(v.v_records.select("node", "req"), v.v_nodes.where("node % 89 <> 0"), ["node"], "req")
 
 

@@ -195,3 +195,8 @@ def test_a09_pairs_without_a_join(spark):
     assert sorted((r.name, r.call_at, r.status) for r in found.collect()) == [("r1", 2, "orphan"), ("r2", 2, "result"), ("r3", 2, "repeat_result"), ("r4", 5, "orphan"), ("r5", None, "orphan"), ("r6", None, "orphan")]
     # before, calls were joined to results, and records made twice
     assert "Join" not in entry.queries()["a09_pair_results"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_c13_makes_records_once(spark):
+    # before, the references and the lines joined lineitem and orders each
+    assert "l_orderkey" not in entry.queries()["c13_validate_refs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
