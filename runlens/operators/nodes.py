@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.functions import rules
+from runlens.operators.relational import dealt
 
 
 def run_snapshot(nodes: DataFrame, by: list[str]) -> DataFrame:
@@ -80,25 +81,29 @@ def match_nodes(records: DataFrame, nodes: DataFrame, aliases: DataFrame, by: li
     of ``by``. numbers: may a record be matched by its number; true by default.
     One join holds all tiers: texts as they are (exact ids and aliases), canonical forms and numbers. A name with a
     prefix more meets the node's form by what is left of its own, a node with one by what is left of the node's.
+    Records, nodes and aliases are moved once, to the task of their ``by``, and become several keys only there.
     """
     key = lambda space, tier, sub, text: F.struct(F.lit(space).alias("space"), F.lit(tier).alias("tier"), F.lit(sub).alias("sub"), text.alias("key"))
     cut = lambda form, p: F.when(F.startswith(form, F.lit(p)), F.substring(form, F.lit(len(p) + 1), F.length(form)))
     present = lambda keys: F.inline(F.filter(F.array(*keys), lambda k: k["key"].isNotNull()))
     order = F.struct(F.col(place).alias("place"), F.col(node).alias("node"))
-    targets = nodes.select(*by, order.alias("__order"), canonical_id(F.col(node)).alias("__form"))
-    own, form = F.col("__order.node"), F.col("__form")
+    unplaced = F.struct(F.lit(None).cast(nodes.schema[place].dataType).alias("place"), F.col(node).alias("node"))
+    also = aliases.where("alias is not null").select(*by, unplaced.alias("__order"), F.col("alias").cast("string").alias("__alias"))
+    targets = dealt(nodes.select(*by, order.alias("__order"), F.lit(None).cast("string").alias("__alias")).unionByName(also), by)
+    own, form, alias = F.col("__order.node"), F.col("__form"), F.col("__alias")
+    targets = targets.withColumn("__form", F.when(alias.isNull(), canonical_id(own)))
     of_node = [key(0, 0, 0, own), key(1, 2, 0, form), key(2, 4, 0, longest_number(own)), *[key(1, 3, i, cut(form, p)) for i, p in enumerate(rules.NODE_PREFIXES)]]
-    targets = targets.select(*by, "__order", present(of_node))
-    also = aliases.select(*by, F.struct(F.lit(None).cast(nodes.schema[place].dataType).alias("place"), F.col(node).alias("node")).alias("__order"), F.lit(0).alias("space"), F.lit(1).alias("tier"), F.lit(0).alias("sub"), F.col("alias").cast("string").alias("key"))
+    of_node = [F.when(alias.isNull(), k) for k in of_node]
+    targets = targets.select(*by, "__order", present([*of_node, key(0, 1, 0, alias)]))
     # canonical forms and numbers count if they are of one node
     single = F.col("tier").isin(2, 4)
-    targets = targets.unionByName(also).where("key is not null").groupBy(*by, "space", "key").agg(
+    targets = targets.groupBy(*by, "space", "key").agg(
         F.min(F.when(~single, F.struct("tier", "sub", "__order"))).alias("__any"), F.min(F.when(single, F.col("__order"))).alias("__own"),
         F.min(F.when(single, F.col("__order.node"))).eqNullSafe(F.max(F.when(single, F.col("__order.node")))).alias("__once"),
     )
     # ``short``: which prefix the name gave up, none by default
     said = lambda space, short, text: F.struct(F.lit(space).alias("space"), F.lit(short).cast("int").alias("short"), text.alias("key"))
-    named = records.select(*by, record, *([] if numbers is None else [c for c in records.columns if c not in (*by, record, ids)]), F.posexplode(ids).alias("pos", "__name"))
+    named = dealt(records, by).select(*by, record, *([] if numbers is None else [c for c in records.columns if c not in (*by, record, ids)]), F.posexplode(ids).alias("pos", "__name"))
     name, number = F.col("__name"), longest_number(F.col("__name"))
     counted = F.when((F.length(number) >= 2) & F.coalesce(numbers if numbers is not None else F.lit(True), F.lit(False)), number)
     named = named.withColumn("__number", counted).withColumn("__form", canonical_id(name))

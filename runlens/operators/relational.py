@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +15,32 @@ def top1(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+#: Partitions of ``dealt`` for each one that Spark uses by default.
+FINER = 4
+
+
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows dealt out by ``by`` alone: windows and aggregates by these and further columns go on without moving them, and joins do in ``joined_in_place``.
+
+    For steps that make many rows of one (names, words, keys), which then need no shuffle of their own. As a task
+    makes more rows than it reads, there are more partitions than by default, and Spark does not join them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(FINER * parts, *by)
+
+
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """While it holds, what is run joins rows that are dealt out by some of the join's columns where they are."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def interval_union(df: DataFrame, start: str, end: str, by: list[str], name: str = "covered") -> DataFrame:
     """Length covered by the union of intervals per group; touching intervals merge, reversed ones do not count.
 

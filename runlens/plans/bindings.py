@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runlens.operators import relational
+
 TABLES = ("benchmark", "conversations", "customer", "documents", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 #: Later views build on earlier ones. {us} is the time stamp in microseconds.
@@ -67,6 +69,11 @@ class Views:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def written_in_place(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``, of rows that are dealt out by some columns and whose joins by these and others need not move them."""
+        with relational.joined_in_place(self._spark):
+            return self.written(df, name)
+
     def sql(self, text: str) -> DataFrame:
         used = {n: getattr(self, n) for n in (*TABLES, *VIEWS) if f"{{{n}}}" in text}
         return self._spark.sql(text.replace("{us}", _SPARK_US), **used)

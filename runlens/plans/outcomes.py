@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import checks, claims, comms, grader, mentions, nodes, normalize, reviews, wide
+from runlens.operators import checks, claims, comms, grader, mentions, nodes, normalize, relational, reviews, wide
 from runlens.functions import rules
 from runlens.plans.evidence import text
 from runlens.plans.queries import longs, query, r6
@@ -30,13 +30,25 @@ union all select s.run, record, 'number', 4, pos, 0, place, node from said s joi
 select run, record, tier, node from hits qualify row_number() over (partition by run, record order by t, pos, sub, place) = 1"""
 
 
+def _named(nodes):
+    return nodes.sparkSession.sql(_NODE_IDS.format(v_nodes="{nodes}"), nodes=nodes)
+
+
+def _dealt(v):
+    """Records, and nodes with their names, dealt out by run after both were written once: numbers move, and texts are made of them there."""
+    v.keep("v_records")
+    v.keep("v_nodes", "run", "req", "node", "node_class")
+    return relational.dealt(v.v_records, ["run"]), _named(relational.dealt(v.v_nodes, ["run"]))
+
+
 @query("d06_match_all_tiers", _D06)
 def d06_all(v):
-    ids = v.sql(_NODE_IDS)
-    records = ids.sparkSession.sql(_RECORDS.format(v_records="{r}").replace("join ids i", "join {ids} i"), r=v.v_records, ids=ids)
+    given, ids = _dealt(v)
+    records = ids.sparkSession.sql(_RECORDS.format(v_records="{r}").replace("join ids i", "join {ids} i"), r=given, ids=ids)
     records = records.select("run", "record", F.array("first", "second").alias("ids"))
-    given = ids.where("node_class = 'f2p'").select("run", F.lit(0).alias("priority"), F.concat(F.lit("alias-"), "place").alias("alias"), "node")
-    return nodes.match_nodes(records, ids, given.select("run", "alias", "node"), ["run"], "record", "ids", "node", "place")
+    ids = _named(v.v_nodes)
+    aliases = ids.where("node_class = 'f2p'").select("run", F.concat(F.lit("alias-"), "place").alias("alias"), "node")
+    return v.written_in_place(nodes.match_nodes(records, ids, aliases, ["run"], "record", "ids", "node", "place"), "matched")
 
 
 # --- D09: classes by every pattern of a message
