@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.functions import rules
-from runlens.operators.relational import unique_match
+from runlens.operators.relational import dealt, unique_match
 
 
 def bind_questions(asks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -56,13 +56,14 @@ def notification_links(exposures: DataFrame, releases: DataFrame, actions: DataF
     exposures: by, message, place, is_read, text. releases: by, delivery,
     release. actions: by, action, place, input. Only a delivery that was
     released once is linked. Names and cards count where no letter, digit
-    or underscore stands beside them.
+    or underscore stands beside them. All three are moved once, to the task
+    of their ``by``; texts become words only there.
     """
-    sent = exposures.withColumn("delivery", F.regexp_extract("message", rules.RUNTIME_MESSAGE, 1)).where("delivery <> ''")
+    sent = dealt(exposures.withColumn("delivery", F.regexp_extract("message", rules.RUNTIME_MESSAGE, 1)).where("delivery <> ''"), by)
     seen = sent.groupBy(*by, "message", "delivery").agg(F.count("*").alias("occurrences"), F.min("place").alias("first_seen"), F.min(F.when(F.col("is_read"), F.col("place"))).alias("first_read"), F.min_by("text", "place").alias("text"))
     cards = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(rules.CARD), F.lit(0))), lambda c: ~c.rlike(rules.NO_CARD))
     seen = seen.withColumn("cards", F.coalesce(cards, F.array().cast("array<string>"))).drop("text")
-    freed = releases.groupBy(*by, "delivery").agg(F.count("*").alias("releases"), F.first("release").alias("release"))
+    freed = dealt(releases, by).groupBy(*by, "delivery").agg(F.count("*").alias("releases"), F.first("release").alias("release"))
     # cards have two parts between hyphens and names three, so actions meet them by two or three neighbouring parts
 
     def neighbours(run: Column) -> Column:
@@ -71,10 +72,10 @@ def notification_links(exposures: DataFrame, releases: DataFrame, actions: DataF
         return F.concat(of(2), of(3))
 
     words = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("input", F.lit("[A-Za-z0-9_-]+"), F.lit(0)), neighbours)))
-    said = actions.select(*by, "action", F.col("place").alias("__at"), F.explode(words).alias("__word"))
+    said = dealt(actions, by).select(*by, "action", F.col("place").alias("__at"), F.explode(words).alias("__word"))
     asked = seen.select(*by, "message", "first_seen", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("message").alias("__word"))), F.transform("cards", lambda c: F.struct(F.lit(False).alias("own"), c.alias("__word"))))).alias("w"))
     asked = asked.select(*by, "message", "first_seen", "w.own", "w.__word")
-    hits = said.hint("shuffle_hash").join(asked, [*by, "__word"]).where("__at > first_seen").groupBy(*by, "message")
+    hits = said.join(asked.hint("shuffle_hash"), [*by, "__word"]).where("__at > first_seen").groupBy(*by, "message")
     hits = hits.agg(F.count_distinct(F.when(F.col("own"), F.col("action"))).alias("mentions"), F.count_distinct(F.when(~F.col("own"), F.col("action"))).alias("with_card"))
     out = seen.hint("merge").join(freed, [*by, "delivery"], "left").hint("merge").join(hits, [*by, "message"], "left")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)

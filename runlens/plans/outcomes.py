@@ -425,14 +425,17 @@ from m left join r on r.run = m.run and r.k = m.k left join h on h.run = m.run a
 @query("c08_notification_links", _C08)
 def c08_links(v):
     card = {"h": "ord1 div 900000", "n": "100000 + ord1 % 900000"}  # six digits, the most of a card
-    seen = v.v_records.where("node_class = 'f2p'")
-    exposures = seen.select("run", text("runtime-D<ord1>-7").alias("message"), F.col("ord2").alias("place"), (F.col("status") == "passed").alias("is_read"), text("see CARD_<h>-<n>, not DOC-12 or MR-77 (xCARD-13)", **card).alias("text"))
-    exposures = exposures.unionByName(seen.select("run", text("other-D<ord1>-7").alias("message"), F.col("ord2").alias("place"), F.lit(True).alias("is_read"), F.lit("CARD-12").alias("text")))
-    freed = v.v_records.where("node_class = 'p2p' or ord1 % 2 = 0").select("run", text("D<ord1>").alias("delivery"), F.col("node").alias("release"))
+    # numbers move, and texts are made of them there
+    v.keep("v_records", "run", "req", "node", "node_class", "status", "ord1", "ord2")
+    records = relational.dealt(v.v_records, ["run"])
+    shown = lambda message, is_read, said: F.struct(message.alias("message"), F.col("ord2").alias("place"), is_read.alias("is_read"), said.alias("text"))
+    own = shown(text("runtime-D<ord1>-7"), F.col("status") == "passed", text("see CARD_<h>-<n>, not DOC-12 or MR-77 (xCARD-13)", **card))
+    exposures = records.where("node_class = 'f2p'").select("run", F.inline(F.array(own, shown(text("other-D<ord1>-7"), F.lit(True), F.lit("CARD-12")))))
+    freed = records.where("node_class = 'p2p' or ord1 % 2 = 0").select("run", text("D<ord1>").alias("delivery"), F.col("node").alias("release"))
     forms = ('{"id": "runtime-D<ord1>-7"}', "re: runtime-D<ord1>-7-x and a-CARD_<h>-<n>-b", "CARD_<h>-<n>", "xruntime-D<ord1>-7 CARD_<h>-<n>0", "runtime-D<ord1>-75, _CARD_<h>-<n>")
     said = F.coalesce(*[F.when(F.col("req") % 5 == i, text(f, **card)) for i, f in enumerate(forms)])
-    actions = v.v_records.select("run", F.concat_ws("-", "node", "ord1", "ord2").alias("action"), F.col("ord2").alias("place"), said.alias("input"))
-    return comms.notification_links(exposures, freed, actions, ["run"])
+    actions = records.select("run", F.concat_ws("-", "node", "ord1", "ord2").alias("action"), F.col("ord2").alias("place"), said.alias("input"))
+    return v.written_in_place(comms.notification_links(exposures, freed, actions, ["run"]), "links")
 
 
 # --- D12, D13: which file tells of the nodes

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SF
 from runlens.functions import rules, words
-from runlens.operators import checks, claims, mentions, nodes, normalize, relational, reviews, sidecars, verifier
+from runlens.operators import checks, claims, comms, mentions, nodes, normalize, relational, reviews, sidecars, verifier
 from runlens.plans.bindings import TABLES
 from test_oracles import ORACLES, rows
 
@@ -78,6 +78,25 @@ def test_d06_moves_names_before_they_are_keys(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_c08_moves_texts_before_they_are_words(spark):
+    # 47,895 when each word was moved
+    assert moved(spark, lambda: entry.queries()["c08_notification_links"](spark, SF)) < 25_000
+
+
+def test_links_met_in_place(spark):
+    exposures = [(r, f"runtime-D{k}-1", k, True, f"see CARD_1-{r}{k}") for r in range(20) for k in range(10, 13)] + [(1, "other", 0, True, "CARD-12")]
+    actions = [(r, f"a{k}-{n}", k + n, t) for r in range(20) for k in range(10, 13) for n, t in enumerate((f"runtime-D{k}-1", f"re runtime-D{k}-1, CARD_1-{r}{k}", f"xCARD_1-{r}{k}"))]
+    given = spark.createDataFrame(exposures, "run int, message string, place int, is_read boolean, text string")
+    freed = spark.createDataFrame([(r, f"D{k}", f"f{k}") for r in range(20) for k in range(10, 12)] + [(3, "D10", "again")], "run int, delivery string, release string")
+    df = comms.notification_links(given, freed, spark.createDataFrame(actions, "run int, action string, place int, input string"), ["run"])
+    with relational.joined_in_place(spark):
+        got = {(x.run, x.delivery): (x.releases, x.release, x.cards, x.mentions, x.with_card) for x in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    want = {(r, f"D{k}"): (int(k < 12) + int((r, k) == (3, 10)), f"f{k}" if k < 12 and (r, k) != (3, 10) else None, 1, 1, 1) for r in range(20) for k in range(10, 13)}
+    assert got == want
+    assert "__word" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
 def test_names_met_in_place(spark):
     # several partitions for each by, and rows that are no longer moved for the join
     given = spark.createDataFrame([(r, f"PR-{r}{k}", k) for r in range(20) for k in range(30, 33)], "run int, node string, place int")
