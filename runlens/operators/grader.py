@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from runlens.functions import rules
 from runlens.functions.jsontree import json_objects
+from runlens.operators.relational import dealt
 
 #: Lines at the end of a node's own log and of another one that are shown, records of a file, and characters in all.
 OWN_LINES, OTHER_LINES, RECORDS, LIMIT = 20, 12, 4, 2000
@@ -45,8 +46,10 @@ def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> D
     A name counts only between characters that are none of letters, digits, _
     and -. Such a name's runs of these characters stand in the line as whole
     runs too, so lines and names meet by the name's longest run and are
-    compared only then.
+    compared only then. Nodes and files are moved once, to the task of their
+    ``by``, and become names, lines and words only there.
     """
+    nodes, files = dealt(nodes, by), dealt(files, by)
     other = ~F.col("path").rlike(r"\.jsonl?$") & ~F.col("path").endswith(".log")
     scopes = F.array(
         F.struct(F.lit(0).alias("far"), F.when(other, F.concat(F.lit("="), "path")).alias("scope")),
@@ -62,17 +65,17 @@ def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> D
     lines = files.select(*by, F.col("path").alias("file"), place.alias("scope"), large.alias("__large"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where("scope is not null")
     lines = lines.withColumn("__id", F.xxhash64(*by, "file", "line"))
     words = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"(?U)[\w-]+"), F.lit(0)), F.array(F.lit(""))))
-    # words and lines meet as numbers, so that a line's text moves once and not with each word; equal numbers of other words fall away with the text
+    # words and lines meet as numbers, so that a line's text is not held with each word; equal numbers of other words fall away with the text
     named = named.withColumn("__key", F.xxhash64(*by, "__word")).drop("__word")
-    known = named.select("__key").distinct().hint("shuffle_hash")
-    keys = lines.select("__id", F.explode(F.transform(words, lambda w: F.xxhash64(*by, w))).alias("__key")).join(known, "__key", "left_semi")
-    found = lines.join(keys.hint("shuffle_hash"), "__id").drop("__id")
+    known = named.select(*by, "__key").distinct().hint("shuffle_hash")
+    keys = lines.select(*by, "__id", F.explode(F.transform(words, lambda w: F.xxhash64(*by, w))).alias("__key")).join(known, [*by, "__key"], "left_semi")
+    found = lines.join(keys.hint("shuffle_hash"), [*by, "__id"]).drop("__id")
     said = F.expr(r"text rlike concat('(?U)(?<![\\w-])\\Q', replace(__name, '\\E', '\\E\\\\E\\Q'), '\\E(?![\\w-])')")
     # a file's own nodes do not meet it as one of the folder above; a large log is searched for its own nodes alone
     own = F.col("file") == F.col("__own")
     hits = found.hint("merge").join(named, [*by, "scope", "__key"]).where(F.when(own, F.col("far") < 2).otherwise(~F.col("__large"))).where(said).withColumn("far", F.when(own, 0).otherwise(F.col("far")))
     # a log may be met by several names, and from the folder and from above it; all that follows is of a node
-    hits = hits.select(*by, node, "file", "line", "far", "text").repartition(*by, node).groupBy(*by, node, "file", "line").agg(F.min("far").alias("far"), F.first("text").alias("text"))
+    hits = hits.groupBy(*by, node, "file", "line").agg(F.min("far").alias("far"), F.first("text").alias("text"))
     last = Window.partitionBy(*by, node, "file").orderBy(F.desc("line"))
     shown = F.when(F.col("far") == 0, OWN_LINES).otherwise(OTHER_LINES)
     return hits.withColumn("__rn", F.row_number().over(last)).where((F.col("__rn") <= OWN_LINES) & (F.col("__rn") <= shown)).drop("__rn")
@@ -127,7 +130,9 @@ def grader_output(nodes: DataFrame, files: DataFrame, by: list[str], node: str,
     piece = lambda far, file, no, text: F.struct(far.alias("far"), file.alias("file"), no.cast("int").alias("no"), text.alias("text"))
     parts = logs.select(*by, node, piece(F.col("far"), F.col("file"), F.lit(0), F.concat(head, F.col("text"))).alias("p"))
     records = json_records(nodes, files, by, node).select(*by, node, piece(F.lit(0), F.lit(""), F.col("no"), F.col("text")).alias("p"))
-    said = parts.unionByName(records).groupBy(*by, node).agg(F.array_sort(F.collect_list("p")).alias("p"))
-    whole = F.array_join(F.filter(F.transform("p", lambda p: p["text"]), lambda t: t != ""), "\n")
-    out = nodes.select(*by, node).distinct().hint("merge").join(said, [*by, node], "left")
+    # the logs' texts stay where they are, so the few records go there
+    said, told = parts.groupBy(*by, node).agg(F.collect_list("p").alias("__said")), dealt(records, by).groupBy(*by, node).agg(F.collect_list("p").alias("__told"))
+    both = F.array_sort(F.concat(*[F.coalesce(c, F.array().cast(said.schema["__said"].dataType)) for c in ("__said", "__told")]))
+    whole = F.array_join(F.filter(F.transform(both, lambda p: p["text"]), lambda t: t != ""), "\n")
+    out = dealt(nodes.select(*by, node), by).distinct().hint("merge").join(said, [*by, node], "left").hint("merge").join(told, [*by, node], "left")
     return out.select(*by, node, F.coalesce(clip(whole, limit), F.lit("")).alias("output"))

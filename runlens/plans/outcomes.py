@@ -87,16 +87,17 @@ select run, node, case when t is null then '' when len(t) <= 90 then t else subs
 
 @query("k03_grader_output", _K03)
 def k03(v):
-    ids = v.sql(_NODE_IDS)
+    given, ids = _dealt(v)
     spark = ids.sparkSession
-    lines = spark.sql(_LINES.format(v_records="{r}").replace("join ids i", "join {ids} i"), r=v.v_records, ids=ids)
+    lines = spark.sql(_LINES.format(v_records="{r}").replace("join ids i", "join {ids} i"), r=given, ids=ids)
     logs = lines.groupBy("run", F.col("file").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("said")), "\n").alias("text"))
     own = spark.sql(_K03_NODES.replace("from ids", "from {ids}"), ids=ids)
     told = text('{"name": "<node>", "err_tail": " lost <place> ", "reason": "none", "in": [1]}')
     bare = text('{"id": "<node>", "n": <place>, "sub": {"other": 1}}')
     record = F.when(F.col("req") % 2 == 0, told).otherwise(bare)
     json = own.where("place % 5 = 0").groupBy("run", "path").agg(F.array_join(F.collect_list(record), "\n").alias("text"))
-    return grader.grader_output(own, logs.unionByName(json), ["run"], "node", 90)
+    files = v.written_in_place(logs.unionByName(json), "files")
+    return v.written_in_place(grader.grader_output(own, files, ["run"], "node", 90), "said")
 
 
 # --- A09, B17: orphans, nested usage
