@@ -12,8 +12,8 @@ from runlens.operators.relational import dealt
 
 #: Lines at the end of a node's own log and of another one that are shown, records of a file, and characters in all.
 OWN_LINES, OTHER_LINES, RECORDS, LIMIT = 20, 12, 4, 2000
-#: Logs of more bytes are not searched.
-LARGEST_LOG = 20_000_000
+#: Set by a caller, logs of more bytes are searched for their own nodes alone. No query sets it: every log is searched for all nodes.
+LARGEST_LOG: int | None = None
 
 
 def clip(text: Column, limit: int) -> Column:
@@ -61,7 +61,7 @@ def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> D
 
     # the lines of a log are met by its folder, from its own nodes too; those of another file by its path
     place = F.when(F.col("path").endswith(".log"), F.concat(F.lit("/"), _folder(F.col("path")))).when(other, F.concat(F.lit("="), "path"))
-    large = F.octet_length("text") > LARGEST_LOG
+    large = F.lit(False) if LARGEST_LOG is None else F.octet_length("text") > LARGEST_LOG
     lines = files.select(*by, F.col("path").alias("file"), place.alias("scope"), large.alias("__large"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where("scope is not null")
     lines = lines.withColumn("__id", F.xxhash64(*by, "file", "line"))
     words = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"(?U)[\w-]+"), F.lit(0)), F.array(F.lit(""))))
@@ -71,7 +71,7 @@ def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> D
     keys = lines.select(*by, "__id", F.explode(F.transform(words, lambda w: F.xxhash64(*by, w))).alias("__key")).join(known, [*by, "__key"], "left_semi")
     found = lines.join(keys.hint("shuffle_hash"), [*by, "__id"]).drop("__id")
     said = F.expr(r"text rlike concat('(?U)(?<![\\w-])\\Q', replace(__name, '\\E', '\\E\\\\E\\Q'), '\\E(?![\\w-])')")
-    # a file's own nodes do not meet it as one of the folder above; a large log is searched for its own nodes alone
+    # a file's own nodes do not meet it as one of the folder above
     own = F.col("file") == F.col("__own")
     hits = found.hint("merge").join(named, [*by, "scope", "__key"]).where(F.when(own, F.col("far") < 2).otherwise(~F.col("__large"))).where(said).withColumn("far", F.when(own, 0).otherwise(F.col("far")))
     # a log may be met by several names, and from the folder and from above it; all that follows is of a node
