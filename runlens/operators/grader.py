@@ -56,8 +56,9 @@ def log_lines(nodes: DataFrame, files: DataFrame, by: list[str], node: str) -> D
         F.struct(F.lit(1).alias("far"), F.concat(F.lit("/"), _folder(F.col("path"))).alias("scope")),
         F.struct(F.lit(2).alias("far"), F.concat(F.lit("/"), _folder(_folder(F.col("path")))).alias("scope")),
     )
-    named = nodes.select(*by, node, F.col("path").alias("__own"), F.explode(node_names(F.col(node))).alias("__name"), scopes.alias("__scopes"))
-    named = named.withColumn("__word", _longest_word(F.col("__name"))).select("*", F.inline("__scopes")).drop("__scopes").where("scope is not null")
+    # outer: else Spark looks for names and folders before it moves a node, too
+    named = nodes.select(*by, node, F.col("path").alias("__own"), F.explode_outer(node_names(F.col(node))).alias("__name"), scopes.alias("__scopes")).where("__name is not null")
+    named = named.withColumn("__word", _longest_word(F.col("__name"))).select("*", F.inline_outer("__scopes")).drop("__scopes").where("scope is not null")
 
     # the lines of a log are met by its folder, from its own nodes too; those of another file by its path
     place = F.when(F.col("path").endswith(".log"), F.concat(F.lit("/"), _folder(F.col("path")))).when(other, F.concat(F.lit("="), "path"))
